@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, near_dedup, packing, token_counts, token_store
+from . import decontamination, near_dedup, packing, permutation_index, pii, token_counts, token_store, toxicity
 from .common import table, workdir
 
 
@@ -33,6 +33,10 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_digests(spark, folder)
 
 
+def op3_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permutation_index.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), end_id=2, capacity=1024)
 
@@ -41,6 +45,27 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), max_tokens=4096)
 
 
+def fold(id_column: str = "id"):
+    """Remainder of the CRC-32 of an id's text modulo 5; rows of fold 0 are held out."""
+    return F.crc32(F.col(id_column).cast("string").cast("binary")) % 5
+
+
+def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Model:
+    return toxicity.fit_table(docs, table(spark, sf_dir, "labels"), train=fold() != 0)
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity_model(spark, docs, sf_dir))
+    return scored.select("doc_id", F.coalesce(fold("doc_id") == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), found_col="found")
+    per_kind = [F.expr(f"size(filter(found, x -> x.kind = '{kind}'))").alias(f"n_{kind}") for kind in pii.KINDS]
+    return out.select("doc_id", "text", F.size("found").alias("n_found"), *per_kind)
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), similarity=(85, 100))
 
@@ -48,8 +73,11 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_token_store": op2_token_store,
+    "op3_permutation_index": op3_permutation_index,
     "op4_packing": op4_packing,
     "op6_token_counts": op6_token_counts,
+    "op8_toxicity": op8_toxicity,
+    "op9_pii": op9_pii,
     "op10_near_dedup": op10_near_dedup,
 }
 
