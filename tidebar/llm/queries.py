@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, near_dedup, packing, permutation_index, pii, token_counts, token_store, toxicity
+from . import decontamination, html_extraction, near_dedup, packing, permutation_index, pii, token_counts, token_store, toxicity, url_filter
 from .common import table, workdir
 
 
@@ -41,10 +41,21 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), end_id=2, capacity=1024)
 
 
+URL_RULES = [url_filter.Rule.of(*r) for r in (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))]
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), max_tokens=4096)
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract_text(table(spark, sf_dir, "pages"))
+
+
 def fold(id_column: str = "id"):
     """Remainder of the CRC-32 of an id's text modulo 5; rows of fold 0 are held out."""
     return F.crc32(F.col(id_column).cast("string").cast("binary")) % 5
@@ -75,10 +86,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_store": op2_token_store,
     "op3_permutation_index": op3_permutation_index,
     "op4_packing": op4_packing,
+    "op5_url_filter": op5_url_filter,
     "op6_token_counts": op6_token_counts,
+    "op7_html_extraction": op7_html_extraction,
     "op8_toxicity": op8_toxicity,
     "op9_pii": op9_pii,
     "op10_near_dedup": op10_near_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_url_filter": url_filter.duckdb_sql(URL_RULES),
+}
