@@ -209,3 +209,19 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, f"`{id_col}` {kind}, score double")
+
+
+def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all columns, whose whole text scores below ``threshold``."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.logit, model.bias))
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model(*shared.value)
+        names = None
+        for batch in batches:
+            names = names or batch.schema.names
+            for part, texts in sliced([batch], names[at]):
+                yield part.filter(pa.array(model.scores(texts) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
