@@ -3,8 +3,8 @@
 A byte-pair tokenizer never joins symbols across the borders its pre-tokenizer draws. Where a
 text is cut at such borders, the ids of the parts, one after the other, are the ids of the text.
 So a task cuts texts into words, lets the library encode the words it has not met, and gathers
-the ids of whole texts from a table of words. The table is emptied when it holds ``limit`` words,
-so memory is bounded and results do not depend on it.
+the ids of whole texts from a table of words. When the table holds ``limit`` words, those used least
+are forgotten, so memory is bounded; results do not depend on it.
 
 Two cuts are known to be exact, and others are refused:
 
@@ -59,7 +59,7 @@ def cut_kind(spec: dict) -> str:
 class WordEncoder:
     """encode(texts) gives the ids of all texts in one flat array and the number of ids of each."""
 
-    def __init__(self, path: str, limit: int = 250_000):
+    def __init__(self, path: str, limit: int = 400_000):
         quiet_tokenizers()
         from tokenizers import Tokenizer
 
@@ -73,6 +73,20 @@ class WordEncoder:
         self.ids = np.zeros(0, np.uint32)
         self.start = np.zeros(0, np.int64)
         self.length = np.zeros(0, np.int64)
+        self.used = np.zeros(0, np.int64)
+
+    def _make_room(self) -> None:
+        """Keep the words that were used most, at most half of the limit, and forget the others."""
+        keep = np.argsort(-self.used, kind="stable")[: self.limit // 2]
+        keep = np.sort(keep[self.used[keep] > 1])
+        number = np.full(len(self.used), -1, np.int64)
+        number[keep] = np.arange(len(keep))
+        number = number.tolist()
+        self.slot = {w: n for w, s in self.slot.items() if (n := number[s]) >= 0}
+        length = self.length[keep]
+        ends = np.cumsum(length)
+        self.ids = self.ids[np.arange(int(length.sum())) + np.repeat(self.start[keep] - (ends - length), length)]
+        self.start, self.length, self.used = ends - length, length, self.used[keep] // 2
 
     def words(self, text: str) -> list[str]:
         if self.kind == "drop":
@@ -86,11 +100,15 @@ class WordEncoder:
         """Words of letters and end marks take the ids of the two, as pre-tokenizers part letters from marks."""
         bare = [w.rstrip(_MARKS) for w in words]
         split = [(w, b) for w, b in zip(words, bare) if b != w and b[-1:].isalpha()]
-        whole = {w for w, b in zip(words, bare) if b == w or not b[-1:].isalpha()}
+        if self.kind == "drop":  # and the lower-cased word stands for one of plain letters
+            split = [(w, b.lower() if b.isascii() else b) for w, b in split] + [(w, w.lower()) for w, b in zip(words, bare) if w == b and w.isascii() and w.isalpha() and not w.islower()]
+        whole = set(words).difference(w for w, _ in split)
         self._encode_new(list(whole.union(b for _, b in split).union(w[len(b) :] for w, b in split).difference(self.slot)))
         if not split:
             return
+        self.used = np.append(self.used, np.zeros(len(self.start) - len(self.used), np.int64))
         halves = np.array([(self.slot[b], self.slot[w[len(b) :]]) for w, b in split], np.int64).ravel()
+        self.used += np.bincount(halves, minlength=len(self.used))
         length = self.length[halves]
         ends = np.cumsum(length)
         ids = self.ids[np.arange(int(ends[-1])) + np.repeat(self.start[halves] - (ends - length), length)]
@@ -123,10 +141,11 @@ class WordEncoder:
         del cut
         new = set(words).difference(self.slot)
         if new and len(self.slot) + len(new) > self.limit:
-            self._forget()
-            new = set(words)
+            self._make_room()
+            new = set(words).difference(self.slot)
         self._learn(list(new))
         slots = np.fromiter(map(self.slot.__getitem__, words), np.int64, len(words))
+        self.used = np.append(self.used, np.zeros(len(self.start) - len(self.used), np.int64)) + np.bincount(slots, minlength=len(self.start))
         length = self.length[slots]
         ends = np.cumsum(length)
         ids = self.ids[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.start[slots] - (ends - length), length)]
