@@ -101,20 +101,22 @@ def _kernel(pdf: pd.DataFrame, bars: pd.DataFrame, capital: float, risk: float,
             equity += pnl
             yield t, int(at[i]), out[0], out[1], pnl, equity
         held = keep
-        while k < len(waiting) and waiting[k]["bar"] <= at[i]:
+        # a single position tests the signal it points at, then passes over older ones: one that could not
+        # be taken on its bar still holds the pointer on the next; a grid uses up all signals of the bar
+        while k < len(waiting) and waiting[k]["bar"] <= at[i] and (slots > 1 or waiting[k]["bar"] == at[i]):
             x = waiting[k]
-            if x["bar"] == at[i]:
-                if len(held) < slots and (daily_trades <= 0 or n_today < daily_trades) and (daily_loss <= 0 or start - equity < start * daily_loss):
-                    gap = abs(x["price"] - x["sl"])
-                    size = equity * risk / gap * x["quality_mult"] if gap > 0 else 0.01
-                    held.append({"x": x, "i": i, "sl": x["sl"], "size": size, "pnl": 0.0, "far": 0.0, "trailing": False, "partial": False, "mfe": 0.0, "mae": 0.0})
-                    n_today += 1
-                    k += 1
-                    if slots == 1:
-                        break
-                    continue
-                if slots == 1:
-                    break  # a signal that could not be taken still holds the place on the next bar
+            free = len(held) < slots and (daily_trades <= 0 or n_today < daily_trades) and (daily_loss <= 0 or start - equity < start * daily_loss)
+            if x["bar"] == at[i] and free:
+                gap = abs(x["price"] - x["sl"])
+                size = equity * risk / gap * x["quality_mult"] if gap > 0 else 0.01
+                held.append({"x": x, "i": i, "sl": x["sl"], "size": size, "pnl": 0.0, "far": 0.0, "trailing": False, "partial": False, "mfe": 0.0, "mae": 0.0})
+                n_today += 1
+            elif slots == 1:
+                break
+            k += 1
+            if slots == 1:
+                break
+        while slots == 1 and k < len(waiting) and waiting[k]["bar"] < at[i]:
             k += 1
     for t in held:
         pnl = t["pnl"] + t["size"] * (t["x"]["direction"] * (close[-1] - t["x"]["price"]) - spread)
@@ -160,21 +162,14 @@ def relational(exits: DataFrame, keys: tuple[str, ...] = ("sym", "trial"), capit
 
     def taken(pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf.sort_values(["bar", "seq"], kind="stable").reset_index(drop=True)
-        bar, exit_bar, pick, k, free = x["bar"].to_numpy(), x["exit_bar"].to_numpy(), [], 0, -1
-        # a signal not consumed on its bar holds the pointer for one more bar
-        b = -1
-        while k < len(x):
-            b = max(b, int(bar[k]))
-            if b >= free and bar[k] == b:
-                pick.append(k)
-                free = int(exit_bar[k]) if int(exit_bar[k]) > b else b + 1
-                k += 1
-            elif bar[k] < b:
-                while k < len(x) and bar[k] < b:
-                    k += 1
-                b += 1
-                continue
-            b += 1
+        pick, free, blocked = [], -1, None
+        for bar, rows in x.groupby("bar", sort=True).indices.items():
+            take = bar >= free and blocked != bar - 1
+            if take:
+                pick.append(int(rows[0]))
+                free = int(x["exit_bar"].iloc[rows[0]])
+            if len(rows) > take:
+                blocked = bar  # what was not taken stands in the way of the next bar
         return x.iloc[pick]
 
     kept = exits.groupBy(*keys).applyInPandas(taken, exits.schema)

@@ -23,7 +23,7 @@ def read_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def read_trades(spark: SparkSession, path: str, fields: str) -> DataFrame:
     """Trades of files that hold a list, or an object with a list under 'trades'; one row a trade."""
     text = spark.read.text(path, wholetext=True)
-    lists = F.coalesce(F.from_json("value", f"array<struct<{fields}>>"), F.from_json("value", f"struct<trades: array<struct<{fields}>>>")["trades"])
+    lists = F.when(F.startswith(F.ltrim("value"), F.lit("[")), F.from_json("value", f"array<struct<{fields}>>")).otherwise(F.from_json("value", f"struct<trades: array<struct<{fields}>>>")["trades"])
     return text.select(F.explode(lists).alias("t")).select("t.*")
 
 
