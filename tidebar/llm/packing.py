@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, sliced, workdir
-from .tokens import WordEncoder, with_end
+from .tokens import encoder, with_end
 
 
 @dataclass
@@ -116,9 +116,9 @@ def _pieces(tokenizer: str, end_id: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, task, seen = WordEncoder(tokenizer), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        words, task, seen = encoder(tokenizer), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch, texts in sliced(batches, "text"):
-            ids, counts = with_end(*encoder.encode(texts), end_id)
+            ids, counts = with_end(*words.encode(texts), end_id)
             ids, rows = ids.astype("<u4"), []
             for doc, begin, n in zip(batch.column(0).to_pylist(), (np.cumsum(counts) - counts).tolist(), counts.tolist()):
                 for k, (start, length) in enumerate(cut(n, capacity)):

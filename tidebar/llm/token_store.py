@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, sliced
-from .tokens import WordEncoder, with_end
+from .tokens import encoder, with_end
 
 WINDOW = 16
 MIN_CHUNK, MAX_CHUNK = 64, 8192
@@ -80,10 +80,10 @@ def merkle_root(keys: list[bytes]) -> bytes:
 
 def _encode(tokenizer: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, seen = WordEncoder(tokenizer), set()
-        width = "<u2" if max(encoder.library.get_vocab_size(with_added_tokens=True), end_id + 1) <= 0x10000 else "<u4"
+        words, seen = encoder(tokenizer), set()
+        width = "<u2" if max(words.library.get_vocab_size(with_added_tokens=True), end_id + 1) <= 0x10000 else "<u4"
         for batch, texts in sliced(batches, "text"):
-            ids, counts = with_end(*encoder.encode(texts), end_id)
+            ids, counts = with_end(*words.encode(texts), end_id)
             cuts, upto = rolling_cuts(ids), np.cumsum(counts)
             rows: list[tuple] = []
             if len(seen) > SEEN:

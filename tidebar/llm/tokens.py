@@ -3,28 +3,29 @@
 A byte-pair tokenizer never joins symbols across the borders its pre-tokenizer draws. Where a
 text is cut at such borders, the ids of the parts, one after the other, are the ids of the text.
 So a task cuts texts into words, lets the library encode the words it has not met, and gathers
-the ids of whole texts from a table of words. When the table holds ``limit`` words, those used least
-are forgotten, so memory is bounded; results do not depend on it.
+the ids of whole texts from a table of words, in numpy. Words are told apart by 64-bit hashes:
+among the millions a task meets, two share one with a probability below 1e-6. When the table holds
+``limit`` words, those used least are forgotten; memory is bounded, and results don't depend on it.
 
 Two cuts are known to be exact, and others are refused:
 
 * pre-tokenizers that drop white space (kind ``drop``): cut at blanks and line feeds;
 * byte-level pre-tokenizers (kind ``byte``), whose words carry the blank before them: cut before
-  each blank that stands alone. Texts with runs of blanks are cut only where a single blank
-  stands between other characters.
+  a blank or line feed that stands alone between characters that surely are no white space.
 """
 
 from __future__ import annotations
 
 import json
-import re
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 
 from .common import quiet_tokenizers
+from .sketching import _BYTE, _STEP, _power_tables, mix
 
-_LONE_BLANK = re.compile(r"(?<=\S)(?= \S)")
+#: Marks that end many words; pre-tokenizers part letters from them.
 _MARKS = ".,#%&*$!|"
 _DROPPING = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -37,6 +38,11 @@ def _byte_alphabet() -> dict[int, str]:
 
 
 _ALPHABET = _byte_alphabet()
+#: ASCII bytes that may be white space to some library, and first bytes of characters of which some are.
+_BLANKISH = np.zeros(256, bool)
+_BLANKISH[: 0x21] = _BLANKISH[0x7F] = True
+_LEADS = np.zeros(256, bool)
+_LEADS[[0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 
 def _visible(word: str) -> str:
@@ -56,101 +62,125 @@ def cut_kind(spec: dict) -> str:
     raise ValueError(f"no exact cut is known for this pre-tokenizer: {pre}")
 
 
+def cut(texts: list[str], kind: str) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """All texts as bytes, the start and end of each word, and the number of words of each text."""
+    parts = [t.encode("utf-8", "surrogatepass") for t in texts]
+    raw = b"\n".join([*parts, b""])
+    data = np.frombuffer(raw, np.uint8)
+    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1)  # of each text with the \n behind it
+    if kind == "drop":
+        edge = np.flatnonzero(np.diff((data != 0x20) & (data != 0x0A), prepend=False, append=False))
+        start, end = edge[::2], edge[1::2]
+        return raw, start, end, np.diff(np.searchsorted(start, ends), prepend=0)
+    begins = np.concatenate([np.zeros(1, np.int64), ends[:-1]])[: len(parts)]
+    blank = np.flatnonzero((data == 0x20) | (data == 0x0A))
+    blank = blank[(blank > 0) & (blank < len(data) - 1)]
+    before, after = data[blank - 1], data[blank + 1]
+    lone = ~_BLANKISH[before] & ~_BLANKISH[after] & ~_LEADS[after]
+    late = before >= 0x80  # the last byte of a longer character: was its first byte a suspect?
+    lone[late] &= ~(_LEADS[data[np.maximum(blank[late] - 2, 0)]] | _LEADS[data[np.maximum(blank[late] - 3, 0)]])
+    start = blank[lone]
+    start = start[~np.isin(start + 1, ends)]
+    start = np.union1d(start, begins[ends - 1 > begins])
+    owner = np.searchsorted(ends, start, side="right")
+    end = np.append(start[1:], 0)
+    last = np.append(owner[1:] != owner[:-1], True) if len(start) else np.zeros(0, bool)
+    end = end[: len(start)]
+    end[last] = ends[owner[last]] - 1
+    return raw, start, end, np.bincount(owner, minlength=len(parts))
+
+
 class WordEncoder:
     """encode(texts) gives the ids of all texts in one flat array and the number of ids of each."""
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 1_500_000):
         quiet_tokenizers()
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             self.kind = cut_kind(json.load(f))
         self.library, self.limit = Tokenizer.from_file(path), limit
-        self._forget()
-
-    def _forget(self) -> None:
-        self.slot: dict[str, int] = {}
+        self.known = np.zeros(0, np.uint64)
         self.ids = np.zeros(0, np.uint32)
-        self.start = np.zeros(0, np.int64)
-        self.length = np.zeros(0, np.int64)
-        self.used = np.zeros(0, np.int64)
-
-    def _make_room(self) -> None:
-        """Keep the words that were used most, at most half of the limit, and forget the others."""
-        keep = np.argsort(-self.used, kind="stable")[: self.limit // 2]
-        keep = np.sort(keep[self.used[keep] > 1])
-        number = np.full(len(self.used), -1, np.int64)
-        number[keep] = np.arange(len(keep))
-        number = number.tolist()
-        self.slot = {w: n for w, s in self.slot.items() if (n := number[s]) >= 0}
-        length = self.length[keep]
-        ends = np.cumsum(length)
-        self.ids = self.ids[np.arange(int(length.sum())) + np.repeat(self.start[keep] - (ends - length), length)]
-        self.start, self.length, self.used = ends - length, length, self.used[keep] // 2
-
-    def words(self, text: str) -> list[str]:
-        if self.kind == "drop":
-            return text.replace("\n", " ").split(" ")
-        if "  " in text:
-            return _LONE_BLANK.split(text)
-        first, *rest = text.split(" ")
-        return [first, *map(" ".__add__, rest)]
-
-    def _learn(self, words: list[str]) -> None:
-        """Words of letters and end marks take the ids of the two, as pre-tokenizers part letters from marks."""
-        bare = [w.rstrip(_MARKS) for w in words]
-        split = [(w, b) for w, b in zip(words, bare) if b != w and b[-1:].isalpha()]
-        if self.kind == "drop":  # and the lower-cased word stands for one of plain letters
-            split = [(w, b.lower() if b.isascii() else b) for w, b in split] + [(w, w.lower()) for w, b in zip(words, bare) if w == b and w.isascii() and w.isalpha() and not w.islower()]
-        whole = set(words).difference(w for w, _ in split)
-        self._encode_new(list(whole.union(b for _, b in split).union(w[len(b) :] for w, b in split).difference(self.slot)))
-        if not split:
-            return
-        self.used = np.append(self.used, np.zeros(len(self.start) - len(self.used), np.int64))
-        halves = np.array([(self.slot[b], self.slot[w[len(b) :]]) for w, b in split], np.int64).ravel()
-        self.used += np.bincount(halves, minlength=len(self.used))
-        length = self.length[halves]
+        self.start, self.length, self.used = (np.zeros(0, np.int64) for _ in range(3))
+        self.stems: dict[str, list[int]] = {}
+
+    def _keep(self, rows: np.ndarray) -> None:
+        length = self.length[rows]
         ends = np.cumsum(length)
-        ids = self.ids[np.arange(int(ends[-1])) + np.repeat(self.start[halves] - (ends - length), length)]
-        self.slot.update(zip((w for w, _ in split), range(len(self.start), len(self.start) + len(split))))
-        self.start = np.concatenate([self.start, len(self.ids) + (ends - length)[::2]])
-        self.length = np.concatenate([self.length, length.reshape(-1, 2).sum(axis=1)])
-        self.ids = np.concatenate([self.ids, ids])
-
-    def _encode_new(self, words: list[str]) -> None:
-        for i in range(0, len(words), 20_000):
-            part = words[i : i + 20_000]
-            found = self._library_ids(part)
-            length = np.fromiter(map(len, found), np.int64, len(found))
-            self.slot.update(zip(part, range(len(self.start), len(self.start) + len(part))))
-            self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(length) - length])
-            self.length = np.concatenate([self.length, length])
-            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint32, int(length.sum()))])
-
-    def _library_ids(self, words: list[str]) -> list[list[int]]:
-        """Ids by the library: its model alone for Latin-1 letters, which its other steps leave as one pre-token, else all its steps."""
-        plain = [w.lstrip(" ").isalpha() and w[:2] != "  " and max(w) < "\u0100" for w in words]
-        model, lower = self.library.model, self.kind == "drop"
-        rest = iter(self.library.encode_batch_fast([w for w, p in zip(words, plain) if not p], add_special_tokens=False))
-        return [[x.id for x in model.tokenize(_visible(w.lower() if lower else w))] if p else next(rest).ids for w, p in zip(words, plain)]
+        self.ids = self.ids[np.arange(int(length.sum())) + np.repeat(self.start[rows] - (ends - length), length)]
+        self.known, self.start, self.length, self.used = self.known[rows], ends - length, length, self.used[rows] // 2
+
+    def _encoded(self, words: list[str]) -> list[list[int]]:
+        """Ids of words. A word of letters and end marks takes the ids of its letters, then of its marks."""
+        if len(self.stems) > self.limit // 6:
+            self.stems.clear()
+        lower = self.kind == "drop"
+        split = []
+        for w in words:
+            b = w.rstrip(_MARKS)
+            if not b[-1:].isalpha():
+                b = w
+            split.append((b.lower() if lower and b.isascii() and b.isalpha() else b, w[len(b) :]))
+        new = list({p for s in split for p in s}.difference(self.stems))
+        plain = [w.lstrip(" \n").isalpha() and not (w[:1] == "\n" or w[1:2] in (" ", "\n")) and max(w) < "Ā" for w in new]
+        rest = iter(self.library.encode_batch_fast([w for w, p in zip(new, plain) if not p], add_special_tokens=False))
+        # the model alone for Latin-1 letters, which the library's other steps leave as one pre-token
+        tokenize = self.library.model.tokenize
+        for w, p in zip(new, plain):
+            self.stems[w] = [x.id for x in tokenize(_visible(w.lower() if lower else w))] if p else next(rest).ids
+        return [self.stems[a] + self.stems[b] for a, b in split]
+
+    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        found = self._encoded(words)
+        length = np.fromiter(map(len, found), np.int64, len(found))
+        known = np.concatenate([self.known, hashes])
+        by = np.argsort(known)
+        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(length) - length])[by]
+        self.length = np.concatenate([self.length, length])[by]
+        self.used = np.concatenate([self.used, np.zeros(len(found), np.int64)])[by]
+        self.known = known[by]
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint32, int(length.sum()))])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        cut = list(map(self.words, texts))
-        n_words = np.fromiter(map(len, cut), np.int64, len(cut))
-        words = list(chain.from_iterable(cut))
-        del cut
-        new = set(words).difference(self.slot)
-        if new and len(self.slot) + len(new) > self.limit:
-            self._make_room()
-            new = set(words).difference(self.slot)
-        self._learn(list(new))
-        slots = np.fromiter(map(self.slot.__getitem__, words), np.int64, len(words))
-        self.used = np.append(self.used, np.zeros(len(self.start) - len(self.used), np.int64)) + np.bincount(slots, minlength=len(self.start))
+        raw, start, end, n_words = cut(texts, self.kind)
+        data = np.frombuffer(raw, np.uint8)
+        power, inverse = _power_tables(len(data))
+        upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * power[: len(data)], dtype=np.uint64)])
+        h = mix((upto[end] - upto[start]) * inverse[start] + (end - start).astype(np.uint64) * _STEP)
+        by = np.argsort(h)
+        fresh = np.ones(len(h), bool)
+        fresh[1:] = h[by[1:]] != h[by[:-1]]
+        first, back = by[fresh], np.empty(len(h), np.int64)
+        distinct = h[first]
+        back[by] = np.cumsum(fresh) - 1
+        at = np.searchsorted(self.known, distinct)
+        new = np.ones(len(distinct), bool)
+        if len(self.known):
+            new = self.known[np.minimum(at, len(self.known) - 1)] != distinct
+        if new.any():
+            if len(self.known) + int(new.sum()) > self.limit:
+                needed = np.zeros(len(self.known), bool)
+                needed[at[~new]] = True
+                score = np.where(needed, np.iinfo(np.int64).max, self.used)
+                keep = np.argsort(-score, kind="stable")[: max(self.limit // 2, int(needed.sum()))]
+                self._keep(np.sort(keep[score[keep] > 1]))
+            a, b = start[first[new]].tolist(), end[first[new]].tolist()
+            self._learn(distinct[new], [raw[i:j].decode("utf-8", "surrogatepass") for i, j in zip(a, b)])
+        at = np.searchsorted(self.known, distinct)
+        self.used[at] += np.bincount(back, minlength=len(distinct))
+        slots = at[back]
         length = self.length[slots]
         ends = np.cumsum(length)
         ids = self.ids[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.start[slots] - (ends - length), length)]
-        upto = np.concatenate([[0], ends])[np.cumsum(n_words)] if len(texts) else np.zeros(0, np.int64)
-        return ids, np.diff(upto, prepend=0)
+        upto_text = np.concatenate([[0], ends])[np.cumsum(n_words)] if len(texts) else np.zeros(0, np.int64)
+        return ids, np.diff(upto_text, prepend=0)
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> WordEncoder:
+    """The encoder of this Python worker; its table of words serves all tasks the worker runs."""
+    return WordEncoder(path)
 
 
 def with_end(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
