@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import live, market, research, trading  # noqa: F401  each registers its queries
+from . import live, market, more, research, trading  # noqa: F401  each registers its queries
 from .registry import ORACLES, QUERIES  # noqa: F401
 
 FLAGSHIP = "g05_donchian_signals"
