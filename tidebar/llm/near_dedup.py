@@ -150,7 +150,7 @@ def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = (85, 100), id
     dealt = placed.select("bucket", "node", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.select("node", "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     # the texts of candidates, by a merge join at every size: the ids grow with the corpus
-    texts = whole.join(inside.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    texts = whole.join(inside.select(F.col("node").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi")
     texts = materialize(texts.select(F.col("doc_id").alias("node"), "text"), f"{folder}/texts")
     links = dealt.join(texts, "node").groupBy("bucket", "i", "j").applyInArrow(_verified(similarity), "a long, b long")
     # the sets of rows that share an id are linked, as they are one document's
