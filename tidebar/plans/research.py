@@ -137,9 +137,9 @@ def _hash(kind: str) -> str:
     return f"('0x' || substr(md5(concat_ws('-', '{kind}', iter, grp, n)), 1, 8))::ubigint::bigint"
 
 
-@query("v07_shuffle", f"{_SMP}, x as (select grp, iter, n, pnl, {_hash('s42')} draw from t, it), e as (select *, 3000 + sum(pnl) over (partition by grp, iter order by draw, n rows unbounded preceding) eq from x), p as (select *, greatest(3000, max(eq) over (partition by grp, iter order by draw, n rows unbounded preceding)) pk from e) select grp, iter::int iter, round(sum(pnl) * 100 / 3000, 2) ret, round(max((pk - eq) * 100 / pk), 3) max_dd from p group by 1, 2")
+@query("v07_shuffle", f"{_SMP}, x as (select grp, iter, n, pnl, {_hash('s42')} draw from t, it), e as (select *, 3000 + sum(pnl) over (partition by grp, iter order by draw, n rows unbounded preceding) eq from x), p as (select *, greatest(3000, max(eq) over (partition by grp, iter order by draw, n rows unbounded preceding)) pk from e) select grp, iter::int iter, round(sum(pnl) * 100 / 3000, 4) ret, round(max((pk - eq) * 100 / pk), 3) max_dd from p group by 1, 2")
 def shuffle(spark, d):
-    return V.shuffled(_sample(spark, d), 20, 3000.0).select("grp", "iter", F.round("ret", 2).alias("ret"), F.round("max_dd", 3).alias("max_dd"))
+    return V.shuffled(_sample(spark, d), 20, 3000.0).select("grp", "iter", F.round("ret", 4).alias("ret"), F.round("max_dd", 3).alias("max_dd"))
 
 
 _BOOT = f"{_SMP}, x as (select t.grp, iter, {_hash('b12345')} % z pick from t join (select grp g, count(*) z from t group by 1) on g = grp, it), y as (select x.grp, iter, pnl from x join t on t.grp = x.grp and t.n = pick), b as (select grp, iter, avg(pnl) m, stddev_samp(pnl) s, count(*) c, count(*) filter (pnl > 0) * 100 / count(*) wr, sum(case when pnl > 0 then pnl else 0 end) w, sum(case when pnl <= 0 then -pnl else 0 end) l from y group by 1, 2), bs as (select grp, iter, case when s > 0 then m / s * sqrt(c) else 0 end sharpe, wr win_rate, case when l > 0.01 then w / l else 100 end pf from b)"
