@@ -377,3 +377,13 @@ def test_pii_is_a_permutation(spark):
 
 def test_items_digest():
     assert decontamination.items_digest(["10", "9"]) == hashlib.sha256(b"10,9").hexdigest()
+
+
+def test_connected_chains(spark, tmp_path):
+    rng = random.Random(6)
+    order = list(range(300))
+    rng.shuffle(order)
+    links = [*zip(order[:200], order[1:200]), *((order[200], i) for i in order[201:290])]
+    got = {r.node: r.component for r in near_dedup.connected(spark.createDataFrame(links, "a long, b long"), str(tmp_path)).collect()}
+    want = {i: min(order[:200]) for i in order[:200]} | {i: min(order[200:290]) for i in order[200:290]}
+    assert got == want

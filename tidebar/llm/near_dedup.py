@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -38,17 +39,17 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         value, doc = shingle_sets(texts)
         table = sketches(value, doc, len(texts), ROWS * BANDS).reshape(len(texts), BANDS, ROWS)
         bounds = np.searchsorted(doc, np.arange(len(texts) + 1))
-        count = np.diff(bounds)
+        size = np.diff(bounds)
         bands = []
         digests = []
-        for i, n in enumerate(count.tolist()):
+        for i, n in enumerate(size.tolist()):
             if not n:
                 bands.append(None)
                 digests.append(None)
                 continue
             digests.append(hashlib.blake2b(value[bounds[i] : bounds[i + 1]].tobytes(), digest_size=16).digest())
             bands.append([int.from_bytes(hashlib.blake2b(bytes([j]) + table[i, j].tobytes(), digest_size=8).digest(), "little", signed=True) for j in range(BANDS)])
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "digest", "bands"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "digest", "bands"])
 
 
 def _verified(threshold: tuple[int, int]):
@@ -111,18 +112,16 @@ def connected(links: DataFrame, folder: str) -> DataFrame:
     label of that label; rounds end when no label changes. Tables of each round stand in the
     shared folder, two at a time matter, and hubs are pre-aggregated before they are shuffled.
     """
-    spark = links.sparkSession
     edges = materialize(links.union(links.select("b", "a")).distinct(), f"{folder}/edges")
     labels = materialize(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")), f"{folder}/labels-0")
-    for k in range(1, 200):
+    for k in count(1):
         near = edges.join(labels, edges["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("near"))
         step = labels.join(near, labels["node"] == near["a"], "left").select("node", F.col("component").alias("old"), F.least("component", "near").alias("new"))
         up = labels.select(F.col("node").alias("new"), F.col("component").alias("up"))
         moved = materialize(step.join(up, "new", "left").select("node", "old", F.least("new", F.coalesce("up", "new")).alias("component")), f"{folder}/labels-{k}")
         labels = moved.select("node", "component")
         if moved.filter("old <> component").isEmpty():
-            break
-    return spark.read.parquet(f"{folder}/labels-{k}").select("node", "component")
+            return labels
 
 
 def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = (85, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
