@@ -24,7 +24,7 @@ from .common import sliced
 from .sketching import mix
 
 #: Labelled rows of each class that a model is fitted on, at most; a sample by hash of the id.
-SAMPLE = 2500
+SAMPLE = 2000
 BUCKETS, DIM = 1 << 17, 4
 SHORTEST, LONGEST = 3, 5
 #: The average of many subwords is small; this brings it to the scale of a logit.
@@ -143,13 +143,16 @@ def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray, rounds: int = 7
     owner, bucket = np.concatenate(owners), np.concatenate(buckets)
     per_word = np.bincount(owner, minlength=len(vocabulary))
     row, column, count = np.concatenate(rows), np.concatenate(columns), np.concatenate(counts)
+    n_words, n_texts = len(vocabulary), len(texts)
+    del owners, buckets, rows, columns, counts, vocabulary
     size = np.maximum(np.bincount(row, count * per_word[column], len(texts)), 1)
     # a word of one text only tells that text apart; it counts in the average, and trains nothing
-    common = np.bincount(column, minlength=len(vocabulary)) > 1
+    common = np.bincount(column, minlength=n_words) > 1
     entry, bag = common[column], common[owner]
     row, column, share = row[entry], column[entry], (count / size[row] * SCALE)[entry]
     used, bucket = np.unique(bucket[bag], return_inverse=True)
-    owner, n_words, n_texts = owner[bag], len(vocabulary), len(texts)
+    owner = owner[bag]
+    del entry, bag, common, count, size, per_word
     rng = np.random.default_rng(seed)
     params = [rng.normal(0, 0.01, (DIM, len(used))), rng.normal(0, 1, (2, DIM)), np.zeros((2, 1))]
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in params]
