@@ -19,6 +19,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize, workdir
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -76,7 +78,9 @@ def judge(pages: DataFrame, rules: list[Rule], threshold: float = 0.5, id_col: s
     urls = urls.withColumn("raw", F.expr("transform(filter(split(path, '/'), s -> s <> ''), s -> if(s rlike '[0-9]', concat('*', regexp_extract(s, '[.][A-Za-z]+$', 0)), s))"))
     blocked = F.sum(F.when(F.col("hit.verdict") == "block", 1).otherwise(0))
     raw = urls.groupBy("host", "raw").agg(F.count("*").alias("n"), F.count("hit").alias("labelled"), blocked.alias("blocked"))
-    tree = raw.withColumn("template", F.col("raw"))
+    # counts by host and template are written, as many plans below start from them
+    folder = workdir(pages.sparkSession)
+    tree = materialize(raw.withColumn("template", F.col("raw")), f"{folder}/raw")
     for level in range(LEVELS):
         prefix = F.slice("template", 1, level)
         here = F.try_element_at("template", F.lit(level + 1))
@@ -84,12 +88,12 @@ def judge(pages: DataFrame, rules: list[Rule], threshold: float = 0.5, id_col: s
         wide = split.filter((F.col("kinds") > MANY) & (F.col("seen") < SELDOM * F.col("kinds"))).select(F.col("host").alias("h"), "prefix", F.lit(True).alias("wide"))
         joined = tree.join(wide, (tree["host"] == F.col("h")) & (prefix == F.col("prefix")), "left")
         general = F.expr(f"transform(template, (s, i) -> if(i = {level} and not startswith(s, '*'), '*', s))")
-        tree = joined.withColumn("template", F.when(F.col("wide"), general).otherwise(F.col("template"))).drop("h", "prefix", "wide")
+        tree = materialize(joined.withColumn("template", F.when(F.col("wide"), general).otherwise(F.col("template"))).drop("h", "prefix", "wide"), f"{folder}/level-{level}")
     text = lambda a: F.concat(F.lit("/"), F.array_join(a, "/"))
     shape = F.transform("template", lambda s: F.when(F.startswith(s, F.lit("*")), s).otherwise("*"))
     tree = tree.select("host", "raw", "labelled", "blocked", text("template").alias("own"), text(shape).alias("shape"))
     sums = [F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked")]
-    branch = tree.groupBy("host", "own", "shape").agg(*sums)
+    branch = materialize(tree.groupBy("host", "own", "shape").agg(*sums), f"{folder}/branch")
     shapes = branch.groupBy("host", "shape").agg(F.sum("labelled").alias("all_labelled"), F.sum("blocked").alias("all_blocked"), F.count("*").alias("branches"))
     share = F.try_divide("all_blocked", "all_labelled")
     # far apart: the branch's share lies over 1.96 standard errors from the shape's
