@@ -123,14 +123,17 @@ def window_stats(spark, d):
 
 # --- resampling ---
 
+#: Orders, draws and sign flips of a group, as the reference has them.
+ITERATIONS = 1000
+
 
 def _sample(spark, d):
-    """The trades of each instance's first 40, numbered from 0."""
+    """The trades of every instance, numbered from 0."""
     w = Window.partitionBy("instance").orderBy("exit_time", "trade_id", "leg")
-    return S.ledger(spark, d).filter("instance <= 5").withColumn("n", (F.row_number().over(w) - 1)).select(F.col("instance").alias("grp"), "n", "pnl")
+    return S.ledger(spark, d).withColumn("n", (F.row_number().over(w) - 1)).select(F.col("instance").alias("grp"), "n", "pnl")
 
 
-_SMP = f"{_L}, t as (select instance grp, row_number() over (partition by instance order by exit_time, trade_id, leg) - 1 n, pnl from ledger where instance <= 5), it as (select range iter from range(20))"
+_SMP = f"{_L}, t as (select instance grp, row_number() over (partition by instance order by exit_time, trade_id, leg) - 1 n, pnl from ledger), it as (select range iter from range({ITERATIONS}))"
 
 
 def _hash(kind: str) -> str:
@@ -139,7 +142,7 @@ def _hash(kind: str) -> str:
 
 @query("v07_shuffle", f"{_SMP}, x as (select grp, iter, n, pnl, {_hash('s42')} draw from t, it), e as (select *, 3000 + sum(pnl) over (partition by grp, iter order by draw, n rows unbounded preceding) eq from x), p as (select *, greatest(3000, max(eq) over (partition by grp, iter order by draw, n rows unbounded preceding)) pk from e) select grp, iter::int iter, round(sum(pnl) * 100 / 3000, 4) ret, round(max((pk - eq) * 100 / pk), 3) max_dd from p group by 1, 2")
 def shuffle(spark, d):
-    return V.shuffled(_sample(spark, d), 20, 3000.0).select("grp", "iter", F.round("ret", 4).alias("ret"), F.round("max_dd", 3).alias("max_dd"))
+    return V.shuffled(_sample(spark, d), ITERATIONS, 3000.0).select("grp", "iter", F.round("ret", 4).alias("ret"), F.round("max_dd", 3).alias("max_dd"))
 
 
 _BOOT = f"{_SMP}, x as (select t.grp, iter, {_hash('b12345')} % z pick from t join (select grp g, count(*) z from t group by 1) on g = grp, it), y as (select x.grp, iter, pnl from x join t on t.grp = x.grp and t.n = pick), b as (select grp, iter, avg(pnl) m, stddev_samp(pnl) s, count(*) c, count(*) filter (pnl > 0) * 100 / count(*) wr, sum(case when pnl > 0 then pnl else 0 end) w, sum(case when pnl <= 0 then -pnl else 0 end) l from y group by 1, 2), bs as (select grp, iter, case when s > 0 then m / s * sqrt(c) else 0 end sharpe, wr win_rate, case when l > 0.01 then w / l else 100 end pf from b)"
@@ -147,24 +150,24 @@ _BOOT = f"{_SMP}, x as (select t.grp, iter, {_hash('b12345')} % z pick from t jo
 
 @query("v08_bootstrap", f"{_BOOT} select grp, iter::int iter, round(sharpe, 5) sharpe, round(win_rate, 5) win_rate, round(pf, 5) profit_factor from bs")
 def bootstrap(spark, d):
-    return V.bootstrapped(_sample(spark, d), 20).select("grp", "iter", *[F.round(c, 5).alias(c) for c in ("sharpe", "win_rate", "profit_factor")])
+    return V.bootstrapped(_sample(spark, d), ITERATIONS).select("grp", "iter", *[F.round(c, 5).alias(c) for c in ("sharpe", "win_rate", "profit_factor")])
 
 
 @query("v09_permutation", f"{_SMP}, x as (select grp, iter, case when {_hash('p54321')} % 2 = 0 then pnl else -pnl end f from t, it), s as (select grp, iter, avg(f) / stddev_samp(f) sc from x group by 1, 2), o as (select grp, avg(pnl) / stddev_samp(pnl) own from t group by 1) select s.grp, round(avg((sc >= own)::int::double), 6) p_value from s join o on s.grp = o.grp group by 1")
 def permutation(spark, d):
-    return V.permutation(_sample(spark, d), 20).select("grp", F.round("p_value", 6).alias("p_value"))
+    return V.permutation(_sample(spark, d), ITERATIONS).select("grp", F.round("p_value", 6).alias("p_value"))
 
 
-@query("v10_group_shuffle", f"{_L}, g as (select instance grp, trade_id, min(exit_time) et, sum(pnl) pnl from ledger where instance <= 5 group by 1, 2), t as (select grp, row_number() over (partition by grp order by et, trade_id) - 1 n, pnl from g), it as (select range iter from range(10)), x as (select grp, iter, n, pnl, {_hash('s42')} draw from t, it), e as (select *, 3000 + sum(pnl) over (partition by grp, iter order by draw, n rows unbounded preceding) eq from x), p as (select *, greatest(3000, max(eq) over (partition by grp, iter order by draw, n rows unbounded preceding)) pk from e) select grp, iter::int iter, round(max((pk - eq) * 100 / pk), 3) max_dd from p group by 1, 2")
+@query("v10_group_shuffle", f"{_L}, g as (select instance grp, trade_id, min(exit_time) et, sum(pnl) pnl from ledger group by 1, 2), t as (select grp, row_number() over (partition by grp order by et, trade_id) - 1 n, pnl from g), it as (select range iter from range({ITERATIONS})), x as (select grp, iter, n, pnl, {_hash('s42')} draw from t, it), e as (select *, 3000 + sum(pnl) over (partition by grp, iter order by draw, n rows unbounded preceding) eq from x), p as (select *, greatest(3000, max(eq) over (partition by grp, iter order by draw, n rows unbounded preceding)) pk from e) select grp, iter::int iter, round(max((pk - eq) * 100 / pk), 3) max_dd from p group by 1, 2")
 def group_shuffle(spark, d):
-    g = S.ledger(spark, d).filter("instance <= 5").groupBy(F.col("instance").alias("grp"), "trade_id").agg(F.min("exit_time").alias("et"), F.sum("pnl").alias("pnl"))
+    g = S.ledger(spark, d).groupBy(F.col("instance").alias("grp"), "trade_id").agg(F.min("exit_time").alias("et"), F.sum("pnl").alias("pnl"))
     t = g.withColumn("n", F.row_number().over(Window.partitionBy("grp").orderBy("et", "trade_id")) - 1).select("grp", "n", "pnl")
-    return V.shuffled(t, 10, 3000.0).select("grp", "iter", F.round("max_dd", 3).alias("max_dd"))
+    return V.shuffled(t, ITERATIONS, 3000.0).select("grp", "iter", F.round("max_dd", 3).alias("max_dd"))
 
 
 @query("v11_distribution", f"{_BOOT}, p as (select grp, quantile_cont(sharpe, 0.05) p5, quantile_cont(sharpe, 0.5) p50, quantile_cont(sharpe, 0.95) p95, avg((sharpe > 0)::int::double) above0 from bs group by 1), s as (select bs.grp, avg(sharpe) sf from bs join p on p.grp = bs.grp where sharpe <= p5 group by 1) select p.grp, round(p5, 5) p5, round(p50, 5) p50, round(p95, 5) p95, round(sf, 5) shortfall, round(above0, 5) above0 from p join s on s.grp = p.grp")
 def distribution(spark, d):
-    x = V.distribution(V.bootstrapped(_sample(spark, d), 20), "sharpe", ["grp"])
+    x = V.distribution(V.bootstrapped(_sample(spark, d), ITERATIONS), "sharpe", ["grp"])
     return x.select("grp", *[F.round(c, 5).alias(c) for c in ("p5", "p50", "p95", "shortfall", "above0")])
 
 
