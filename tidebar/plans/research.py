@@ -254,10 +254,11 @@ def grid_search(spark, d):
     """Every possible trial of the space over all instruments, simulated at once and summed up by trial."""
     bars = S.bars_h1(spark, d)
     ranged = bars.withColumn("atr", F.avg(F.col("high") - F.col("low")).over(I.frame(20))).select("sym", "bar", "atr")
-    trials = P.possible(V.grid(spark, SPACE)).filter("trail_start = 10")
+    trials = P.possible(V.grid(spark, SPACE))
     s = G.donchian_variants(bars, SPACE["channel_period"]).join(ranged, ["sym", "bar"]).join(F.broadcast(trials), "channel_period").filter("atr > 0")  # the stated space is small
     sl, tp = P.prices(F.col("direction"), F.col("price"), F.col("atr") * F.col("sl_atr_mult") * 0.2, F.col("atr") * F.col("sl_atr_mult") * F.col("tp_rr_ratio") * 0.2, F.lit(1.0))
-    o = s.select("sym", F.col("trial").cast("int").alias("trial"), "bar", F.lit(0).alias("seq"), "direction", "price", sl.alias("sl"), tp.alias("tp"), "atr")
+    pip = F.col("atr") * 0.2 / 35  # trailing is in pips, of which an average range has 35, and scaled like the stops
+    o = s.select("sym", F.col("trial").cast("int").alias("trial"), "bar", F.lit(0).alias("seq"), "direction", "price", sl.alias("sl"), tp.alias("tp"), "atr", *[(F.col(c) * pip).alias(c) for c in ("trail_start", "trail_step")])
     t = X.simulate(P.management_defaults(o), bars)
     m = M.summary(t, ["trial"], ["exit_bar", "sym", "bar"], 3000.0, 700, 252 * 22)
     return m.select("trial", "trades", F.round("win_rate", 4).alias("win_rate"), F.round("profit_factor", 4).alias("profit_factor"), F.round("quality", 6).alias("quality"))
