@@ -219,6 +219,18 @@ def test_near_duplicates(spark, docs, empty, texts, block, monkeypatch):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, (_, c) in want.items() if i == c} | {None}
 
 
+@pytest.mark.parametrize("order", [1, -1])
+def test_near_duplicates_of_texts_that_share_an_id(spark, order):
+    rng = random.Random(5)
+    base = [words(rng, 200) for _ in range(3)]
+    close = [t + f" tail{i}" for i, t in enumerate(base)]
+    # three texts of id 1, each with a near copy under an id of its own; 9 has nothing near
+    rows = [(1, t) for t in base] + [(10 + i, t) for i, t in enumerate(close)] + [(1, base[0]), (9, words(rng, 200))]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows[::order], "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(1, 1), (10, 1), (11, 1), (12, 1), (9, 9)}
+    assert len(got) == len(rows) and all(r.kept == (r.doc_id in (1, 9)) for r in got)
+
+
 def test_sketch_agreement():
     from tidebar.llm.sketching import sketches
 

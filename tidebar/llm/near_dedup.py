@@ -1,7 +1,8 @@
 """Near-duplicate classes: fast similarity sketches, banding, exact verification of every bucket.
 
 1. A task makes a document's shingle set, its 128-bit digest and its sketch. Documents of equal
-   digest are exact copies: only the least id of each digest goes on, so groups of copies cost one.
+   digest are exact copies: each digest goes on once, so groups of copies cost one. Digests stand
+   for texts up to the links; only those are named by ids, as one id may have several texts.
 2. The sketch is cut into bands; sets that agree in a band share a bucket. With 24 bands of 4
    bins, a pair at a similarity of 0.85 shares none with a probability of 2e-8, at 0.8 of 3e-6.
    Buckets with the same members are kept once.
@@ -31,7 +32,7 @@ ROWS, BANDS = 4, 24
 #: Members and shingles of a bucket that one block holds, on average, at most.
 BLOCK, BLOCK_SHINGLES = 1024, 1_000_000
 
-_SKETCH = "doc_id long, n_shingles long, digest binary, bands array<long>"
+_SKETCH = "doc_id long, key long, n_shingles long, digest binary, bands array<long>"
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -49,7 +50,7 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             digests.append(hashlib.blake2b(value[bounds[i] : bounds[i + 1]].tobytes(), digest_size=16).digest())
             bands.append([int.from_bytes(hashlib.blake2b(bytes([j]) + table[i, j].tobytes(), digest_size=8).digest(), "little", signed=True) for j in range(BANDS)])
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "digest", "bands"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "key", "n_shingles", "digest", "bands"])
 
 
 def _verified(threshold: tuple[int, int]):
@@ -57,10 +58,9 @@ def _verified(threshold: tuple[int, int]):
     num, den = threshold
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        node = np.array(table.column("node").to_pylist(), np.int64)
-        _, first = np.unique(node, return_index=True)  # a document that two blocks have in common stands once
-        texts = [table.column("text")[int(i)].as_py() or "" for i in first]
-        node = node[first]
+        first = {d: i for i, d in enumerate(table.column("digest").to_pylist())}  # a text that two blocks have in common stands once
+        node = sorted(first)
+        texts = [table.column("text")[first[d]].as_py() or "" for d in node]
         parent = list(range(len(node)))
 
         def root(i: int) -> int:
@@ -84,9 +84,9 @@ def _verified(threshold: tuple[int, int]):
                     a, b = root(i), root(j)
                     if a != b and both[j] > 0:
                         parent[max(a, b)] = min(a, b)
-                        links.append((int(node[i]), int(node[j])))
+                        links.append((node[i], node[j]))
         a, b = zip(*links) if links else ((), ())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
     return run
 
@@ -135,23 +135,26 @@ def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = (85, 100), id
     Other columns are not read; an empty table gives no rows.
     """
     spark, folder = docs.sparkSession, workdir(docs.sparkSession)
-    whole = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
+    whole = docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(docs[text_col]).alias("key"), docs[text_col].alias("text"))
     rows = materialize(whole.mapInArrow(_sketched, _SKETCH), f"{folder}/sketches")
     named = rows.filter("doc_id is not null and digest is not null")
-    same = named.groupBy("digest").agg(F.min("doc_id").alias("node"), F.min_by("bands", "doc_id").alias("bands"), F.max("n_shingles").alias("n"))
-    entries = materialize(same.select("node", "n", F.explode("bands").alias("bucket")), f"{folder}/entries")
-    digest = F.xxhash64("node")
-    buckets = entries.groupBy("bucket").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"), F.min("node").alias("least"), F.bit_xor(digest).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(7))).alias("y")).filter("members > 1")
+    same = named.groupBy("digest").agg(F.min(F.struct("doc_id", "key")).alias("first"), F.min_by("bands", "doc_id").alias("bands"), F.max("n_shingles").alias("n"))
+    same = same.select("digest", F.col("first.doc_id").alias("node"), F.col("first.key").alias("key"), "bands", "n")
+    entries = materialize(same.select("digest", "n", F.explode("bands").alias("bucket")), f"{folder}/entries")
+    buckets = entries.groupBy("bucket").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"), F.min("digest").alias("least"), F.bit_xor(F.xxhash64("digest")).alias("x"), F.bit_xor(F.xxhash64("digest", F.lit(7))).alias("y")).filter("members > 1")
     kept = buckets.groupBy("members", "least", "x", "y").agg(F.min("bucket").alias("bucket"), F.max("shingles").alias("shingles")).select("bucket", F.ceil(F.greatest(F.col("members") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    inside = materialize(entries.join(kept, "bucket").select("bucket", "node", "blocks"), f"{folder}/inside")
+    inside = materialize(entries.join(kept, "bucket").select("bucket", "digest", "blocks"), f"{folder}/inside")
     # blocks of a bucket, and the pairs of blocks in which a member of a block has to stand
-    placed = inside.withColumn("block", F.pmod(F.xxhash64("node", F.lit(11)), F.col("blocks")).cast("int"))
-    dealt = placed.select("bucket", "node", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("node", "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    # the texts of candidates, by a merge join at every size: the ids grow with the corpus
-    texts = whole.join(inside.select(F.col("node").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi")
-    texts = materialize(texts.select(F.col("doc_id").alias("node"), "text"), f"{folder}/texts")
-    links = dealt.join(texts, "node").groupBy("bucket", "i", "j").applyInArrow(_verified(similarity), "a long, b long")
+    placed = inside.withColumn("block", F.pmod(F.xxhash64("digest", F.lit(11)), F.col("blocks")).cast("int"))
+    dealt = placed.select("bucket", "digest", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("digest", "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    # the texts of candidates, by a merge join at every size: the ids grow with the corpus; the key tells texts of one id apart
+    wanted = same.join(inside.select("digest").distinct(), "digest", "left_semi").select("digest", F.col("node").alias("doc_id"), "key")
+    texts = materialize(whole.join(wanted.hint("merge"), ["doc_id", "key"]).select("digest", "text"), f"{folder}/texts")
+    near = dealt.join(texts, "digest").groupBy("bucket", "i", "j").applyInArrow(_verified(similarity), "a binary, b binary")
+    near = materialize(near, f"{folder}/near")
+    name = lambda c, to: same.select(F.col("digest").alias(c), F.col("node").alias(to))
+    links = near.join(name("a", "na"), "a").join(name("b", "nb"), "b").filter("na <> nb").select(F.col("na").alias("a"), F.col("nb").alias("b"))
     # the sets of rows that share an id are linked, as they are one document's
     copies = named.join(same.select("digest", "node"), "digest").select("doc_id", "node")
     several = copies.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("last")).filter("a <> last")
