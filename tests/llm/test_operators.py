@@ -283,6 +283,17 @@ def test_url_filter(spark, data):
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string"), queries.URL_RULES).count() == 0
 
 
+def test_url_filter_generalises_deep_slugs(spark):
+    slugs = [f"{a}{b}-page" for a in "qrst" for b in "abcdefghij"]
+    rows = [(i, f"http://x.com/en/a/b/c/{s}") for i, s in enumerate(slugs)] + [(100 + i, "http://y.com/z") for i in range(30)]
+    rules = [url_filter.Rule.of("block", "x.com/en/a/b/c/q"), url_filter.Rule.of("allow", "y.com")]
+    got = [r for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string"), rules).collect() if r.host == "x.com"]
+    # 10 of 40 labelled urls are blocked, and all 10 labelled slugs
+    wide = (10 + 5 * 0.25) / 15
+    assert len(got) == 40 and {(r.template, r.verdict) for r in got} == {("/en/a/b/c/*", "block")}
+    assert [r.purity for r in got] == pytest.approx([(10 + 5 * wide) / 15] * 40, abs=1e-6)
+
+
 @pytest.fixture(scope="module")
 def extractor():
     return html_extraction.fit()

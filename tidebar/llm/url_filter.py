@@ -1,8 +1,8 @@
 """URL filtering: explicit rules first, then a path-template tree with smoothed labelled purity.
 
 Every host has a tree of path templates. Variable segments become wildcards: those with digits at
-once (a file ending stays), and under each of the first ``LEVELS`` branchings all segments, where
-there are many different ones that each come seldom. Branches of a host that have the same shape
+once (a file ending stays), and under each branching, level by level to the deepest, all segments,
+where there are many different ones that each come seldom. Branches of a host that have the same shape
 and don't differ significantly in their blocked share are merged (two-sided test against the
 shape's share). Labelled urls are those a rule decides. The blocked share of a template is
 smoothed towards the share of the same template over all hosts, and that one towards the share
@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, workdir
@@ -38,7 +38,7 @@ class Rule:
         return cls(verdict, host, slash + path)
 
 
-#: Branchings at which segments may become wildcards by number.
+#: Branchings that the DuckDB form unrolls; ``judge`` goes on to the deepest of the data.
 LEVELS = 3
 #: A branching with more different segments than this, each seen fewer times than that on average.
 MANY, SELDOM = 16, 4
@@ -64,6 +64,13 @@ def rule_sql(rules: list[Rule]) -> str:
     return f"case {' '.join(whens)} end" if whens else "cast(null as struct<rule:string,verdict:string>)"
 
 
+def _depth(tree: DataFrame) -> int:
+    """Levels at which some host has templates enough for a wide branching: none can be below."""
+    sizes = tree.groupBy("host", F.size("template").alias("size")).agg(F.count("*").alias("templates"))
+    deeper = Window.partitionBy("host").orderBy(F.desc("size"))
+    return sizes.withColumn("reach", F.sum("templates").over(deeper)).filter(F.col("reach") > MANY).agg(F.max("size")).first()[0] or 0
+
+
 def judge(pages: DataFrame, rules: list[Rule], threshold: float = 0.5, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """page_id, host, path, rule, verdict, template, purity for every row of ``pages``.
 
@@ -81,7 +88,7 @@ def judge(pages: DataFrame, rules: list[Rule], threshold: float = 0.5, id_col: s
     # counts by host and template are written, as many plans below start from them
     folder = workdir(pages.sparkSession)
     tree = materialize(raw.withColumn("template", F.col("raw")), f"{folder}/raw")
-    for level in range(LEVELS):
+    for level in range(_depth(tree)):
         prefix = F.slice("template", 1, level)
         here = F.try_element_at("template", F.lit(level + 1))
         split = tree.filter(here.isNotNull() & ~F.startswith(here, F.lit("*"))).groupBy("host", prefix.alias("prefix")).agg(F.countDistinct(here).alias("kinds"), F.sum("n").alias("seen"))
