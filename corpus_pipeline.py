@@ -25,7 +25,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any 10-word window of the benchmark."""
-    return decontamination.remove_leaks(docs, table(spark, sf_dir, "benchmark"), window=10)
+    return decontamination.remove_leaks(docs, table(spark, sf_dir, "benchmark"), window=10, unnamed=True)
 
 
 def pseudonymize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

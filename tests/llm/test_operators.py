@@ -176,6 +176,16 @@ def test_decontamination(spark, docs, empty, texts):
     assert decontamination.find_leaks(docs, items.filter("item_id > 99")).filter("size(spans) > 0").count() == 0
 
 
+def test_decontamination_with_unnamed_items(spark, docs, texts):
+    passage = " ".join(texts[10].split()[50:75])
+    items = spark.createDataFrame([(None, passage), (7, "Two WORDS")], "item_id long, text string")
+    found = {r.doc_id: r for r in decontamination.find_leaks(docs, items, 10, unnamed=True).withColumn("n", decontamination.hit_words()).collect()}
+    assert {i: (r.n, list(r.items)) for i, r in found.items() if r.n} == {4: (2, ["7"]), 10: (25, [])}
+    assert found[10].longest == 25
+    kept = {r.doc_id for r in decontamination.remove_leaks(docs, items, 10, unnamed=True).collect()}
+    assert kept == {None, *range(len(texts))} - {4, 10}
+
+
 def test_benchmark_in_blocks(spark, docs, texts, monkeypatch):
     items = spark.createDataFrame([(k, " ".join(texts[10].split()[50 * k : 50 * k + 20])) for k in range(6)], "item_id long, text string")
     digest = lambda: sorted((r.doc_id or -1, r.n, tuple(r.items)) for r in decontamination.find_leaks(docs, items, 10).select("doc_id", decontamination.hit_words().alias("n"), "items").collect())

@@ -53,8 +53,8 @@ class Benchmark:
                 owners.append(i)
             at += len(w) + 1
         self.start, self.width = np.array(starts, np.int64), np.array(widths, np.int64)
-        #: the item of each window, as text
-        self.owner = np.array([str(i) for i in owners], object)
+        #: the item of each window, as text; None without an id
+        self.owner = np.array([None if i is None else str(i) for i in owners], object)
         self.depth = max((len(w) for _, w in cut), default=0) + 1
         self.shortest = int(self.width.min(initial=window))
 
@@ -163,7 +163,8 @@ def _search_pass(shared):
                 doc = np.searchsorted(begin, at, side="right") - 1
                 np.maximum.at(longest, doc, common_prefix(words, at, bench.words, bench.start[who]))
                 for d, i in set(zip(doc.tolist(), bench.owner[who].tolist())):
-                    items[d].add(i)
+                    if i is not None:
+                        items[d].add(i)
                 for d, s, e in _merged(doc, at - begin[doc], wide):
                     spans[d].append({"start": s, "end": e})
             yield pa.RecordBatch.from_arrays(
@@ -186,9 +187,9 @@ def _merged(doc: np.ndarray, start: np.ndarray, width: np.ndarray) -> list[tuple
     return list(zip(doc[first].tolist(), start[first].tolist(), reach[last].tolist()))
 
 
-def _blocks(bench: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
+def _blocks(bench: DataFrame, id_col: str, text_col: str, unnamed: bool) -> Iterator[list[tuple[int, str]]]:
     block, held = [], 0
-    for row in bench.select(bench[id_col].cast("string"), bench[text_col]).filter(bench[id_col].isNotNull()).toLocalIterator():
+    for row in bench.filter(bench[id_col].isNotNull() | F.lit(unnamed)).select(bench[id_col].cast("string"), bench[text_col]).toLocalIterator():
         block.append((row[0], row[1]))
         held += len(row[1] or "")
         if held >= BLOCK_CHARS:
@@ -198,14 +199,15 @@ def _blocks(bench: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple
         yield block
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", unnamed: bool = False) -> DataFrame:
     """Verbatim benchmark windows in whole documents.
 
     A window is ``window`` words running of an item; an item of fewer words, but not none, is one
     window. Returns for each row of ``docs``: id, n_words, spans (word ranges inside occurrences
     of windows, end exclusive; the spans of several passes may overlap), items (ids of items found,
     as text, sorted) and longest (words of the longest match found). Null texts have no words; items
-    without id or words are left out; rows that repeat are each answered; other columns are not
+    without words are left out, and so are those without id, but for ``unnamed``: then their
+    windows count in spans and longest, and only items can't list them; rows that repeat are each answered; other columns are not
     read; empty tables give no rows, or no spans.
     """
     spark = docs.sparkSession
@@ -213,14 +215,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col:
     schema = T.StructType.fromDDL("text string, n_words long, spans array<struct<start:long,end:long>>, items array<string>, longest long")
     schema = T.StructType([T.StructField("id", kind), *schema.fields])
     found = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<start:long,end:long>>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"), F.lit(0).cast("long").alias("longest"))
-    blocks = list(_shared(spark, benchmark, window, item_col, item_text_col))
+    blocks = list(_shared(spark, benchmark, window, item_col, item_text_col, unnamed))
     for block in blocks or [spark.sparkContext.broadcast(Benchmark([], window))]:
         found = found.mapInArrow(_search_pass(block), schema)
     return found.select(F.col("id").alias(id_col), "n_words", "spans", "items", "longest")
 
 
-def _shared(spark, benchmark: DataFrame, window: int, item_col: str, text_col: str):
-    for block in _blocks(benchmark, item_col, text_col):
+def _shared(spark, benchmark: DataFrame, window: int, item_col: str, text_col: str, unnamed: bool):
+    for block in _blocks(benchmark, item_col, text_col, unnamed):
         yield spark.sparkContext.broadcast(Benchmark(block, window))
 
 
@@ -236,11 +238,11 @@ def items_digest(ids: list[str]) -> str:
     return hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
 
 
-def remove_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text holds no window of the benchmark, with all their columns.
+def remove_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", unnamed: bool = False) -> DataFrame:
+    """The rows of ``docs`` whose text holds no window of the benchmark, with all their columns; ``unnamed`` as in find_leaks.
 
     Rows with a null id, and rows that repeat an id, are each judged by their own text.
     """
     own = docs.withColumn("__row", F.struct(*[docs[c] for c in docs.columns]))
-    found = find_leaks(own.select(F.col("__row"), docs[text_col].alias("__text")), benchmark, window, "__row", "__text")
+    found = find_leaks(own.select(F.col("__row"), docs[text_col].alias("__text")), benchmark, window, "__row", "__text", unnamed=unnamed)
     return found.filter(F.size("spans") == 0).select("__row.*")
