@@ -5,13 +5,15 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-#: Characters of text that one step inside a task holds in split form at a time.
-SLICE_CHARS = 1_500_000
+#: Bytes of text that one step inside a task holds in split form at a time, but for a single longer text.
+SLICE_BYTES = 600_000
 
 
 def workdir(spark: SparkSession) -> str:
@@ -38,18 +40,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def sliced(batches: Iterator[pa.RecordBatch], column: str, chars: int = SLICE_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Cut batches into runs of whole rows of about ``chars`` characters; null texts come as ''."""
+def sliced(batches: Iterator[pa.RecordBatch], column: str, size: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Cut batches into runs of whole rows of about ``size`` bytes of text; null texts come as ''.
+
+    The cut is made on the Arrow column, so only one run at a time exists as Python strings.
+    """
     for batch in batches:
-        texts = batch.column(batch.schema.names.index(column)).to_pylist()
-        start = held = 0
-        for i, text in enumerate(texts):
-            held += len(text) if text else 0
-            if held >= chars:
-                yield batch.slice(start, i + 1 - start), [t or "" for t in texts[start : i + 1]]
-                start, held = i + 1, 0
-        if start < len(texts):
-            yield batch.slice(start), [t or "" for t in texts[start:]]
+        at = batch.schema.names.index(column)
+        upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < len(batch):
+            end = min(len(batch), int(np.searchsorted(upto, (upto[start - 1] if start else 0) + size)) + 1)
+            part = batch.slice(start, end - start)
+            yield part, [t or "" for t in part.column(at).to_pylist()]
+            start = end
+        del batch, part
+        pa.default_memory_pool().release_unused()
+
+
+_resident: dict[tuple, object] = {}
+
+
+def resident(*key: object, make: Callable[[], object]) -> object:
+    """What this Python worker keeps under ``key`` for its next tasks: one thing at a time, made anew where another was kept."""
+    if key not in _resident:
+        let_go()
+        _resident[key] = make()
+    return _resident[key]
+
+
+def let_go() -> None:
+    """Free what an operator before kept in this worker; tasks of operators with tables of their own begin with it."""
+    _resident.clear()
+    pa.default_memory_pool().release_unused()
 
 
 def quiet_tokenizers() -> None:

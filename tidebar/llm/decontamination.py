@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import sliced
+from .common import let_go, sliced
 
 #: Characters of benchmark text that are broadcast at once.
 BLOCK_CHARS = 8_000_000
@@ -141,6 +141,7 @@ def _search_pass(shared):
     """One pass: adds the spans hit by the block's windows and the ids of items found to what earlier passes found."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         bench = shared.value
         get = bench.vocabulary.get
         for batch, texts in sliced(batches, "text"):

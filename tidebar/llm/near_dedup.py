@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, sliced, workdir
+from .common import let_go, materialize, sliced, workdir
 from .sketching import shingle_sets, sketches
 
 ROWS, BANDS = 4, 24
@@ -36,6 +36,7 @@ _SKETCH = "doc_id long, key long, n_shingles long, digest binary, bands array<lo
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    let_go()
     for batch, texts in sliced(batches, "text"):
         value, doc = shingle_sets(texts)
         table = sketches(value, doc, len(texts), ROWS * BANDS).reshape(len(texts), BANDS, ROWS)

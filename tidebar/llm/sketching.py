@@ -32,17 +32,23 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: A fixed random value for each byte.
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _STEP)
 _BASE = 0xD6E8FEB86659FD93
+#: Powers that a worker keeps; longer tables, for single texts above a slice, are made for the occasion.
+_KEPT_POWERS = 2_000_000
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base modulo 2**64, and of its inverse, up to n."""
-    if len(_powers[0]) <= n:
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            steps = np.full(2 * n + 1, base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
-    return _powers[0], _powers[1]
+    if len(_powers[0]) > n:
+        return _powers[0], _powers[1]
+    made = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        steps = np.full(n + n // 4 + 1, base, np.uint64)
+        steps[0] = 1
+        made.append(np.multiply.accumulate(steps))
+    if len(made[0]) <= _KEPT_POWERS:
+        _powers[:] = made
+    return made[0], made[1]
 
 
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import sliced
+from .common import resident, sliced
 
 BLANK = "▁"
 NONE = np.iinfo(np.int64).max
@@ -170,7 +170,7 @@ def count_tokens(docs: DataFrame, model: str, max_tokens: int = 4096, id_col: st
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = TokenCounter(model)
+        counter = resident("pieces", model, make=lambda: TokenCounter(model))
         for batch, texts in sliced(batches, "text"):
             n = counter.counts(texts)
             yield pa.RecordBatch.from_arrays(

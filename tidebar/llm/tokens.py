@@ -17,12 +17,11 @@ Two cuts are known to be exact, and others are refused:
 from __future__ import annotations
 
 import json
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 
-from .common import quiet_tokenizers
+from .common import quiet_tokenizers, resident
 from .sketching import _BYTE, _STEP, _power_tables, mix
 
 #: Marks that end many words; pre-tokenizers part letters from them.
@@ -93,7 +92,7 @@ def cut(texts: list[str], kind: str) -> tuple[bytes, np.ndarray, np.ndarray, np.
 class WordEncoder:
     """encode(texts) gives the ids of all texts in one flat array and the number of ids of each."""
 
-    def __init__(self, path: str, limit: int = 1_500_000):
+    def __init__(self, path: str, limit: int = 800_000):
         quiet_tokenizers()
         from tokenizers import Tokenizer
 
@@ -177,10 +176,9 @@ class WordEncoder:
         return ids, np.diff(upto_text, prepend=0)
 
 
-@lru_cache(maxsize=1)
 def encoder(path: str) -> WordEncoder:
-    """The encoder of this Python worker; its table of words serves all tasks the worker runs."""
-    return WordEncoder(path)
+    """The encoder of this Python worker; its table of words serves its next tasks, until another operator needs the memory."""
+    return resident("encoder", path, make=lambda: WordEncoder(path))
 
 
 def with_end(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:

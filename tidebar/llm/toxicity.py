@@ -17,14 +17,16 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import sliced
-from .sketching import mix
+from .common import let_go, sliced
+from .sketching import _STEP, _power_tables, mix
 
 #: Labelled rows of each class that a model is fitted on, at most; a sample by hash of the id.
 SAMPLE = 2000
+#: Characters of the texts of a class in that sample, at most.
+SAMPLE_CHARS = 20_000_000
 BUCKETS, DIM = 1 << 17, 4
 SHORTEST, LONGEST = 3, 5
 #: The average of many subwords is small; this brings it to the scale of a logit.
@@ -58,13 +60,10 @@ class Words:
         edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
         self.start, self.end = edge[::2], edge[1::2]
         self.text = np.searchsorted(np.cumsum(size), self.start, side="right")
-        value = _CHAR[self.code]
-        h = np.zeros(len(self.start), np.uint64)
-        length = self.end - self.start
-        for k in range(int(length.max(initial=0))):
-            live = np.flatnonzero(length > k)
-            h[live] = (h[live] + value[self.start[live] + k]) * np.uint64(_BASE)
-        self.hash = mix(h)
+        # a word's polynomial hash is a difference of two prefix sums, however long the word
+        power, inverse = _power_tables(len(self.code))
+        upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_CHAR[self.code] * power[: len(self.code)], dtype=np.uint64)])
+        self.hash = mix((upto[self.end] - upto[self.start]) * inverse[self.start] + (self.end - self.start).astype(np.uint64) * _STEP)
 
     def subwords(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(bucket, number of the word in ``chosen``) of the subwords of the chosen words."""
@@ -123,36 +122,42 @@ def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray, rounds: int = 7
     if not len(texts) or toxic.min() == toxic.max():
         share = float(np.average(toxic, weights=weight)) if len(texts) else 0.0
         return Model(np.zeros(BUCKETS, np.float32), float(np.log((share + 1e-3) / (1 - share + 1e-3))))
-    vocabulary: dict[int, int] = {}
+    # a word of one text only tells that text apart; it counts in the average, and trains nothing
+    slices = [range(i, min(i + 200, len(texts))) for i in range(0, len(texts), 200)]
+    seen = []
+    for part in slices:
+        words = Words([texts[i] for i in part])
+        order = np.lexsort((words.hash, words.text))
+        h, t = words.hash[order], words.text[order]
+        seen.append(h[np.append(True, (h[1:] != h[:-1]) | (t[1:] != t[:-1]))[: len(h)]])
+    common, often = np.unique(np.concatenate(seen), return_counts=True)
+    common = common[often > 1]
+    del seen, often
+    filled, size = np.zeros(len(common), bool), np.ones(len(texts))
     rows, columns, counts, buckets, owners = [], [], [], [], []
-    for i in range(0, len(texts), 200):
-        words = Words(texts[i : i + 200])
+    for part in slices:
+        words = Words([texts[i] for i in part])
         distinct, first, back = np.unique(words.hash, return_index=True, return_inverse=True)
-        fresh = np.array([k for k, h in enumerate(distinct.tolist()) if h not in vocabulary], np.int64)
-        base = len(vocabulary)
-        vocabulary.update((int(distinct[k]), base + j) for j, k in enumerate(fresh))
-        if len(fresh):
-            bucket, word = words.subwords(first[fresh])
-            buckets.append(bucket)
-            owners.append(word + base)
-        number = np.fromiter((vocabulary[h] for h in distinct.tolist()), np.int64, len(distinct))
-        pair, n = np.unique(words.text * len(distinct) + back, return_counts=True)
-        rows.append(pair // max(len(distinct), 1) + i)
-        columns.append(number[pair % max(len(distinct), 1)])
+        bucket, word = words.subwords(first)
+        size[part.start : part.stop] = np.maximum(np.bincount(words.text, np.bincount(word, minlength=len(distinct))[back], len(part)), 1)
+        number = np.searchsorted(common, distinct)
+        known = common[np.minimum(number, len(common) - 1)] == distinct if len(common) else np.zeros(len(distinct), bool)
+        new = known.copy()
+        new[known] = ~filled[number[known]]
+        filled[number[new]] = True
+        buckets.append(bucket[new[word]].astype(np.int32))
+        owners.append(number[word[new[word]]].astype(np.int32))
+        live = known[back]
+        pair, n = np.unique(words.text[live] * max(len(common), 1) + number[back[live]], return_counts=True)
+        rows.append((pair // max(len(common), 1) + part.start).astype(np.int32))
+        columns.append((pair % max(len(common), 1)).astype(np.int32))
         counts.append(n)
-    owner, bucket = np.concatenate(owners), np.concatenate(buckets)
-    per_word = np.bincount(owner, minlength=len(vocabulary))
-    row, column, count = np.concatenate(rows), np.concatenate(columns), np.concatenate(counts)
-    n_words, n_texts = len(vocabulary), len(texts)
-    del owners, buckets, rows, columns, counts, vocabulary
-    size = np.maximum(np.bincount(row, count * per_word[column], len(texts)), 1)
-    # a word of one text only tells that text apart; it counts in the average, and trains nothing
-    common = np.bincount(column, minlength=n_words) > 1
-    entry, bag = common[column], common[owner]
-    row, column, share = row[entry], column[entry], (count / size[row] * SCALE)[entry]
-    used, bucket = np.unique(bucket[bag], return_inverse=True)
-    owner = owner[bag]
-    del entry, bag, common, count, size, per_word
+    owner = np.concatenate(owners)
+    used, bucket = np.unique(np.concatenate(buckets), return_inverse=True)
+    row, column, share = np.concatenate(rows), np.concatenate(columns), np.concatenate(counts)
+    share = share / size[row] * SCALE
+    n_words, n_texts = len(common), len(texts)
+    del owners, buckets, rows, columns, counts, common, filled, words
     rng = np.random.default_rng(seed)
     params = [rng.normal(0, 0.01, (DIM, len(used))), rng.normal(0, 1, (2, DIM)), np.zeros((2, 1))]
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in params]
@@ -176,22 +181,26 @@ def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray, rounds: int = 7
     return Model(logit, float(bias[1, 0] - bias[0, 0]))
 
 
-def fit_table(docs: DataFrame, labels: DataFrame, train: Column | None = None, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def fit_table(docs: DataFrame, labels: DataFrame, train: Column | None = None, sample: int = SAMPLE, chars: int = SAMPLE_CHARS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Fit on at most ``sample`` labelled rows of each class: those of least hash of the id.
 
     ``train`` is a condition on ``id``; rows that don't meet it are never seen. The two classes
     are weighted to the shares they have among all labelled rows. Rows with a null id or label,
-    or without a text row, are not used.
+    or without a text row, are not used; of several texts of an id the least one is; an id that
+    is labelled both ways counts as toxic. Texts of a class come as long as they have at most
+    ``chars`` characters together, so what the driver gets is bounded.
     """
     wanted = labels.select(labels[id_col].alias("id"), labels[label_col].cast("int").alias("toxic")).filter("id is not null and toxic in (0, 1)")
     wanted = wanted.groupBy("id").agg(F.max("toxic").alias("toxic"))
     if train is not None:
         wanted = wanted.filter(train)
     counts = {r["toxic"]: r["n"] for r in wanted.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    # at most 2 * sample ids and texts come to the driver
     picked = [wanted.filter(F.col("toxic") == k).orderBy(F.xxhash64("id"), "id").limit(sample) for k in (0, 1)]
-    picked = picked[0].union(picked[1])
-    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).join(F.broadcast(picked), "id").select("toxic", F.coalesce("text", F.lit("")).alias("text")).collect()
+    picked = picked[0].union(picked[1])  # at most 2 * sample ids
+    texts = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text")).filter(F.length("text") <= chars)
+    once = texts.join(F.broadcast(picked), "id").groupBy("id", "toxic").agg(F.min("text").alias("text"))
+    so_far = F.sum(F.length("text")).over(Window.partitionBy("toxic").orderBy(F.xxhash64("id"), "id"))
+    rows = once.withColumn("so_far", so_far).filter(F.col("so_far") <= chars).select("toxic", "text").collect()
     toxic = np.array([r["toxic"] for r in rows], np.float32)
     have = np.bincount(toxic.astype(int), minlength=2)
     weight = np.array([counts[int(t)] / have[int(t)] for t in toxic], np.float64)
@@ -206,6 +215,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     shared = docs.sparkSession.sparkContext.broadcast((model.logit, model.bias))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         model = Model(*shared.value)
         for batch, texts in sliced(batches, "text"):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.scores(texts))], names=[id_col, "score"])
@@ -220,6 +230,7 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5, text_col:
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         model = Model(*shared.value)
         names = None
         for batch in batches:
