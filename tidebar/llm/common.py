@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one step inside a task holds in split form at a time, but for a single longer text.
 SLICE_BYTES = 600_000
@@ -58,6 +59,38 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str, size: int = SLICE_BYT
         pa.default_memory_pool().release_unused()
 
 
+#: Keys that a join deals over several tasks: at most so many, of more rows than these, over so many tasks.
+HOT_KEYS, HOT_ROWS, HOT_TASKS = 1000, 500, 256
+
+
+def hot_keys(counts: DataFrame, keys: list[str], n: str = "n") -> DataFrame:
+    """The keys of most rows, at most ``HOT_KEYS``, with ``__salts``: the tasks to deal each over.
+
+    No other key has more than one row in ``HOT_KEYS``. The list is bounded, so it may be broadcast; it is fixed here, so
+    that all its uses agree.
+    """
+    salts = F.least(F.lit(HOT_TASKS), F.ceil(F.col(n) / HOT_ROWS)).cast("int").alias("__salts")
+    found = counts.filter(F.col(n) > HOT_ROWS).orderBy(F.desc(n)).limit(HOT_KEYS).select(*keys, salts)
+    return F.broadcast(counts.sparkSession.createDataFrame(found.collect(), found.schema))
+
+
+def dealt(many: DataFrame, hot: DataFrame, keys: list[str], by: str) -> DataFrame:
+    """``many`` with ``__salt``: rows of hot keys, and rows without a key, are dealt by a column's hash."""
+    lone = F.when(F.col(keys[0]).isNull(), HOT_TASKS).otherwise(1)
+    return many.join(hot, keys, "left").withColumn("__salt", F.pmod(F.xxhash64(by), F.coalesce("__salts", lone)).cast("int")).drop("__salts")
+
+
+def repeated(one: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
+    """``one``, which has each key once, with a row for each ``__salt`` of its key."""
+    return one.join(hot, keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1))).drop("__salts")
+
+
+def join_hot(many: DataFrame, one: DataFrame, keys: list[str], by: str, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+    """Join ``many`` rows to ``one`` row a key, where a few keys, or a missing one, may have a third of all rows."""
+    hot = hot_keys(many.groupBy(*keys).agg(F.count("*").alias("n")) if counts is None else counts, keys)
+    return dealt(many, hot, keys, by).join(repeated(one, hot, keys), [*keys, "__salt"], how).drop("__salt")
+
+
 _resident: dict[tuple, object] = {}
 
 
