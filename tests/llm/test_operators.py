@@ -276,11 +276,29 @@ def test_permutation_index(spark, data):
     assert permutation_index.nearest(v.filter("vec_id < 0"), F.col("id") % 20 == 0).count() == 0
 
 
-def test_query_blocks(spark, data, monkeypatch):
+def test_answers_do_not_depend_on_partitions(spark, data, monkeypatch):
     e = spark.read.parquet(f"{data}/embeddings.parquet")
-    one = sorted(map(tuple, permutation_index.nearest(e, F.col("id") % 20 == 0).collect()))
+    answers = lambda n: sorted(map(tuple, permutation_index.nearest(e.repartition(n), F.col("id") % 20 == 0).collect()))
+    one = answers(1)
+    assert answers(8) == one and answers(64) == one
     monkeypatch.setattr(permutation_index, "BLOCK", 7)
-    assert sorted(map(tuple, permutation_index.nearest(e, F.col("id") % 20 == 0).collect())) == one
+    monkeypatch.setattr(permutation_index, "SEGMENT", 30)
+    assert answers(3) == one
+
+
+def test_shared_vectors_and_ids(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(100 + k % 7, x[0].tolist()) for k in range(600)] + [(3, x[5].tolist())]
+    got = permutation_index.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 20 == 0, k=5, share=1.0).toPandas()
+    for q in (0, 20, 40, 100):
+        best: dict = {}
+        for v in {tuple(v) for i, v in rows if i == q}:
+            for i, w in rows:
+                if i != q:
+                    best[i] = max(best.get(i, -9e9), float((np.array(w) * np.array(v)).sum()))
+        want = sorted(best, key=lambda i: (-best[i], i))[:5]
+        assert got[got.query_id == q].sort_values("rank").vec_id.tolist() == want
 
 
 def test_url_filter(spark, data):

@@ -1,19 +1,20 @@
 """Approximate nearest neighbours by a permutation index.
 
-A vector is represented by its ``PREFIX`` nearest pivots in order. Each task holds its vectors as
-segments; in a segment every pivot has an inverted file of (vector, place of the pivot in its
-order). A query looks only into the files of its own nearest pivots and adds up by how little
-the places differ; that ranks the segment by Spearman's footrule over the prefixes, with absent
-pivots at the full distance. The first ``share`` of the segment is reranked by exact inner
-products in double precision.
-
-Pivots are chosen farthest-first from a sample of at most ``SAMPLE`` vectors, every vector is
-indexed. Largest inner product becomes least distance by one more coordinate, which levels all
-lengths to the greatest one. Equal vectors of a segment are indexed once, with the least of their
-ids, so a vector that many rows share can't crowd out others.
-
-Queries come in blocks of ``BLOCK``; a block is broadcast, so its size is bounded, and meets
-every segment. Only the best of each segment leave a task.
+A vector is represented by its ``PREFIX`` nearest pivots in order. The index is one table, written
+once: each different vector with its order of pivots and the least of the ids that share it.
+Pivots are posted in inverted files of (vector, place of the pivot in its order). A query looks
+only into the files of its own nearest pivots and adds up by how little the places differ; that
+ranks vectors by Spearman's footrule over the prefixes, with absent pivots at the full distance.
+Vectors at least as near as the query's cut are reranked by exact inner products in double
+precision. The cut is the footrule of the nearest ``share`` of a sample of at most ``SAMPLE``
+vectors, so it depends on the query and on the table, not on how rows lie over tasks.
+
+Pivots are chosen farthest-first from the same sample; every vector is indexed. Largest inner
+product becomes least distance by one more coordinate, which levels all lengths to the greatest
+one. Equal vectors are indexed once, so a vector that many rows share can't crowd out others.
+
+Index and queries are two tables, cut into segments and blocks of a bounded size; a task holds
+the inverted files of one segment and answers one block, and only the best leave it.
 """
 
 from __future__ import annotations
@@ -25,10 +26,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import workdir
+from .common import materialize, workdir
 
 PIVOTS, PREFIX, SAMPLE = 512, 48, 4096
-SEGMENT, BLOCK = 32_768, 4096
+#: Different vectors of a segment of the index, and of a block of queries, on average at most.
+SEGMENT, BLOCK = 8192, 8192
 
 
 def usable(column: str) -> Column:
@@ -62,134 +64,131 @@ class Pivots:
         return np.argsort(-near, axis=1, kind="stable")[:, :PREFIX]
 
 
-class Segment:
-    """Inverted files of the distinct vectors of a run of rows."""
+class Files:
+    """Inverted files of a run of vectors, given their orders of pivots."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray, pivots: Pivots, keep: int):
-        by = np.lexsort((ids, *x.T[::-1]))
-        ids, x = ids[by], x[by]
-        fresh = np.concatenate([[True], (x[1:] != x[:-1]).any(axis=1)])
-        first = np.flatnonzero(fresh)
-        count = np.minimum(np.diff(np.append(first, len(ids))), keep)
-        self.ids, self.first, self.count, self.x = ids, first, count, x[first]
-        order = pivots.orders(self.x)
-        place = np.tile(np.arange(order.shape[1]), len(order))
+    def __init__(self, order: np.ndarray, n_pivots: int):
+        self.n, self.width = order.shape
         flat = order.ravel()
         by = np.argsort(flat, kind="stable")
-        self.bounds = np.searchsorted(flat[by], np.arange(len(pivots.at) + 1))
-        self.vector, self.place = by // order.shape[1], place[by]
-
-    def ranked(self, order: np.ndarray, m: int) -> np.ndarray:
-        """The m vectors of least footrule distance to a query's pivot order."""
-        if m >= len(self.x):
-            return np.arange(len(self.x))
-        width = len(order)
+        self.bounds = np.searchsorted(flat[by], np.arange(n_pivots + 1))
+        self.vector, self.place = by // max(self.width, 1), by % max(self.width, 1)
+
+    def footrule(self, order: np.ndarray) -> np.ndarray:
+        """For each vector, the greatest possible distance from a query's order less its own: more is nearer."""
         spans = [slice(self.bounds[p], self.bounds[p + 1]) for p in order]
         vector = np.concatenate([self.vector[s] for s in spans])
-        gain = np.concatenate([width - np.abs(self.place[s] - k) for k, s in enumerate(spans)])
-        score = np.bincount(vector, gain, len(self.x))
-        return np.argpartition(-score, m)[:m]
+        gain = np.concatenate([len(order) - np.abs(self.place[s] - k) for k, s in enumerate(spans)])
+        return np.bincount(vector, gain, self.n)
 
-    def best(self, q: np.ndarray, order: np.ndarray, m: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best found, best first, ties to the lesser id."""
-        at = self.ranked(order, m)
-        score = (self.x[at] * q).sum(axis=1)
-        if len(at) > k:
-            good = score >= np.partition(score, len(score) - k)[len(score) - k]
-            at, score = at[good], score[good]
-        n = self.count[at]
-        rows = np.arange(int(n.sum())) + np.repeat(self.first[at] - (np.cumsum(n) - n), n)
-        ids, score = self.ids[rows], np.repeat(score, n)
-        top = np.lexsort((ids, -score))[:k]
-        return ids[top], score[top]
 
+def _matrix(column: pa.Array | pa.ChunkedArray, dtype: type = np.float64) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).astype(dtype).reshape(len(column), -1)
 
-def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
+def _ordered(shared):
+    """Adds the order of pivots to (k1, k2, ids, x)."""
 
-def _searched(shared, dim: int, k: int, share: float, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivots, block = shared.value
-        distinct, owner, query_ids = block
-        orders = pivots.orders(distinct, query=True)
-        held, n = [], 0
-
-        def answer() -> Iterator[pa.RecordBatch]:
-            ids, x = np.concatenate([a for a, _ in held]), np.concatenate([b for _, b in held])
-            segment = Segment(ids, x, pivots, keep=k + 1)
-            m = max(least, int(len(segment.x) * share))
-            found = [segment.best(q, o, m, k + 1) for q, o in zip(distinct, orders)]
-            for a in range(0, len(query_ids), 512):
-                rows = [(q, i, s) for q, d in zip(query_ids[a : a + 512], owner[a : a + 512]) for i, s in [z for z in zip(*(v.tolist() for v in found[d])) if z[0] != q][:k]]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
-
         for batch in batches:
-            held.append((batch.column(0).to_numpy(), _matrix(batch.column(1), dim)))
-            n += len(batch)
-            if n >= SEGMENT:
-                yield from answer()
-                held, n = [], 0
-        if n:
-            yield from answer()
+            for a in range(0, len(batch), 4096):
+                part = batch.slice(a, 4096)
+                order = shared.value.orders(_matrix(part.column(3)))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(list(order.astype(np.int16)), pa.list_(pa.int16()))], names=["k1", "k2", "ids", "x", "places"])
 
     return run
 
 
-def _query_blocks(queries: DataFrame, dim: int, size: int) -> Iterator[tuple]:
-    """Blocks of (distinct vectors, number of its vector for each query, query ids)."""
+def _cut(shared, share: float, least: int):
+    """(k1, k2, x, order of pivots, cut) of queries: their cut is the footrule that a share of the sample reaches."""
 
-    def block(rows: list) -> tuple:
-        x = np.array([r[1] for r in rows], np.float64).reshape(-1, dim)
-        distinct, owner = np.unique(x, axis=0, return_inverse=True)
-        return distinct, owner.ravel().tolist(), [r[0] for r in rows]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivots, sample = shared.value
+        files = Files(pivots.orders(sample), len(pivots.at))
+        m = min(len(sample), max(least, int(np.ceil(share * len(sample)))))
+        for batch in batches:
+            order = pivots.orders(_matrix(batch.column(2)), query=True)
+            cut = [float(np.partition(files.footrule(o), len(sample) - m)[len(sample) - m]) for o in order]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(order.astype(np.int16)), pa.list_(pa.int16())), pa.array(cut, pa.float64())], names=["k1", "k2", "x", "places", "cut"])
 
-    rows = []
-    for row in queries.toLocalIterator():
-        rows.append(row)
-        if len(rows) >= size:
-            yield block(rows)
-            rows = []
-    if rows:
-        yield block(rows)
+    return run
+
+
+def _best(score: np.ndarray, ids: list[list[int]], at: np.ndarray, k: int) -> list[tuple[float, int]]:
+    """The k best (score, id) of the candidates ``at``, ties to the lesser id; an id that repeats comes once."""
+    top = min(len(at), 2 * k)
+    while True:
+        least = np.partition(score, len(at) - top)[len(at) - top]
+        found: dict[int, float] = {}
+        for s, v in zip(score[score >= least].tolist(), at[score >= least].tolist()):
+            for i in ids[v]:
+                found[i] = max(s, found.get(i, s))
+        if len(found) >= k or top == len(at):
+            return sorted(((s, i) for i, s in found.items()), key=lambda r: (-r[0], r[1]))[:k]
+        top = min(len(at), 4 * top)
+
+
+def _answered(n_pivots: int, k: int):
+    """The k best of a segment of the index for every query of a block."""
+
+    def run(index: pa.Table, block: pa.Table) -> pa.Table:
+        rows: list[tuple] = []
+        if len(index) and len(block):
+            x, ids = _matrix(index.column("x")), index.column("ids").to_pylist()
+            files = Files(_matrix(index.column("places"), np.int64), n_pivots)
+            keys = zip(block.column("k1").to_pylist(), block.column("k2").to_pylist(), block.column("cut").to_pylist())
+            for (k1, k2, cut), q, order in zip(keys, _matrix(block.column("x")), _matrix(block.column("places"), np.int64)):
+                at = np.flatnonzero(files.footrule(order) >= cut)
+                if len(at):
+                    rows += [(k1, k2, i, s) for s, i in _best((x[at] * q).sum(axis=1), ids, at, k)]
+        columns = list(zip(*rows)) if rows else [(), (), (), ()]
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(("k1", "k2", "vec_id", "score"), columns, (pa.int64(), pa.int64(), pa.int64(), pa.float64()))})
+
+    return run
 
 
-def nearest(vectors: DataFrame, queries: Column, k: int = 20, share: float = 0.2, least: int = 256, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, queries: Column, k: int = 20, share: float = 0.25, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of every row whose ``id`` meets the condition ``queries``.
 
     Nearness is the inner product in double precision; ties go to the lesser id, and a query's own
     id is no candidate. Vectors that are null, zero, hold null or non-finite components, have
     another number of components than most, or have no id take no part. An id that repeats is ranked
-    once, by its best vector. Fewer candidates than k are all returned; an empty table gives no rows.
+    once, by its best vector; as a query it is answered for all its vectors together. Fewer candidates
+    than k are all returned; an empty table gives no rows. Answers don't depend on partitions.
     """
-    spark = vectors.sparkSession
+    spark, folder = vectors.sparkSession, workdir(vectors.sparkSession)
     rows = vectors.filter(usable(vector_col) & F.col(f"`{id_col}`").isNotNull()).select(vectors[id_col].cast("long").alias("id"), vectors[vector_col].cast("array<double>").alias("x"))
     facts = rows.groupBy(F.size("x").alias("dim")).agg(F.count("*").alias("n"), F.max(F.expr("sqrt(aggregate(x, 0D, (a, v) -> a + v * v))")).alias("greatest")).orderBy(F.desc("n"), "dim").first()
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if facts is None:
-        return empty
-    rows = rows.filter(F.size("x") == facts["dim"])
-    sample = rows.select("x").distinct().orderBy(F.xxhash64("x")).limit(SAMPLE).collect()
-    pivots = Pivots(np.array([r[0] for r in sample], np.float64), facts["greatest"])
-    folder = None
-    blocks = _query_blocks(rows.filter(queries).select("id", "x"), facts["dim"], BLOCK)
-    block = next(blocks, None)
-    while block is not None:
-        following = next(blocks, None)
-        shared = spark.sparkContext.broadcast((pivots, block))
-        part = _merged(rows.mapInArrow(_searched(shared, facts["dim"], k, share, least), "query_id long, vec_id long, score double"), k)
-        if following is None and folder is None:
-            return part
-        folder = folder or workdir(spark)
-        part.write.mode("append").parquet(f"{folder}/found")  # one block at a time is in memory
-        shared.destroy()
-        block = following
-    return empty if folder is None else spark.read.parquet(f"{folder}/found")
-
-
-def _merged(found: DataFrame, k: int) -> DataFrame:
-    """The k best of each query over all segments."""
-    best = found.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    # 128 bits tell vectors apart; -0.0 counts as 0.0
+    rows = rows.filter(F.size("x") == facts["dim"]).withColumn("x", F.expr("transform(x, v -> v + 0D)"))
+    rows = rows.select("id", "x", F.xxhash64("x").alias("k1"), F.xxhash64(F.lit(7), "x").alias("k2"))
+    one = Window.partitionBy("k1", "k2").orderBy("id")
+    vector = rows.withColumn("turn", F.row_number().over(one)).filter("turn = 1").select("k1", "k2", "x")
+    # of the ids that share a vector, only so many can ever be answers
+    shared_by = rows.select("k1", "k2", "id").distinct().withColumn("turn", F.row_number().over(one)).filter(F.col("turn") <= k + 1).groupBy("k1", "k2").agg(F.collect_list("id").alias("ids"))
+    distinct = materialize(vector.join(shared_by, ["k1", "k2"]).select("k1", "k2", "ids", "x"), f"{folder}/vectors")
+    sample = np.array([r["x"] for r in distinct.select("x", "k1", "k2").orderBy("k1", "k2").limit(SAMPLE).collect()], np.float64)
+    pivots = Pivots(sample, facts["greatest"])
+    index = materialize(distinct.mapInArrow(_ordered(spark.sparkContext.broadcast(pivots)), "k1 long, k2 long, ids array<long>, x array<double>, places array<short>"), f"{folder}/index")
+    asked = materialize(rows.filter(queries).select(F.col("id").alias("query_id"), "k1", "k2").distinct(), f"{folder}/asked")
+    wanted = distinct.join(asked.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi").select("k1", "k2", "x")
+    cut = wanted.mapInArrow(_cut(spark.sparkContext.broadcast((pivots, sample)), share, k + 1), "k1 long, k2 long, x array<double>, places array<short>, cut double")
+    blocks = materialize(cut, f"{folder}/queries")
+    segments, parts = -(-index.count() // SEGMENT), max(1, -(-blocks.count() // BLOCK))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = index.withColumn("i", F.pmod("k1", F.lit(segments)).cast("int")).withColumn("j", every(parts))
+    right = blocks.withColumn("i", every(segments)).withColumn("j", F.pmod("k1", F.lit(parts)).cast("int"))
+    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(_answered(len(pivots.at), k + 1), "k1 long, k2 long, vec_id long, score double")
+    # an id counts once for a query's vector; the best k and one more, as the query itself may be among them
+    best = found.repartition("k1", "k2").groupBy("k1", "k2", "vec_id").agg(F.max("score").alias("score"))
+    order = F.row_number().over(Window.partitionBy("k1", "k2").orderBy(F.desc("score"), "vec_id"))
+    few = best.withColumn("turn", order).filter(F.col("turn") <= k + 1).groupBy("k1", "k2").agg(F.collect_list(F.struct("vec_id", "score")).alias("found"))
+    few = materialize(few, f"{folder}/found")
+    # many queries may share a vector, so their lists come by a merge join, which adaptive plans split
+    each = asked.join(few.hint("merge"), ["k1", "k2"]).select("query_id", F.explode("found").alias("f")).select("query_id", "f.vec_id", "f.score").filter("vec_id <> query_id")
+    once = each.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return once.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
