@@ -7,8 +7,8 @@ longest verbatim match and the locations of its window in the shard. A word that
 does not have ends every match, so suffixes whose run of benchmark words is shorter than the
 shortest window can't hold one and are left out of the array.
 
-The benchmark goes to the tasks in blocks of at most ``BLOCK_CHARS`` characters; a larger one
-takes several passes over the same rows within one stage, none of which needs a shuffle.
+The benchmark goes to the tasks in blocks of at most ``BLOCK_CHARS`` characters, ``PASSES`` of them
+in one stage; a larger one takes several stages, each written before the next. None needs a shuffle.
 """
 
 from __future__ import annotations
@@ -23,10 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import let_go, sliced
+from .common import let_go, materialize, sliced, workdir
 
-#: Characters of benchmark text that are broadcast at once.
-BLOCK_CHARS = 8_000_000
+#: Characters of benchmark text of a broadcast block, and blocks that are broadcast at a time.
+BLOCK_CHARS, PASSES = 8_000_000, 2
 
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -37,27 +37,53 @@ def words_of(text: str) -> list[bytes]:
 
 
 class Benchmark:
-    """A block of benchmark items: word numbers from 1, all items behind one another, each closed by 0."""
+    """A block of benchmark items: word numbers from 1, all items behind one another, each closed by 0.
+
+    ``start`` has the suffixes that hold a window, one for each different window, so a passage that
+    many items share is looked for once; ``items_of`` lists the items of each.
+    """
 
     def __init__(self, items: list[tuple[int, str]], window: int):
         cut = [(i, w) for i, t in items if (w := words_of(t or ""))]
         self.vocabulary = {w: k for k, w in enumerate(sorted(set(chain.from_iterable(w for _, w in cut))), 1)}
         self.words = np.array([x for _, w in cut for x in (*map(self.vocabulary.__getitem__, w), 0)], np.int32)
-        starts, widths, owners = [], [], []
-        at = 0
-        for i, w in cut:
-            width = min(window, len(w))
-            for k in range(len(w) - width + 1):
-                starts.append(at + k)
-                widths.append(width)
-                owners.append(i)
-            at += len(w) + 1
-        self.start, self.width = np.array(starts, np.int64), np.array(widths, np.int64)
-        #: the item of each window, as text; None without an id
-        self.owner = np.array([None if i is None else str(i) for i in owners], object)
-        self.depth = max((len(w) for _, w in cut), default=0) + 1
+        size = np.array([len(w) for _, w in cut], np.int64)
+        width = np.minimum(size, window)
+        n = size - width + 1
+        owner = np.repeat(np.arange(len(cut)), n)
+        start = np.arange(int(n.sum())) + np.repeat(np.cumsum(size + 1) - size - 1 - (np.cumsum(n) - n), n)
+        width = width[owner]
+        #: all suffixes with a window, in order
+        self.suffixes = suffix_order(self.words, start)
+        by = np.argsort(start)
+        place = by[np.searchsorted(start[by], self.suffixes)]
+        owner, width, start = owner[place], width[place], self.suffixes
+        alike = common_prefix(self.words, start[1:], self.words, start[:-1]) >= np.maximum(width[1:], width[:-1])
+        fresh = np.append(True, ~(alike & (width[1:] == width[:-1])))[: len(start)]
+        self.start, self.width = start[fresh], width[fresh]
+        pair = np.unique(np.stack([np.cumsum(fresh) - 1, owner]), axis=1) if len(start) else np.zeros((2, 0), np.int64)
+        self.bounds = np.searchsorted(pair[0], np.arange(len(self.start) + 1))
+        #: the items of each window, as text; None without an id
+        self.owner = np.array([None if cut[k][0] is None else str(cut[k][0]) for k in pair[1].tolist()], object)
+        self.depth = int(size.max(initial=0)) + 1
         self.shortest = int(self.width.min(initial=window))
 
+    def items_of(self, windows: np.ndarray) -> set[str]:
+        return {i for k in windows.tolist() for i in self.owner[self.bounds[k] : self.bounds[k + 1]] if i is not None}
+
+
+def suffix_order(words: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The positions ``at`` in the order of the suffixes of ``words`` there, up to the first 0 of each, by doubling."""
+    run, rank, k = _run_lengths(words), words.astype(np.int64), 1
+    while len(words) and k < int(run.max(initial=0)):
+        second = np.where(run > k, rank[np.minimum(np.arange(len(words)) + k, len(words) - 1)], 0)
+        by = np.lexsort((second, rank))
+        fresh = (rank[by[1:]] != rank[by[:-1]]) | (second[by[1:]] != second[by[:-1]])
+        rank = np.empty(len(words), np.int64)
+        rank[by] = np.append(0, np.cumsum(fresh))
+        k *= 2
+    return at[np.argsort(rank[at], kind="stable")]
+
 
 def suffix_array(words: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
     """The positions ``at`` in the order of the suffixes of ``words`` there, compared up to ``depth`` words or the first 0.
@@ -127,6 +153,24 @@ def longest_matches(words: np.ndarray, order: np.ndarray, bench: Benchmark) -> t
     return best, place
 
 
+def longest_at(words: np.ndarray, at: np.ndarray, bench: Benchmark) -> np.ndarray:
+    """Words of the longest match of each place of the shard with any suffix of the benchmark that holds a window."""
+    low = search(bench.words, bench.suffixes, words, at)
+    best = np.zeros(len(at), np.int64)
+    for side in (low - 1, low):
+        ok = (side >= 0) & (side < len(bench.suffixes))
+        near = bench.suffixes[np.clip(side, 0, len(bench.suffixes) - 1)]
+        best = np.maximum(best, np.where(ok, common_prefix(words, at, bench.words, near), 0))
+    return best
+
+
+def _runs(pairs: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
+    """Of sorted (key, value) columns: the keys, and the values of each."""
+    key, value = pairs
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+    return key[first].tolist(), np.split(value, first[1:])
+
+
 def _run_lengths(words: np.ndarray) -> np.ndarray:
     """Words from each position to the next 0."""
     at = np.arange(len(words))
@@ -160,12 +204,12 @@ def _search_pass(shared):
                 low, high = (search(words, order, bench.words, test, width, after) for after in (False, True))
                 count = high - low
                 at = order[np.arange(int(count.sum())) + np.repeat(low - (np.cumsum(count) - count), count)]
-                wide, who = np.repeat(width, count), np.repeat(hit, count)
+                wide, window = np.repeat(width, count), np.repeat(hit, count)
                 doc = np.searchsorted(begin, at, side="right") - 1
-                np.maximum.at(longest, doc, common_prefix(words, at, bench.words, bench.start[who]))
-                for d, i in set(zip(doc.tolist(), bench.owner[who].tolist())):
-                    if i is not None:
-                        items[d].add(i)
+                np.maximum.at(longest, doc, longest_at(words, np.unique(at), bench)[np.unique(at, return_inverse=True)[1]])
+                pairs = np.unique(np.stack([doc, window]), axis=1)
+                for d, mine in zip(*_runs(pairs)):
+                    items[d] |= bench.items_of(mine)
                 for d, s, e in _merged(doc, at - begin[doc], wide):
                     spans[d].append({"start": s, "end": e})
             yield pa.RecordBatch.from_arrays(
@@ -206,7 +250,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col:
     A window is ``window`` words running of an item; an item of fewer words, but not none, is one
     window. Returns for each row of ``docs``: id, n_words, spans (word ranges inside occurrences
     of windows, end exclusive; the spans of several passes may overlap), items (ids of items found,
-    as text, sorted) and longest (words of the longest match found). Null texts have no words; items
+    as text, sorted) and longest (words of the longest match that holds a window, else 0). Null texts have no words; items
     without words are left out, and so are those without id, but for ``unnamed``: then their
     windows count in spans and longest, and only items can't list them; rows that repeat are each answered; other columns are not
     read; empty tables give no rows, or no spans.
@@ -216,15 +260,23 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col:
     schema = T.StructType.fromDDL("text string, n_words long, spans array<struct<start:long,end:long>>, items array<string>, longest long")
     schema = T.StructType([T.StructField("id", kind), *schema.fields])
     found = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<start:long,end:long>>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"), F.lit(0).cast("long").alias("longest"))
-    blocks = list(_shared(spark, benchmark, window, item_col, item_text_col, unnamed))
-    for block in blocks or [spark.sparkContext.broadcast(Benchmark([], window))]:
-        found = found.mapInArrow(_search_pass(block), schema)
-    return found.select(F.col("id").alias(id_col), "n_words", "spans", "items", "longest")
-
-
-def _shared(spark, benchmark: DataFrame, window: int, item_col: str, text_col: str, unnamed: bool):
-    for block in _blocks(benchmark, item_col, text_col, unnamed):
-        yield spark.sparkContext.broadcast(Benchmark(block, window))
+    folder, held = None, []
+
+    def passed(df: DataFrame) -> DataFrame:
+        for block in held:
+            df = df.mapInArrow(_search_pass(block), schema)
+        return df
+
+    for k, block in enumerate(_blocks(benchmark, item_col, item_text_col, unnamed)):
+        if len(held) == PASSES:  # what these found is written before more blocks are broadcast
+            folder = folder or workdir(spark)
+            found = materialize(passed(found), f"{folder}/pass-{k}")
+            for old in held:
+                old.destroy()
+            held = []
+        held.append(spark.sparkContext.broadcast(Benchmark(block, window)))
+    held = held or [spark.sparkContext.broadcast(Benchmark([], window))]
+    return passed(found).select(F.col("id").alias(id_col), "n_words", "spans", "items", "longest")
 
 
 def hit_words(spans: str = "spans"):
