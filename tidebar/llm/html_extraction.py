@@ -2,7 +2,7 @@
 
 Every block element of a page is a node with two states, content or not. A node's own evidence
 is a sum of learned weights: its tag, the words of its class, id and role, how much text it holds
-itself and how much of that is links. A learned potential on each parent-child pair carries
+itself and beneath it, and how much of that is links. A learned potential on each parent-child pair carries
 evidence along the tree. Messages go from the leaves to the root and back (sum-product), which
 gives the exact marginal of each node; text whose node is content with probability one half or
 more is kept. Weights and potentials maximise the likelihood of labelled pages, whose gradient
@@ -39,6 +39,8 @@ RAW = frozenset("script style textarea title iframe noscript".split())
 #: A start tag that closes an open element of these tags, looked for up to the bounding tags.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "body": ("head",)}
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
+#: Nodes below this depth hang on the one at it, as in browsers; text is not affected.
+DEEPEST = 512
 _BOUNDS = frozenset("ul ol dl table article section div td th body html".split())
 
 CLASS_BUCKETS = 1024
@@ -46,9 +48,12 @@ TAGS = "html body div section article main p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd
 _TAG_NUMBER = {t: k for k, t in enumerate(TAGS)}
 TEXT_STEPS = (1, 20, 60, 150, 400)
 LINK_STEPS = (0.2, 0.5, 0.9)
-N_FEATURES = len(TAGS) + CLASS_BUCKETS + (len(TEXT_STEPS) + 1) + (len(LINK_STEPS) + 1) + 1
+BENEATH_STEPS = (1, 100, 300, 1000, 3000)
 _TEXT_AT = len(TAGS) + CLASS_BUCKETS
 _LINK_AT = _TEXT_AT + len(TEXT_STEPS) + 1
+_BENEATH_AT = _LINK_AT + len(LINK_STEPS) + 1
+_BENEATH_LINK_AT = _BENEATH_AT + len(BENEATH_STEPS) + 1
+N_FEATURES = _BENEATH_LINK_AT + len(LINK_STEPS) + 2
 
 
 class Forest:
@@ -67,6 +72,8 @@ class Forest:
         self.pages = 0
 
     def _node(self, parent: int, tag: str, attributes: str) -> int:
+        if parent >= 0 and self.depth[parent] >= DEEPEST:
+            parent = self.parent[parent]
         self.parent.append(parent)
         self.depth.append(self.depth[parent] + 1 if parent >= 0 else 0)
         self.tag.append(tag)
@@ -82,7 +89,10 @@ class Forest:
         stack = [("html", root)]  # open elements; inline ones with the node of their block
         silent = links = 0
         at, runs = 0, self.runs
-        length = len(page)
+        length, last = len(page), page.rfind(">") + 1
+        # places in the stack: of each tag, of blocks, of tags that bound what a start tag closes
+        where: dict[str, list[int]] = {}
+        blocks, bounds = [0], [0]
 
         def close(depth: int) -> None:
             nonlocal silent, links
@@ -90,9 +100,18 @@ class Forest:
                 tag, _ = stack.pop()
                 silent -= tag in SILENT
                 links -= tag == "a"
+                if stack:
+                    where[tag].pop()
+                    if tag not in INLINE:
+                        blocks.pop()
+                    if tag in _BOUNDS:
+                        bounds.pop()
                 if tag not in INLINE:
                     runs.append((number, -1, " "))
 
+        def latest(*tags: str) -> int:
+            return max((where[t][-1] for t in tags if where.get(t)), default=0)
+
         def text(a: int, b: int) -> None:
             if a < b and not silent:
                 t = page[a:b]
@@ -106,42 +125,43 @@ class Forest:
                 runs.append((number, node, t))
 
         while at < length:
-            m = _TAG.search(page, at)
+            m = _TAG.search(page, at, last) if at < last else None
             if m is None:
-                text(at, length)
+                comment = page.find("<!--", at)
+                text(at, comment if comment >= 0 else length)
                 break
             text(at, m.start())
             at = m.end()
+            if page.startswith("<!--", m.start()) and not m[0].endswith("-->"):
+                break  # an unclosed comment goes on to the end
             name = m[2] or m[5]
             if name is None:
                 continue
             tag = name.lower()
             if m[1] or m[4]:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == tag:
-                        close(k)
-                        break
-                    if tag in INLINE and stack[k][0] not in INLINE:
-                        break
-                else:
-                    if tag == "p":
-                        runs.append((number, -1, " "))
+                k = latest(tag)
+                if k and (tag not in INLINE or k > blocks[-1]):
+                    close(k)
+                elif tag == "p":
+                    runs.append((number, -1, " "))
                 continue
             if tag in VOID:
                 if tag in ("br", "hr"):
                     runs.append((number, -1, " "))
                 continue
             if tag == "html":
-                self.attributes[root] += m[3] or m[6] or ""
+                self.attributes[root] = self.attributes[root] or m[3] or m[6] or ""
                 continue
             if tag in ENDS_P or tag in CLOSES:
                 wanted = CLOSES.get(tag, ()) + (("p",) if tag in ENDS_P else ())
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] in wanted:
-                        close(k)
-                        break
-                    if stack[k][0] in _BOUNDS:
-                        break
+                k = latest(*wanted)
+                if k and k >= bounds[-1]:
+                    close(k)
+            where.setdefault(tag, []).append(len(stack))
+            if tag not in INLINE:
+                blocks.append(len(stack))
+            if tag in _BOUNDS:
+                bounds.append(len(stack))
             if tag in INLINE:
                 stack.append((tag, stack[-1][1]))
             else:
@@ -165,10 +185,21 @@ class Forest:
             out.append(known[key])
         return out
 
-    def measured(self) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of the text-size and link-share feature of each node."""
+    def measured(self) -> tuple[np.ndarray, ...]:
+        """Numbers of the text-size and link-share features of each node, of its own text and of all beneath it."""
         own, linked = np.array(self.own, np.float64), np.array(self.linked, np.float64)
-        return _TEXT_AT + np.searchsorted(TEXT_STEPS, own, side="right"), _LINK_AT + np.searchsorted(LINK_STEPS, linked / np.maximum(own, 1), side="right")
+        parent, depth = np.array(self.parent, np.int64), np.array(self.depth, np.int64)
+        beneath = np.stack([own, linked])
+        order = np.argsort(-depth, kind="stable")
+        for level in np.split(order, np.cumsum(np.bincount(depth)[::-1])[:-1]):
+            inner = level[parent[level] >= 0]
+            for sums in beneath:
+                np.add.at(sums, parent[inner], sums[inner])
+        share = lambda part, all_: np.searchsorted(LINK_STEPS, part / np.maximum(all_, 1), side="right")
+        return (
+            _TEXT_AT + np.searchsorted(TEXT_STEPS, own, side="right"), _LINK_AT + share(linked, own),
+            _BENEATH_AT + np.searchsorted(BENEATH_STEPS, beneath[0], side="right"), _BENEATH_LINK_AT + share(beneath[1], beneath[0]),
+        )
 
 
 class Tree:
@@ -207,8 +238,7 @@ class Model:
             return np.zeros(0)
         known: dict[int, float] = {}
         base = np.array([known.setdefault(id(f), float(self.weights[f].sum())) for f in forest.features()])
-        size, link = forest.measured()
-        unary = np.stack([np.zeros(len(base)), base + self.weights[size] + self.weights[link]], axis=1)
+        unary = np.stack([np.zeros(len(base)), base + sum(self.weights[f] for f in forest.measured())], axis=1)
         return Tree(forest).solve(unary, self.pair)[0][:, 1]
 
     def extract(self, pages: list[str]) -> list[str]:

@@ -7,6 +7,7 @@ without it take the label of the element around them.
 from __future__ import annotations
 
 import random
+import re
 
 _TOP = (
     '<nav><ul>{links}</ul></nav>',
@@ -56,6 +57,9 @@ _BODY = (
     '<section class="content" data-main="1"><h2>{short}</h2>{paragraphs}{inner}</section>',
     '<div data-main="1">{paragraphs}</div>',
     '<div class="container"><div class="text" data-main="1">{paragraphs}{inner}</div></div>',
+    '<div role="main" data-main="1"><div class="top"><h1>{short}</h1></div><div class="block">{paragraphs}{inner}</div></div>',
+    '<div class="outer"><div class="inner"><h1 data-main="1">{short}</h1><div class="box" data-main="1">{paragraphs}{inner}</div></div></div>',
+    '<table><tr><td class="left"><ul>{links}</ul></td><td class="middle" data-main="1">{paragraphs}{inner}</td></tr></table>',
 )
 _PARAGRAPHS = (
     '<p>{text}</p>', '<p>{text} <a href="#">{short}</a> {text}</p>', '<p><b>{text}<br><p>{text}</p>', '<blockquote><p>{text}</p></blockquote>',
@@ -72,11 +76,17 @@ def labelled_pages(n: int = 200, seed: int = 11) -> list[str]:
     def words(low: int, high: int, stop: str = "") -> str:
         return " ".join("".join(rng.choices(_SYLLABLES, k=rng.randint(1, 4))) for _ in range(rng.randint(low, high))).capitalize() + stop
 
+    def renamed(layout: str) -> str:
+        """Now and then with class names that say nothing, so that the model learns from structure and text, too."""
+        if rng.random() < 0.65:
+            return layout
+        return re.sub(r' (class|id)="[^"]*"', lambda m: rng.choice(("", f' {m[1]}="{words(1, 1).lower()}"')), layout)
+
     def fill(layout: str, mark: bool = True) -> str:
         out = layout.replace("{links}", "".join(f'<li><a href="#">{words(1, 3)}</a></li>' for _ in range(rng.randint(2, 7))))
         out = out.replace("{inline}", " | ".join(f'<a href="#">{words(1, 2)}</a>' for _ in range(rng.randint(2, 5))))
         while "{text}" in out:
-            out = out.replace("{text}", " ".join(words(4, 18, ".") for _ in range(rng.randint(1, 4))), 1)
+            out = out.replace("{text}", " ".join(words(4, 18, ".") for _ in range(rng.randint(1, 4) if rng.random() < 0.96 else rng.randint(20, 120))), 1)
         while "{short}" in out:
             out = out.replace("{short}", words(2, 8), 1)
         return out.replace(">", ' data-main="0">', 1) if mark else out
@@ -85,10 +95,10 @@ def labelled_pages(n: int = 200, seed: int = 11) -> list[str]:
     for _ in range(n):
         paragraphs = "".join(fill(rng.choice(_PARAGRAPHS), False) for _ in range(rng.randint(1, 12)))
         inner = "".join(fill(rng.choice(_EXTRA + _SIDE[:1] + _COMMENTS)) for _ in range(rng.choice((0, 0, 0, 1, 2))))
-        body = fill(rng.choice(_BODY), False).replace("{paragraphs}", paragraphs).replace("{inner}", inner)
+        body = fill(renamed(rng.choice(_BODY)), False).replace("{paragraphs}", paragraphs).replace("{inner}", inner)
         bare = rng.random() < 0.3  # nothing but the article, or hardly more
         parts = [] if bare else [fill(rng.choice(_TOP)), *[fill(rng.choice(_EXTRA)) for _ in range(rng.randint(0, 2))]]
-        whole = bare and rng.random() < 0.6
+        whole = rng.random() < (0.6 if bare else 0.2)
         parts.append(f"<h1>{words(2, 8)}</h1>{paragraphs}{inner}" if whole else body)
         if not bare:
             parts += [fill(rng.choice(_SIDE)) for _ in range(rng.randint(0, 1))] + [fill(rng.choice(_COMMENTS)) for _ in range(rng.randint(0, 1))]
