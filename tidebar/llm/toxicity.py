@@ -117,7 +117,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total / np.maximum(n, 1) + self.bias, -60, 60)))
 
 
-def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray, rounds: int = 70, rate: float = 0.1, decay: float = 1e-6, seed: int = 1) -> Model:
+def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray, rounds: int = 70, rate: float = 0.2, decay: float = 1e-5, seed: int = 1) -> Model:
     """Train embeddings and softmax on whole texts, weighted, by Adam over the full sample."""
     if not len(texts) or toxic.min() == toxic.max():
         share = float(np.average(toxic, weights=weight)) if len(texts) else 0.0
