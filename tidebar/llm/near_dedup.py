@@ -7,7 +7,7 @@
    bins, a pair at a similarity of 0.85 shares none with a probability of 2e-8, at 0.8 of 3e-6.
    Buckets with the same members are kept once.
 3. Every kept bucket is verified whole. Its members are dealt into blocks of a bounded size; the
-   member of least digest stands in every block. A task counts all intersections of the full
+   member whose digest has the least hash stands in every block. A task counts all intersections of the full
    shingle sets of a block by one matrix product and returns the links that join what isn't joined
    yet, fewer than its members, and the members that its links don't join to the least one. Only
    those can still tell classes apart or join them, so only they are held, by blocks again,
@@ -105,7 +105,8 @@ def _verified(threshold: tuple[int, int], first: bool):
                 near = (den * both >= num * (size[i] + size[:i] - both)) & (both > 0) & (asked[i] | asked[:i])
                 links += [(node[i], node[j]) for j in np.flatnonzero(near).tolist() if classes.join(i, j)]
         if first and table.column("blocks")[0].as_py() > 1:
-            links += [(d, None) for i, d in enumerate(node) if classes.root(i)]
+            least = {classes.root(node.index(d)) for d, x in zip(table.column("digest").to_pylist(), table.column("least").to_pylist()) if x}
+            links += [(d, None) for i, d in enumerate(node) if classes.root(i) != min(least)]
         a, b = zip(*links) if links else ((), ())
         return pa.table({"bucket": pa.array([key[0].as_py()] * len(a), pa.int64()), "a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
@@ -165,7 +166,7 @@ def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = (85, 100), id
     same = named.groupBy("digest").agg(F.min(F.struct("doc_id", "key")).alias("first"), F.min_by("bands", "doc_id").alias("bands"), F.max("n_shingles").alias("n_shingles"), F.count("*").alias("n"))
     same = materialize(same.select("digest", F.col("first.doc_id").alias("node"), F.col("first.key").alias("key"), "bands", "n_shingles", "n"), f"{folder}/same")
     entries = materialize(same.select("digest", "n_shingles", F.explode("bands").alias("bucket")), f"{folder}/entries")
-    buckets = entries.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"), F.min("digest").alias("least"), F.bit_xor(F.xxhash64("digest")).alias("x"), F.bit_xor(F.xxhash64("digest", F.lit(7))).alias("y")).filter("n > 1")
+    buckets = entries.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"), F.min(F.xxhash64("digest")).alias("least"), F.bit_xor(F.xxhash64("digest")).alias("x"), F.bit_xor(F.xxhash64("digest", F.lit(7))).alias("y")).filter("n > 1")
     blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks")
     kept = buckets.groupBy("n", "least", "x", "y").agg(F.min("bucket").alias("bucket"), F.max("shingles").alias("shingles")).select("bucket", "least", "n", blocks)
     kept = materialize(kept, f"{folder}/buckets")
@@ -173,7 +174,7 @@ def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = (85, 100), id
     # the texts of candidates, by a merge join at every size: the ids grow with the corpus; the key tells texts of one id apart
     wanted = same.join(inside.select("digest").distinct(), "digest", "left_semi").select("digest", F.col("node").alias("doc_id"), "key")
     texts = materialize(whole.join(wanted.hint("merge"), ["doc_id", "key"]).select("digest", "text"), f"{folder}/texts")
-    placed = inside.withColumn("block", F.when(F.col("digest") == F.col("least"), -1).otherwise(F.pmod(F.xxhash64("digest", F.lit(11)), F.col("blocks"))).cast("int"))
+    placed = inside.withColumn("least", F.xxhash64("digest") == F.col("least")).withColumn("block", F.when(F.col("least"), -1).otherwise(F.pmod(F.xxhash64("digest", F.lit(11)), F.col("blocks"))).cast("int"))
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
     once = placed.withColumn("block", F.explode(F.when(F.col("block") < 0, every).otherwise(F.array("block"))))
     near = once.join(texts, "digest").groupBy("bucket", "block").applyInArrow(_verified(similarity, True), "bucket long, a binary, b binary")
