@@ -101,14 +101,37 @@ def test_token_store(spark, docs, empty, texts, tmp_path):
     assert token_store.read_digests(spark, str(tmp_path / "e")).count() == 0
 
 
-def test_changed_chunks_are_noticed(spark, docs, tmp_path):
-    token_store.write_store(docs.filter("doc_id < 9"), queries.tokenizer("word_bpe_49k.json"), 2, str(tmp_path / "s"))
-    bad = spark.read.parquet(str(tmp_path / "s/store")).withColumn("payload", F.when(F.col("kind") == "chunk", F.concat("payload", F.unhex(F.lit("0000")))))
-    bad.write.partitionBy("kind").parquet(str(tmp_path / "t/store"))
-    for part in ("manifest", "offsets"):
-        spark.read.parquet(str(tmp_path / "s" / part)).write.parquet(str(tmp_path / "t" / part))
-    with pytest.raises(Exception, match="does not match"):
-        token_store.read_digests(spark, str(tmp_path / "t")).collect()
+CHANGES = {
+    "payload": ("store", lambda d: d.withColumn("payload", F.when(F.col("kind") == "chunk", F.concat("payload", F.unhex(F.lit("0000")))))),
+    "ids of a chunk": ("store", lambda d: d.withColumn("n", F.when(F.col("kind") == "chunk", F.col("n") * 2).otherwise(F.col("n")))),
+    "behind": ("store", lambda d: d.withColumn("behind", F.transform("behind", lambda b: b + 1))),
+    "keys": ("store", lambda d: d.withColumn("keys", F.reverse("keys")).filter("kind <> 'recipe' or size(keys) > 1")),
+    "lost chunks": ("store", lambda d: d.filter("kind <> 'chunk'")),
+    "manifest": ("manifest", lambda d: d.withColumn("before", F.col("before") + 1)),
+    "lost row": ("manifest", lambda d: d.filter("place > 0")),
+    "offset": ("tree", lambda d: d.withColumn("offset", F.col("offset") + 1)),
+    "lost file": ("tree", lambda d: d.filter("file > 0")),
+    "root": ("root", lambda d: d.withColumn("root", F.lit("0"))),
+}
+
+
+@pytest.fixture(scope="module")
+def store(spark, docs, tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("store"))
+    token_store.write_store(docs.filter("doc_id < 12"), queries.tokenizer("word_bpe_49k.json"), 2, f"{folder}/s")
+    return f"{folder}/s"
+
+
+@pytest.mark.parametrize("what", CHANGES)
+def test_changed_stores_are_noticed(spark, store, tmp_path, what):
+    where, change = CHANGES[what]
+    for part in ("store", "manifest", "tree", "root"):
+        df = spark.read.parquet(f"{store}/{part}")
+        out = (change(df) if part == where else df).write
+        (out.partitionBy("kind") if part == "store" else out).parquet(str(tmp_path / part))
+    for read in (token_store.read_digests, token_store.read_documents):
+        with pytest.raises(Exception, match="does not match|chunks are missing|number"):
+            read(spark, str(tmp_path)).collect()
 
 
 def test_crc_parts():

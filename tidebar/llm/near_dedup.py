@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dealt, hot_keys, join_hot, let_go, materialize, repeated, sliced, workdir
+from .common import dealt, discard, hot_keys, join_hot, let_go, materialize, repeated, sliced, workdir
 from .sketching import shingle_sets, sketches
 
 ROWS, BANDS = 4, 24
@@ -145,6 +145,8 @@ def connected(links: DataFrame, folder: str) -> DataFrame:
         up = labels.select(F.col("node").alias("new"), F.col("component").alias("up"))
         moved = materialize(join_hot(step, up, ["new"], "node", "left").select("node", "old", F.least("new", F.coalesce("up", "new")).alias("component")), f"{folder}/labels-{k}")
         labels = moved.select("node", "component")
+        if k > 1:
+            discard(links.sparkSession, f"{folder}/labels-{k - 2}")
         if moved.filter("old <> component").isEmpty():
             return labels
 

@@ -2,16 +2,20 @@
 
 Layout under one folder, all Parquet:
 
-* ``store/kind=chunk``: key (SHA-256 of the ids), n, payload (ids, little-endian, 2 or 4 bytes).
-  A rolling hash over the last 16 ids decides where documents are cut into chunks, so equal
-  passages give equal chunks wherever they stand, and each different chunk is stored once.
-* ``store/kind=recipe``: key (Merkle root of the chunk keys), n, the chunk keys in order and the
-  number of ids behind each chunk; equal documents share one recipe.
+* ``store/kind=chunk``: key (SHA-256 of the width of an id and the ids), n, payload (ids,
+  little-endian, 2 or 4 bytes). A rolling hash over the last 16 ids decides where documents are
+  cut into chunks, so equal passages give equal chunks wherever they stand, and each different
+  chunk is stored once.
+* ``store/kind=recipe``: key (Merkle root over each chunk's key and the number of ids behind it),
+  n, these keys and numbers in order; equal documents share one recipe.
 * ``manifest``: one row a document in ascending id order, over range-partitioned files: recipe
-  root, number of ids, and place in the file; ``offsets`` has the ids before each file.
+  root, number of ids, place in the file and the ids before it there.
+* ``tree``: for each file of the manifest the Merkle root over its rows, its ids and the ids of
+  all files before it; ``root``: one digest over the rows of ``tree``, which fixes the whole store.
 
-Reading verifies each chunk against its key, each recipe against its root and each document's
-number of ids; a missing or changed piece stops the read.
+Every read begins with the store's root, the tree and the manifest; each recipe is checked
+against its root, each chunk against its key and each document's number of ids against its
+chunks. A missing or changed piece stops the read.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, sliced
+from .common import join_hot, materialize, sliced
 from .tokens import encoder, with_end
 
 WINDOW = 16
@@ -70,9 +74,13 @@ def chunk_ends(cuts: np.ndarray, n: int) -> list[int]:
     return [*ends, n]
 
 
-def merkle_root(keys: list[bytes]) -> bytes:
-    """Root of a binary Merkle tree; leaves and inner nodes are hashed apart, a lone node moves up."""
-    level = [hashlib.sha256(b"\0" + k).digest() for k in keys]
+def chunk_key(payload: bytes, n: int) -> bytes:
+    return hashlib.sha256(bytes([len(payload) // n]) + payload).digest()
+
+
+def merkle_root(keys: list[bytes], behind: list[int]) -> bytes:
+    """Root of a binary Merkle tree over (key, ids behind); leaves and inner nodes are hashed apart, a lone node moves up."""
+    level = [hashlib.sha256(b"\0" + k + n.to_bytes(8, "little")).digest() for k, n in zip(keys, behind, strict=True)]
     while len(level) > 1:
         level = [hashlib.sha256(b"\1" + b"".join(level[i : i + 2])).digest() if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
     return level[0]
@@ -96,16 +104,17 @@ def _encode(tokenizer: str, end_id: int):
                 keys = []
                 for a, b in zip([0, *ends], ends):
                     payload = ids[start + a : start + b].astype(width).tobytes()
-                    key = hashlib.sha256(payload).digest()
+                    key = chunk_key(payload, b - a)
                     keys.append(key)
                     if key not in seen:
                         seen.add(key)
                         rows.append(("chunk", int.from_bytes(key[:4], "big") & 0x7FFFFFFF, key, None, b - a, None, None, payload))
-                root = merkle_root(keys)
+                behind = [n - e for e in ends]
+                root = merkle_root(keys, behind)
                 rows.append(("doc", int.from_bytes(root[4:8], "big") & 0x7FFFFFFF ^ (doc or 0) & 0x7FFFFFFF, root, doc, n, None, None, None))
                 if root not in seen:
                     seen.add(root)
-                    rows.append(("recipe", int.from_bytes(root[:4], "big") & 0x7FFFFFFF, root, None, n, keys, [n - e for e in ends], None))
+                    rows.append(("recipe", int.from_bytes(root[:4], "big") & 0x7FFFFFFF, root, None, n, keys, behind, None))
             yield pa.RecordBatch.from_arrays([pa.array(col, kind) for col, kind in zip(zip(*rows), _ARROW)], schema=pa.schema(list(zip(_NAMES, _ARROW))))
 
     return run
@@ -133,11 +142,10 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int, folder: str, id_co
     listed = _read(spark, folder, "doc").select("doc_id", F.col("key").alias("root"), "n")
     listed = listed.repartitionByRange(F.col("doc_id").asc_nulls_first(), "root").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "root")
     manifest = materialize(listed.mapInArrow(_placed, "doc_id long, root binary, n long, file int, place long, before long"), f"{folder}/manifest")
-    files = manifest.groupBy("file").agg(F.sum("n").alias("n"))
     # one row a file: few, whatever the number of documents
     before = F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    materialize(files.select("file", before.alias("offset")), f"{folder}/offsets")
-    materialize(_merkle_levels(manifest), f"{folder}/tree")
+    tree = materialize(_file_roots(manifest).select("file", "node", "n", before.alias("offset")), f"{folder}/tree")
+    materialize(_store_root(tree), f"{folder}/root")
 
 
 def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,44 +164,77 @@ def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             place, before = place + len(n), int(upto[-1])
 
 
-def _merkle_levels(manifest: DataFrame, fan: int = 1024) -> DataFrame:
-    """Merkle roots of the manifest's files: nodes over ``fan`` documents each, then a root over a file's nodes."""
+def _file_roots(manifest: DataFrame, fan: int = 1024) -> DataFrame:
+    """file, node, n: Merkle root and ids of each file of the manifest; nodes over ``fan`` documents each, then a root over these."""
 
     def over(df: DataFrame, *by) -> DataFrame:
         ordered = F.array_sort(F.collect_list(F.struct("place", "node")))
-        return df.groupBy(*by).agg(F.sha2(F.concat_ws("", F.transform(ordered, lambda x: x["node"])), 256).alias("node"))
+        return df.groupBy(*by).agg(F.sha2(F.concat_ws("", F.transform(ordered, lambda x: x["node"])), 256).alias("node"), F.sum("n").alias("n"))
 
-    leaves = manifest.select("file", "place", F.sha2(F.concat_ws(":", F.coalesce("doc_id", F.lit(-1)).cast("string"), F.hex("root"), F.col("n").cast("string")), 256).alias("node"))
+    said = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.hex("root"), *[F.col(c).cast("string") for c in ("n", "place", "before")])
+    leaves = manifest.select("file", "place", F.sha2(said, 256).alias("node"), "n")
     nodes = over(leaves.withColumn("block", F.floor(F.col("place") / fan)), "file", "block")
     return over(nodes.withColumnRenamed("block", "place"), "file")
 
 
+def _store_root(tree: DataFrame) -> DataFrame:
+    """root: one digest over the rows of all files in order."""
+    rows = F.array_sort(F.collect_list(F.struct("file", "node", "n", "offset")))
+    return tree.agg(F.sha2(F.to_json(rows), 256).alias("root"))
+
+
 def _read(spark: SparkSession, folder: str, kind: str) -> DataFrame:
     schema = "key binary, doc_id long, n long, keys array<binary>, behind array<long>, payload binary, kind string"
     return spark.read.schema(schema).parquet(f"{folder}/store").filter(F.col("kind") == kind)
 
 
 def verify_manifest(spark: SparkSession, folder: str) -> DataFrame:
-    """Files of the manifest whose Merkle root is not the one written; none if all is well."""
+    """Files of the manifest whose Merkle root is not the one in the tree; none if all is well."""
     manifest, tree = spark.read.parquet(f"{folder}/manifest"), spark.read.parquet(f"{folder}/tree")
-    return _merkle_levels(manifest).withColumnRenamed("node", "now").join(tree, "file", "full_outer").filter("not (now <=> node)")
+    return _file_roots(manifest).select("file", F.col("node").alias("now")).join(tree, "file", "full_outer").filter("not (now <=> node)")
+
+
+def _sound(spark: SparkSession, folder: str) -> DataFrame:
+    """The manifest with the offset of its file, after root, tree and manifest have been checked."""
+    tree = spark.read.parquet(f"{folder}/tree")
+    if _store_root(tree).first() != spark.read.parquet(f"{folder}/root").first():
+        raise ValueError("the tree does not match the root of the store")
+    if not verify_manifest(spark, folder).isEmpty():
+        raise ValueError("the manifest does not match its tree")
+    return spark.read.parquet(f"{folder}/manifest").join(tree.select("file", "offset"), "file")
+
+
+def _entries(spark: SparkSession, folder: str, chunks: DataFrame) -> DataFrame:
+    """Chunks of the recipes: root, behind, and the columns of ``chunks``; a chunk that many recipes share is dealt over tasks."""
+    recipes = _read(spark, folder, "recipe").select("key", "keys", "behind")
+    shared = recipes.select(F.explode("keys").alias("chunk")).groupBy("chunk").agg(F.count("*").alias("n"))
+    entries = recipes.mapInArrow(_recipe_entries, "root binary, chunk binary, behind long")
+    return join_hot(entries, chunks, ["chunk"], "root", counts=shared)
 
 
 def _chunk_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         crcs = []
         for key, n, payload in zip(*(c.to_pylist() for c in batch.columns)):
-            if hashlib.sha256(payload).digest() != key:
+            if chunk_key(payload, n) != key:
                 raise ValueError(f"chunk {key.hex()} does not match its key")
             crcs.append(zlib.crc32(np.frombuffer(payload, f"<u{len(payload) // n}").astype("<u4").tobytes()))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(crcs, pa.int64())], names=["chunk", "m", "crc"])
 
 
+def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for key, n, payload in zip(*(c.to_pylist() for c in batch.columns)):
+            if chunk_key(payload, n) != key:
+                raise ValueError(f"chunk {key.hex()} does not match its key")
+        yield pa.RecordBatch.from_arrays(batch.columns, names=["chunk", "n", "payload"])
+
+
 def _recipe_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for root, keys, behind in zip(*(c.to_pylist() for c in batch.columns)):
-            if merkle_root(keys) != root:
+            if merkle_root(keys, behind) != root:
                 raise ValueError(f"recipe {root.hex()} does not match its root")
             rows += [(root, k, b) for k, b in zip(keys, behind)]
         root, chunk, behind = zip(*rows) if rows else ((), (), ())
@@ -239,24 +280,23 @@ def read_digests(spark: SparkSession, folder: str) -> DataFrame:
     ids that follow it. So copies cost no second read, and no whole document is gathered.
     """
     chunks = _read(spark, folder, "chunk").select("key", "n", "payload").mapInArrow(_chunk_digests, "chunk binary, m long, crc long")
-    entries = _read(spark, folder, "recipe").select("key", "keys", "behind").mapInArrow(_recipe_entries, "root binary, chunk binary, behind long")
-    whole = entries.join(chunks, "chunk").select("root", "behind", "m", "crc").mapInArrow(_moved, "root binary, m long, part long")
+    whole = _entries(spark, folder, chunks).select("root", "behind", "m", "crc").mapInArrow(_moved, "root binary, m long, part long")
     whole = whole.groupBy("root").agg(F.bit_xor("part").alias("ids_crc32"), F.sum("m").alias("m"))
-    manifest, offsets = spark.read.parquet(f"{folder}/manifest"), spark.read.parquet(f"{folder}/offsets")
     sound = F.when(F.col("m") == F.col("n"), F.col("n")).otherwise(F.raise_error(F.lit("a document's chunks are missing")).cast("long"))
-    return manifest.join(whole, "root", "left").join(offsets, "file").select("doc_id", (F.col("offset") + F.col("before")).alias("start"), sound.alias("n_tokens"), "ids_crc32")
+    read = join_hot(_sound(spark, folder), whole, ["root"], "doc_id", "left")
+    return read.select("doc_id", (F.col("offset") + F.col("before")).alias("start"), sound.alias("n_tokens"), "ids_crc32")
 
 
 def read_documents(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, ids (array<int>) of every document, put together from the store."""
-    chunks = _read(spark, folder, "chunk").select(F.col("key").alias("chunk"), "n", "payload")
-    entries = _read(spark, folder, "recipe").select(F.col("key").alias("root"), "keys", "behind").mapInArrow(_recipe_entries, "root binary, chunk binary, behind long")
-    parts = entries.join(chunks, "chunk").groupBy("root").agg(F.sort_array(F.collect_list(F.struct(-F.col("behind"), "n", "payload"))).alias("parts"))
+    chunks = _read(spark, folder, "chunk").select("key", "n", "payload").mapInArrow(_checked, "chunk binary, n long, payload binary")
+    parts = _entries(spark, folder, chunks).groupBy("root").agg(F.sort_array(F.collect_list(F.struct(-F.col("behind"), "n", "payload"))).alias("parts"))
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = [np.concatenate([np.frombuffer(p["payload"], f"<u{len(p['payload']) // p['n']}").astype(np.int32) for p in x]) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    manifest = spark.read.parquet(f"{folder}/manifest")
-    return manifest.join(parts, "root").select("doc_id", "parts").mapInArrow(joined, "doc_id long, ids array<int>")
+    whole = F.coalesce(F.aggregate("parts", F.lit(0).cast("long"), lambda a, p: a + p["n"]) == F.col("n"), F.lit(False))
+    sound = F.when(whole, F.col("parts")).otherwise(F.raise_error(F.lit("a document's chunks are missing")))
+    return _sound(spark, folder).join(parts, "root", "left").select("doc_id", sound.alias("parts")).mapInArrow(joined, "doc_id long, ids array<int>")
