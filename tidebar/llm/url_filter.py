@@ -4,7 +4,7 @@ Every host has a tree of path templates. Variable segments become wildcards: tho
 once (a file ending stays), and under each branching, level by level to the deepest, all segments,
 where there are many different ones that each come seldom. Branches of a host that have the same shape
 and don't differ significantly in their blocked share are merged (two-sided test against the
-shape's share). Labelled urls are those a rule decides. The blocked share of a template is
+shape's share); branches without labels can't differ, so they are judged with their shape. Labelled urls are those a rule decides. The blocked share of a template is
 smoothed towards the share of the same template over all hosts, and that one towards the share
 of all labelled urls; templates at or above ``threshold`` are rejected.
 
@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, workdir
+from .common import join_hot, materialize, workdir
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -87,7 +87,7 @@ def judge(pages: DataFrame, rules: list[Rule], threshold: float = 0.5, id_col: s
     raw = urls.groupBy("host", "raw").agg(F.count("*").alias("n"), F.count("hit").alias("labelled"), blocked.alias("blocked"))
     # counts by host and template are written, as many plans below start from them
     folder = workdir(pages.sparkSession)
-    tree = materialize(raw.withColumn("template", F.col("raw")), f"{folder}/raw")
+    tree = counts = materialize(raw.withColumn("template", F.col("raw")), f"{folder}/raw")
     for level in range(_depth(tree)):
         prefix = F.slice("template", 1, level)
         here = F.try_element_at("template", F.lit(level + 1))
@@ -106,7 +106,7 @@ def judge(pages: DataFrame, rules: list[Rule], threshold: float = 0.5, id_col: s
     # far apart: the branch's share lies over 1.96 standard errors from the shape's
     off = F.col("blocked") - F.col("labelled") * share
     alike = (F.col("labelled") == 0) | (F.col("all_labelled") == 0) | (off * off <= 1.96 * 1.96 * F.col("labelled") * share * (1 - share))
-    merged = branch.join(shapes, ["host", "shape"]).withColumn("template", F.when((F.col("branches") > 1) & (F.col("labelled") > 0) & alike, F.col("shape")).otherwise(F.col("own")))
+    merged = branch.join(shapes, ["host", "shape"]).withColumn("template", F.when((F.col("branches") > 1) & alike, F.col("shape")).otherwise(F.col("own")))
     nodes = merged.groupBy("host", "template").agg(*sums)
     total = nodes.agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("l")).select(F.coalesce(F.try_divide("b", "l"), F.lit(0.0)).alias("prior"))
     across = branch.groupBy(F.col("own").alias("t")).agg(F.sum("labelled").alias("cl"), F.sum("blocked").alias("cb"))
@@ -115,7 +115,8 @@ def judge(pages: DataFrame, rules: list[Rule], threshold: float = 0.5, id_col: s
     judged = merged.select("host", "own", "template").join(nodes, ["host", "template"]).join(across, F.col("own") == F.col("t"))
     judged = judged.select("host", "own", "template", ((F.col("blocked") + ALPHA * F.col("wide_share")) / (F.col("labelled") + ALPHA)).alias("purity"))
     by_raw = tree.select("host", "raw", "own").join(judged, ["host", "own"]).select("host", "raw", "template", "purity")
-    out = urls.join(by_raw, ["host", "raw"])
+    # a host, or urls without one, may be a third of all rows
+    out = join_hot(urls, by_raw, ["host", "raw"], "page_id", counts=counts)
     method = F.when(F.col("purity") >= threshold, "block").otherwise("allow")
     return out.select(F.col("page_id").alias(id_col), "host", "path", F.col("hit.rule").alias("rule"), F.coalesce("hit.verdict", method).alias("verdict"), "template", F.round("purity", 6).alias("purity"))
 
@@ -147,8 +148,8 @@ t0 as (select host, raw, raw template, count(*) n, count(rule) labelled, count(*
 tree as (select host, raw, labelled, blocked, '/' || array_to_string(template, '/') own, '/' || array_to_string(list_transform(template, lambda s: case when starts_with(s, '*') then s else '*' end), '/') shape from {name}),
 branch as (select host, own, shape, sum(labelled) labelled, sum(blocked) blocked from tree group by all),
 shapes as (select host, shape, sum(labelled) al, sum(blocked) ab, count(*) branches from branch group by all),
-merged as (select host, own, labelled, blocked, case when branches > 1 and labelled > 0 and
-    (blocked - labelled * (ab / al)) * (blocked - labelled * (ab / al)) <= 1.96::double * 1.96::double * labelled * (ab / al) * (1 - ab / al) then shape else own end template
+merged as (select host, own, labelled, blocked, case when branches > 1 and (labelled = 0 or
+    (blocked - labelled * (ab / al)) * (blocked - labelled * (ab / al)) <= 1.96::double * 1.96::double * labelled * (ab / al) * (1 - ab / al)) then shape else own end template
   from branch join shapes using (host, shape)),
 nodes as (select host, template, sum(labelled) labelled, sum(blocked) blocked from merged group by all),
 total as (select case when sum(labelled) > 0 then sum(blocked) / sum(labelled) else 0 end prior from nodes),
