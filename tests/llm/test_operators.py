@@ -1,5 +1,6 @@
 """Corpus operators against plain versions, with nulls, empties, ties, repeats and clashing columns."""
 
+import datetime
 import hashlib
 import random
 import re
@@ -492,9 +493,9 @@ def test_pii(spark):
         (3, "2024-02-29 2023-02-29 31.12.1999 12/25/2001 +1 (017) 555-7713 (017) 555-7713"), (4, None), (5, ""), (5, ""), (6, "10.2.3.4 no numbers here $1 \\1"), (None, "plain"),
     ]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("found", F.lit(1)).withColumn("__found", F.lit(2))
-    out = pii.pseudonymize(df)
+    out = pii.pseudonymize(df, "k1")
     assert out.columns == df.columns and out.count() == len(rows)
-    got = {r.doc_id: r for r in pii.pseudonymize(df.drop("found"), found_col="found").collect()}
+    got = {r.doc_id: r for r in pii.pseudonymize(df.drop("found"), "k1", found_col="found").collect()}
     values = {f.value: f for r in got.values() for f in r.found or []}
     assert "4111111111111112" in got[1].text and "999.1.1.1" in got[2].text and "000-12-3456" in got[2].text and "2023-02-29" in got[3].text
     assert all(v not in r.text for r in got.values() if r.text for v in (f.value for f in r.found))
@@ -514,9 +515,52 @@ def test_pii_is_a_permutation(spark):
     new = n.select(F.expr(pii._permuted("k", "t", "d")).alias("p"))
     assert new.distinct().count() == 3000 and new.filter("length(p) <> 4").count() == 0
     dates = spark.range(2000).selectExpr("date_format(date_add(date'1990-01-01', cast(id as int)), 'yyyy-MM-dd') text")
-    assert pii.pseudonymize(dates).distinct().count() == 2000
+    assert pii.pseudonymize(dates, "k").distinct().count() == 2000
     with pytest.raises(ValueError):
-        pii.pseudonymize(dates, key="a'b")
+        pii.pseudonymize(dates, "a'b")
+
+
+def plain_feistel(key, kind, x, y, mx, my):
+    for i in range(pii.ROUNDS):
+        half, size = (y, mx) if i % 2 == 0 else (x, my)
+        draw = int(hashlib.sha256(f"{key}|{kind}|{i}|{half}".encode()).hexdigest()[:12], 16) % size
+        x, y = ((x + draw) % mx, y) if i % 2 == 0 else (x, (y + draw) % my)
+    return x, y
+
+
+def plain_digits(key, kind, d):
+    a, b = len(d) // 2, len(d) - len(d) // 2
+    x, y = plain_feistel(key, kind, int(d[:a]), int(d[a:]), 10**a, 10**b)
+    return f"{x:0{a}d}{y:0{b}d}"
+
+
+def test_pii_against_a_plain_network(spark):
+    rng = random.Random(8)
+    ips = [".".join(str(rng.randrange(256)) for _ in range(4)) for _ in range(30)]
+    days = [datetime.date(1900, 1, 1) + datetime.timedelta(rng.randrange(pii.DAYS[0] * pii.DAYS[1])) for _ in range(30)]
+    cards = [c for c in ("%016d" % rng.randrange(10**16) for _ in range(400)) if luhn(c)][:20]
+    phones = [f"({rng.randrange(100, 999)}) {rng.randrange(100, 999)}-{rng.randrange(1000, 9999)}" for _ in range(20)]
+    want = {}
+    for v in ips:
+        o = list(map(int, v.split(".")))
+        x, y = plain_feistel("key", "ip", o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536)
+        want[v] = f"{x // 256}.{x % 256}.{y // 256}.{y % 256}"
+    for v in days:
+        n = (v - datetime.date(1900, 1, 1)).days
+        x, y = plain_feistel("key", "date", n // pii.DAYS[1], n % pii.DAYS[1], *pii.DAYS)
+        want[v.isoformat()] = (datetime.date(1900, 1, 1) + datetime.timedelta(x * pii.DAYS[1] + y)).isoformat()
+    for v in cards:
+        body = plain_digits("key", "card", v[:-1])
+        want[v] = next(body + str(c) for c in range(10) if luhn(body + str(c)))
+    for v in phones:
+        d = plain_digits("key", "phone", re.sub(r"\D", "", v))
+        want[v] = f"({d[:3]}) {d[3:6]}-{d[6:]}"
+    rows = [(k, f"so {v} it is") for k, v in enumerate(want)]
+    got = {r.doc_id: r.text for r in pii.pseudonymize(spark.createDataFrame(rows, "doc_id long, text string"), "key").collect()}
+    assert [got[k] for k in range(len(rows))] == [f"so {v} it is" for v in want.values()]
+    assert pii.pseudonymize(spark.createDataFrame([], "doc_id long, text string"), "key").count() == 0
+    long = "word " * 300_000 + "10.2.3.4 " + "9" * 200_000
+    assert "10.2.3.4" not in pii.pseudonymize(spark.createDataFrame([(1, long)], "doc_id long, text string"), "key").first().text
 
 
 def test_items_digest():

@@ -71,6 +71,11 @@ def _permuted(key: str, kind: str, d: str) -> str:
     return _feistel(key, f"{kind}", f"substr({d}, 1, {left})", f"substr({d}, {left} + 1)", power(left), power(right), f"concat(lpad(cast(s.x as string), {left}, '0'), lpad(cast(s.y as string), {right}, '0'))")
 
 
+def _moved_digit(key: str, kind: str, d: str) -> str:
+    """SQL that permutes a single digit by a keyed step; an empty string stays."""
+    return f"if({d} = '', '', cast((cast({d} as int) + cast(conv(substr({_digest(key, kind, chr(39) + 'one' + chr(39))}, 1, 12), 16, 10) as bigint)) % 10 as string))"
+
+
 def _placed(m: str, new: str) -> str:
     """SQL that puts the digits ``new`` where ``m`` has digits."""
     return f"array_join(transform(array({new}), n -> array_join(transform(sequence(1, length({m})), k -> if(substr({m}, k, 1) between '0' and '9', substr(n, length({_digits(f'substr({m}, 1, k)')}), 1), substr({m}, k, 1))), '')), '')"
@@ -126,11 +131,13 @@ def pseudonym_sql(key: str, m: str = "m", kind: str = "kind") -> str:
     ssn = f"concat(lpad(cast({ssn_area} as string), 3, '0'), '-', lpad(cast(s.x % 99 + 1 as string), 2, '0'), '-', lpad(cast(s.y + 1 as string), 4, '0'))"
     card_body = _permuted(key, "card", f"substr({d}, 1, length({d}) - 1)")
     card = f"array_join(transform(array({card_body}), b -> concat(b, cast((10 - {_luhn('b', 1)} % 10) % 10 as string))), '')"
-    # an IBAN keeps country and letters; its account digits, in runs of at most 16, are permuted and the check digits made anew
+    # an IBAN keeps country and letters; its account digits, in even runs of at most 16, are permuted and the check digits made anew
     bare = f"replace({m}, ' ', '')"
     account = _digits(f"substr({bare}, 5)")
     run = _permuted(key, "iban", "r")
-    runs = f"array_join(transform(sequence(0, (length({account}) - 1) div 16), q -> array_join(transform(array(substr({account}, q * 16 + 1, 16)), r -> if(length(r) > 1, {run}, r)), '')), '')"
+    parts = f"((length({account}) + 15) div 16)"
+    size = f"((length({account}) + {parts} - 1) div {parts})"
+    runs = f"array_join(transform(sequence(0, {parts} - 1), q -> array_join(transform(array(substr({account}, q * {size} + 1, {size})), r -> if(length(r) > 1, {run}, {_moved_digit(key, 'iban', 'r')})), '')), '')"
     body = f"array_join(transform(array({runs}), n -> array_join(transform(sequence(1, length({bare}) - 4), k -> if(substr({bare}, k + 4, 1) between '0' and '9', substr(n, length({_digits(f'substr({bare}, 5, k)')}), 1), substr({bare}, k + 4, 1))), '')), '')"
     checked = f"array_join(transform(array({body}), b -> concat(lpad(cast(98 - {_mod97(f'concat(b, substr({bare}, 1, 2), {chr(39)}00{chr(39)})')} as string), 2, '0'), b)), '')"
     spaced = f"array_join(transform(array(concat(substr({bare}, 1, 2), {checked})), z -> if(contains({m}, ' '), trim(regexp_replace(z, '(.{{4}})', '$1 ')), z)), '')"
@@ -149,7 +156,7 @@ def pseudonym_sql(key: str, m: str = "m", kind: str = "kind") -> str:
     )
 
 
-def pseudonymize(docs: DataFrame, key: str = "tidebar", text_col: str = "text", found_col: str | None = None) -> DataFrame:
+def pseudonymize(docs: DataFrame, key: str, text_col: str = "text", found_col: str | None = None) -> DataFrame:
     """``docs`` with personal data in ``text_col`` replaced by pseudonyms; all other columns and all rows are kept.
 
     ``key`` (letters and digits) makes the permutations; whoever has it can undo those of numbers
