@@ -30,9 +30,10 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def pseudonymize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data replaced by pseudonyms and n_chars of changed texts made anew."""
-    found = pii.pseudonymize(docs, found_col="__found")
-    counted = F.when(F.size("__found") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return found.withColumn("n_chars", counted).select(*docs.columns)
+    name = max(docs.columns, key=len) + "_found"  # longer than any column, so none is overwritten
+    found = pii.pseudonymize(docs, queries.pii_key(spark), found_col=name)
+    counted = F.when(F.size(F.col(f"`{name}`")) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return found.withColumn("n_chars", counted).select(*[f"`{c}`" for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
