@@ -1,7 +1,11 @@
 """A training corpus from raw documents: toxicity, near-duplicates, benchmark leaks, personal data, packing.
 
 Every stage works on all that the stage before it kept. The first four return the columns of
-``documents``; the last returns the packed pieces.
+``documents``; the last returns the packed pieces. Every stage takes nulls in any column, empty
+and very long texts, repeated rows and ids, an empty table, and more columns of any name, which it
+keeps: null and empty texts are clean, have no near copy, no leak and no personal data, and make a
+piece of one id; rows that repeat are judged alike; rows without an id are judged by their text,
+but near-duplicates can't name them and keep them.
 """
 
 from __future__ import annotations
