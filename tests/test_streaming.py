@@ -60,14 +60,29 @@ def test_bars_by_instrument(spark, data, tmp_path):
     assert spark.read.parquet(str(tmp_path / "bars")).count() == bars.count()
 
 
-def test_blocks_of_recursions(spark, data, monkeypatch):
+def test_blocks_with_halo(spark, data, monkeypatch):
     from tidebar.operators import indicators as I
+    from tidebar.operators import signals as G
 
-    key = lambda df: sorted((r.sym, r.bar, None if r.y is None else round(r.y, 7)) for r in df.select("sym", "bar", "y").collect())
+    key = lambda df: sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in df.collect())
     bars = S.bars_h1(spark, data)
-    one = key(I.ema(bars, "close", 5, "y"))
-    monkeypatch.setattr(I, "BLOCK", 7)
-    assert key(I.ema(bars, "close", 5, "y")) == one
+    plans = {
+        "ema": lambda: I.ema(bars, "close", 5, "y").select("sym", "bar", F.coalesce("y", F.lit(0.0))), "rsi": lambda: I.rsi(bars, 3, "y").select("sym", "bar", "y"),
+        "donchian": lambda: G.donchian_variants(bars, [5, 10]).select("sym", "bar", "direction", "channel_period"), "divergence": lambda: G.divergence(bars).select("sym", "bar", "direction", "bars_between"),
+    }
+    one = {k: key(f()) for k, f in plans.items()}
+    assert one["ema"] and one["donchian"] and one["divergence"]
+    monkeypatch.setattr(B, "BLOCK", 37)
+    assert {k: key(f()) for k, f in plans.items()} == one
+
+
+def test_first_exits_climb_the_pyramid(spark, data):
+    from tidebar.operators import simulate as X
+
+    bars = S.bars_h1(spark, data).filter("bar < 120")
+    s = bars.filter("bar % 7 = 0").select("sym", "bar", F.lit(1).alias("direction"), F.lit(0).alias("seq"), F.col("close").alias("price"), (F.col("close") - F.pmod(F.col("bar") * 37, F.lit(450))).alias("sl"), (F.col("close") + F.pmod(F.col("bar") * 53, F.lit(450))).alias("tp"), (F.col("bar") % 3 * 40).alias("max_bars"))
+    key = lambda **kw: sorted(map(tuple, X.first_exits(s, bars, **kw).select("sym", "bar", "exit_bar", "reason", "exit_price").collect()))
+    assert key(horizon=1000) == key(horizon=3, fan=2) == key(horizon=2, fan=3)
 
 
 @pytest.mark.parametrize("months,years,want", [(12, 4, 0.75), (30, 4, 0.5), (1, 10, 0.9)])

@@ -2,18 +2,41 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Minutes of each timeframe.
 MINUTES = {"M1": 1, "M5": 5, "M15": 15, "M30": 30, "H1": 60, "H4": 240, "D": 1440, "W": 10080}
 
 
+#: Bars of a block in which the windows of ``in_blocks`` run.
+BLOCK = 16_384
+
+
 def by_bar(*keys: str):
-    """Window of one instrument in bar order."""
+    """Window of one instrument in bar order; inside ``in_blocks``, of one block of bars of it."""
     return Window.partitionBy(*(keys or ("sym",))).orderBy("bar")
 
 
+def in_blocks(bars: DataFrame, before: int, f: Callable[[DataFrame], DataFrame], after: int = 0) -> DataFrame:
+    """``f(bars)`` where f looks back at most ``before`` bars and ahead at most ``after``, without a task for a whole instrument.
+
+    Each bar goes to its block and, as halo, to the blocks that look at it. Inside f, ``sym`` is a
+    struct of instrument and block, so windows by ``sym`` stay within a block. f keeps sym and bar; of its rows, those of
+    a block's own bars remain. Within another ``in_blocks``, f just runs; the outer one reaches far enough.
+    """
+    if isinstance(bars.schema["sym"].dataType, T.StructType):
+        return f(bars)
+    block = lambda c: F.floor(c / BLOCK).cast("int")
+    part = F.explode(F.sequence(block(F.greatest(F.col("bar") - after, F.lit(0))), block(F.col("bar") + before)))
+    x = bars.withColumn("_part", part).withColumn("sym", F.struct("sym", "_part")).drop("_part")
+    y = f(x)
+    return y.filter(block(F.col("bar")) == F.col("sym._part")).withColumn("sym", F.col("sym.sym"))
+
+
 def candles(ticks: DataFrame, width: str, seq: str = "seq") -> DataFrame:
     """Open, high, low, close and count of the ticks of each window of ``width``; windows without ticks have no row.
 
@@ -41,8 +64,15 @@ def weekly(bars: DataFrame) -> DataFrame:
 
 
 def numbered(bars: DataFrame) -> DataFrame:
-    """Adds ``bar``: 0 for the first row of each instrument, and on in time."""
-    return bars.withColumn("bar", (F.row_number().over(Window.partitionBy("sym").orderBy("ts")) - 1).cast("int"))
+    """Adds ``bar``: 0 for the first row of each instrument, and on in time.
+
+    Rows are numbered within a month; the counts of the months before, one row each, give its start.
+    """
+    x = bars.withColumn("_month", F.date_trunc("month", "ts"))
+    so_far = F.sum("_n").over(Window.partitionBy("sym").orderBy("_month").rowsBetween(Window.unboundedPreceding, -1))
+    start = x.groupBy("sym", "_month").agg(F.count("*").alias("_n")).select("sym", "_month", F.coalesce(so_far, F.lit(0)).alias("_start"))
+    place = F.row_number().over(Window.partitionBy("sym", "_month").orderBy("ts"))
+    return x.withColumn("bar", place).join(start, ["sym", "_month"]).withColumn("bar", (F.col("_start") + F.col("bar") - 1).cast("int")).drop("_month", "_start")
 
 
 def keep_last(rows: DataFrame, keys: list[str], order: str) -> DataFrame:

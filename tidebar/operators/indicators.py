@@ -1,23 +1,23 @@
 """Indicators over the bars of an instrument.
 
 Windowed ones are plain window columns. Recursive ones (exponential and Wilder averages) are
-linear: y = a * y_before + u. They are solved block by block, so that no task needs all bars of
-an instrument: a block's own part is summed in its task, the carries between blocks are a short
-recursion over one row a block, and a column adds both. Before its first full frame, an indicator
-is null.
+linear: y = a * y_before + u. So y is a sum of u weighted by powers of a, which a window sums
+chunk by chunk; of what lies before a chunk, the one before it carries all that a double can hold.
+What is bounded in its look back runs in blocks of bars with a halo (``bars.in_blocks``), so no
+task needs all bars of an instrument. Before its first full frame, an indicator is null.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bars import by_bar
+from .bars import by_bar, in_blocks
 
-#: Bars of a block of a recursive indicator.
-BLOCK = 4096
+#: A chunk of a recursion is so long that its first value weighs exp(-FADED) at its end.
+FADED = 45.0
 
 
 def frame(n: int, *keys: str):
@@ -85,88 +85,106 @@ def swings(strength: int, tolerance: int | None = None) -> tuple[Column, Column]
     return inside & (violated("high", 1) <= allowed), inside & (violated("low", -1) <= allowed)
 
 
-def recursion(bars: DataFrame, u: Column, a: float, seed_bar: int, seed: Column, out: str) -> DataFrame:
-    """Adds ``out``: seed at bar ``seed_bar``, then a * before + u; null earlier.
+def chunk(a: float) -> int:
+    """Bars after which a value's weight in y = a * y_before + u is below what a double holds."""
+    return 1 if a <= 0 else math.ceil(FADED / -math.log(a))
 
-    ``seed`` may be a window column. Block sums run in parallel, carries are one row a block.
-    """
-    start = F.when(F.col("bar") == seed_bar, seed).when(F.col("bar") > seed_bar, u)
-    x = bars.withColumn("_u", start).withColumn("_block", F.floor(F.col("bar") / BLOCK).cast("int"))
-    kept = [c for c in bars.columns]
 
-    def local(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("bar")
-        u_, y, acc = pdf["_u"].fillna(0.0).to_numpy(), np.empty(len(pdf)), 0.0
-        for i, v in enumerate(u_):
-            acc = a * acc + v
-            y[i] = acc
-        return pdf.assign(_y=y)
+def ema_reach(n: int) -> int:
+    """Bars that an exponential average of n looks back."""
+    return 2 * chunk(1 - 2 / (n + 1)) + n
 
-    from pyspark.sql import types as T
 
-    schema = T.StructType([*x.schema.fields, T.StructField("_y", T.DoubleType())])
-    solved = x.groupBy("sym", "_block").applyInPandas(local, schema)
-    ends = solved.groupBy("sym", "_block").agg(F.max_by("_y", "bar").alias("end"), F.count("*").alias("n"))
+def wilder_reach(n: int) -> int:
+    return 2 * chunk(1 - 1 / n) + n
 
-    def carry(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_block")
-        c, out_ = 0.0, []
-        for end, n in zip(pdf["end"], pdf["n"]):
-            out_.append(c)
-            c = end + a ** int(n) * c
-        return pd.DataFrame({"sym": pdf["sym"], "_block": pdf["_block"], "_carry": out_})
 
-    carries = ends.groupBy("sym").applyInPandas(carry, "sym string, _block int, _carry double")
-    place = F.col("bar") - F.col("_block") * BLOCK + 1
-    value = F.when(F.col("bar") >= seed_bar, F.col("_y") + F.pow(F.lit(a), place) * F.col("_carry"))
-    return solved.join(carries, ["sym", "_block"]).withColumn(out, value).select(*kept, out)
+def recursion(bars: DataFrame, u: Column, a: float, seed_bar: int, seed: Column, out: str) -> DataFrame:
+    """Adds ``out``: seed at bar ``seed_bar``, then a * before + u; null earlier.
+
+    ``seed`` may be a window column. Looks back two chunks of ``a``.
+    """
+    size = chunk(a)
+    start = F.when(F.col("bar") == seed_bar, seed).when(F.col("bar") > seed_bar, u)
+    x = bars.withColumn("_u", F.coalesce(start, F.lit(0.0))).withColumn("_chunk", F.floor(F.col("bar") / size))
+    if a <= 0:
+        return x.withColumn(out, F.when(F.col("bar") >= seed_bar, F.col("_u"))).drop("_u", "_chunk")
+    place = (F.col("bar") - F.col("_chunk") * size).cast("double")
+    inside = F.sum(F.col("_u") * F.pow(F.lit(a), -place)).over(by_bar("sym", "_chunk").rowsBetween(Window.unboundedPreceding, 0))
+    x = x.withColumn("_own", inside * F.pow(F.lit(a), place))
+    before = F.last(F.when(place == size - 1, F.col("_own")), ignorenulls=True).over(by_bar().rowsBetween(Window.unboundedPreceding, -1))
+    value = F.col("_own") + F.coalesce(before, F.lit(0.0)) * F.pow(F.lit(a), place + 1)
+    return x.withColumn(out, F.when(F.col("bar") >= seed_bar, value)).drop("_u", "_chunk", "_own")
 
 
 def ema(bars: DataFrame, column: str, n: int, out: str, seeded_by_mean: bool = True) -> DataFrame:
     """Exponential average with weight 2 / (n + 1), from the mean of the first n bars, or from the first value."""
     k = 2 / (n + 1)
-    if seeded_by_mean:
-        return recursion(bars, F.col(column) * k, 1 - k, n - 1, F.avg(column).over(frame(n)), out)
-    return recursion(bars, F.col(column) * k, 1 - k, 0, F.col(column), out)
+    first, seed = (n - 1, F.avg(column).over(frame(n))) if seeded_by_mean else (0, F.col(column))
+    return in_blocks(bars, ema_reach(n), lambda x: recursion(x, F.col(column) * k, 1 - k, first, seed, out))
 
 
 def wilder(bars: DataFrame, column: str, n: int, out: str, first: int = 0) -> DataFrame:
     """Wilder's average, from the mean of bars first .. first + n - 1."""
     mean = F.avg(column).over(frame(n))
-    return recursion(bars, F.col(column) / n, 1 - 1 / n, first + n - 1, mean, out)
+    return in_blocks(bars, wilder_reach(n), lambda x: recursion(x, F.col(column) / n, 1 - 1 / n, first + n - 1, mean, out))
 
 
 def atr(bars: DataFrame, n: int, out: str = "atr") -> DataFrame:
-    return wilder(bars.withColumn("_tr", true_range()), "_tr", n, out).drop("_tr")
+    return in_blocks(bars, wilder_reach(n) + 1, lambda x: wilder(x.withColumn("_tr", true_range()), "_tr", n, out).drop("_tr"))
 
 
 def atr_exponential(bars: DataFrame, n: int, out: str = "atr") -> DataFrame:
     """The exponential flavour, from the first true range."""
-    return ema(bars.withColumn("_tr", true_range()), "_tr", n, out, seeded_by_mean=False).drop("_tr")
+    return in_blocks(bars, ema_reach(n) + 1, lambda x: ema(x.withColumn("_tr", true_range()), "_tr", n, out, seeded_by_mean=False).drop("_tr"))
 
 
 def rsi(bars: DataFrame, n: int, out: str = "rsi", flavour: str = "strategy") -> DataFrame:
     """Wilder's RSI. Where there is no loss: 50 (strategy), 100 (ml), or 100 with a gain and 50 without (features)."""
-    change = F.col("close") - F.lag("close").over(by_bar())
-    moved = bars.withColumn("_gain", F.greatest(change, F.lit(0.0))).withColumn("_loss", F.greatest(-change, F.lit(0.0)))
-    both = wilder(wilder(moved, "_gain", n, "_ag", first=1), "_loss", n, "_al", first=1)
     flat = {"strategy": F.lit(50.0), "ml": F.lit(100.0), "features": F.when(F.col("_ag") > 0, 100.0).otherwise(50.0)}[flavour]
     value = F.when(F.col("_al").isNull(), 50.0).when(F.col("_al") == 0, flat).otherwise(100 - 100 / (1 + F.try_divide("_ag", "_al")))
-    return both.withColumn(out, value).drop("_gain", "_loss", "_ag", "_al")
+
+    def with_rsi(x: DataFrame) -> DataFrame:
+        change = F.col("close") - F.lag("close").over(by_bar())
+        moved = x.withColumn("_gain", F.greatest(change, F.lit(0.0))).withColumn("_loss", F.greatest(-change, F.lit(0.0)))
+        both = wilder(wilder(moved, "_gain", n, "_ag", first=1), "_loss", n, "_al", first=1)
+        return both.withColumn(out, value).drop("_gain", "_loss", "_ag", "_al")
+
+    return in_blocks(bars, wilder_reach(n) + 1, with_rsi)
+
+
+def rsi_adjusted(bars: DataFrame, n: int, out: str = "rsi") -> DataFrame:
+    """RSI of adjusted exponential averages with centre of mass n - 1: weighted means of all changes, from the n-th bar on."""
+    a = 1 - 1 / n
+
+    def with_rsi(x: DataFrame) -> DataFrame:
+        change = F.coalesce(F.col("close") - F.lag("close").over(by_bar()), F.lit(0.0))
+        x = x.withColumn("_gain", F.greatest(change, F.lit(0.0))).withColumn("_loss", F.greatest(-change, F.lit(0.0)))
+        for c in ("_gain", "_loss"):
+            x = recursion(x, F.col(c), a, 0, F.col(c), f"{c}_sum")
+        # the weights of both means are the same, so their sums have the ratio of the means
+        value = F.when(F.col("_loss_sum") > 0, 100 - 100 / (1 + F.try_divide("_gain_sum", "_loss_sum"))).when(F.col("_gain_sum") > 0, 100.0)
+        return x.withColumn(out, F.when(F.col("bar") >= n - 1, value)).drop("_gain", "_loss", "_gain_sum", "_loss_sum")
+
+    return in_blocks(bars, wilder_reach(n) + 1, with_rsi)
 
 
 def adx(bars: DataFrame, n: int) -> DataFrame:
     """Adds plus_di, minus_di and adx: Wilder sums from bars 1..n, ADX from the mean of DX over bars n+1..2n."""
-    plus, minus = directional_moves()
-    x = bars.withColumn("_tr", true_range()).withColumn("_plus", plus).withColumn("_minus", minus)
-    for c in ("_tr", "_plus", "_minus"):
-        x = recursion(x, F.col(c), 1 - 1 / n, n, F.sum(c).over(frame(n)), f"{c}_sum")
-    di = lambda c: F.when(F.col("_tr_sum") > 0, F.try_divide(F.col(c) * 100, F.col("_tr_sum"))).otherwise(0.0)
-    x = x.withColumn("plus_di", di("_plus_sum")).withColumn("minus_di", di("_minus_sum"))
-    total = F.col("plus_di") + F.col("minus_di")
-    x = x.withColumn("_dx", F.when(total > 0, F.try_divide(F.abs(F.col("plus_di") - F.col("minus_di")) * 100, total)).otherwise(0.0))
-    out = recursion(x, F.col("_dx") / n, 1 - 1 / n, 2 * n, F.avg("_dx").over(frame(n)), "adx")
-    return out.drop("_tr", "_plus", "_minus", "_tr_sum", "_plus_sum", "_minus_sum", "_dx")
+
+    def with_adx(x: DataFrame) -> DataFrame:
+        plus, minus = directional_moves()
+        x = x.withColumn("_tr", true_range()).withColumn("_plus", plus).withColumn("_minus", minus)
+        for c in ("_tr", "_plus", "_minus"):
+            x = recursion(x, F.col(c), 1 - 1 / n, n, F.sum(c).over(frame(n)), f"{c}_sum")
+        di = lambda c: F.when(F.col("_tr_sum") > 0, F.try_divide(F.col(c) * 100, F.col("_tr_sum"))).otherwise(0.0)
+        x = x.withColumn("plus_di", di("_plus_sum")).withColumn("minus_di", di("_minus_sum"))
+        total = F.col("plus_di") + F.col("minus_di")
+        x = x.withColumn("_dx", F.when(total > 0, F.try_divide(F.abs(F.col("plus_di") - F.col("minus_di")) * 100, total)).otherwise(0.0))
+        out = recursion(x, F.col("_dx") / n, 1 - 1 / n, 2 * n, F.avg("_dx").over(frame(n)), "adx")
+        return out.drop("_tr", "_plus", "_minus", "_tr_sum", "_plus_sum", "_minus_sum", "_dx")
+
+    return in_blocks(bars, 2 * wilder_reach(n) + 1, with_adx)
 
 
 def slope_angle(change: Column, bars_between: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import indicators as I
-from .bars import by_bar
+from .bars import by_bar, in_blocks
 
 
 def _before(column: str) -> Column:
@@ -21,46 +21,71 @@ def _cross(bars: DataFrame, long: Column, short: Column, *extra: Column | str) -
     return bars.withColumn("direction", d).filter("direction is not null").select("sym", "bar", "ts", "direction", F.col("close").alias("price"), *extra)
 
 
-def donchian(bars: DataFrame, n: int) -> DataFrame:
-    """Close beyond the channel of the n bars before, with the previous close not beyond the current channel."""
-    up, low = I.donchian(n)
-    x = bars.withColumn("upper", up).withColumn("lower", low).withColumn("_prev", _before("close"))
-    return _cross(x, (F.col("close") > F.col("upper")) & (F.col("_prev") <= F.col("upper")), (F.col("close") < F.col("lower")) & (F.col("_prev") >= F.col("lower")), F.lit(n).alias("channel_period"), (F.col("upper") - F.col("lower")).alias("channel_width"))
+def donchian_variants(bars: DataFrame, periods: list[int]) -> DataFrame:
+    """Close beyond the channel of the n bars before, with the previous close not beyond the current channel, for each n of ``periods``.
 
+    Signals are told apart by channel_period; all channels are windows over one sort.
+    """
 
-def donchian_variants(bars: DataFrame, periods: list[int]) -> DataFrame:
-    """Signals of several channel periods, told apart by channel_period; all windows share one sort."""
-    return reduce(DataFrame.unionByName, [donchian(bars, n) for n in periods])
+    def found(x: DataFrame) -> DataFrame:
+        close, prev = F.col("close"), F.col("_prev")
+        x = x.withColumn("_prev", _before("close"))
+        sides = []
+        for n in periods:
+            up, low = I.donchian(n)
+            x = x.withColumn(f"_up{n}", up).withColumn(f"_low{n}", low)
+            up, low = F.col(f"_up{n}"), F.col(f"_low{n}")
+            side = F.when((close > up) & (prev <= up), 1).when((close < low) & (prev >= low), -1)
+            sides.append(F.struct(side.alias("direction"), F.lit(n).alias("channel_period"), (up - low).alias("channel_width")))
+        x = x.select("sym", "bar", "ts", "close", F.explode(F.array(*sides)).alias("s")).filter("s.direction is not null")
+        return x.select("sym", "bar", "ts", "s.direction", F.col("close").alias("price"), "s.channel_period", "s.channel_width")
+
+    return in_blocks(bars, max(periods) + 1, found)
+
+
+def donchian(bars: DataFrame, n: int) -> DataFrame:
+    return donchian_variants(bars, [n])
 
 
 def bollinger(bars: DataFrame, n: int, width: float) -> DataFrame:
     """Close outside the bands, previous close inside its own; from bar max(n, 100) + 1."""
-    mid, up, low = I.bollinger("close", n, width)
-    x = bars.withColumn("mid", mid).withColumn("upper", up).withColumn("lower", low)
-    for c in ("close", "upper", "lower"):
-        x = x.withColumn(f"_{c}", _before(c))
-    inside = (F.col("_close") <= F.col("_upper")) & (F.col("_close") >= F.col("_lower")) & (F.col("bar") >= max(n, 100) + 1)
-    band = F.when(F.col("mid") > 0, F.try_divide(F.col("upper") - F.col("lower"), F.col("mid"))).otherwise(0.0)
-    return _cross(x, inside & (F.col("close") > F.col("upper")), inside & (F.col("close") < F.col("lower")), F.lit(n).alias("bb_period"), F.lit(width).alias("bb_std"), band.alias("bb_width"))
 
+    def found(x: DataFrame) -> DataFrame:
+        mid, up, low = I.bollinger("close", n, width)
+        x = x.withColumn("mid", mid).withColumn("upper", up).withColumn("lower", low)
+        for c in ("close", "upper", "lower"):
+            x = x.withColumn(f"_{c}", _before(c))
+        inside = (F.col("_close") <= F.col("_upper")) & (F.col("_close") >= F.col("_lower")) & (F.col("bar") >= max(n, 100) + 1)
+        band = F.when(F.col("mid") > 0, F.try_divide(F.col("upper") - F.col("lower"), F.col("mid"))).otherwise(0.0)
+        return _cross(x, inside & (F.col("close") > F.col("upper")), inside & (F.col("close") < F.col("lower")), F.lit(n).alias("bb_period"), F.lit(width).alias("bb_std"), band.alias("bb_width"))
 
-def ema_cross(bars: DataFrame, fast: int, slow: int) -> DataFrame:
+    return in_blocks(bars, n + 1, found)
+
+
+def ema_cross(bars: DataFrame, fast: int, slow: int, *extra: Column | str) -> DataFrame:
     """Fast average crosses the slow one, both present on both bars, from bar slow + 1."""
-    x = I.ema(I.ema(bars, "close", fast, "fast"), "close", slow, "slow")
-    x = x.withColumn("_f", _before("fast")).withColumn("_s", _before("slow"))
-    ready = F.col("bar") >= slow + 1
-    x = x.withColumn("_cross", F.when(ready & (F.col("_f") <= F.col("_s")) & (F.col("fast") > F.col("slow")), 1).when(ready & (F.col("_f") >= F.col("_s")) & (F.col("fast") < F.col("slow")), -1))
-    since = I.since_previous(F.col("_cross").isNotNull(), 500)
-    x = x.withColumn("bars_since_last_cross", since).withColumn("separation", F.col("fast") - F.col("slow"))
-    return _cross(x, F.col("_cross") == 1, F.col("_cross") == -1, "separation", "bars_since_last_cross")
+
+    def found(x: DataFrame) -> DataFrame:
+        x = I.ema(I.ema(x, "close", fast, "fast"), "close", slow, "slow")
+        x = x.withColumn("_f", _before("fast")).withColumn("_s", _before("slow")).withColumn("separation", F.col("fast") - F.col("slow"))
+        ready = F.col("bar") >= slow + 1
+        return _cross(x, ready & (F.col("_f") <= F.col("_s")) & (F.col("fast") > F.col("slow")), ready & (F.col("_f") >= F.col("_s")) & (F.col("fast") < F.col("slow")), "separation", *extra)
+
+    # crosses are few; only they are ordered for a whole instrument
+    since = F.coalesce(F.col("bar") - F.lag("bar").over(by_bar()), F.lit(500))
+    return in_blocks(bars, I.ema_reach(slow) + 4, found).withColumn("bars_since_last_cross", since)
 
 
 def stochastic_adx(bars: DataFrame, n: int, smooth: int, d: int, adx: int) -> DataFrame:
     """%K crosses %D; carries ADX and the directional indicators for filters."""
-    x = I.adx(I.stochastic(bars, n, smooth, d), adx)
-    x = x.withColumn("_k", _before("k")).withColumn("_d", _before("d"))
-    ready = F.col("bar") >= n + smooth + d
-    return _cross(x, ready & (F.col("_k") <= F.col("_d")) & (F.col("k") > F.col("d")), ready & (F.col("_k") >= F.col("_d")) & (F.col("k") < F.col("d")), "k", "d", "adx", "plus_di", "minus_di")
+
+    def found(x: DataFrame) -> DataFrame:
+        x = I.adx(I.stochastic(x, n, smooth, d), adx)
+        x = x.withColumn("_k", _before("k")).withColumn("_d", _before("d"))
+        ready = F.col("bar") >= n + smooth + d
+        return _cross(x, ready & (F.col("_k") <= F.col("_d")) & (F.col("k") > F.col("d")), ready & (F.col("_k") >= F.col("_d")) & (F.col("k") < F.col("d")), "k", "d", "adx", "plus_di", "minus_di")
+
+    return in_blocks(bars, 2 * I.wilder_reach(adx) + n + smooth + d + 2, found)
 
 
 def session_breakout(bars: DataFrame, start: int, end: int, hours: int = 6) -> DataFrame:
@@ -81,24 +106,27 @@ def divergence(bars: DataFrame, periods: tuple[int, ...] = (7, 14, 21), strength
     A higher low in price with a lower RSI is long, a lower high with a higher RSI short. The
     signal comes ``confirm`` bars after the second swing, at that bar's close.
     """
-    x = bars
-    for n in periods:
-        x = I.rsi(x, n, f"_rsi{n}")
-    x = x.withColumn("rsi", reduce(lambda a, b: a + b, [F.col(f"_rsi{n}") for n in periods]) / len(periods))
-    highs, lows = zip(*(I.swings(s) for s in strengths))
-    x = x.withColumn("_high", reduce(lambda a, b: a | b, highs)).withColumn("_low", reduce(lambda a, b: a | b, lows))
-    x = x.withColumn("_at", F.lead("close", confirm).over(by_bar())).withColumn("_when", F.lead("ts", confirm).over(by_bar()))
-
-    def side(flag: str, price: str, direction: int) -> DataFrame:
-        s = x.filter(flag)
-        w = by_bar()
-        s = s.withColumn("_p", F.lag(price).over(w)).withColumn("_r", F.lag("rsi").over(w)).withColumn("bars_between", F.col("bar") - F.lag("bar").over(w))
-        gap = F.col("bars_between").between(nearest, farthest)
-        turn = (direction * F.col(price) > direction * F.col("_p")) & (direction * F.col("rsi") < direction * F.col("_r"))
-        angle = I.slope_angle(F.col(price) - F.col("_p"), F.col("bars_between"))
-        return s.filter(gap & turn & F.col("_at").isNotNull()).select("sym", (F.col("bar") + confirm).alias("bar"), F.col("_when").alias("ts"), F.lit(direction).alias("direction"), F.col("_at").alias("price"), F.col("rsi").alias("rsi_value"), F.col("_r").alias("prev_rsi"), F.abs(F.col("rsi") - F.col("_r")).alias("rsi_diff"), "bars_between", angle.alias("price_slope"))
-
-    return side("_low", "low", 1).unionByName(side("_high", "high", -1))
+
+    def found(x: DataFrame) -> DataFrame:
+        for n in periods:
+            x = I.rsi(x, n, f"_rsi{n}")
+        x = x.withColumn("rsi", reduce(lambda a, b: a + b, [F.col(f"_rsi{n}") for n in periods]) / len(periods))
+        highs, lows = zip(*(I.swings(s) for s in strengths))
+        x = x.withColumn("_high", reduce(lambda a, b: a | b, highs)).withColumn("_low", reduce(lambda a, b: a | b, lows))
+        x = x.withColumn("_at", F.lead("close", confirm).over(by_bar())).withColumn("_when", F.lead("ts", confirm).over(by_bar()))
+
+        def side(flag: str, price: str, direction: int) -> DataFrame:
+            s = x.filter(flag)
+            w = by_bar()
+            s = s.withColumn("_p", F.lag(price).over(w)).withColumn("_r", F.lag("rsi").over(w)).withColumn("bars_between", F.col("bar") - F.lag("bar").over(w))
+            gap = F.col("bars_between").between(nearest, farthest)
+            turn = (direction * F.col(price) > direction * F.col("_p")) & (direction * F.col("rsi") < direction * F.col("_r"))
+            angle = I.slope_angle(F.col(price) - F.col("_p"), F.col("bars_between"))
+            return s.filter(gap & turn & F.col("_at").isNotNull()).select("sym", (F.col("bar") + confirm).alias("bar"), F.col("_when").alias("ts"), F.lit(direction).alias("direction"), F.col("_at").alias("price"), F.col("rsi").alias("rsi_value"), F.col("_r").alias("prev_rsi"), F.abs(F.col("rsi") - F.col("_r")).alias("rsi_diff"), "bars_between", angle.alias("price_slope"))
+
+        return side("_low", "low", 1).unionByName(side("_high", "high", -1))
+
+    return in_blocks(bars, I.wilder_reach(max(periods)) + farthest + confirm + 2 * max(strengths), found, after=confirm + max(strengths) + 1)
 
 
 def grid_fills(entries: DataFrame, bars: DataFrame, orders: list[int], step: Column, horizon: int = 499) -> DataFrame:

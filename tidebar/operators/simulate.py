@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Shares that the trials of an instrument are dealt into.
@@ -21,25 +21,47 @@ PARTS = 16
 EXITS = ("sl", "tp", "trailing", "time", "stale", "ml", "force_close")
 
 
-def first_exits(signals: DataFrame, bars: DataFrame, horizon: int = 256) -> DataFrame:
+def first_exits(signals: DataFrame, bars: DataFrame, horizon: int = 256, fan: int = 16) -> DataFrame:
     """Exit bar, price and reason of each signal (sym, bar, direction, price, sl, tp, max_bars) by stop, target, time or end of data.
 
-    The stop wins over the target in one bar; the time exit, at the close, comes before both.
-    Signals still open after ``horizon`` bars meet the next blocks through each block's extremes,
-    so the join stays linear in signals times the blocks they live through.
+    The stop wins over the target in one bar; the time exit, at the close, comes before both. The
+    bars of a signal's own block are searched one by one. Beyond, blocks of ``horizon`` bars stand
+    in a pyramid of extremes, ``fan`` of a level to one of the next: a signal meets at most ``fan``
+    of each level on its way up, takes the earliest that touches and goes down to its first block.
+    So the join has some dozens of rows a signal, however long it lives.
     """
     b = bars.select("sym", F.col("bar").alias("at"), "high", "low", "close", F.floor(F.col("bar") / horizon).cast("int").alias("block"))
-    extremes = b.groupBy("sym", "block").agg(F.max("high").alias("top"), F.min("low").alias("bottom"), F.max("at").alias("last"))
+    greatest = bars.agg(F.max("bar")).first()[0] or 0
+    levels = 1
+    while horizon * fan**levels <= greatest:
+        levels += 1
+    row = lambda level: F.struct(F.lit(level).alias("level"), F.floor(F.col("block") / fan**level).cast("int").alias("node"))
+    lowest = b.groupBy("sym", "block").agg(F.max("high").alias("top"), F.min("low").alias("bottom"), F.max("at").alias("last"))
+    nodes = lowest.withColumn("n", F.explode(F.array(*map(row, range(levels))))).groupBy("sym", "n.level", "n.node").agg(F.max("top").alias("top"), F.min("bottom").alias("bottom"), F.max("last").alias("last"))
     s = signals.withColumn("id", F.struct("sym", "bar", "direction", "seq"))
     life = F.col("bar") + F.when(F.col("max_bars") > 0, F.col("max_bars")).otherwise(1 << 30)
-    blocks = s.join(extremes, "sym").filter((F.col("last") > F.col("bar")) & (F.col("block") * horizon <= life))
-    touches = F.when(F.col("direction") == 1, (F.col("bottom") <= F.col("sl")) | (F.col("top") >= F.col("tp"))).otherwise((F.col("top") >= F.col("sl")) | (F.col("bottom") <= F.col("tp")))
-    # the block of entry may hold earlier extremes, so it and the next that touches are both searched
-    timed = (life >= F.col("block") * horizon) & (life <= F.col("last"))
-    live = blocks.filter(touches | timed).groupBy(*s.columns).agg(F.sort_array(F.collect_set("block")).alias("found"))
     own = F.floor(F.col("bar") / horizon).cast("int")
-    near = live.withColumn("block", F.explode(F.slice("found", 1, 2))).select(*s.columns, "block")
-    near = near.unionByName(s.withColumn("block", own)).distinct()
+    touches = F.when(F.col("direction") == 1, (F.col("bottom") <= F.col("sl")) | (F.col("top") >= F.col("tp"))).otherwise((F.col("top") >= F.col("sl")) | (F.col("bottom") <= F.col("tp")))
+    timed = lambda size: (life >= F.col("node") * size * horizon) & (life <= F.col("last"))
+
+    def met(asked: DataFrame, size: Column) -> DataFrame:
+        """The first of the nodes (level, node) that each signal asks for which it leaves in."""
+        found = asked.join(nodes, ["sym", "level", "node"]).filter(touches | timed(size))
+        return found.groupBy("id").agg(F.min(F.struct((F.col("node") * size).alias("block"), "level", "node")).alias("f"))
+
+    start, way = own + 1, []
+    for level in range(levels):
+        end = (F.floor(start / fan) * fan + fan - 1).cast("int")
+        way.append(F.arrays_zip(F.array_repeat(F.lit(level), end - start + 1).alias("level"), F.sequence(start, end).alias("node")))
+        start = (F.floor(start / fan) + 1).cast("int")
+    spans = F.element_at(F.array(*[F.lit(fan**level) for level in range(levels)]), F.col("level") + 1)
+    first = met(s.withColumn("n", F.explode(F.concat(*way))).select(*s.columns, "n.level", "n.node"), spans).select("id", "f.level", "f.node")
+    for level in range(levels - 1, 0, -1):
+        children = F.sequence(F.col("node") * fan, F.col("node") * fan + fan - 1)
+        below = first.filter(F.col("level") == level).select("id", F.explode(children).alias("node")).withColumn("level", F.lit(level - 1))
+        down = met(below.join(s, "id"), F.lit(fan ** (level - 1))).select("id", "f.level", "f.node")
+        first = first.filter(F.col("level") < level).unionByName(down)
+    near = first.select("id", F.col("node").alias("block")).join(s, "id").select(*s.columns, "block").unionByName(s.withColumn("block", own))
     hit = near.join(b, ["sym", "block"]).filter((F.col("at") > F.col("bar")) & (F.col("at") <= life))
     stop = F.when(F.col("direction") == 1, F.col("low") <= F.col("sl")).otherwise(F.col("high") >= F.col("sl"))
     goal = F.when(F.col("direction") == 1, F.col("high") >= F.col("tp")).otherwise(F.col("low") <= F.col("tp"))

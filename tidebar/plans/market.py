@@ -140,7 +140,7 @@ def quality(spark, d):
 
 @query("i01_true_range", f"{_B} select sym, bar, round(greatest(high - low, abs(high - lag(close) over w), abs(low - lag(close) over w)), 6) tr from bars window w as (partition by sym order by bar)")
 def true_range(spark, d):
-    return S.bars_h1(spark, d).select("sym", "bar", r6(I.true_range(), "tr"))
+    return B.in_blocks(S.bars_h1(spark, d), 1, lambda x: x.select("sym", "bar", r6(I.true_range(), "tr")))
 
 
 def _rows(n: int) -> str:
@@ -149,13 +149,13 @@ def _rows(n: int) -> str:
 
 @query("i05_sma", f"{_B} select sym, bar, round(case when bar >= 19 then avg(close) {_rows(20)} end, 6) sma from bars")
 def sma(spark, d):
-    return S.bars_h1(spark, d).select("sym", "bar", r6(I.sma("close", 20), "sma"))
+    return B.in_blocks(S.bars_h1(spark, d), 20, lambda x: x.select("sym", "bar", r6(I.sma("close", 20), "sma")))
 
 
 @query("i13_bollinger", f"{_B}, x as (select sym, bar, avg(close) {_rows(20)} m, stddev_pop(close) {_rows(20)} s from bars) select sym, bar, round(m, 4) mid, round(m + 2 * s, 4) upper, round(m - 2 * s, 4) lower, round(case when m > 0 then 4 * s / m else 0 end, 4) width from x where bar >= 19")
 def bollinger(spark, d):
     mid, up, low = I.bollinger("close", 20, 2.0)
-    x = S.bars_h1(spark, d).select("sym", "bar", mid.alias("m"), up.alias("u"), low.alias("l")).filter("bar >= 19")
+    x = B.in_blocks(S.bars_h1(spark, d), 20, lambda x: x.select("sym", "bar", mid.alias("m"), up.alias("u"), low.alias("l")).filter("bar >= 19"))
     return x.select("sym", "bar", F.round("m", 4).alias("mid"), F.round("u", 4).alias("upper"), F.round("l", 4).alias("lower"), F.round(F.when(F.col("m") > 0, (F.col("u") - F.col("l")) / F.col("m")).otherwise(0.0), 4).alias("width"))
 
 
@@ -166,7 +166,7 @@ def _past(n: int) -> str:
 @query("i15_donchian", f"{_B} select sym, bar, case when bar >= 20 then max(high) {_past(20)} end upper, case when bar >= 20 then min(low) {_past(20)} end lower from bars")
 def donchian(spark, d):
     up, low = I.donchian(20)
-    return S.bars_h1(spark, d).select("sym", "bar", up.alias("upper"), low.alias("lower"))
+    return B.in_blocks(S.bars_h1(spark, d), 20, lambda x: x.select("sym", "bar", up.alias("upper"), low.alias("lower")))
 
 
 _STOCH = f"""s0 as (select *, case when bar < 13 then 0 when max(high) {_rows(14)} > min(low) {_rows(14)} then (close - min(low) {_rows(14)}) * 100 / (max(high) {_rows(14)} - min(low) {_rows(14)}) else 50 end raw from bars),
@@ -175,13 +175,13 @@ s1 as (select *, case when bar >= 2 then avg(raw) {_rows(3)} else 0 end k from s
 
 @query("i17_stochastic", f"{_B}, {_STOCH} select sym, bar, round(k, 4) k, round(d, 4) d from stoch")
 def stochastic(spark, d):
-    return I.stochastic(S.bars_h1(spark, d), 14, 3, 3).select("sym", "bar", F.round("k", 4).alias("k"), F.round("d", 4).alias("d"))
+    return B.in_blocks(S.bars_h1(spark, d), 20, lambda x: I.stochastic(x, 14, 3, 3).select("sym", "bar", F.round("k", 4).alias("k"), F.round("d", 4).alias("d")))
 
 
 @query("i18_directional_moves", f"{_B}, x as (select sym, bar, high - lag(high) over w u, lag(low) over w - low dn from bars window w as (partition by sym order by bar)) select sym, bar, round(case when u > dn and u > 0 then u else 0 end, 6) plus_dm, round(case when dn > u and dn > 0 then dn else 0 end, 6) minus_dm from x")
 def moves(spark, d):
     plus, minus = I.directional_moves()
-    return S.bars_h1(spark, d).select("sym", "bar", r6(plus, "plus_dm"), r6(minus, "minus_dm"))
+    return B.in_blocks(S.bars_h1(spark, d), 1, lambda x: x.select("sym", "bar", r6(plus, "plus_dm"), r6(minus, "minus_dm")))
 
 
 def _swing(column: str, op: str, s: int) -> str:
@@ -191,17 +191,17 @@ def _swing(column: str, op: str, s: int) -> str:
 @query("i20_swings", f"{_B} select sym, bar, high_swing, low_swing from (select sym, bar, bar >= 5 and lead(bar, 5) over w is not null and {_swing('high', '>=', 5)} <= 1 high_swing, bar >= 5 and lead(bar, 5) over w is not null and {_swing('low', '<=', 5)} <= 1 low_swing from bars window w as (partition by sym order by bar)) where high_swing or low_swing")
 def swings(spark, d):
     hi, lo = I.swings(5)
-    return S.bars_h1(spark, d).select("sym", "bar", hi.alias("high_swing"), lo.alias("low_swing")).filter("high_swing or low_swing")
+    return B.in_blocks(S.bars_h1(spark, d), 5, lambda x: x.select("sym", "bar", hi.alias("high_swing"), lo.alias("low_swing")).filter("high_swing or low_swing"), after=5)
 
 
 @query("i21_strict_swings", f"{_B} select sym, bar from (select sym, bar, bar >= 3 and lead(bar, 3) over w is not null and {_swing('high', '>=', 3)} <= 0 s from bars window w as (partition by sym order by bar)) where s")
 def strict_swings(spark, d):
-    return S.bars_h1(spark, d).select("sym", "bar", I.swings(3, 0)[0].alias("s")).filter("s").select("sym", "bar")
+    return B.in_blocks(S.bars_h1(spark, d), 3, lambda x: x.select("sym", "bar", I.swings(3, 0)[0].alias("s")).filter("s").select("sym", "bar"), after=3)
 
 
 @query("i22_slope_angle", f"{_B} select sym, bar, round(abs(degrees(atan((close - lag(close, 5) over (partition by sym order by bar)) / 5 * 10000))), 4) angle from bars")
 def angle(spark, d):
-    return S.bars_h1(spark, d).select("sym", "bar", F.round(I.slope_angle(F.col("close") - I.lagged("close", 5), F.lit(5)), 4).alias("angle"))
+    return B.in_blocks(S.bars_h1(spark, d), 5, lambda x: x.select("sym", "bar", F.round(I.slope_angle(F.col("close") - I.lagged("close", 5), F.lit(5)), 4).alias("angle")))
 
 
 @query("i25_pin_bar", f"{_B}, x as (select sym, bar, abs(close - open) b, high - greatest(open, close) u, least(open, close) - low l from bars) select sym, bar, round(case when b > 0 then u / b when u > 0 then 10 else 0 end, 4) upper, round(case when b > 0 then l / b when l > 0 then 10 else 0 end, 4) lower from x")
@@ -248,8 +248,8 @@ def atr_exp(spark, d):
 
 @query("i04_atr_simple", f"{_B}, {_TR} select sym, bar, round(case when bar >= 13 then avg(tr) {_rows(13)} else 30 end, 4) atr from tr")
 def atr_simple(spark, d):
-    x = S.bars_h1(spark, d).withColumn("tr", I.true_range())
-    return x.select("sym", "bar", F.round(F.when(F.col("bar") >= 13, F.avg("tr").over(I.frame(13))).otherwise(30.0), 4).alias("atr"))
+    mean = F.round(F.when(F.col("bar") >= 13, F.avg("tr").over(I.frame(13))).otherwise(30.0), 4).alias("atr")
+    return B.in_blocks(S.bars_h1(spark, d), 14, lambda x: x.withColumn("tr", I.true_range()).select("sym", "bar", mean))
 
 
 def _rsi_sql(flat: str) -> str:
@@ -341,7 +341,7 @@ def session_filter(spark, d):
 @query("p11_trend_filter", f"{_B}, m as (select sym, bar, case when bar >= 49 then avg(close) {_rows(50)} end ma from bars), s as ({_donchian_sql(20)}) select s.sym, s.bar, direction from s join m on s.sym = m.sym and s.bar = m.bar where direction is not null and (ma is null or case when direction = 1 then price > ma else price < ma end)")
 def trend_filter(spark, d):
     bars = S.bars_h1(spark, d)
-    trend = bars.select("sym", "bar", I.sma("close", 50).alias("ma"))
+    trend = B.in_blocks(bars, 50, lambda x: x.select("sym", "bar", I.sma("close", 50).alias("ma")))
     return G.donchian(bars, 20).join(trend, ["sym", "bar"]).filter(P.with_trend(F.col("direction"), F.col("price"), F.col("ma"))).select("sym", "bar", "direction")
 
 
@@ -361,7 +361,7 @@ def stops(spark, d):
 
 @query("w10_momentum", f"{_B} select sym, bar, round(close - lag(close, 3) over (partition by sym order by bar), 6) change3 from bars")
 def momentum(spark, d):
-    return S.bars_h1(spark, d).select("sym", "bar", r6(F.col("close") - I.lagged("close", 3), "change3"))
+    return B.in_blocks(S.bars_h1(spark, d), 3, lambda x: x.select("sym", "bar", r6(F.col("close") - I.lagged("close", 3), "change3")))
 
 
 @query("f08_calendar", f"{_B} select sym, {_T}, hour(ts)::int h, (isodow(ts) - 1)::int wd, strftime(ts, '%Y-%m') ym from bars")

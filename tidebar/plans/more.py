@@ -44,7 +44,7 @@ def rejection(spark, d):
 @query("p12_two_averages", f"{_B}, m as (select sym, bar, case when bar >= 19 then avg(close) {_rows(20)} end a, case when bar >= 99 then avg(close) {_rows(100)} end b from bars), s as ({_donchian_sql(20)}) select s.sym, s.bar, direction from s join m on s.sym = m.sym and s.bar = m.bar where direction is not null and (a is null or (direction = 1) = (price > a)) and (b is null or (direction = 1) = (price > b))")
 def two_averages(spark, d):
     bars = S.bars_h1(spark, d)
-    m = bars.select("sym", "bar", I.sma("close", 20).alias("a"), I.sma("close", 100).alias("b"))
+    m = B.in_blocks(bars, 100, lambda x: x.select("sym", "bar", I.sma("close", 20).alias("a"), I.sma("close", 100).alias("b")))
     return G.donchian(bars, 20).join(m, ["sym", "bar"]).filter(P.with_trend(F.col("direction"), F.col("price"), F.col("a"), F.col("b"))).select("sym", "bar", "direction")
 
 
@@ -96,12 +96,12 @@ def ratings(spark, d):
 
 @query("w02_time_steps", f"{_B} select sym, bar, (epoch(ts) - epoch(lag(ts) over (partition by sym order by bar)))::bigint step from bars")
 def steps(spark, d):
-    return S.bars_h1(spark, d).select("sym", "bar", (F.col("ts").cast("long") - F.lag("ts").over(B.by_bar()).cast("long")).alias("step"))
+    return B.in_blocks(S.bars_h1(spark, d), 1, lambda x: x.select("sym", "bar", (F.col("ts").cast("long") - F.lag("ts").over(B.by_bar()).cast("long")).alias("step")))
 
 
 @query("w07_partial_frames", f"{_B} select sym, bar, max(high) {_rows(50)} top, round(avg(close) {_rows(50)}, 8) mean from bars")
 def partial_frames(spark, d):
-    return S.bars_h1(spark, d).select("sym", "bar", F.max("high").over(I.frame(50)).alias("top"), F.round(F.avg("close").over(I.frame(50)), 8).alias("mean"))
+    return B.in_blocks(S.bars_h1(spark, d), 50, lambda x: x.select("sym", "bar", F.max("high").over(I.frame(50)).alias("top"), F.round(F.avg("close").over(I.frame(50)), 8).alias("mean")))
 
 
 @query("w11_since_event", f"{_B}, e as (select sym, bar, high - low > 300 hit from bars) select sym, bar, coalesce(bar - max(case when hit then bar end) over (partition by sym order by bar rows between unbounded preceding and 1 preceding), -1000)::int since from e")
@@ -170,7 +170,7 @@ def tight(spark, d):
 @query("i14_band_width", f"{_B}, x as (select sym, bar, avg(close) {_rows(30)} m, stddev_pop(close) {_rows(30)} s from bars) select sym, bar, round(case when m > 0 then 5 * s / m else 0 end, 4) width from x where bar >= 29")
 def band_width(spark, d):
     mid, up, low = I.bollinger("close", 30, 2.5)
-    x = S.bars_h1(spark, d).select("sym", "bar", mid.alias("m"), up.alias("u"), low.alias("l")).filter("bar >= 29")
+    x = B.in_blocks(S.bars_h1(spark, d), 30, lambda x: x.select("sym", "bar", mid.alias("m"), up.alias("u"), low.alias("l")).filter("bar >= 29"))
     return x.select("sym", "bar", F.round(F.when(F.col("m") > 0, (F.col("u") - F.col("l")) / F.col("m")).otherwise(0.0), 4).alias("width"))
 
 
