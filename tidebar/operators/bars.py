@@ -126,6 +126,10 @@ def anomalies(bars: DataFrame) -> DataFrame:
     return bars.join(typical, "sym").withColumn("anomaly", kind).filter("anomaly is not null").drop("typical")
 
 
+def score(issues: Column, warnings: Column) -> Column:
+    return F.greatest(F.lit(0), 100 - 20 * issues - 5 * warnings)
+
+
 def quality(bars: DataFrame, minutes: int, minimum: int = 100) -> DataFrame:
     """Per instrument: counts of rows, nulls, zeros, gaps and anomalies, a score from 100 down and whether it passes."""
     prices = ("open", "high", "low", "close")
@@ -137,5 +141,4 @@ def quality(bars: DataFrame, minutes: int, minimum: int = 100) -> DataFrame:
     out = base.join(gap, "sym", "left").join(odd, "sym", "left").na.fill(0, ["gaps", "weekends", "anomalies"])
     issues = (F.col("nulls") > 0).cast("int") + (F.col("zeros") > 0).cast("int") + (F.col("bars") < minimum).cast("int")
     warnings = (F.col("gaps") > 0).cast("int") + (F.col("anomalies") > 0).cast("int")
-    score = F.greatest(F.lit(0), 100 - 20 * issues - 5 * warnings)
-    return out.withColumn("score", score).withColumn("passed", (F.col("score") >= 50) & (F.col("bars") >= minimum))
+    return out.withColumn("score", score(issues, warnings)).withColumn("passed", (F.col("score") >= 50) & (F.col("bars") >= minimum))

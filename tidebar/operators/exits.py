@@ -61,3 +61,13 @@ def tightened_stop(mae: Column, n: Column, sl: Column, most: float = 0.45) -> Co
     """A stop nearer to the worst move expected: by at most ``most``, and by less while n, the trades seen, is from 100 to 300."""
     trust = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (n - 100) / 200.0))
     return sl * (1 - F.when(mae < 0.5, F.least(F.lit(most), 1 - mae)).otherwise(0.0) * trust)
+
+
+#: How each of the eight bar features speaks for leaving a long and a short trade. Fixed values.
+FLIPS = {"long": (-1, 1, 1, -1, 1, 1, -1, -1), "short": (1, 1, -1, 1, -1, 1, 1, -1)}
+
+
+def urgency(features: list[Column], weights: list[float]) -> tuple[Column, Column]:
+    """Weighted sums of the features, turned to the side of a long and of a short trade, at least 0."""
+    long, short = (sum((f * (w * s) for f, w, s in zip(features, weights, FLIPS[side])), F.lit(0.0)) for side in ("long", "short"))
+    return F.greatest(F.lit(0.0), long), F.greatest(F.lit(0.0), short)

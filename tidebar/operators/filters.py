@@ -52,6 +52,60 @@ def at_most_percentile(signals: DataFrame, column: str, p: float, keys: list[str
     return signals.join(cut, keys).filter(F.col(column) <= F.col("_cut")).drop("_cut")
 
 
+def holdout(months: Column, years: Column) -> Column:
+    """Share of bars to train on: 1 - months / (12 * years), kept within 0.5 and 0.9."""
+    return F.greatest(F.lit(0.5), F.least(F.lit(0.9), 1 - months / (12.0 * years)))
+
+
+def initial_in_hours(initial: Column, ts: Column, first: int, last: int) -> Column:
+    """Hours first to last, both included, asked of initial entries only."""
+    return ~initial | F.hour(ts).between(first, last)
+
+
+def pulled_back(direction: Column, before: Column, now: Column, low: float, high: float) -> Column:
+    """At least one of two RSI values in the extreme zone of the side of the trade."""
+    return not_against(direction, (before >= low) & (now >= low), (before <= high) & (now <= high))
+
+
+def in_zone(direction: Column, k: Column, low: float, high: float) -> Column:
+    """No long above the low zone, no short below the high one; zones reach 20 further than their limits."""
+    return not_against(direction, k > low + 20, k < high - 20)
+
+
+def beyond_buffer(direction: Column, price: Column, top: Column, bottom: Column, share: float) -> Column:
+    """Price beyond the edge of a range by a share of its size."""
+    room = (top - bottom) * share
+    return not_against(direction, price < top + room, price > bottom - room)
+
+
+def steep(direction: Column, slope: Column, least: float) -> Column:
+    return not_against(direction, slope < least, slope > -least)
+
+
+def finite_or_zero(x: Column) -> Column:
+    return F.when(F.isnan(x) | (F.abs(x) == float("inf")), 0.0).otherwise(x)
+
+
+def guarded(a: Column, b: Column, otherwise: float) -> Column:
+    return F.when(b != 0, F.try_divide(a, b)).otherwise(otherwise)
+
+
+def merged(base: Column, over: Column) -> Column:
+    """Map with the entries of both; those of ``over`` win."""
+    return F.map_concat(F.map_filter(base, lambda k, v: ~F.map_contains_key(over, k)), over)
+
+
+def iso_time(text: Column) -> Column:
+    """UTC time of an ISO text with a Z, fractions of any length cut off."""
+    return F.to_timestamp(F.replace(F.substring_index(F.rtrim(F.translate(text, "Z", " ")), ".", 1), F.lit("T"), F.lit(" ")))
+
+
+def offset_time(text: Column) -> Column:
+    """UTC time of 'date time offset', the offset in hours."""
+    parts = F.split(text, " ")
+    return F.to_timestamp(F.concat_ws(" ", parts[0], parts[1])) - F.make_interval(hours=parts[2].cast("int"))
+
+
 def atr_gate(atr_pips: Column, least: Column) -> Column:
     return (least == 0) | (atr_pips >= least)
 
@@ -74,6 +128,23 @@ def range_stop(direction: Column, price: Column, high: Column, low: Column, pip:
     return F.when(mode == "range", edge).otherwise(atr_pips * multiple)
 
 
+def grid_distances(sl_mode: Column, tp_mode: Column, price: Column, atr: Column, fast: Column, mult: float, fixed: float, rr: float) -> tuple[Column, Column]:
+    """Distances of stop and target of a grid entry; a target at the fast average lies at least half a stop away."""
+    sl = F.when(sl_mode == "atr", atr * mult).otherwise(fixed)
+    return sl, F.when(tp_mode == "ma", F.greatest(F.abs(fast - price), sl * 0.5)).otherwise(sl * rr)
+
+
+def atr_scale(atr: Column, mean: Column) -> Column:
+    """Average range over its mean, within 0.5 and 1.5; 1 without a mean."""
+    return F.least(F.lit(1.5), F.greatest(F.lit(0.5), guarded(atr, mean, 1.0)))
+
+
+def swing_stop(price: Column, swing: Column, pip: Column, buffer: float, scale: Column) -> tuple[Column, Column]:
+    """Pips to a swing and a buffer: plain, and with the buffer scaled and at least 10 pips in all."""
+    far = F.abs(price - swing) / pip
+    return far + buffer, F.greatest(F.lit(10.0), far + buffer * scale)
+
+
 def prices(direction: Column, price: Column, sl_pips: Column, tp_pips: Column, pip: Column) -> tuple[Column, Column]:
     return price - direction * sl_pips * pip, price + direction * tp_pips * pip
 
@@ -92,6 +163,24 @@ def management_defaults(signals: DataFrame) -> DataFrame:
     return signals
 
 
+def management(signals: DataFrame, tp_pips: Column, trailing: bool = False, be_mult: float = 0.5, be_offset: float = 0.0) -> DataFrame:
+    """Management columns: break-even at a multiple of atr_pips, a partial close half way to the target."""
+    values = {"use_trailing": F.lit(trailing), "trail_start": F.lit(20.0), "trail_step": F.lit(10.0), "be_trigger": F.col("atr_pips") * be_mult, "be_offset": F.lit(be_offset), "partial_pct": F.lit(0.3), "partial_target": tp_pips * 0.5, "max_bars": F.lit(0)}
+    return signals.withColumns(values)
+
+
+def management_at_breakeven(signals: DataFrame, be_mult: float = 0.5) -> DataFrame:
+    """The same, with the partial close where the stop goes to break-even."""
+    x = management(signals, F.lit(0.0), be_mult=be_mult, be_offset=2.0)
+    return x.withColumn("partial_target", F.col("be_trigger"))
+
+
+def management_by_stop(signals: DataFrame, sl_pips: Column, mult: float, stale_bars: int, chandelier: float = 3.0) -> DataFrame:
+    """The same, with a chandelier trail, an exit of stale trades, break-even at one atr_pips and a partial close at a multiple of the stop."""
+    x = management(signals, F.lit(0.0), trailing=True, be_mult=1.0, be_offset=5.0)
+    return x.withColumns({"trail_mode": F.lit(1), "chandelier_mult": F.lit(chandelier), "stale_bars": F.lit(stale_bars), "partial_target": sl_pips * mult})
+
+
 def valid_trial(trade_count: Column, quality: Column, sharpe: Column, least_trades: int, least_sharpe: float) -> Column:
     return (trade_count >= least_trades) & (quality > 0) & (sharpe >= least_sharpe)
 

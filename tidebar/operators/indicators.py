@@ -212,3 +212,56 @@ def since_previous(event: Column, never: int) -> Column:
     """Bars since the last bar before this one where ``event`` held, or ``never``."""
     last = F.last(F.when(event, F.col("bar")), ignorenulls=True).over(by_bar().rowsBetween(Window.unboundedPreceding, -1))
     return F.coalesce(F.col("bar") - last, F.lit(never))
+
+
+def slope_per_bar(column: str, n: int, pip: float) -> Column:
+    """Pips that a column moved a bar over the last n bars."""
+    return (F.col(column) - lagged(column, n)) / n / pip
+
+
+def clipped(x: Column, low: float, high: float) -> Column:
+    return F.least(F.lit(high), F.greatest(F.lit(low), x))
+
+
+def bar_features(bars: DataFrame) -> DataFrame:
+    """Adds eight features of the market at each bar, within fixed bounds; they mean something from bar 200 on."""
+
+    def with_features(x: DataFrame) -> DataFrame:
+        x = atr(rsi(x, 14), 14)
+        size, least = F.col("high") - F.col("low"), F.greatest(F.col("atr"), F.lit(1e-10))
+        top, bottom, span = F.max("high").over(frame(20)), F.min("low").over(frame(20)), F.avg(size).over(frame(20))
+        trend = F.avg("close").over(frame(50)) - F.avg("close").over(frame(200))
+        return (
+            x.withColumn("rsi_momentum", clipped((F.col("rsi") - lagged("rsi", 5)) / 20, -1.0, 1.0))
+            .withColumn("atr_ratio", clipped(F.col("atr") / F.avg("atr").over(frame(50)) - 1, -2.0, 2.0))
+            .withColumn("range_position", F.when(top > bottom, F.try_divide(F.col("close") - bottom, top - bottom)).otherwise(0.5))
+            .withColumn("trend_alignment", F.signum(trend) * F.least(F.lit(1.0), F.abs(trend) / least))
+            .withColumn("momentum_extreme", (F.col("rsi") - 50) / 50)
+            .withColumn("bar_rejection", clipped(1 - F.abs(F.col("close") - F.col("open")) / (size + 1e-10), 0.0, 1.0))
+            .withColumn("close_momentum", clipped((F.col("close") - lagged("close", 3)) / least, -3.0, 3.0))
+            .withColumn("range_contraction", F.when(span > 0, clipped(F.try_divide(size, span), 0.3, 3.0)).otherwise(1.0))
+        )
+
+    return in_blocks(bars, wilder_reach(14) + 201, with_features)
+
+
+def signal_features(bars: DataFrame) -> DataFrame:
+    """Adds what a signal at a bar is judged by: volatility, trends, momentum, the candle and the recent range, in average ranges."""
+
+    def with_features(x: DataFrame) -> DataFrame:
+        x = atr(rsi(x, 14), 14)
+        by_atr = lambda v: F.when(F.col("atr") > 0, F.try_divide(v, F.col("atr"))).otherwise(0.0)
+        size = F.col("high") - F.col("low")
+        return (
+            x.withColumn("atr_norm", F.when(F.col("close") > 0, F.try_divide("atr", "close")).otherwise(0.0))
+            .withColumn("vol_regime", F.coalesce(F.try_divide(F.col("atr"), F.avg("atr").over(frame(50))), F.lit(1.0)))
+            .withColumn("trend_short", by_atr(F.col("close") - lagged("close", 5)))
+            .withColumn("trend_long", by_atr(F.col("close") - lagged("close", 20)))
+            .withColumn("rsi_3", F.col("rsi") - lagged("rsi", 3))
+            .withColumn("rsi_10", F.col("rsi") - lagged("rsi", 10))
+            .withColumn("body", F.when(size > 0, F.try_divide(F.abs(F.col("close") - F.col("open")), size)).otherwise(0.0))
+            .withColumn("from_top", by_atr(F.col("close") - F.max("high").over(frame(20))))
+            .withColumn("from_bottom", by_atr(F.col("close") - F.min("low").over(frame(20))))
+        )
+
+    return in_blocks(bars, wilder_reach(14) + 51, with_features)

@@ -48,3 +48,20 @@ def insert_missing(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFr
 def first_within(left: DataFrame, right: DataFrame, keys: list[str], seconds: float, left_id: str, right_id: str, ts: str = "ts") -> DataFrame:
     """The first right row, by id, less than ``seconds`` from each left row."""
     return best(within(left, right, keys, seconds, ts).filter(F.col("gap") < seconds), [left_id], [right_id])
+
+
+def nearest_bar(left: DataFrame, right: DataFrame, keys: list[str], bars: int) -> DataFrame:
+    """Every left row (keys, bar) with the nearest right row's bar ``other`` within ``bars``, ties to the earlier; null where there is none."""
+    asked = left.withColumn("other", F.explode(F.sequence(F.col("bar") - bars, F.col("bar") + bars)))
+    gap = F.abs(F.col("other") - F.col("bar"))
+    found = asked.join(right, [*keys, "other"]).groupBy(*keys, "bar").agg(F.min(F.struct(gap.alias("gap"), "other"))["other"].alias("other"))
+    return left.join(found, [*keys, "bar"], "left")
+
+
+def preceding(rows: DataFrame, keys: list[str], order: list[str], anchor: Column, seconds: float, id_col: str, ts: str = "ts") -> DataFrame:
+    """Adds ``linked``: the id of the last anchor row before, if it lies less than ``seconds`` back."""
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.when(anchor, F.struct(F.col(id_col).alias("id"), F.col(ts).alias("ts"))), ignorenulls=True).over(w)
+    x = rows.withColumn("_last", last)
+    near = F.col(ts).cast("double") - F.col("_last.ts").cast("double") < seconds
+    return x.withColumn("linked", F.when(near, F.col("_last.id"))).drop("_last")

@@ -76,6 +76,22 @@ def ema_cross(bars: DataFrame, fast: int, slow: int, *extra: Column | str) -> Da
     return in_blocks(bars, I.ema_reach(slow) + 4, found).withColumn("bars_since_last_cross", since)
 
 
+def cross_features(bars: DataFrame, fast: int, slow: int, atr: int = 14) -> DataFrame:
+    """Crosses of two averages with their separation, three-bar slopes and the speed of crossing, in average ranges."""
+    by_atr = lambda v: F.when(F.col("atr") > 0, F.try_divide(v, F.col("atr"))).otherwise(0.0)
+
+    def found(x: DataFrame) -> DataFrame:
+        x = I.atr(I.ema(I.ema(x, "close", fast, "fast"), "close", slow, "slow"), atr)
+        x = x.withColumn("_gap", F.col("fast") - F.col("slow")).withColumn("_f", _before("fast")).withColumn("_s", _before("slow"))
+        x = x.withColumn("separation", by_atr(F.abs("_gap"))).withColumn("velocity", by_atr(F.col("_gap") - _before("_gap")))
+        for c in ("fast", "slow"):
+            x = x.withColumn(f"{c}_slope", by_atr(F.col(c) - I.lagged(c, 3)))
+        ready = F.col("bar") >= slow + 1
+        return _cross(x, ready & (F.col("_f") <= F.col("_s")) & (F.col("fast") > F.col("slow")), ready & (F.col("_f") >= F.col("_s")) & (F.col("fast") < F.col("slow")), "separation", "fast_slope", "slow_slope", "velocity")
+
+    return in_blocks(bars, max(I.ema_reach(slow), I.wilder_reach(atr)) + 5, found)
+
+
 def stochastic_adx(bars: DataFrame, n: int, smooth: int, d: int, adx: int) -> DataFrame:
     """%K crosses %D; carries ADX and the directional indicators for filters."""
 

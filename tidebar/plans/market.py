@@ -320,11 +320,6 @@ def stoch_cross(spark, d):
     return G.stochastic_adx(S.bars_h1(spark, d), 14, 3, 3, 14).select("sym", "bar", "direction")
 
 
-@query("g01_hidden_divergence")
-def divergence(spark, d):
-    return G.divergence(S.bars_h1(spark, d)).select("sym", "bar", "direction", "price", "bars_between", F.round("rsi_diff", 4).alias("rsi_diff"), F.round("price_slope", 4).alias("price_slope"))
-
-
 @query("g09_grid_fills", f"""{_B}, e as (select sym, bar, direction, price from ({_donchian_sql(20)}) where direction is not null), l as (select e.*, lv, price - direction * lv * 5.0::double lim from e, (values (1), (2), (3)) v(lv))
 select l.sym, l.bar, l.direction, lv as "level", (select min(b.bar) from bars b where b.sym = l.sym and b.bar > l.bar and b.bar <= l.bar + 100 and case when l.direction = 1 then b.low <= lim else b.high >= lim end) fill_bar from l""")
 def grid(spark, d):
