@@ -71,3 +71,17 @@ def urgency(features: list[Column], weights: list[float]) -> tuple[Column, Colum
     """Weighted sums of the features, turned to the side of a long and of a short trade, at least 0."""
     long, short = (sum((f * (w * s) for f, w, s in zip(features, weights, FLIPS[side])), F.lit(0.0)) for side in ("long", "short"))
     return F.greatest(F.lit(0.0), long), F.greatest(F.lit(0.0), short)
+
+
+def decision_features(held: DataFrame, longest: int) -> DataFrame:
+    """Adds age, what was given back from the best and the share of the longest holding time to held bars."""
+    age = F.col("at") - F.col("bar")
+    return held.withColumns({"age": age, "given_back": F.greatest(F.lit(0.0), F.col("mfe") - F.col("r_now")), "age_share": F.least(F.lit(1.0), age / float(longest))})
+
+
+def confidence(rows: DataFrame, risk: str, hold: str) -> DataFrame:
+    """Adds confidence: half the risk, half what the value of holding lacks to its greatest, over its range."""
+    span = rows.agg(F.min(hold).alias("_lo"), F.max(hold).alias("_hi"))
+    x = rows.join(F.broadcast(span))  # one row
+    share = F.when(F.col("_hi") > F.col("_lo"), F.try_divide(F.col(hold) - F.col("_lo"), F.col("_hi") - F.col("_lo"))).otherwise(0.0)
+    return x.withColumn("confidence", 0.5 * F.col(risk) + 0.5 * (1 - share)).drop("_lo", "_hi")

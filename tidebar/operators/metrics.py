@@ -75,3 +75,9 @@ def histogram(trades: DataFrame, bucket: Column, size: int) -> DataFrame:
     have = trades.groupBy(bucket.cast("int").alias("bucket")).agg(F.count("*").alias("trades"), F.sum("pnl").alias("pnl"))
     every = trades.sparkSession.range(size).select(F.col("id").cast("int").alias("bucket"))
     return every.join(have, "bucket", "left").na.fill({"trades": 0, "pnl": 0.0})
+
+
+def daily_balance(trades: DataFrame, keys: list[str], ts: str, capital: float) -> DataFrame:
+    """Trades, profit and closing balance of each key's days, made anew from its trades."""
+    days = trades.groupBy(*keys, F.to_date(ts).alias("day")).agg(F.count("*").alias("n"), F.sum("pnl").alias("pnl"))
+    return days.withColumn("balance", capital + F.sum("pnl").over(in_order(keys, ["day"]).rowsBetween(Window.unboundedPreceding, 0)))

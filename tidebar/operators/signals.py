@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -159,3 +160,10 @@ def grid_fills(entries: DataFrame, bars: DataFrame, orders: list[int], step: Col
     keys = ["sym", "bar", "direction", "price", "level", "limit"]
     first = hits.groupBy(*keys).agg(F.min("_bar").alias("fill_bar"))
     return level.join(first, keys, "left").select(*keys, "fill_bar")
+
+
+def on_latest(bars: DataFrame, f: Callable[[DataFrame], DataFrame], last: int, before: int) -> DataFrame:
+    """Signals of the last ``last`` bars of each instrument, made from these and the ``before`` bars that they look back at."""
+    end = bars.groupBy("sym").agg(F.max("bar").alias("_end"))
+    x = bars.join(end, "sym").filter(F.col("bar") > F.col("_end") - last - before)
+    return f(x.drop("_end")).join(end, "sym").filter(F.col("bar") > F.col("_end") - last).drop("_end")

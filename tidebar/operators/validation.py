@@ -28,15 +28,34 @@ def random_trials(trials: DataFrame, n: int, seed: int) -> DataFrame:
     return trials.withColumn("_key", F.md5(F.concat_ws("-", F.lit(seed), "trial"))).orderBy("_key").limit(n).drop("_key")
 
 
+def ranked(rows: DataFrame, column: str, tie: str, out: str, parts: int = 64) -> DataFrame:
+    """Adds ``out``: 1 for the greatest value, ties by ``tie``. Rows are ranked within ranges of values; the counts of the ranges above, a row each, are added."""
+    cuts = rows.agg(F.percentile_approx(column, [k / parts for k in range(1, parts)], 10_000)).first()[0] or []
+    cuts = sorted({float(c) for c in cuts if c is not None})
+    above = sum(((F.col(column) < c).cast("int") for c in cuts), F.lit(0)) + F.col(column).isNull().cast("int")
+    x = rows.withColumn("_range", above)
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = x.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", before.alias("_start"))  # a row a range
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(F.desc(column), tie))
+    return x.withColumn("_place", place).join(F.broadcast(starts), "_range").withColumn(out, F.col("_start") + F.col("_place")).drop("_range", "_place", "_start")
+
+
+def grid_neighbours(rows: DataFrame, column: str, values: list) -> DataFrame:
+    """Each value moved one step down and up its list of values, within it."""
+    listed = F.array(*map(F.lit, values))
+    at = F.array_position(listed, F.col(column)).cast("int")
+    x = rows.withColumn("step", F.explode(F.array(F.lit(-1), F.lit(1)))).withColumn("_at", at + F.col("step"))
+    return x.filter(F.col("_at").between(1, len(values))).withColumn("moved", F.element_at(listed, F.col("_at"))).drop("_at")
+
+
 def combined_rank(results: DataFrame, weight: float, least_ratio: float) -> DataFrame:
     """Ranks by back and forward quality and their weighted sum; the forward-ratio filter is off where nothing passes it."""
     x = results.withColumn("ratio", F.when(F.col("back") > 0, F.try_divide("forward", "back")).otherwise(0.0))
     x = x.withColumn("_pass", (F.col("ratio") >= least_ratio).cast("int"))
     some = x.agg(F.max("_pass").alias("_any"))
     x = x.join(F.broadcast(some)).filter((F.col("_pass") == 1) | (F.col("_any") == 0)).drop("_pass", "_any")  # one row
-    back = F.row_number().over(Window.orderBy(F.desc("back"), "trial"))
-    forward = F.row_number().over(Window.orderBy(F.desc("forward"), "trial"))
-    return x.withColumn("back_rank", back).withColumn("forward_rank", forward).withColumn("combined_rank", F.col("back_rank") + weight * F.col("forward_rank"))
+    x = ranked(ranked(x, "back", "trial", "back_rank"), "forward", "trial", "forward_rank")
+    return x.withColumn("combined_rank", F.col("back_rank") + weight * F.col("forward_rank"))
 
 
 def diverse(candidates: DataFrame, signature: list[str], n: int, each: int) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import features, live, market, more, pieces, research, trading  # noqa: F401  each registers its queries
+from . import features, flows, live, market, more, pieces, research, trading  # noqa: F401  each registers its queries
 from .registry import ORACLES, QUERIES  # noqa: F401
 
 FLAGSHIP = "g05_donchian_signals"

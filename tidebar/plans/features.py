@@ -130,9 +130,9 @@ def channel_in_atr(spark, d):
     return _signals_with_atr(spark, d).select("sym", "bar", "direction", r4(P.guarded(F.col("channel_width"), F.col("atr"), 0.0), "width_atr"))
 
 
-@query("p21_atr_gate", f"{_R}, {_SA} select sym, bar, 'off' gate from sa union all select sym, bar, 'on' from sa where atr / 0.01::double >= 15000")
+@query("p21_atr_gate", f"{_R}, {_SA} select sym, bar, 'off' gate from sa union all select sym, bar, 'on' from sa where atr / 0.01::double >= 8000")
 def atr_gate(spark, d):
-    s = _signals_with_atr(spark, d).withColumn("least", F.explode(F.array(F.lit(0.0), F.lit(15000.0))))
+    s = _signals_with_atr(spark, d).withColumn("least", F.explode(F.array(F.lit(0.0), F.lit(8000.0))))
     return s.filter(P.atr_gate(F.col("atr") / PIP, F.col("least"))).select("sym", "bar", F.when(F.col("least") == 0, "off").otherwise("on").alias("gate"))
 
 
@@ -149,7 +149,7 @@ c as (select *, case when pf <= ps and fy > sy then 1 when pf >= ps and fy < sy
 
 @query("i24_cross_features", f"{_R}, {_CROSS} select sym, bar, direction, round(abs(fy - sy) / atr, 4) separation, round((fy - f3) / atr, 4) fast_slope, round((sy - s3) / atr, 4) slow_slope, round(((fy - sy) - (pf - ps)) / atr, 4) velocity from c where direction is not null and s3 is not null")
 def cross_features(spark, d):
-    return G.cross_features(S.bars_h1(spark, d), 9, 21).filter("bar >= 24").select("sym", "bar", "direction", *[r4(c, c) for c in ("separation", "fast_slope", "slow_slope", "velocity")])
+    return G.cross_features(S.bars_h1(spark, d), 9, 21).filter("bar >= 23").select("sym", "bar", "direction", *[r4(c, c) for c in ("separation", "fast_slope", "slow_slope", "velocity")])
 
 
 _FEATURES = f"""{_MOVES}, {_rsi(14)}, {_ATR},
@@ -163,9 +163,9 @@ ft as (select sym, bar, least(1, greatest(-1, (r - r5) / 20)) rsi_momentum, leas
 _NAMES = ("rsi_momentum", "atr_ratio", "range_position", "trend_alignment", "momentum_extreme", "bar_rejection", "close_momentum", "range_contraction")
 
 
-@query("i27_bar_features", f"{_R}, {_FEATURES} select sym, bar, " + ", ".join(f"round({c}, 3) {c}" for c in _NAMES) + " from ft")
+@query("i27_bar_features", f"{_R}, {_FEATURES} select sym, bar, " + ", ".join(f"round({c}, 3) + 0.0::double {c}" for c in _NAMES) + " from ft")
 def bar_features(spark, d):
-    return I.bar_features(S.bars_h1(spark, d)).filter("bar >= 200").select("sym", "bar", *[F.round(c, 3).alias(c) for c in _NAMES])
+    return I.bar_features(S.bars_h1(spark, d)).filter("bar >= 200").select("sym", "bar", *[(F.round(c, 3) + 0.0).alias(c) for c in _NAMES])
 
 
 _LONG = (-1, 1, 1, -1, 1, 1, -1, -1)

@@ -160,11 +160,13 @@ def arrays(spark, d):
     return a.select("trade_id", F.size("v").cast("long").alias("n"), F.when(F.size(gain) > 0, F.round(F.aggregate(gain, F.lit(0.0), lambda s, x: s + x), 2)).alias("gain"), F.round(F.col("v")[0], 2).alias("first_pnl"))
 
 
-@query("f19_tight_ranges", "with t(v) as (values (5), (20), (50)), l as (select [5, 10, 15, 20, 30, 40, 50] vs) select v, array_to_string(vs[greatest(1, least(list_position(vs, v) - 2, 3)) : greatest(1, least(list_position(vs, v) - 2, 3)) + 4], ',') near from t, l")
+@query("f19_tight_ranges", "with l as (select [5, 10, 15, 20, 30, 40, 50] vs), t as (select p_partkey, vs[1 + p_size % 7] v, 1 + p_size % 7 pos, vs from part, l) select p_partkey, v, array_to_string(vs[greatest(1, least(pos - 2, 3)) : greatest(1, least(pos - 2, 3)) + 4], ',') near from t")
 def tight(spark, d):
     values = [5, 10, 15, 20, 30, 40, 50]
-    at = F.greatest(F.lit(1), F.least(F.array_position(F.array(*map(F.lit, values)), F.col("v")) - 2, F.lit(len(values) - 4))).cast("int")
-    return spark.createDataFrame([(5,), (20,), (50,)], "v int").select("v", F.array_join(F.slice(F.array(*map(F.lit, values)), at, 5), ",").alias("near"))
+    listed = F.array(*map(F.lit, values))
+    at = F.greatest(F.lit(1), F.least(F.array_position(listed, F.col("v")) - 2, F.lit(len(values) - 4))).cast("int")
+    p = S.read(spark, d, "part").select("p_partkey", F.element_at(listed, (1 + F.col("p_size") % 7).cast("int")).alias("v"))
+    return p.select("p_partkey", "v", F.array_join(F.slice(listed, at, 5), ",").alias("near"))
 
 
 @query("i14_band_width", f"{_B}, x as (select sym, bar, avg(close) {_rows(30)} m, stddev_pop(close) {_rows(30)} s from bars) select sym, bar, round(case when m > 0 then 5 * s / m else 0 end, 4) width from x where bar >= 29")
@@ -174,10 +176,11 @@ def band_width(spark, d):
     return x.select("sym", "bar", F.round(F.when(F.col("m") > 0, (F.col("u") - F.col("l")) / F.col("m")).otherwise(0.0), 4).alias("width"))
 
 
-@query("r02_mode_stops", "with t(id, sm, tm, fixed, atr, m, rr, am, tf) as (values (1, 'fixed', 'rr', 25.0::double, 12.0::double, 1.5::double, 2.0::double, 3.0::double, 50.0::double), (2, 'atr', 'atr', 25, 12, 1.5, 2, 3, 50), (3, 'atr', 'fixed', 25, 4, 1, 2, 3, 5)), s as (select *, greatest(case when sm = 'fixed' then fixed else atr * m end, 10) sl from t) select id, sl, greatest(case tm when 'rr' then sl * rr when 'atr' then atr * am else tf end, sl) tp from s")
+@query("r02_mode_stops", "with t as (select p_partkey id, case when p_size % 2 = 0 then 'fixed' else 'atr' end sm, case p_size % 3 when 0 then 'rr' when 1 then 'atr' else 'fixed' end tm, p_size / 2.0::double atr from part), s as (select *, greatest(case when sm = 'fixed' then 25 else atr * 1.5::double end, 10) sl from t) select id, sl, greatest(case tm when 'rr' then sl * 2 when 'atr' then atr * 3 else 50 end, sl) tp from s")
 def mode_stops(spark, d):
-    t = spark.createDataFrame([(1, "fixed", "rr", 25.0, 12.0, 1.5, 2.0, 3.0, 50.0), (2, "atr", "atr", 25.0, 12.0, 1.5, 2.0, 3.0, 50.0), (3, "atr", "fixed", 25.0, 4.0, 1.0, 2.0, 3.0, 5.0)], "id int, sm string, tm string, fixed double, atr double, m double, rr double, am double, tf double")
-    sl, tp = P.mode_stops(*map(F.col, ("sm", "tm", "fixed", "atr", "m", "rr", "am", "tf")))
+    size = F.col("p_size")
+    t = S.read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.when(size % 2 == 0, "fixed").otherwise("atr").alias("sm"), F.when(size % 3 == 0, "rr").when(size % 3 == 1, "atr").otherwise("fixed").alias("tm"), (size / 2.0).alias("atr"))
+    sl, tp = P.mode_stops(F.col("sm"), F.col("tm"), F.lit(25.0), F.col("atr"), F.lit(1.5), F.lit(2.0), F.lit(3.0), F.lit(50.0))
     return t.select("id", sl.alias("sl"), tp.alias("tp"))
 
 

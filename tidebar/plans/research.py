@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import bars as B
 from ..operators import filters as P
 from ..operators import indicators as I
 from ..operators import metrics as M
@@ -70,10 +71,11 @@ def diverse(spark, d):
     return V.diverse(x, ["sig"], 20, 2).select("trial", "sig", "pass")
 
 
-@query("x08_neighbours", "with p(name, value, low, high, whole) as (values ('period', 20.0::double, 5.0::double, 50.0::double, true), ('mult', 1.5, 0.5, 3.0, false), ('rr', 3.0, 1.0, 3.0, false), ('lag', 4.0, 1.0, 10.0, true)), s as (select *, case when whole then greatest(1, floor(abs(value) * 0.1::double)) else abs(value) * 0.1::double end step from p), m as (select name, value, sg sign, least(high, greatest(low, value + sg * step)) moved from s, (values (-1), (1)) g(sg)) select name, value, sign, round(moved, 6) moved from m where moved <> value")
+@query("x08_neighbours", "with p as (select p_partkey, p_size::double v, 5.0::double lo, 45.0::double hi, p_size % 2 = 0 whole from part where p_size between 5 and 45), s as (select *, case when whole then greatest(1, floor(abs(v) * 0.1::double)) else abs(v) * 0.1::double end step from p), m as (select p_partkey, v, sg sign, least(hi, greatest(lo, v + sg * step)) moved from s, (values (-1), (1)) g(sg)) select p_partkey, v as value, sign, round(moved, 6) moved from m where moved <> v")
 def neighbours(spark, d):
-    p = spark.createDataFrame([("period", 20.0, 5.0, 50.0, True), ("mult", 1.5, 0.5, 3.0, False), ("rr", 3.0, 1.0, 3.0, False), ("lag", 4.0, 1.0, 10.0, True)], "name string, value double, low double, high double, whole boolean")
-    return V.neighbours(p).select("name", "value", "sign", F.round("moved", 6).alias("moved"))
+    size = F.col("p_size")
+    p = S.read(spark, d, "part").filter(size.between(5, 45)).select("p_partkey", size.cast("double").alias("value"), F.lit(5.0).alias("low"), F.lit(45.0).alias("high"), (size % 2 == 0).alias("whole"))
+    return V.neighbours(p).select("p_partkey", "value", "sign", F.round("moved", 6).alias("moved"))
 
 
 @query("x09_stability", f"{_RES}, r as (select trial % 10 grp, case when back > 0 then forward / back else 0 end ratio from res), a as (select grp, avg(case when ratio > 0 then ratio end) mean, min(case when ratio > 0 then ratio end) least, count(*) filter (ratio > 0.7) stable, count(*) filter (ratio < 0.3) unstable from r group by 1) select grp, round(mean, 6) mean, round(least, 6) least, stable, unstable, case when mean >= 0.8 and least >= 0.5 then 'ROBUST' when mean >= 0.6 then 'MODERATE' when mean >= 0.4 then 'FRAGILE' else 'OVERFIT' end rating from a")
@@ -173,19 +175,15 @@ def distribution(spark, d):
 
 # --- confidence ---
 
-_CAND = [
-    (1, 2.1, 2.4, 0.92, 120, 14.0, 4.0, 0.9, 0.9, 3, 0.85, 1.4, 1.2, 2.5, 0.82, 1, 1.2, 1.3, True, 2.2, 2.0),
-    (2, 1.2, 0.6, 0.25, 60, 35.0, 12.0, 0.3, 0.5, 1, 1.0, 0.4, 0.3, 0.8, 0.4, 5, -0.2, 0.8, False, 0.4, 0.3),
-    (3, 3.5, 4.0, 0.97, 20, 55.0, 22.0, 2.6, 1.0, 0, 0.0, 2.0, 0.0, 3.0, 0.95, 0, 2.5, 1.8, True, 4.0, 3.0),
-    (4, 1.6, 1.1, 0.6, 90, 20.0, 6.0, 0.0, 0.7, 2, 0.5, 0.9, 0.6, 1.5, 0.65, 4, 0.5, 1.05, True, 1.0, 0.45),
-]
-_CCOLS = "id long, profit_factor double, sortino double, r_squared double, trades long, max_dd double, ulcer double, ratio double, pass_rate double, oos_windows long, oos_pass_rate double, mean_sharpe double, oos_mean_sharpe double, consistency double, mean_stability double, unstable long, sharpe_low double, pf_low double, significant boolean, quality double, back_quality double"
-_CNAMES = [c.split()[0] for c in _CCOLS.split(", ")]
-_CVALUES = ", ".join("(" + ", ".join(str(v).lower() if isinstance(v, bool) else f"{v!r}::double" if isinstance(v, float) else str(v) for v in row) + ")" for row in _CAND)
+#: Columns of candidates, made from the keys of the orders.
+_CCOLS = {
+    "profit_factor": "1 + k % 23 / 10.0", "sortino": "k % 31 / 8.0", "r_squared": "k % 11 / 10.0", "trades": "20 + k % 90", "max_dd": "k % 61 / 1.0", "ulcer": "k % 29 / 1.0", "ratio": "k % 27 / 10.0", "pass_rate": "k % 9 / 8.0", "oos_windows": "k % 4", "oos_pass_rate": "k % 7 / 6.0",
+    "mean_sharpe": "k % 13 / 6.0", "oos_mean_sharpe": "k % 17 / 8.0", "consistency": "k % 19 / 6.0", "mean_stability": "k % 12 / 10.0", "unstable": "k % 6", "sharpe_low": "k % 21 / 10.0", "pf_low": "k % 15 / 10.0", "quality": "k % 37 / 9.0", "back_quality": "k % 25 / 20.0",
+}
 _CLIP = lambda x: f"greatest(0, least(100, {x}))"
 
 
-@query("v12_v13_confidence", f"""with c({', '.join(_CNAMES)}) as (values {_CVALUES}),
+@query("v12_v13_confidence", f"""with o as (select o_orderkey k from orders), c as (select k id, k % 2 = 0 significant, {', '.join(f"({e.replace('.0', '.0::double')}) {n}" for n, e in _CCOLS.items())} from o),
 p as (select *, ({_CLIP('(profit_factor - 1) * 100 / 2')} + {_CLIP('sortino * 100 / 3')} + {_CLIP('r_squared * 100 / 0.9::double')} + {_CLIP('(trades - 30) * 100 / 70')} + {_CLIP('(30 - (ulcer + max_dd / 2)) / 30 * 100')}) / 5 bt,
  case when ratio <= 0 then 0 when ratio <= 1 then ratio * 100 when ratio <= 2 then 100 else greatest(0, 100 - (ratio - 2) * 20) end fb,
  {_CLIP('(case when oos_windows > 0 then oos_pass_rate else pass_rate end) * 100 + least(10, greatest(-40, ((case when oos_windows > 0 then oos_mean_sharpe else mean_sharpe end) - 1) * 30))')} wf0,
@@ -193,9 +191,11 @@ p as (select *, ({_CLIP('(profit_factor - 1) * 100 / 2')} + {_CLIP('sortino * 10
 q as (select *, case when oos_windows = 1 then wf0 * 0.7::double + pass_rate * 100 * 0.3::double else wf0 end wf1, (case when pf_low > 1 then least(mc0 + 10, 100) else mc0 end) * case when significant then 1 else 0.5::double end mc from p),
 r as (select *, case when consistency > 2 then least(wf1 + 10, 100) else wf1 end wf from q),
 s as (select id, least(bt * 0.15::double + fb * 0.15::double + wf * 0.25::double + st * 0.15::double + mc * 0.15::double + qs * 0.15::double, 100, case when r_squared < 0.3 then 50 else 1000 end, case when max_dd > 50 then 40 else 1000 end, case when back_quality > 0 and back_quality < 0.5 then 50 else 1000 end, case when ulcer > 20 then 40 when ulcer > 10 then 70 else 1000 end) score from r)
-select id, round(score, 4) score, case when score >= 70 then 'GREEN' when score >= 40 then 'YELLOW' else 'RED' end rating from s""")
+select id, round(score + 1e-9::double, 4) score, case when score >= 70 then 'GREEN' when score >= 40 then 'YELLOW' else 'RED' end rating from s""")
 def confidence(spark, d):
-    return V.confidence(spark.createDataFrame(_CAND, _CCOLS)).select("id", F.round("score", 4).alias("score"), "rating")
+    k = S.read(spark, d, "orders").select(F.col("o_orderkey").alias("k"))
+    c = k.select(F.col("k").alias("id"), (F.col("k") % 2 == 0).alias("significant"), *[F.expr(e.replace(".0", "D").replace("/ 1D", "/ 1.0D")).alias(n) for n, e in _CCOLS.items()])
+    return V.confidence(c).select("id", F.round(F.col("score") + 1e-9, 4).alias("score"), "rating")
 
 
 # --- simulation ---
@@ -204,7 +204,7 @@ def confidence(spark, d):
 def _orders(spark, d):
     """Donchian signals with stops of two and targets of three average ranges, in price."""
     bars = S.bars_h1(spark, d)
-    ranged = bars.withColumn("atr", F.avg(F.col("high") - F.col("low")).over(I.frame(20))).select("sym", "bar", "atr")
+    ranged = B.in_blocks(bars, 20, lambda x: x.select("sym", "bar", F.avg(F.col("high") - F.col("low")).over(I.frame(20)).alias("atr")))
     s = G.donchian(bars, 20).join(ranged, ["sym", "bar"]).filter("atr > 0")
     sl, tp = P.prices(F.col("direction"), F.col("price"), F.col("atr") * 0.2, F.col("atr") * 0.3, F.lit(1.0))
     return bars, s.select("sym", F.lit(0).alias("trial"), "bar", F.lit(0).alias("seq"), "direction", "price", sl.alias("sl"), tp.alias("tp"), "atr", F.lit(48).alias("max_bars"))
@@ -253,7 +253,7 @@ def grid_trades(spark, d):
 def grid_search(spark, d):
     """Every possible trial of the space over all instruments, simulated at once and summed up by trial."""
     bars = S.bars_h1(spark, d)
-    ranged = bars.withColumn("atr", F.avg(F.col("high") - F.col("low")).over(I.frame(20))).select("sym", "bar", "atr")
+    ranged = B.in_blocks(bars, 20, lambda x: x.select("sym", "bar", F.avg(F.col("high") - F.col("low")).over(I.frame(20)).alias("atr")))
     trials = P.possible(V.grid(spark, SPACE))
     s = G.donchian_variants(bars, SPACE["channel_period"]).join(ranged, ["sym", "bar"]).join(F.broadcast(trials), "channel_period").filter("atr > 0")  # the stated space is small
     sl, tp = P.prices(F.col("direction"), F.col("price"), F.col("atr") * F.col("sl_atr_mult") * 0.2, F.col("atr") * F.col("sl_atr_mult") * F.col("tp_rr_ratio") * 0.2, F.lit(1.0))

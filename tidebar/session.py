@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -26,6 +28,17 @@ def session(name: str = "tidebar", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def workdir(spark: SparkSession) -> str:
+    """A fresh folder that driver and executors share, under ``spark.checkpoint.dir``; in one process, a temporary one if that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="tidebar-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/tidebar-{uuid.uuid4().hex}"
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors' Python workers, once for each application."""
     app = spark.sparkContext.applicationId

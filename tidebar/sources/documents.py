@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Columns of an exported trade, in order.
+#: Columns of an exported trade, in order. Fixed values.
 TRADE_COLUMNS = ("trade_id", "instrument", "direction", "units", "entry_price", "entry_time", "exit_price", "exit_time", "exit_reason", "realized_pnl", "stop_loss", "take_profit", "strategy_id")
 
 
@@ -20,11 +20,36 @@ def read_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return df.withColumn("source", F.col("_metadata.file_path"))
 
 
-def read_trades(spark: SparkSession, path: str, fields: str) -> DataFrame:
-    """Trades of files that hold a list, or an object with a list under 'trades'; one row a trade."""
+def trades_of(docs: DataFrame, column: str, fields: str, last: int | None = None) -> DataFrame:
+    """Trades of documents that hold a list, or an object with a list under 'trades' or 'trade_history'; of each the ``last`` ones, if asked."""
+    some = f"array<struct<{fields}>>"
+    named = F.from_json(column, f"struct<trades: {some}, trade_history: {some}>")
+    found = F.when(F.startswith(F.ltrim(column), F.lit("[")), F.from_json(column, some)).otherwise(F.coalesce(named["trades"], named["trade_history"]))
+    if last is not None:
+        found = F.slice(found, F.greatest(F.lit(1), F.size(found) - last + 1), last)
+    return docs.select(F.explode(found).alias("t")).select("t.*")
+
+
+def read_trades(spark: SparkSession, path: str, fields: str, last: int | None = None) -> DataFrame:
+    """Trades of files as in ``trades_of``; one row a trade."""
+    return trades_of(spark.read.text(path, wholetext=True), "value", fields, last)
+
+
+def read_runs(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """run, doc: the document of each folder ``run=...`` under a path; doc is null where it can't be read."""
     text = spark.read.text(path, wholetext=True)
-    lists = F.when(F.startswith(F.ltrim("value"), F.lit("[")), F.from_json("value", f"array<struct<{fields}>>")).otherwise(F.from_json("value", f"struct<trades: array<struct<{fields}>>>")["trades"])
-    return text.select(F.explode(lists).alias("t")).select("t.*")
+    return parsed(text, "value", schema).select(F.col("run").cast("long").alias("run"), "doc")
+
+
+def run_index(docs: DataFrame, stages: Column, order: list[str]) -> DataFrame:
+    """stages_done, status and minutes of runs: stages count in order until one has failed."""
+    status = F.array(*[F.coalesce(F.try_element_at(stages, F.lit(n))["status"], F.lit("pending")) for n in order])
+    seconds = F.array(*[F.coalesce(F.try_element_at(stages, F.lit(n))["duration_seconds"], F.lit(0.0)) for n in order])
+    failed = F.array_position(status, "failed")
+    upto = F.when(failed > 0, failed).otherwise(len(order)).cast("int")
+    done = F.size(F.filter(F.slice(status, F.lit(1), upto), lambda s: s == "completed"))
+    total = F.aggregate(F.slice(seconds, F.lit(1), upto), F.lit(0.0), lambda a, x: a + x)
+    return docs.withColumns({"stages_done": done, "status": F.when(failed > 0, "FAILED").when(done == len(order), "COMPLETE").otherwise("PARTIAL"), "minutes": total / 60})
 
 
 def read_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -12,10 +12,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 TICK_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
-def ticks(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
-    """Ticks from a folder of Parquet files, as they come."""
+def ticks(spark: SparkSession, path: str, files_per_trigger: int = 100, more: list[str] | None = None) -> DataFrame:
+    """Ticks from a folder of Parquet files, as they come, with ``more`` of their columns."""
     raw = spark.readStream.schema(TICK_SCHEMA).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
-    return raw.select(F.col("event_type").alias("sym"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), F.col("value").alias("price"))
+    return raw.select(F.col("event_type").alias("sym"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), F.col("value").alias("price"), *(more or []))
 
 
 def closed_candles(stream: DataFrame, width: str, settle: str = "2 seconds") -> DataFrame:
@@ -36,6 +36,16 @@ def daily(stream: DataFrame) -> DataFrame:
     return stream.withWatermark("ts", "1 day").groupBy(F.window("ts", "1 day").alias("w")).agg(F.count("*").alias("trades"), F.count_if(F.col("pnl") > 0).alias("wins"), F.sum("pnl").alias("pnl")).select(F.to_date("w.start").alias("day"), "trades", "wins", "pnl")
 
 
+def not_at_broker(local: DataFrame, broker: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of a stream whose keys a snapshot doesn't have: positions closed elsewhere."""
+    return local.join(broker.select(*keys), keys, "left_anti")
+
+
+def marked_occupied(stream: DataFrame, positions: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds ``occupied``: whether some instance holds a position of the row's keys; each has one row in ``positions``."""
+    return stream.join(positions.select(*keys).withColumn("_held", F.lit(True)), keys, "left").withColumn("occupied", F.coalesce("_held", F.lit(False))).drop("_held")
+
+
 _POSITION = "trade_id long, bar_number int, action string, old_sl double, new_sl double"
 _STATE = "direction int, price double, sl double, far double, bars int, even boolean, trailing boolean"
 
