@@ -468,15 +468,9 @@ def test_toxicity_scores_are_plain_averages():
 def test_toxicity_sample_is_bounded(spark):
     docs = spark.createDataFrame([(i, f"text {i} " + "w " * 50) for i in range(40)] * 3 + [(40, "v" * 9000)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(41)], "doc_id long, toxic int")
-    seen = []
-    keep = toxicity.fit
-    try:
-        toxicity.fit = lambda texts, toxic, weight: seen.append((texts, toxic)) or keep(texts, toxic, weight)
-        toxicity.fit_table(docs, labels, sample=12, chars=1000)
-    finally:
-        toxicity.fit = keep
-    texts, toxic = seen[0]
-    assert len(set(texts)) == len(texts) and all(0 < sum(len(t) for t, y in zip(texts, toxic) if y == k) <= 1000 for k in (0, 1))
+    rows = toxicity.labelled_sample(docs, labels.selectExpr("doc_id id", "toxic"), 12, 1000).collect()
+    assert len({r.text for r in rows}) == len(rows) and all(0 < sum(len(r.text) for r in rows if r.toxic == k) <= 1000 for k in (0, 1))
+    assert sorted((r.toxic, r.place) for r in rows) == [(k, i + 1) for k in (0, 1) for i in range(sum(r.toxic == k for r in rows))]
 
 
 def luhn(d):

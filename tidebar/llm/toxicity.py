@@ -181,6 +181,32 @@ def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray, rounds: int = 7
     return Model(logit, float(bias[1, 0] - bias[0, 0]))
 
 
+def labelled_sample(docs: DataFrame, wanted: DataFrame, sample: int, chars: int, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """toxic, place, text: of each class of ``wanted`` (id, toxic), at most ``sample`` rows and ``chars`` characters, by the hash of the id."""
+    picked = [wanted.filter(F.col("toxic") == k).orderBy(F.xxhash64("id"), "id").limit(sample) for k in (0, 1)]
+    picked = picked[0].union(picked[1])  # at most 2 * sample ids
+    texts = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text")).filter(F.length("text") <= chars)
+    once = texts.join(F.broadcast(picked), "id").groupBy("id", "toxic").agg(F.min("text").alias("text"))
+    order = Window.partitionBy("toxic").orderBy(F.xxhash64("id"), "id")
+    rows = once.withColumn("so_far", F.sum(F.length("text")).over(order)).withColumn("place", F.row_number().over(order))
+    return rows.filter(F.col("so_far") <= chars).select("toxic", "place", "text")
+
+
+def _trained(counts: dict[int, int]):
+    """One row, the model, from the labelled sample, whose size is bounded."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
+        rows = sorted(r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns)))
+        toxic = np.array([r[0] for r in rows], np.float32)
+        have = np.bincount(toxic.astype(int), minlength=2)
+        weight = np.array([counts[int(t)] / have[int(t)] for t in toxic], np.float64)
+        model = fit([r[2] for r in rows], toxic, weight)
+        yield pa.RecordBatch.from_arrays([pa.array([model.logit.astype("<f4").tobytes()], pa.binary()), pa.array([model.bias])], names=["logit", "bias"])
+
+    return run
+
+
 def fit_table(docs: DataFrame, labels: DataFrame, train: Column | None = None, sample: int = SAMPLE, chars: int = SAMPLE_CHARS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Fit on at most ``sample`` labelled rows of each class: those of least hash of the id.
 
@@ -188,23 +214,17 @@ def fit_table(docs: DataFrame, labels: DataFrame, train: Column | None = None, s
     are weighted to the shares they have among all labelled rows. Rows with a null id or label,
     or without a text row, are not used; of several texts of an id the least one is; an id that
     is labelled both ways counts as toxic. Texts of a class come as long as they have at most
-    ``chars`` characters together, so what the driver gets is bounded.
+    ``chars`` characters together, so what the training task gets is bounded; the driver gets
+    the model alone.
     """
     wanted = labels.select(labels[id_col].alias("id"), labels[label_col].cast("int").alias("toxic")).filter("id is not null and toxic in (0, 1)")
     wanted = wanted.groupBy("id").agg(F.max("toxic").alias("toxic"))
     if train is not None:
         wanted = wanted.filter(train)
     counts = {r["toxic"]: r["n"] for r in wanted.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    picked = [wanted.filter(F.col("toxic") == k).orderBy(F.xxhash64("id"), "id").limit(sample) for k in (0, 1)]
-    picked = picked[0].union(picked[1])  # at most 2 * sample ids
-    texts = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text")).filter(F.length("text") <= chars)
-    once = texts.join(F.broadcast(picked), "id").groupBy("id", "toxic").agg(F.min("text").alias("text"))
-    so_far = F.sum(F.length("text")).over(Window.partitionBy("toxic").orderBy(F.xxhash64("id"), "id"))
-    rows = once.withColumn("so_far", so_far).filter(F.col("so_far") <= chars).select("toxic", "text").collect()
-    toxic = np.array([r["toxic"] for r in rows], np.float32)
-    have = np.bincount(toxic.astype(int), minlength=2)
-    weight = np.array([counts[int(t)] / have[int(t)] for t in toxic], np.float64)
-    return fit([r["text"] for r in rows], toxic, weight)
+    rows = labelled_sample(docs, wanted, sample, chars, text_col, id_col).repartition(1)
+    found = rows.mapInArrow(_trained(counts), "logit binary, bias double").first()
+    return fit([], np.zeros(0), np.zeros(0)) if found is None else Model(np.frombuffer(found["logit"], "<f4"), found["bias"])
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
