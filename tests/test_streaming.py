@@ -32,6 +32,13 @@ def test_without_repeats(spark, data, tmp_path):
     assert out.count() == e.count()
 
 
+def test_days_are_merged_once(spark, tmp_path):
+    days = spark.createDataFrame([("2024-01-01", 3), ("2024-01-02", 5)], "day string, trades int").withColumn("day", F.to_date("day"))
+    C.merge_days(days, str(tmp_path / "days"))
+    C.merge_days(days.filter("trades = 5").withColumn("trades", F.lit(6)), str(tmp_path / "days"))
+    assert sorted((str(r.day), r.trades) for r in spark.read.parquet(str(tmp_path / "days")).collect()) == [("2024-01-01", 3), ("2024-01-02", 6)]
+
+
 def test_managed_positions(spark, tmp_path):
     rows = [(1, f"2024-01-01 0{h}:00:00", 1, 100.0, 98.0, hi, lo) for h, (hi, lo) in enumerate([(100.0, 100.0), (102.0, 99.0), (103.0, 101.0), (103.0, 100.0)])]
     src = tmp_path / "in"
@@ -46,6 +53,9 @@ def test_documents(spark, tmp_path):
     (tmp_path / "b.json").write_text('{"trades": [{"trade_id": 2, "realized_pnl": -1}]}')
     got = D.read_trades(spark, str(tmp_path), "trade_id: long, realized_pnl: double")
     assert sorted(map(tuple, got.collect())) == [(1, 2.5), (2, -1.0)]
+    (tmp_path / "h").mkdir()
+    (tmp_path / "h/c.json").write_text('{"trade_history": [{"trade_id": 3, "realized_pnl": 1}, {"trade_id": 4, "realized_pnl": 2}, {"trade_id": 5, "realized_pnl": 3}]}')
+    assert sorted(r.trade_id for r in D.read_trades(spark, str(tmp_path / "h"), "trade_id: long, realized_pnl: double", last=2).collect()) == [4, 5]
     (tmp_path / "x").mkdir()
     (tmp_path / "x/t.csv").write_text("TICKET,TRANSACTION DATE\n 7 ,2026-02-17 13:00:13 -12\n")
     r = D.read_transactions(spark, str(tmp_path / "x")).first()

@@ -85,3 +85,23 @@ def confidence(rows: DataFrame, risk: str, hold: str) -> DataFrame:
     x = rows.join(F.broadcast(span))  # one row
     share = F.when(F.col("_hi") > F.col("_lo"), F.try_divide(F.col(hold) - F.col("_lo"), F.col("_hi") - F.col("_lo"))).otherwise(0.0)
     return x.withColumn("confidence", 0.5 * F.col(risk) + 0.5 * (1 - share)).drop("_lo", "_hi")
+
+
+def trained(rows: DataFrame, features: list[str], label: str, kind: str = "classifier"):
+    """Gradient-boosted trees of Spark's own library on feature columns; nulls count as 0."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+
+    made = {"classifier": GBTClassifier, "regressor": GBTRegressor}[kind](labelCol=label, featuresCol="_x", maxIter=10, maxDepth=3, seed=42)
+    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="_x"), made]).fit(rows.fillna(0.0, features))
+
+
+def skill(scored: DataFrame, score: str, label: str) -> float:
+    """Area under the ROC curve; 0.5 where one class is missing."""
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+
+    if scored.select(label).distinct().count() < 2:
+        return 0.5
+    return BinaryClassificationEvaluator(rawPredictionCol=score, labelCol=label).evaluate(scored)

@@ -28,10 +28,16 @@ def random_trials(trials: DataFrame, n: int, seed: int) -> DataFrame:
     return trials.withColumn("_key", F.md5(F.concat_ws("-", F.lit(seed), "trial"))).orderBy("_key").limit(n).drop("_key")
 
 
-def ranked(rows: DataFrame, column: str, tie: str, out: str, parts: int = 64) -> DataFrame:
+def range_cuts(rows: DataFrame, *columns: str, parts: int = 64) -> list[list[float]]:
+    """For each column, at most ``parts`` - 1 values that cut it into ranges of about as many rows."""
+    at = F.array(*[F.lit(k / parts) for k in range(1, parts)])
+    found = rows.agg(*[F.percentile_approx(c, at, F.lit(10_000)).alias(c) for c in columns]).first()
+    return [sorted(set(map(float, found[c] or []))) for c in columns]
+
+
+def ranked(rows: DataFrame, column: str, tie: str, out: str, cuts: list[float] | None = None) -> DataFrame:
     """Adds ``out``: 1 for the greatest value, ties by ``tie``. Rows are ranked within ranges of values; the counts of the ranges above, a row each, are added."""
-    cuts = rows.agg(F.percentile_approx(column, [k / parts for k in range(1, parts)], 10_000)).first()[0] or []
-    cuts = sorted({float(c) for c in cuts if c is not None})
+    cuts = range_cuts(rows, column)[0] if cuts is None else cuts
     above = sum(((F.col(column) < c).cast("int") for c in cuts), F.lit(0)) + F.col(column).isNull().cast("int")
     x = rows.withColumn("_range", above)
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -54,7 +60,8 @@ def combined_rank(results: DataFrame, weight: float, least_ratio: float) -> Data
     x = x.withColumn("_pass", (F.col("ratio") >= least_ratio).cast("int"))
     some = x.agg(F.max("_pass").alias("_any"))
     x = x.join(F.broadcast(some)).filter((F.col("_pass") == 1) | (F.col("_any") == 0)).drop("_pass", "_any")  # one row
-    x = ranked(ranked(x, "back", "trial", "back_rank"), "forward", "trial", "forward_rank")
+    back, forward = range_cuts(results, "back", "forward")
+    x = ranked(ranked(x, "back", "trial", "back_rank", back), "forward", "trial", "forward_rank", forward)
     return x.withColumn("combined_rank", F.col("back_rank") + weight * F.col("forward_rank"))
 
 

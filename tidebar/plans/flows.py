@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import bars as B
 from ..operators import exits as E
+from ..operators import indicators as I
 from ..operators import metrics as M
 from ..operators import signals as G
 from ..operators import validation as V
@@ -23,6 +25,13 @@ _B, _L = f"with {S.BARS_SQL}", f"with {S.LEDGER_SQL}"
 _SIG = f"s as ({_donchian_sql(20)})"
 
 
+def _written(df: DataFrame) -> DataFrame:
+    """``df`` by way of the shared folder, for what reads it again and again."""
+    folder = workdir(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 # --- files ----------------------------------------------------------------------------------
 
 
@@ -271,3 +280,34 @@ def decision_features(spark, d):
 def prediction_confidence(spark, d):
     t = S.read(spark, d, "orders").select("o_orderkey", ((F.col("o_orderkey") % 97) / 97.0).alias("risk"), ((F.col("o_orderkey") % 53) / 10.0).alias("hold"))
     return E.confidence(t, "risk", "hold").select("o_orderkey", F.round("confidence", 4).alias("confidence"))
+
+
+_NUMBERS = ["age", "r_now", "mfe", "mae", "given_back", "age_share"]
+
+
+@query("l06_exit_models")
+def exit_models(spark, d):
+    """A regressor of what holding on still brings and a classifier of whether it loses, on held bars; predictions for each."""
+    x = E.decision_features(E.labels(_held(spark, d)[1]), 48).withColumn("loses", (F.col("remaining_r") < 0).cast("double")).fillna(0.0, ["remaining_r", "loses"])
+    x = _written(x.withColumns({c: F.col(c).cast("double") for c in _NUMBERS}).fillna(0.0, _NUMBERS))
+    hold = E.trained(x, _NUMBERS, "remaining_r", "regressor").transform(x).withColumnRenamed("prediction", "hold").drop("_x")
+    risk = E.trained(x, _NUMBERS, "loses").transform(hold) if x.select("loses").distinct().count() > 1 else hold.withColumn("prediction", F.lit(0.0))
+    return risk.select("sym", "bar", "at", F.round("hold", 4).alias("hold"), F.col("prediction").alias("risk"))
+
+
+@query("l10_signal_model")
+def signal_model(spark, d):
+    """Signals of the last fifth of bars, kept by a model of earlier ones if it tells winners apart (area 0.55 or more), else all."""
+    bars = S.bars_h1(spark, d)
+    names = ["atr_norm", "vol_regime", "trend_short", "trend_long", "rsi", "rsi_3", "rsi_10", "body", "from_top", "from_bottom"]
+    future = F.lead("close", 10).over(Window.partitionBy("sym").orderBy("bar"))
+    ahead = B.in_blocks(bars, 0, lambda x: x.select("sym", "bar", future.alias("later")), after=10)
+    x = G.donchian(bars, 20).join(I.signal_features(bars).select("sym", "bar", *names), ["sym", "bar"]).join(ahead, ["sym", "bar"]).filter("later is not null")
+    x = _written(x.withColumn("won", (F.col("direction") * (F.col("later") - F.col("price")) > 0).cast("double")).fillna(0.0, names))
+    cut = x.agg(F.percentile_approx("bar", 0.8)).first()[0]
+    early, late = x.filter(F.col("bar") < cut), x.filter(F.col("bar") >= cut)
+    if early.select("won").distinct().count() < 2:
+        return late.select("sym", "bar", "direction", F.lit(False).alias("filtered"))
+    scored = E.trained(early, names, "won").transform(late)
+    able = E.skill(scored, "rawPrediction", "won") >= 0.55
+    return (scored.filter("prediction = 1") if able else scored).select("sym", "bar", "direction", F.lit(able).alias("filtered"))

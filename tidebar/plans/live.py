@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import filters as P
 from ..operators import matching as J
 from ..sources import documents as D
 from ..sources import tables as S
@@ -140,6 +141,13 @@ def sizes(spark, d):
     return c.select("c_custkey", F.greatest(F.lit(1), F.floor(F.col("c_acctbal") * 0.01 / 25 * 1000)).cast("long").alias("units"))
 
 
+@query("t11_quote_units", "with p as (select o_orderkey, o_totalprice, ['EUR_USD', 'USD_JPY', 'EUR_GBP', 'AUD_CAD'][1 + o_orderkey % 4] pair from orders) select o_orderkey, pair, floor(o_totalprice / 100 / case right(pair, 3) when 'JPY' then 0.0067::double when 'GBP' then 1.27 when 'CAD' then 0.74 else 1 end)::bigint units from p")
+def quote_units(spark, d):
+    pair = F.element_at(F.array(*map(F.lit, ("EUR_USD", "USD_JPY", "EUR_GBP", "AUD_CAD"))), (1 + F.col("o_orderkey") % 4).cast("int"))
+    o = S.read(spark, d, "orders").withColumn("pair", pair)
+    return o.select("o_orderkey", "pair", F.floor(F.col("o_totalprice") / 100 / P.quote_rate(F.col("pair"))).cast("long").alias("units"))
+
+
 @query("t13_stale_heartbeats", "with h as (select user_id, max(ts) last_ts from events group by 1), n as (select max(ts) t from events) select user_id, case when epoch(t) - epoch(last_ts) > 86400 then 'DOWN' when epoch(t) - epoch(last_ts) > 21600 then 'LATE' else 'OK' end status from h, n")
 def heartbeats(spark, d):
     h = S.read(spark, d, "events").groupBy("user_id").agg(F.max(F.col("ts").cast("timestamp")).alias("last"))
