@@ -290,6 +290,8 @@ def exit_models(spark, d):
     """A regressor of what holding on still brings and a classifier of whether it loses, on held bars; predictions for each."""
     x = E.decision_features(E.labels(_held(spark, d)[1]), 48).withColumn("loses", (F.col("remaining_r") < 0).cast("double")).fillna(0.0, ["remaining_r", "loses"])
     x = _written(x.withColumns({c: F.col(c).cast("double") for c in _NUMBERS}).fillna(0.0, _NUMBERS))
+    if x.isEmpty():  # nothing was held, so there is nothing to learn or to predict
+        return x.select("sym", "bar", "at", F.lit(0.0).alias("hold"), F.lit(0.0).alias("risk"))
     hold = E.trained(x, _NUMBERS, "remaining_r", "regressor").transform(x).withColumnRenamed("prediction", "hold").drop("_x")
     risk = E.trained(x, _NUMBERS, "loses").transform(hold) if x.select("loses").distinct().count() > 1 else hold.withColumn("prediction", F.lit(0.0))
     return risk.select("sym", "bar", "at", F.round("hold", 4).alias("hold"), F.col("prediction").alias("risk"))
