@@ -37,6 +37,7 @@ def _byte_alphabet() -> dict[int, str]:
 
 
 _ALPHABET = _byte_alphabet()
+_BLANK = _ALPHABET[0x20]
 #: ASCII bytes that may be white space to some library, and first bytes of characters of which some are.
 _BLANKISH = np.zeros(256, bool)
 _BLANKISH[: 0x21] = _BLANKISH[0x7F] = True
@@ -79,8 +80,9 @@ def cut(texts: list[str], kind: str) -> tuple[bytes, np.ndarray, np.ndarray, np.
     late = before >= 0x80  # the last byte of a longer character: was its first byte a suspect?
     lone[late] &= ~(_LEADS[data[np.maximum(blank[late] - 2, 0)]] | _LEADS[data[np.maximum(blank[late] - 3, 0)]])
     start = blank[lone]
-    start = start[~np.isin(start + 1, ends)]
-    start = np.union1d(start, begins[ends - 1 > begins])
+    start = start[ends[np.minimum(np.searchsorted(ends, start + 1), len(ends) - 1)] != start + 1]
+    start = np.sort(np.concatenate([start, begins[ends - 1 > begins]]))
+    start = start[np.append(True, start[1:] != start[:-1])[: len(start)]]
     owner = np.searchsorted(ends, start, side="right")
     end = np.append(start[1:], 0)
     last = np.append(owner[1:] != owner[:-1], True) if len(start) else np.zeros(0, bool)
@@ -122,23 +124,28 @@ class WordEncoder:
                 b = w
             split.append((b.lower() if lower and b.isascii() and b.isalpha() else b, w[len(b) :]))
         new = list({p for s in split for p in s}.difference(self.stems))
-        plain = [w.lstrip(" \n").isalpha() and not (w[:1] == "\n" or w[1:2] in (" ", "\n")) and max(w) < "Ā" for w in new]
-        rest = iter(self.library.encode_batch_fast([w for w, p in zip(new, plain) if not p], add_special_tokens=False))
-        # the model alone for Latin-1 letters, which the library's other steps leave as one pre-token
-        tokenize = self.library.model.tokenize
-        for w, p in zip(new, plain):
-            self.stems[w] = [x.id for x in tokenize(_visible(w.lower() if lower else w))] if p else next(rest).ids
+        rest, tokenize = [], self.library.model.tokenize
+        for w in new:
+            core = w[1:] if w[:1] == " " else w
+            if core.isalpha() and (core.isascii() or max(core) < "Ā"):
+                # the model alone for Latin-1 letters, which the library's other steps leave as one pre-token
+                core = core.lower() if lower else core
+                seen = core if core.isascii() else _visible(core)
+                self.stems[w] = [x.id for x in tokenize(_BLANK + seen if w[:1] == " " else seen)]
+            else:
+                rest.append(w)
+        self.stems.update(zip(rest, (e.ids for e in self.library.encode_batch_fast(rest, add_special_tokens=False))))
         return [self.stems[a] + self.stems[b] for a, b in split]
 
     def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
         found = self._encoded(words)
         length = np.fromiter(map(len, found), np.int64, len(found))
-        known = np.concatenate([self.known, hashes])
-        by = np.argsort(known)
-        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(length) - length])[by]
-        self.length = np.concatenate([self.length, length])[by]
-        self.used = np.concatenate([self.used, np.zeros(len(found), np.int64)])[by]
-        self.known = known[by]
+        # both are sorted, so the new ones are put between the old ones
+        at = np.searchsorted(self.known, hashes)
+        self.start = np.insert(self.start, at, len(self.ids) + np.cumsum(length) - length)
+        self.length = np.insert(self.length, at, length)
+        self.used = np.insert(self.used, at, 0)
+        self.known = np.insert(self.known, at, hashes)
         self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint32, int(length.sum()))])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
