@@ -212,6 +212,28 @@ def test_decontamination_with_unnamed_items(spark, docs, texts):
     assert kept == {None, *range(len(texts))} - {4, 10}
 
 
+def test_items_that_share_a_passage(spark):
+    rng = random.Random(4)
+    shared = words(rng, 30)
+    items = [(k, f"{words(rng, 5)} {shared} {words(rng, 5)}") for k in range(40)]
+    docs = [(1, f"{words(rng, 50)} {shared} {words(rng, 50)}"), (2, f"{words(rng, 9)} {items[7][1]}"), (3, words(rng, 80))]
+    found = decontamination.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), 10)
+    got = {r.doc_id: (r.n, list(r["items"]), r.longest) for r in found.withColumn("n", decontamination.hit_words()).collect()}
+    every = sorted(map(str, range(40)))
+    assert got[1][:2] == (30, every) and got[2] == (40, every, 40) and got[3] == (0, [], 0) and got[1][2] >= 30
+
+
+def test_joins_with_hot_and_missing_keys(spark, monkeypatch):
+    from tidebar.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 10)
+    many = spark.createDataFrame([(None if k % 3 == 0 else 1 if k % 3 == 1 else k, k) for k in range(300)], "key long, id long")
+    one = spark.createDataFrame([(k, k * 2) for k in range(300)], "key long, twice long")
+    for how in ("inner", "left"):
+        want = sorted((r.id, r.twice or -1) for r in many.join(one, "key", how).collect())
+        assert sorted((r.id, r.twice or -1) for r in common.join_hot(many, one, ["key"], "id", how).collect()) == want
+
+
 def test_benchmark_in_blocks(spark, docs, texts, monkeypatch):
     items = spark.createDataFrame([(k, " ".join(texts[10].split()[50 * k : 50 * k + 20])) for k in range(6)], "item_id long, text string")
     digest = lambda: sorted((r.doc_id or -1, r.n, tuple(r.items)) for r in decontamination.find_leaks(docs, items, 10).select("doc_id", decontamination.hit_words().alias("n"), "items").collect())
