@@ -113,7 +113,7 @@ def holdout_ratio(months: float, years: float) -> float:
 def gaps(bars: DataFrame, minutes: int, factor: float = 3.0) -> DataFrame:
     """Steps of over ``factor`` bars: sym, ts, hours, weekend (from a Friday to a Sunday, or from a Friday for over 48 hours)."""
     before = F.lag("ts").over(by_bar())
-    step = bars.withColumn("before", before).filter("before is not null").withColumn("seconds", F.col("ts").cast("long") - F.col("before").cast("long"))
+    step = in_blocks(bars, 1, lambda x: x.withColumn("before", before)).filter("before is not null").withColumn("seconds", F.col("ts").cast("long") - F.col("before").cast("long"))
     friday = F.weekday("before") == 4
     return step.filter(F.col("seconds") > factor * minutes * 60).select("sym", "ts", (F.col("seconds") / 3600.0).alias("hours"), (friday & ((F.weekday("ts") == 6) | (F.col("seconds") > 48 * 3600))).alias("weekend"))
 
