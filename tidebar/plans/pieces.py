@@ -188,9 +188,9 @@ def symmetric(spark, d):
     return B.in_blocks(S.bars_h1(spark, d), 4, lambda x: x.select("sym", "bar", I.swings(4)[1].alias("s")).filter("s"), after=4).select("sym", "bar")
 
 
-@query("w08_expanding_mean", f"{_B} select sym, bar, round(avg(high - low) {_rows(50)}, 6) mean from bars")
+@query("w08_expanding_mean", f"{_B} select sym, bar, round(avg(high - low) {_rows(50)}, 8) mean from bars")
 def expanding_mean(spark, d):
-    return B.in_blocks(S.bars_h1(spark, d), 50, lambda x: x.select("sym", "bar", r6(F.avg(F.col("high") - F.col("low")).over(I.frame(50)), "mean")))
+    return B.in_blocks(S.bars_h1(spark, d), 50, lambda x: x.select("sym", "bar", F.round(F.avg(F.col("high") - F.col("low")).over(I.frame(50)), 8).alias("mean")))
 
 
 @query("w16_session_box", f"{_B} select sym, strftime(ts, '%Y-%m-%d') as \"day\", max(high) filter (hour(ts) < 8) top, min(low) filter (hour(ts) < 8) bottom, count(*) filter (hour(ts) < 8) n from bars where isodow(ts) <= 5 group by 1, 2")
