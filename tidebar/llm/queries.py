@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_extraction, near_dedup, packing, permutation_index, pii, secret_scan, token_counts, token_store, toxicity, url_filter, whitening
+from . import cross_tokenizer, decontamination, html_extraction, near_dedup, packing, permutation_index, pii, secret_scan, token_counts, token_store, toxicity, url_filter, whitening
 from .common import table, workdir
 
 
@@ -86,6 +86,10 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), similarity=(85, 100))
 
 
+def op11_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_tokenizer.align(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))[0]
+
+
 def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A source is an owner, a document a repository."""
     return secret_scan.find_secrets(table(spark, sf_dir, "documents"), owner_col="source", repository_col="doc_id")
@@ -106,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_pii": op9_pii,
     "op10_near_dedup": op10_near_dedup,
+    "op11_cross_tokenizer": op11_cross_tokenizer,
     "op12_secret_scan": op12_secret_scan,
     "op13_embedding_whitening": op13_embedding_whitening,
 }

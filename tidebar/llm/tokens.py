@@ -63,7 +63,10 @@ def cut_kind(spec: dict) -> str:
 
 
 def cut(texts: list[str], kind: str) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
-    """All texts as bytes, the start and end of each word, and the number of words of each text."""
+    """All texts as bytes, the start and end of each word, and the number of words of each text.
+
+    Kind ``blank`` is kind ``byte`` without cuts before line feeds.
+    """
     parts = [t.encode("utf-8", "surrogatepass") for t in texts]
     raw = b"\n".join([*parts, b""])
     data = np.frombuffer(raw, np.uint8)
@@ -73,7 +76,7 @@ def cut(texts: list[str], kind: str) -> tuple[bytes, np.ndarray, np.ndarray, np.
         start, end = edge[::2], edge[1::2]
         return raw, start, end, np.diff(np.searchsorted(start, ends), prepend=0)
     begins = np.concatenate([np.zeros(1, np.int64), ends[:-1]])[: len(parts)]
-    blank = np.flatnonzero((data == 0x20) | (data == 0x0A))
+    blank = np.flatnonzero((data == 0x20) | (data == 0x0A) & (kind == "byte"))
     blank = blank[(blank > 0) & (blank < len(data) - 1)]
     before, after = data[blank - 1], data[blank + 1]
     lone = ~_BLANKISH[before] & ~_BLANKISH[after] & ~_LEADS[after]
@@ -91,6 +94,13 @@ def cut(texts: list[str], kind: str) -> tuple[bytes, np.ndarray, np.ndarray, np.
     return raw, start, end, np.bincount(owner, minlength=len(parts))
 
 
+def hashed(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of parts of a byte array, as differences of prefix sums."""
+    power, inverse = _power_tables(len(data))
+    upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * power[: len(data)], dtype=np.uint64)])
+    return mix((upto[end] - upto[start]) * inverse[start] + (end - start).astype(np.uint64) * _STEP)
+
+
 class WordEncoder:
     """encode(texts) gives the ids of all texts in one flat array and the number of ids of each."""
 
@@ -150,10 +160,7 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         raw, start, end, n_words = cut(texts, self.kind)
-        data = np.frombuffer(raw, np.uint8)
-        power, inverse = _power_tables(len(data))
-        upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * power[: len(data)], dtype=np.uint64)])
-        h = mix((upto[end] - upto[start]) * inverse[start] + (end - start).astype(np.uint64) * _STEP)
+        h = hashed(np.frombuffer(raw, np.uint8), start, end)
         by = np.argsort(h)
         fresh = np.ones(len(h), bool)
         fresh[1:] = h[by[1:]] != h[by[:-1]]
