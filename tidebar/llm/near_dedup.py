@@ -175,7 +175,9 @@ def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = (85, 100), id
     inside = materialize(join_hot(entries.select("bucket", "digest"), kept, ["bucket"], "digest", counts=kept).select("bucket", "digest", "least", "blocks"), f"{folder}/inside")
     # the texts of candidates, by a merge join at every size: the ids grow with the corpus; the key tells texts of one id apart
     wanted = same.join(inside.select("digest").distinct(), "digest", "left_semi").select("digest", F.col("node").alias("doc_id"), "key")
-    texts = materialize(whole.join(wanted.hint("merge"), ["doc_id", "key"]).select("digest", "text"), f"{folder}/texts")
+    # (rows that repeat meet there, and one text a digest goes on)
+    found = whole.join(wanted.hint("merge"), ["doc_id", "key"]).groupBy("doc_id", "key", "digest").agg(F.first("text").alias("text"))
+    texts = materialize(found.select("digest", "text"), f"{folder}/texts")
     placed = inside.withColumn("least", F.xxhash64("digest") == F.col("least")).withColumn("block", F.when(F.col("least"), -1).otherwise(F.pmod(F.xxhash64("digest", F.lit(11)), F.col("blocks"))).cast("int"))
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
     once = placed.withColumn("block", F.explode(F.when(F.col("block") < 0, every).otherwise(F.array("block"))))
