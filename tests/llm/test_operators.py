@@ -59,6 +59,26 @@ def test_word_encoder(texts, file):
             assert [ids[e - k : e].tolist() for e, k in zip(ends, n)] == want[a : a + 97]
 
 
+@pytest.mark.parametrize("file", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_letters_that_normal_forms_change(file):
+    """Letters of several characters in lower case or in their normal form, before end marks and after anything."""
+    import unicodedata
+
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(queries.tokenizer(file))
+    letters = [c for c in map(chr, range(0x80, 0x30000)) if c.isalpha() and (len(c.lower()) > 1 or unicodedata.normalize("NFC", c) != c)]
+    assert "\u0130" in letters and len(letters) > 50
+    rng = random.Random(2)
+    odd = rng.sample(letters, 40) + ["\u0130", "\u0307", "\u0301", "\u093c", "\u1100", "\u1161", "\u11a8", *"aZß ,.|#*!"]
+    many = [f"{a}{c}{m}" for c in letters for a in ("", "ab", " x") for m in (",", ".#", "|a", "")]
+    many += ["".join(rng.choices(odd, k=rng.randrange(1, 25))) for _ in range(6000)]
+    want = [e.ids for e in library.encode_batch(many, add_special_tokens=False)]
+    ids, n = tokens.WordEncoder(queries.tokenizer(file)).encode(many)
+    ends = np.cumsum(n)
+    assert [t for t, e, k, w in zip(many, ends, n, want) if ids[e - k : e].tolist() != w] == []
+
+
 def test_cut_kind_refuses_unknown():
     with pytest.raises(ValueError):
         tokens.cut_kind({"pre_tokenizer": {"type": "Whitespace"}})
@@ -591,3 +611,19 @@ def test_connected_chains(spark, tmp_path):
     got = {r.node: r.component for r in near_dedup.connected(spark.createDataFrame(links, "a long, b long"), str(tmp_path)).collect()}
     want = {i: min(order[:200]) for i in order[:200]} | {i: min(order[200:290]) for i in order[200:290]}
     assert got == want
+
+
+def test_repeated_rows_reach_verification_once(spark, monkeypatch):
+    written = {}
+
+    def kept(df, path, inner=near_dedup.materialize):
+        out = inner(df, path)
+        written[path.rsplit("/", 1)[1]] = out
+        return out
+
+    monkeypatch.setattr(near_dedup, "materialize", kept)
+    text = " ".join(f"word{i}" for i in range(100))
+    docs = spark.createDataFrame([(1, text)] * 5000 + [(2, text + " more")], "doc_id long, text string")
+    rows = near_dedup.near_duplicates(docs).collect()
+    assert len(rows) == 5001 and {r.component_id for r in rows} == {1}
+    assert written["texts"].count() == 2

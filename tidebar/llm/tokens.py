@@ -115,6 +115,7 @@ class WordEncoder:
         self.ids = np.zeros(0, np.uint32)
         self.start, self.length, self.used = (np.zeros(0, np.int64) for _ in range(3))
         self.stems: dict[str, list[int]] = {}
+        self.letters: dict[str, bool] = {}
 
     def _keep(self, rows: np.ndarray) -> None:
         length = self.length[rows]
@@ -122,15 +123,25 @@ class WordEncoder:
         self.ids = self.ids[np.arange(int(length.sum())) + np.repeat(self.start[rows] - (ends - length), length)]
         self.known, self.start, self.length, self.used = self.known[rows], ends - length, length, self.used[rows] // 2
 
+    def _ends_word(self, c: str) -> bool:
+        if c not in self.letters:
+            normal = self.library.normalizer
+            self.letters[c] = c.isalpha() and (normal is None or normal.normalize_str(c)[-1:].isalpha())
+        return self.letters[c]
+
     def _encoded(self, words: list[str]) -> list[list[int]]:
-        """Ids of words. A word of letters and end marks takes the ids of its letters, then of its marks."""
+        """Ids of words. A word of letters and end marks takes the ids of its letters, then of its marks.
+
+        That needs a last letter whose normal form ends with a letter too: that of U+0130 ends with a
+        combining mark, and pre-tokenizers leave it with the marks behind.
+        """
         if len(self.stems) > self.limit // 6:
             self.stems.clear()
         lower = self.kind == "drop"
         split = []
         for w in words:
             b = w.rstrip(_MARKS)
-            if not b[-1:].isalpha():
+            if not self._ends_word(b[-1:]):
                 b = w
             split.append((b.lower() if lower and b.isascii() and b.isalpha() else b, w[len(b) :]))
         new = list({p for s in split for p in s}.difference(self.stems))
