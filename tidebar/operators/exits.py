@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bars import BLOCK
+from .scans import place
+
 
 def held_bars(trades: DataFrame, bars: DataFrame, least: int = 3) -> DataFrame:
     """One row for each bar a trade is held after its entry, with the running best and worst move in units of the stop distance.
@@ -51,9 +54,16 @@ def calibrated(decisions: DataFrame, thresholds: list[float], keep: float = 0.5)
 
 
 def folds(rows: DataFrame, n: int) -> DataFrame:
-    """Expanding folds over time: fold k trains on the first k + 1 parts of n + 1 and tests on the next."""
-    part = F.ntile(n + 1).over(Window.partitionBy("sym").orderBy("bar")) - 1
-    x = rows.withColumn("_part", part).withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    """Expanding folds over time: fold k trains on the first k + 1 parts of n + 1 and tests on the next.
+
+    Parts are as even as can be, longer ones first; a row's part follows from its place and the count of its instrument.
+    """
+    total = rows.groupBy("sym").agg(F.count("*").alias("_n"))
+    at, each, more = F.col("_at") - 1, F.floor(F.col("_n") / (n + 1)), F.col("_n") % (n + 1)
+    long = more * (each + 1)  # rows of the longer parts
+    part = F.when(at < long, F.floor(at / (each + 1))).otherwise(more + F.floor((at - long) / F.greatest(each, F.lit(1)))).cast("int")
+    rows = place(rows, ["sym"], ["bar"], [F.floor(F.col("bar") / BLOCK)], "_at").join(total, "sym").withColumn("_part", part).drop("_at", "_n")
+    x = rows.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     return x.withColumn("role", F.when(F.col("_part") <= F.col("fold"), "train").when(F.col("_part") == F.col("fold") + 1, "test")).filter("role is not null").drop("_part")
 
 

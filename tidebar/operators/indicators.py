@@ -208,11 +208,6 @@ def lagged(column: str, n: int) -> Column:
     return F.lag(column, n).over(by_bar())
 
 
-def since_previous(event: Column, never: int) -> Column:
-    """Bars since the last bar before this one where ``event`` held, or ``never``."""
-    last = F.last(F.when(event, F.col("bar")), ignorenulls=True).over(by_bar().rowsBetween(Window.unboundedPreceding, -1))
-    return F.coalesce(F.col("bar") - last, F.lit(never))
-
 
 def slope_per_bar(column: str, n: int, pip: float) -> Column:
     """Pips that a column moved a bar over the last n bars."""

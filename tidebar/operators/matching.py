@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scans import scan
+
 
 def within(left: DataFrame, right: DataFrame, keys: list[str], seconds: float, ts: str = "ts") -> DataFrame:
     """Rows of equal keys at most ``seconds`` apart, with ``gap``; an equi-join on time blocks, each left row in three of them."""
@@ -58,10 +60,8 @@ def nearest_bar(left: DataFrame, right: DataFrame, keys: list[str], bars: int) -
     return left.join(found, [*keys, "bar"], "left")
 
 
-def preceding(rows: DataFrame, keys: list[str], order: list[str], anchor: Column, seconds: float, id_col: str, ts: str = "ts") -> DataFrame:
-    """Adds ``linked``: the id of the last anchor row before, if it lies less than ``seconds`` back."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    last = F.last(F.when(anchor, F.struct(F.col(id_col).alias("id"), F.col(ts).alias("ts"))), ignorenulls=True).over(w)
-    x = rows.withColumn("_last", last)
-    near = F.col(ts).cast("double") - F.col("_last.ts").cast("double") < seconds
-    return x.withColumn("linked", F.when(near, F.col("_last.id"))).drop("_last")
+def preceding(rows: DataFrame, keys: list[str], order: list[str], block: list[Column | str], anchor: Column, seconds: float, id_col: str, ts: str = "ts") -> DataFrame:
+    """Adds ``linked``: the id of the last anchor row before, if it lies less than ``seconds`` back; anchors are carried from block to block."""
+    x = scan(rows, keys, order, block, lasts={"_anchor": F.when(anchor, F.struct(F.col(id_col).alias("id"), F.col(ts).alias("ts")))})
+    near = F.col(ts).cast("double") - F.col("_anchor_before.ts").cast("double") < seconds
+    return x.withColumn("linked", F.when(near, F.col("_anchor_before.id"))).drop("_anchor_before")

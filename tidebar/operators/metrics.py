@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scans import scan
+
 #: Bars of a year. Fixed values.
 BARS_PER_YEAR = {"M1": 252 * 1440, "M5": 252 * 288, "M15": 252 * 96, "M30": 252 * 48, "H1": 252 * 22, "H4": 252 * 6, "D": 252}
 
@@ -17,18 +19,17 @@ def profit_factor(win: Column, loss: Column) -> Column:
     return F.when(loss > 0.01, F.try_divide(win, loss)).when(win > 0, 100.0).otherwise(0.0)
 
 
-def equity(trades: DataFrame, keys: list[str], order: list[str], capital: float) -> DataFrame:
-    """Adds n (from 1), equity, peak (the capital counts), drawdown and drawdown_pct."""
-    w = in_order(keys, order)
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    x = trades.withColumn("n", F.row_number().over(w)).withColumn("equity", F.lit(capital) + F.sum("pnl").over(run))
-    x = x.withColumn("peak", F.greatest(F.lit(capital), F.max("equity").over(run)))
+def equity(trades: DataFrame, keys: list[str], order: list[str], capital: float, block: list[Column | str] | None = None) -> DataFrame:
+    """Adds n (from 1), equity, peak (the capital counts), drawdown and drawdown_pct; ``block`` is that of ``scans.scan``, by which a key is cut."""
+    x = scan(trades, keys, order, block or [], sums={"_n": F.lit(1), "_gain": F.col("pnl")}, peaks={"_top": ("_gain", None)})
+    x = x.withColumn("n", (F.col("_n_before") + 1).cast("int")).withColumn("equity", F.lit(capital) + (F.col("_gain_before") + F.col("pnl")))
+    x = x.withColumn("peak", F.greatest(F.lit(capital), F.lit(capital) + F.col("_top_before"), "equity")).drop("_n_before", "_gain_before", "_top_before")
     return x.withColumn("drawdown", F.col("peak") - F.col("equity")).withColumn("drawdown_pct", F.try_divide(F.col("drawdown") * 100, F.col("peak")))
 
 
-def summary(trades: DataFrame, keys: list[str], order: list[str], capital: float, bars: int, bars_per_year: int) -> DataFrame:
+def summary(trades: DataFrame, keys: list[str], order: list[str], capital: float, bars: int, bars_per_year: int, block: list[Column | str] | None = None) -> DataFrame:
     """One row a key: counts, win rate, profit factor, Sharpe, Sortino, R², drawdown, ulcer, return, on-test score and quality."""
-    x = equity(trades, keys, order, capital)
+    x = equity(trades, keys, order, capital, block)
     a = x.groupBy(*keys).agg(
         F.count("*").alias("trades"), F.count_if(F.col("pnl") > 0).alias("wins"), F.sum("pnl").alias("profit"),
         F.sum(F.when(F.col("pnl") > 0, F.col("pnl")).otherwise(0.0)).alias("gross_win"), F.sum(F.when(F.col("pnl") <= 0, -F.col("pnl")).otherwise(0.0)).alias("gross_loss"),
@@ -53,17 +54,25 @@ def quality(sortino: Column, r2: Column, pf: Column, trades: Column, max_dd: Col
     return F.when((trades < 1) | (sortino <= 0) | (pf <= 0) | (r2 <= 0), 0.0).otherwise(value)
 
 
-def streaks(trades: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Longest runs of wins and of losses of each key."""
-    x = trades.withColumn("win", F.col("pnl") > 0)
-    run = F.row_number().over(in_order(keys, order)) - F.row_number().over(in_order([*keys, "win"], order))
-    runs = x.withColumn("run", run).groupBy(*keys, "win", "run").agg(F.count("*").alias("length"))
-    longest = lambda side: F.coalesce(F.max(F.when(F.col("win") == side, F.col("length"))), F.lit(0))
-    return runs.groupBy(*keys).agg(longest(True).alias("win_streak"), longest(False).alias("loss_streak"))
+def streaks(trades: DataFrame, keys: list[str], order: list[str], block: list[Column | str] | None = None) -> DataFrame:
+    """Longest runs of wins and of losses of each key.
+
+    The wins so far only grow, so their greatest number at any loss is that at the last loss; what has come since is the
+    run. All of it is carried from block to block.
+    """
+    win = F.col("pnl") > 0
+    one = lambda c: c.cast("int")
+    x = scan(trades, keys, order, block or [], sums={"_wins": one(win), "_losses": one(~win)}, peaks={"_at_loss": ("_wins", ~win), "_at_win": ("_losses", win)})
+    run = lambda n, at: F.col(f"_{n}_before") + 1 - F.coalesce(f"_{at}_before", F.lit(0))
+    longest = lambda side, n, at: F.coalesce(F.max(F.when(side, run(n, at))), F.lit(0)).cast("long")
+    return x.groupBy(*keys).agg(longest(win, "wins", "at_loss").alias("win_streak"), longest(~win, "losses", "at_win").alias("loss_streak"))
 
 
 def closing_losses(trades: DataFrame, keys: list[str], order: list[str], last: int = 20) -> DataFrame:
-    """Losses in a row at the end of each key, among its last ``last`` trades, and whether that is three or more."""
+    """Losses in a row at the end of each key, among its last ``last`` trades, and whether that is three or more.
+
+    Each task keeps the last trades it has of a key before any are shuffled, so a key costs as many rows as there are tasks.
+    """
     newest = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
     x = trades.withColumn("age", F.row_number().over(newest)).filter(F.col("age") <= last)
     still = F.min(F.when(F.col("pnl") < 0, 1).otherwise(0)).over(newest.rowsBetween(Window.unboundedPreceding, 0))

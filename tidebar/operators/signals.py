@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import indicators as I
-from .bars import by_bar, in_blocks
+from .bars import BLOCK, by_bar, in_blocks
+from .scans import scan
 
 
 def _before(column: str) -> Column:
@@ -109,7 +110,9 @@ def session_breakout(bars: DataFrame, start: int, end: int, hours: int = 6) -> D
     """Close crosses an edge of the day's range of the hours [start, end), within ``hours`` after it, on weekdays; the first of each day and side."""
     x = bars.withColumn("day", F.to_date("ts")).withColumn("hour", F.hour("ts")).filter(F.weekday("ts") < 5)
     box = x.filter((F.col("hour") >= start) & (F.col("hour") < end)).groupBy("sym", "day").agg(F.max("high").alias("range_high"), F.min("low").alias("range_low"))
-    y = x.withColumn("_prev", F.lag("close").over(by_bar())).join(box, ["sym", "day"]).filter((F.col("hour") >= end) & (F.col("hour") < end + hours))
+    # the bar before on weekdays lies at most a weekend back
+    last = scan(x, ["sym"], ["bar"], [F.floor(F.col("bar") / BLOCK)], lasts={"_close": F.col("close")}).withColumnRenamed("_close_before", "_prev")
+    y = last.join(box, ["sym", "day"]).filter((F.col("hour") >= end) & (F.col("hour") < end + hours))
     up = (F.col("close") > F.col("range_high")) & (F.col("_prev") <= F.col("range_high"))
     down = (F.col("close") < F.col("range_low")) & (F.col("_prev") >= F.col("range_low"))
     found = _cross(y, up, down, "day", "range_high", "range_low", (F.col("range_high") - F.col("range_low")).alias("range_size"))

@@ -11,6 +11,7 @@ from ..operators import indicators as I
 from ..operators import metrics as M
 from ..operators import signals as G
 from ..operators import validation as V
+from ..operators.scans import place
 from ..session import workdir
 from ..sources import documents as D
 from ..sources import tables as S
@@ -19,7 +20,7 @@ from .market import STAMP, _donchian_sql
 from .more import _HELD, _held
 from .registry import query
 from .research import _RES, _WIN, _results, _windows
-from .trading import _EQ, _SUM, ORDER
+from .trading import _EQ, _SUM, DAYS, ORDER
 
 _B, _L = f"with {S.BARS_SQL}", f"with {S.LEDGER_SQL}"
 _SIG = f"s as ({_donchian_sql(20)})"
@@ -250,8 +251,7 @@ def out_of_sample(spark, d):
 
 @query("v14_trade_details", f"{_L}, x as (select *, row_number() over (partition by instance order by exit_time, trade_id, leg) n, datediff('day', cast(entry_time as date), cast(exit_time as date)) held from ledger) select instance, count(*) trades, round(avg(held), 4) mean_held, round(max(pnl), 2) best, round(min(pnl), 2) worst, round(avg(case when pnl > 0 then pnl end), 3) mean_win, round(avg(case when pnl <= 0 then pnl end), 3) mean_loss, min(n) filter (pnl > 0) first_win from x group by 1")
 def trade_details(spark, d):
-    n = F.row_number().over(M.in_order(["instance"], ORDER))
-    x = S.ledger(spark, d).withColumn("n", n.cast("long")).withColumn("held", F.datediff("exit_time", "entry_time"))
+    x = place(S.ledger(spark, d), ["instance"], ORDER, DAYS, "n").withColumn("n", F.col("n").cast("long")).withColumn("held", F.datediff("exit_time", "entry_time"))
     side = lambda won: F.round(F.avg(F.when(F.col("pnl") > 0, None if not won else F.col("pnl")).otherwise(None if won else F.col("pnl"))), 3)
     return x.groupBy("instance").agg(F.count("*").alias("trades"), F.round(F.avg("held"), 4).alias("mean_held"), F.round(F.max("pnl"), 2).alias("best"), F.round(F.min("pnl"), 2).alias("worst"), side(True).alias("mean_win"), side(False).alias("mean_loss"), F.min(F.when(F.col("pnl") > 0, F.col("n"))).alias("first_win"))
 

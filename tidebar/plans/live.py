@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import filters as P
 from ..operators import matching as J
+from ..operators import metrics as M
+from ..operators.scans import scan
 from ..sources import documents as D
 from ..sources import tables as S
 from .registry import query
@@ -39,12 +40,11 @@ def scored(spark, d):
     return J.best(x.withColumn("score", score), ["event_id"], ["score", "other"]).select("event_id", "other", F.round("score", 2).alias("score"))
 
 
-@query("j10_last_before", "with x as (select event_id, user_id, event_type, max(case when event_type = 'click' then event_id end) over w last_click from events window w as (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding)), y as (select event_id, user_id, event_type, last_value(case when event_type = 'click' then event_id end ignore nulls) over (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding) last_click from events) select event_id, last_click from y where event_type = 'purchase'")
+@query("j10_last_before", "with y as (select event_id, event_type, last_value(case when event_type = 'click' then event_id end ignore nulls) over (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding) last_click from events) select event_id, last_click from y where event_type = 'purchase'")
 def last_before(spark, d):
     e = S.read(spark, d, "events")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.last(F.when(F.col("event_type") == "click", F.col("event_id")), ignorenulls=True).over(w)
-    return e.withColumn("last_click", last).filter("event_type = 'purchase'").select("event_id", "last_click")
+    x = scan(e, ["user_id"], ["ts", "event_id"], [F.to_date("ts")], lasts={"click": F.when(F.col("event_type") == "click", F.col("event_id"))})
+    return x.filter("event_type = 'purchase'").select("event_id", F.col("click_before").alias("last_click"))
 
 
 @query("j08_event_pairing", "with x as (select event_id, user_id, event_type, lead(event_type) over w nt, lead(event_id) over w ni from events where event_type in ('click', 'purchase') window w as (partition by user_id order by ts, event_id)) select event_id entry_id, case when nt = 'purchase' then ni end exit_id from x where event_type = 'click'")
@@ -129,9 +129,8 @@ def digests(spark, d):
 
 @query("t10_risk_gates", f"{_L}, x as (select instance, trade_id, leg, exit_time, pnl, sum(pnl) over (partition by instance order by exit_time, trade_id, leg rows unbounded preceding) run from ledger), p as (select *, greatest(0, max(run) over (partition by instance order by exit_time, trade_id, leg rows unbounded preceding)) peak from x), g as (select *, case when peak - run > 20000 then 'drawdown' when pnl < -6000 then 'daily loss' when leg > 6 then 'too many' else 'ok' end gate from p) select instance, gate, count(*) n from g group by 1, 2")
 def gates(spark, d):
-    w = Window.partitionBy("instance").orderBy("exit_time", "trade_id", "leg").rowsBetween(Window.unboundedPreceding, 0)
-    x = S.ledger(spark, d).withColumn("run", F.sum("pnl").over(w)).withColumn("peak", F.greatest(F.lit(0.0), F.max("run").over(w)))
-    gate = F.when(F.col("peak") - F.col("run") > 20000, "drawdown").when(F.col("pnl") < -6000, "daily loss").when(F.col("leg") > 6, "too many").otherwise("ok")
+    x = M.equity(S.ledger(spark, d), ["instance"], ["exit_time", "trade_id", "leg"], 0.0, [F.to_date("exit_time")])
+    gate = F.when(F.col("drawdown") > 20000, "drawdown").when(F.col("pnl") < -6000, "daily loss").when(F.col("leg") > 6, "too many").otherwise("ok")
     return x.withColumn("gate", gate).groupBy("instance", "gate").agg(F.count("*").alias("n"))
 
 

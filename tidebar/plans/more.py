@@ -13,6 +13,7 @@ from ..operators import matching as J
 from ..operators import metrics as M
 from ..operators import signals as G
 from ..operators import simulate as X
+from ..operators.scans import scan
 from ..sources import tables as S
 from .market import _donchian_sql, _rows
 from .registry import query
@@ -106,7 +107,8 @@ def partial_frames(spark, d):
 
 @query("w11_since_event", f"{_B}, e as (select sym, bar, high - low > 300 hit from bars) select sym, bar, coalesce(bar - max(case when hit then bar end) over (partition by sym order by bar rows between unbounded preceding and 1 preceding), -1000)::int since from e")
 def since(spark, d):
-    return S.bars_h1(spark, d).select("sym", "bar", I.since_previous(F.col("high") - F.col("low") > 300, -1000).cast("int").alias("since"))
+    x = scan(S.bars_h1(spark, d), ["sym"], ["bar"], [F.floor(F.col("bar") / B.BLOCK)], lasts={"event": F.when(F.col("high") - F.col("low") > 300, F.col("bar"))})
+    return x.select("sym", "bar", F.coalesce(F.col("bar") - F.col("event_before"), F.lit(-1000)).cast("int").alias("since"))
 
 
 @query("w15_first_of_key", f"{_L} select pair, exit_reason, instance from (select *, row_number() over (partition by pair, exit_reason order by pnl desc, trade_id, leg) k from ledger) where k = 1")
@@ -118,7 +120,7 @@ def first_of_key(spark, d):
 @query("w17_continued_equity", f"{_L}, x as (select instance, trade_id, leg, exit_time, pnl, exit_time >= timestamp '1998-01-01' fwd from ledger) select instance, trade_id, leg, fwd, round(3000 + sum(pnl) over (partition by instance order by fwd, exit_time, trade_id, leg rows unbounded preceding), 2) equity from x")
 def continued(spark, d):
     x = S.ledger(spark, d).withColumn("fwd", F.col("exit_time") >= F.lit("1998-01-01").cast("timestamp"))
-    e = M.equity(x, ["instance"], ["fwd", "exit_time", "trade_id", "leg"], 3000.0)
+    e = M.equity(x, ["instance"], ["fwd", "exit_time", "trade_id", "leg"], 3000.0, [F.col("fwd"), F.to_date("exit_time")])
     return e.select("instance", "trade_id", "leg", "fwd", F.round("equity", 2).alias("equity"))
 
 
@@ -236,9 +238,9 @@ def adaptive(spark, d):
 
 @query("q02_underwater", f"{_L}, e as (select instance, trade_id, leg, exit_time, 3000 + sum(pnl) over (partition by instance order by exit_time, trade_id, leg rows unbounded preceding) eq from ledger) select instance, trade_id, leg, round(max(eq) over (partition by instance order by exit_time, trade_id, leg rows unbounded preceding) - eq, 2) under from e")
 def underwater(spark, d):
-    w = Window.partitionBy("instance").orderBy("exit_time", "trade_id", "leg").rowsBetween(Window.unboundedPreceding, 0)
-    x = S.ledger(spark, d).withColumn("eq", 3000 + F.sum("pnl").over(w))
-    return x.select("instance", "trade_id", "leg", F.round(F.max("eq").over(w) - F.col("eq"), 2).alias("under"))
+    x = scan(S.ledger(spark, d), ["instance"], ["exit_time", "trade_id", "leg"], [F.to_date("exit_time")], sums={"gain": F.col("pnl")}, peaks={"top": ("gain", None)})
+    now = F.col("gain_before") + F.col("pnl")
+    return x.select("instance", "trade_id", "leg", F.round(F.greatest("top_before", now) - now, 2).alias("under"))
 
 
 @query("q14_rejections", "select event_type, count(*) filter (value > 480) rejected, count(*) filter (value < 5) cancelled from events group by 1")

@@ -10,6 +10,7 @@ from ..operators import filters as P
 from ..operators import indicators as I
 from ..operators import matching as J
 from ..operators import signals as G
+from ..operators.scans import place
 from ..sources import tables as S
 from .market import _STOCH, STAMP, _donchian_sql, _past, _rows, _swing, r6
 from .registry import query
@@ -109,14 +110,18 @@ _CLICKS = "select event_id, user_id, ts, event_type, last_value(case when event_
 @query("j09_preceding_link", f"with x as ({_CLICKS}) select event_id, case when epoch(ts) - epoch(lts) < 3600 then lid end entry_id from x where event_type = 'purchase'")
 def preceding(spark, d):
     e = S.read(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return J.preceding(e, ["user_id"], ["ts", "event_id"], F.col("event_type") == "click", 3600, "event_id").filter("event_type = 'purchase'").select("event_id", F.col("linked").alias("entry_id"))
+    return J.preceding(e, ["user_id"], ["ts", "event_id"], [F.to_date("ts")], F.col("event_type") == "click", 3600, "event_id").filter("event_type = 'purchase'").select("event_id", F.col("linked").alias("entry_id"))
 
 
-@query("j11_signal_lookup", f"{_B}, {_SIG}, n as (select sym, bar, direction, row_number() over (partition by sym order by bar) - 1 idx from s where direction is not null), t as (select sym, range idx from (select distinct sym from n), range(0, 60, 3)) select t.sym, t.idx, bar, direction from t join n on n.sym = t.sym and n.idx = t.idx")
+@query("j11_signal_lookup", f"{_B}, {_SIG}, n as (select sym, bar, direction, row_number() over (partition by sym order by bar) - 1 idx from s where direction is not null), t as (select sym, (n - 1 - o_orderkey % n)::bigint idx, o_orderkey trade_id from orders join (select sym, count(*) n, row_number() over (order by sym) - 1 k from n group by 1) on o_orderkey % 5 = k) select t.trade_id, t.sym, t.idx, bar, direction from t left join n on n.sym = t.sym and n.idx = t.idx")
 def signal_lookup(spark, d):
-    n = _signals(spark, d).select("sym", "bar", "direction", (F.row_number().over(B.by_bar()) - 1).cast("long").alias("idx"))
-    trades = n.select("sym").distinct().withColumn("idx", F.explode(F.expr("sequence(0L, 57L, 3L)")))
-    return trades.join(n, ["sym", "idx"]).select("sym", "idx", "bar", "direction")
+    """Every order is a trade that names its instrument and the index of one of its signals."""
+    n = place(_signals(spark, d).select("sym", "bar", "direction"), ["sym"], ["bar"], [F.floor(F.col("bar") / B.BLOCK)], "idx").withColumn("idx", (F.col("idx") - 1).cast("long"))
+    counts = n.groupBy("sym").agg(F.count("*").alias("n"))
+    counts = counts.withColumn("k", F.row_number().over(Window.orderBy("sym")) - 1)  # a row an instrument
+    trades = S.read(spark, d, "orders").select(F.col("o_orderkey").alias("trade_id"), (F.col("o_orderkey") % 5).cast("int").alias("k")).join(counts, "k")
+    trades = trades.select("trade_id", "sym", (F.col("n") - 1 - F.col("trade_id") % F.col("n")).alias("idx"))
+    return trades.join(n, ["sym", "idx"], "left").select("trade_id", "sym", "idx", "bar", "direction")
 
 
 @query("j12_windows_on_bars", f"with {_WIN}, x as (select distinct o_orderpriority sym, cast(o_orderdate as date) dt from orders) select w.sym, w.\"window\", count(dt) n from w left join x on x.sym = w.sym and dt >= test_start and dt < test_end group by 1, 2")
@@ -202,8 +207,8 @@ def session_box(spark, d):
 
 @query("w18_place_in_group", f"{_L} select instance, trade_id, leg, row_number() over (partition by instance, exit_reason order by exit_time, trade_id, leg) place from ledger")
 def place_in_group(spark, d):
-    w = Window.partitionBy("instance", "exit_reason").orderBy("exit_time", "trade_id", "leg")
-    return S.ledger(spark, d).select("instance", "trade_id", "leg", F.row_number().over(w).cast("long").alias("place"))
+    x = place(S.ledger(spark, d), ["instance", "exit_reason"], ["exit_time", "trade_id", "leg"], [F.to_date("exit_time")], "place")
+    return x.select("instance", "trade_id", "leg", F.col("place").cast("long").alias("place"))
 
 
 @query("o01_stable_order", f"{_B}, {_VAR} select sym, bar, channel_period, row_number() over (partition by sym, bar order by channel_period) seq from v")

@@ -12,6 +12,8 @@ from .registry import query
 
 _L = f"with {S.LEDGER_SQL}"
 ORDER = ["exit_time", "trade_id", "leg"]
+#: Running sums over the ledger are carried from day to day.
+DAYS = ["to_date(exit_time)"]
 _O = "order by exit_time, trade_id, leg"
 
 
@@ -45,30 +47,29 @@ s as (select *, case when sd > 0 then yr * m / sd else 0 end sharpe, case when d
 
 @query("k01_k08_summary", f"{_L}, {_EQ}, {_SUM} select instance, trades, round(win_rate, 4) win_rate, round(pf, 4) profit_factor, round(sharpe, 4) sharpe, round(sortino, 4) sortino, round(rsq, 4) r_squared, round(max_dd, 3) max_dd, round(ulcer, 3) ulcer, round(ret, 3) total_return, round(ontester, 1) ontester, round(case when sortino <= 0 or pf <= 0 or rsq <= 0 then 0 else least(sortino, 20) * rsq * least(pf, 5) * sqrt(least(trades, 200)) * (1 + least(greatest(ret, 0), 200) / 100) / (ulcer + max_dd / 2 + 5) end, 4) quality from s")
 def summary(spark, d):
-    s = M.summary(S.ledger(spark, d), ["instance"], ORDER, 3000.0, 2400, 252)
+    s = M.summary(S.ledger(spark, d), ["instance"], ORDER, 3000.0, 2400, 252, DAYS)
     digits = {"max_dd": 3, "ulcer": 3, "total_return": 3, "ontester": 1}
     return s.select("instance", "trades", *[F.round(c, digits.get(c, 4)).alias(c) for c in s.columns if c not in ("instance", "trades")])
 
 
 @query("k05_w09_equity", f"{_L}, {_EQ} select instance, n, round(equity, 2) equity, round(peak, 2) peak, round(peak - equity, 2) drawdown from eq")
 def equity(spark, d):
-    return M.equity(S.ledger(spark, d), ["instance"], ORDER, 3000.0).select("instance", "n", F.round("equity", 2).alias("equity"), F.round("peak", 2).alias("peak"), F.round("drawdown", 2).alias("drawdown"))
+    return M.equity(S.ledger(spark, d), ["instance"], ORDER, 3000.0, DAYS).select("instance", "n", F.round("equity", 2).alias("equity"), F.round("peak", 2).alias("peak"), F.round("drawdown", 2).alias("drawdown"))
 
 
 @query("k09_recovery", f"{_L}, {_EQ} select instance, round(sum(pnl) / nullif(max(peak - equity), 0), 4) recovery from eq group by 1")
 def recovery(spark, d):
-    return M.equity(S.ledger(spark, d), ["instance"], ORDER, 3000.0).groupBy("instance").agg(F.round(F.try_divide(F.sum("pnl"), F.max("drawdown")), 4).alias("recovery"))
+    return M.equity(S.ledger(spark, d), ["instance"], ORDER, 3000.0, DAYS).groupBy("instance").agg(F.round(F.try_divide(F.sum("pnl"), F.max("drawdown")), 4).alias("recovery"))
 
 
 @query("a09_r_squared", f"{_L}, {_EQ} select instance, round(greatest(0, least(1, coalesce(regr_r2(equity, n), 0))), 6) r2 from eq group by 1")
 def r_squared(spark, d):
-    return M.equity(S.ledger(spark, d), ["instance"], ORDER, 3000.0).groupBy("instance").agg(F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.regr_r2("equity", "n"), F.lit(0.0)))), 6).alias("r2"))
+    return M.equity(S.ledger(spark, d), ["instance"], ORDER, 3000.0, DAYS).groupBy("instance").agg(F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.regr_r2("equity", "n"), F.lit(0.0)))), 6).alias("r2"))
 
 
 @query("k10_live_performance", f"{_L}, r as (select *, sum(pnl) over (partition by instance {_O} rows unbounded preceding) run from ledger), p as (select *, greatest(0, max(run) over (partition by instance {_O} rows unbounded preceding)) peak from r) select instance, count(*) trades, count(*) filter (pnl > 0) wins, count(*) filter (pnl < 0) losses, round(case when sum(case when pnl < 0 then -pnl else 0 end) > 0 then sum(case when pnl > 0 then pnl else 0 end) / sum(case when pnl < 0 then -pnl else 0 end) else 999 end, 4) pf, round(max(case when peak > 0 then (peak - run) * 100 / peak else 0 end), 3) dd_pct, round(count(*) / (date_diff('day', min(exit_time), max(exit_time)) / 30.44::double), 4) per_month from p group by 1 having date_diff('day', min(exit_time), max(exit_time)) > 1")
 def live_performance(spark, d):
-    w = M.in_order(["instance"], ORDER).rowsBetween(Window.unboundedPreceding, 0)
-    x = S.ledger(spark, d).withColumn("run", F.sum("pnl").over(w)).withColumn("peak", F.greatest(F.lit(0.0), F.max("run").over(w)))
+    x = M.equity(S.ledger(spark, d), ["instance"], ORDER, 0.0, DAYS).withColumnRenamed("equity", "run")
     gain, loss = F.sum(F.when(F.col("pnl") > 0, F.col("pnl")).otherwise(0.0)), F.sum(F.when(F.col("pnl") < 0, -F.col("pnl")).otherwise(0.0))
     a = x.groupBy("instance").agg(
         F.count("*").alias("trades"), F.count_if(F.col("pnl") > 0).alias("wins"), F.count_if(F.col("pnl") < 0).alias("losses"), F.round(F.when(loss > 0, F.try_divide(gain, loss)).otherwise(999.0), 4).alias("pf"),
@@ -166,7 +167,7 @@ def auc(spark, d):
 
 @query("w12_streaks", f"{_L}, x as (select instance, pnl > 0 win, row_number() over (partition by instance {_O}) - row_number() over (partition by instance, pnl > 0 {_O}) run from ledger), r as (select instance, win, run, count(*) n from x group by all) select instance, coalesce(max(n) filter (win), 0) win_streak, coalesce(max(n) filter (not win), 0) loss_streak from r group by 1")
 def streaks(spark, d):
-    return M.streaks(S.ledger(spark, d), ["instance"], ORDER)
+    return M.streaks(S.ledger(spark, d), ["instance"], ORDER, DAYS)
 
 
 _DESC = "order by exit_time desc, trade_id desc, leg desc"
@@ -209,7 +210,7 @@ def last_trades(spark, d):
 
 @query("p24_penalty_ladder", f"{_L}, {_EQ}, {_SUM} select instance, round(case when trades < 450 then -100 + trades when m <= 0 then -300 when sharpe < 0 then -200 when max_dd > 50 then -150 when rsq < 0.3 then -125 else 1 end, 4) as value from s")
 def ladder(spark, d):
-    s = M.summary(S.ledger(spark, d), ["instance"], ORDER, 3000.0, 2400, 252)
+    s = M.summary(S.ledger(spark, d), ["instance"], ORDER, 3000.0, 2400, 252, DAYS)
     one = F.when(F.col("total_return") <= 0, 0.0).otherwise(1.0)
     return s.select("instance", F.round(P.trial_value(F.col("trades"), one, F.col("sharpe"), F.col("max_dd"), F.col("r_squared"), least=450), 4).alias("value"))
 
