@@ -62,11 +62,15 @@ def expected(libraries, docs, links="end"):
                 while m < len(b) and b[m][1] < x[2]:
                     pairs.append((x[0], b[m][0]))
                     m += 1
-        groups, side = [], [[], []]
+        groups, at = [], [0, 0]
         for end in sorted(ends):
+            sides = []
             for s, t in enumerate((a, b)):
-                side[s] = [str(x[0]) for x in t if (groups[-1][0] if groups else 0) < x[2] <= end]
-            groups.append((end, ",".join(side[0]) + "|" + ",".join(side[1])))
+                k = at[s]
+                while at[s] < len(t) and t[at[s]][2] <= end:
+                    at[s] += 1
+                sides.append(",".join(str(x[0]) for x in t[k : at[s]]))
+            groups.append((end, "|".join(sides)))
         counts.update(pairs)
         sha = hashlib.sha256(";".join(g[1] for g in groups).encode()).hexdigest() if a else ""
         held.append((d, len(a), len(b), len(groups), pairs, sha))

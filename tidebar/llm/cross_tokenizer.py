@@ -16,7 +16,6 @@
 from __future__ import annotations
 
 import hashlib
-import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,23 +23,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_hot, materialize, quiet_tokenizers, resident, sliced, workdir
+from .common import join_hot, materialize, resident, sliced, workdir
 from .token_counts import BLANK
-from .tokens import _ALPHABET, cut, cut_kind, hashed
+from .tokens import _ALPHABET, WordEncoder, cut, hashed
 
 BLOCK_BYTES = 8_000_000
 
 # Tables a and b: word, id, lo, hi. Words follow one another in bytes, so lo and hi alone order all tokens.
 _MEETS = "create or replace temp table meets as select b.hi from b asof join a on b.hi >= a.hi where b.hi = a.hi"
 _GROUPS = """
-with tokens as (select 0 as side, * from a union all select 1, * from b),
-marked as (select t.*, (meets.hi is not null)::int as ending from tokens t left join meets using (hi)),
-numbered as (select *, coalesce(sum(ending) over (partition by side order by hi rows between unbounded preceding and 1 preceding), 0) as g from marked),
-sides as (select word, g, side, count(*) as n, string_agg(id, ',' order by hi) as ids from numbered group by all),
-groups as (
-  select word, g, sum(n) filter (side = 0) as n_a, sum(n) filter (side = 1) as n_b, max(ids) filter (side = 0) || '|' || max(ids) filter (side = 1) as ids
-  from sides group by all)
-select word, sum(n_a)::bigint as n_a, sum(n_b)::bigint as n_b, count(*) as n_groups, string_agg(ids, ';' order by g) as ids from groups group by word order by word
+with tokens as (
+  select 0 as side, a.*, (meets.hi is not null)::int as ending from a left join meets using (hi)
+  union all select 1, b.*, (meets.hi is not null)::int from b left join meets using (hi)),
+numbered as (select *, coalesce(sum(ending) over (partition by side order by hi rows between unbounded preceding and 1 preceding), 0)::bigint as g from tokens)
+select word, side, id, g from numbered order by g, side, hi
 """
 _LINKS = """
 with shared as materialized (select a.word, a.id as a, b.id as b, a.hi as a_hi, b.hi as b_hi from a join b on a.lo < b.hi and b.lo < a.hi)
@@ -55,20 +51,18 @@ class Aligner:
     def __init__(self, path_a: str, path_b: str, links: str):
         import duckdb
         import sentencepiece
-        from tokenizers import Tokenizer
-
-        quiet_tokenizers()
-        with open(path_a, encoding="utf-8") as f:
-            if cut_kind(json.load(f)) != "byte":
-                raise ValueError("A has to be a byte-level tokenizer")
-        self.a, self.b = Tokenizer.from_file(path_a), sentencepiece.SentencePieceProcessor(model_file=path_b)
-        self.a.encode_special_tokens = True  # their strings in a text are plain text
+
+        self.a, self.b = WordEncoder(path_a), sentencepiece.SentencePieceProcessor(model_file=path_b)
+        self.a.library.encode_special_tokens = True  # their strings in a text are plain text
+        if self.a.kind != "byte":
+            raise ValueError("A has to be a byte-level tokenizer")
         pieces = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
         if any(BLANK in p.lstrip(BLANK) for p in pieces):
             raise ValueError("pieces of B reach over blanks")
         byte = {c: v for v, c in _ALPHABET.items()}
-        self.bytes_a = {k: bytes(byte[c] for c in p) if all(c in byte for c in p) else p.encode() for p, k in self.a.get_vocab().items()}
+        self.bytes_a = {k: bytes(byte[c] for c in p) if all(c in byte for c in p) else p.encode() for p, k in self.a.library.get_vocab().items()}
         self.bytes_b = {k: bytes([int(p[3:5], 16)]) if self.b.is_byte(k) else p.replace(BLANK, " ").encode() for k, p in enumerate(pieces)}
+        self.shown = [str(k) for k in range(max(len(self.bytes_a), len(self.bytes_b)))]
         self.links = _LINKS.format(which=_WHICH[links])
         self.sql = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
         self.clear()
@@ -91,8 +85,19 @@ class Aligner:
         self.sql.execute(f"create or replace temp table {name} as select * from given")
         self.sql.unregister("given")
 
+    def _described(self, groups: dict[str, np.ndarray], n: int) -> tuple[np.ndarray, list[str]]:
+        """n_a, n_b and n_groups of each word, and its groups as text, from tokens in the order of groups, sides and bytes."""
+        word, side, g = (np.asarray(groups[c], np.int64) for c in ("word", "side", "g"))
+        new_word, new_group = np.diff(word, prepend=-1) != 0, np.diff(g, prepend=-1) != 0
+        new_side = np.diff(side, prepend=0) == 1
+        counts = np.column_stack([np.bincount(word[side == 0], minlength=n), np.bincount(word[side == 1], minlength=n), np.bincount(word[new_group], minlength=n)])
+        marks = np.select([new_word, new_group, new_side], [0, 1, 2], 3).tolist()
+        parts = [("", ";", "|", ",")[m] + self.shown[k] for m, k in zip(marks, groups["id"].tolist())]
+        upto = np.searchsorted(word, np.arange(n + 1)).tolist()
+        return counts, ["".join(parts[a:b]) for a, b in zip(upto, upto[1:])]
+
     def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
-        ids_a = [e.ids for e in self.a.encode_batch_fast(words, add_special_tokens=False)]
+        ids_a = self.a.encode_words(words)
         ids_b = self.b.encode([w[1:] for w in words], num_threads=1)  # B puts the blank before by itself
         raw = [w.encode() for w in words]
         good = [b"".join(map(self.bytes_a.__getitem__, a)) == r == b"".join(map(self.bytes_b.__getitem__, b)) for a, b, r in zip(ids_a, ids_b, raw)]
@@ -102,12 +107,7 @@ class Aligner:
         groups = self.sql.execute(_GROUPS).fetchnumpy()
         links = self.sql.execute(self.links).fetchnumpy()
         first = len(self.text)
-        counts, text = np.zeros((len(words), 3), np.int64), [""] * len(words)
-        at = np.asarray(groups["word"], np.int64)
-        for k, c in enumerate(("n_a", "n_b", "n_groups")):
-            counts[at, k] = np.asarray(groups[c], np.int64)
-        for i, t in zip(at.tolist(), groups["ids"].tolist()):
-            text[i] = t
+        counts, text = self._described(groups, len(words))
         n = np.bincount(np.asarray(links["word"], np.int64), minlength=len(words))
         self.start = np.concatenate([self.start, len(self.pair) + np.cumsum(n) - n])
         self.n = np.concatenate([self.n, n])

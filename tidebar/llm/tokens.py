@@ -129,7 +129,7 @@ class WordEncoder:
             self.letters[c] = c.isalpha() and (normal is None or normal.normalize_str(c)[-1:].isalpha())
         return self.letters[c]
 
-    def _encoded(self, words: list[str]) -> list[list[int]]:
+    def encode_words(self, words: list[str]) -> list[list[int]]:
         """Ids of words. A word of letters and end marks takes the ids of its letters, then of its marks.
 
         That needs a last letter whose normal form ends with a letter too: that of U+0130 ends with a
@@ -159,7 +159,7 @@ class WordEncoder:
         return [self.stems[a] + self.stems[b] for a, b in split]
 
     def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
-        found = self._encoded(words)
+        found = self.encode_words(words)
         length = np.fromiter(map(len, found), np.int64, len(found))
         # both are sorted, so the new ones are put between the old ones
         at = np.searchsorted(self.known, hashes)
