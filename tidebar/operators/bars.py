@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .selection import percentiles
+
 #: Minutes of each timeframe.
 MINUTES = {"M1": 1, "M5": 5, "M15": 15, "M30": 30, "H1": 60, "H4": 240, "D": 1440, "W": 10080}
 
@@ -120,7 +122,7 @@ def gaps(bars: DataFrame, minutes: int, factor: float = 3.0) -> DataFrame:
 
 def anomalies(bars: DataFrame) -> DataFrame:
     """Bars whose range is out of order: high below low, no range, or over ten times the instrument's median range."""
-    typical = bars.groupBy("sym").agg(F.expr("percentile(high - low, 0.5)").alias("typical"))
+    typical = percentiles(bars, ["sym"], "high - low", {"typical": 0.5})
     size = F.col("high") - F.col("low")
     kind = F.when((F.col("typical") > 0) & (size > 10 * F.col("typical")), "huge_range").when(size == 0, "zero_range").when(size < 0, "high_low_violation")
     return bars.join(typical, "sym").withColumn("anomaly", kind).filter("anomaly is not null").drop("typical")

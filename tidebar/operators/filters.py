@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .selection import percentiles
+
 #: Quote currency to US dollars. Fixed values.
 QUOTE_RATES = {"JPY": 0.0067, "GBP": 1.27, "EUR": 1.08, "AUD": 0.65, "NZD": 0.60, "CAD": 0.74, "CHF": 1.12}
 
@@ -48,7 +50,7 @@ def in_session(ts: Column, start: int, end: int, monday: bool = True, friday: bo
 
 def at_most_percentile(signals: DataFrame, column: str, p: float, keys: list[str]) -> DataFrame:
     """Signals whose column is at most the p-th percentile of their own combination of keys."""
-    cut = signals.groupBy(*keys).agg(F.expr(f"percentile(`{column}`, {p / 100.0})").alias("_cut"))
+    cut = percentiles(signals, keys, F.col(f"`{column}`"), {"_cut": p / 100.0})
     return signals.join(cut, keys).filter(F.col(column) <= F.col("_cut")).drop("_cut")
 
 

@@ -8,6 +8,7 @@ from ..operators import bars as B
 from ..operators import filters as P
 from ..operators import indicators as I
 from ..operators import signals as G
+from ..operators.selection import percentiles
 from ..sources import tables as S
 from .registry import query
 
@@ -292,7 +293,7 @@ s as (select sym, bar, case when close > u then 1 when close < l then -1 end dir
 select s.sym, bar, direction, round(width, 4) width from s join (select sym, quantile_cont(width, 0.4) q from s where direction is not null group by 1) t on s.sym = t.sym where direction is not null and width <= q + 1e-12""")
 def squeeze(spark, d):
     s = G.bollinger(S.bars_h1(spark, d), 20, 1.5)
-    cut = s.groupBy("sym").agg(F.expr("percentile(bb_width, 0.4)").alias("q"))
+    cut = percentiles(s, ["sym"], "bb_width", {"q": 0.4})
     return s.join(cut, "sym").filter(F.col("bb_width") <= F.col("q") + 1e-12).select("sym", "bar", "direction", F.round("bb_width", 4).alias("width"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import filters as P
 from ..operators import metrics as M
+from ..operators.selection import percentiles as percentiles_of
 from ..sources import tables as S
 from .registry import query
 
@@ -24,12 +25,13 @@ def stats(spark, d):
 
 @query("a03_medians", f"{_L} select pair, quantile_cont(pnl, 0.5) median from ledger group by 1")
 def medians(spark, d):
-    return S.ledger(spark, d).groupBy("pair").agg(F.expr("percentile(pnl, 0.5)").alias("median"))
+    return percentiles_of(S.ledger(spark, d), ["pair"], "pnl", {"median": 0.5})
 
 
 @query("a04_percentiles", f"{_L} select pair, round(quantile_cont(pnl, 0.05), 4) p5, round(quantile_cont(pnl, 0.25), 4) p25, round(quantile_cont(pnl, 0.75), 4) p75, round(quantile_cont(pnl, 0.95), 4) p95 from ledger group by 1")
 def percentiles(spark, d):
-    return S.ledger(spark, d).groupBy("pair").agg(*[F.round(F.expr(f"percentile(pnl, {q / 100})"), 4).alias(f"p{q}") for q in (5, 25, 75, 95)])
+    x = percentiles_of(S.ledger(spark, d), ["pair"], "pnl", {f"p{q}": q / 100 for q in (5, 25, 75, 95)})
+    return x.select("pair", *[F.round(c, 4).alias(c) for c in x.columns[1:]])
 
 
 @query("a05_a06_a07_deviations", f"{_L} select pair, round(stddev_pop(pnl), 4) pop, round(case when count(*) > 1 then stddev_samp(pnl) else 1 end, 4) samp, round(sqrt(sum(case when pnl < 0 then pnl * pnl else 0 end) / count(*)), 4) down from ledger group by 1")
@@ -150,7 +152,7 @@ def z_test(spark, d):
 @query("a27_shortfall", f"{_L}, v as (select instance, quantile_cont(pnl, 0.05) var from ledger group by 1) select l.instance, round(any_value(var), 4) var, round(avg(pnl), 1) shortfall from ledger l join v on l.instance = v.instance where pnl <= var group by 1")
 def shortfall(spark, d):
     x = S.ledger(spark, d)
-    v = x.groupBy("instance").agg(F.expr("percentile(pnl, 0.05)").alias("var"))
+    v = percentiles_of(x, ["instance"], "pnl", {"var": 0.05})
     return x.join(v, "instance").filter("pnl <= var").groupBy("instance").agg(F.round(F.first("var"), 4).alias("var"), F.round(F.avg("pnl"), 1).alias("shortfall"))
 
 
