@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scans import scan
 
 
-def within(left: DataFrame, right: DataFrame, keys: list[str], seconds: float, ts: str = "ts") -> DataFrame:
-    """Rows of equal keys at most ``seconds`` apart, with ``gap``; an equi-join on time blocks, each left row in three of them."""
-    block = lambda c: F.floor(c.cast("double") / seconds).cast("long")
-    a = left.withColumn("_block", F.explode(F.sequence(block(F.col(ts)) - 1, block(F.col(ts)) + 1)))
-    b = right.withColumn("_block", block(F.col(ts))).withColumnRenamed(ts, "_ts")
-    gap = F.abs(F.col("_ts").cast("double") - F.col(ts).cast("double"))
-    return a.join(b, [*keys, "_block"]).withColumn("gap", gap).filter(F.col("gap") <= seconds).drop("_block", "_ts")
+#: Microseconds of a block of time from which scans carry on.
+DAY = 86_400_000_000
 
 
 def best(matches: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -24,9 +22,22 @@ def best(matches: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def nearest(left: DataFrame, right: DataFrame, keys: list[str], seconds: float, left_id: str, right_id: str, ts: str = "ts") -> DataFrame:
-    """Every left row with its nearest right row within ``seconds``, ties to the lesser id; null where there is none."""
-    found = best(within(left, right, keys, seconds, ts), [left_id], ["gap", right_id]).select(left_id, right_id, "gap")
-    return left.join(found, left_id, "left")
+    """Every left row with its nearest right row within ``seconds``, ties to the lesser id; null where there is none.
+
+    A merge of both in time: each left row gets the last right row at or before it and the first one after it, carried from
+    day to day, so there are two candidates a row however dense the right rows are. ``left_id`` tells left rows apart.
+    """
+    at = F.unix_micros(F.col(ts)).alias("_at")
+    rows = left.select(*keys, at, F.lit(1).alias("_side"), F.col(left_id).alias("_left"), F.lit(None).cast(right.schema[right_id].dataType).alias("_right"))
+    seen = right.groupBy(*keys, at).agg(F.min(right_id).alias("_right")).select(*keys, "_at", F.lit(0).alias("_side"), F.lit(None).cast(left.schema[left_id].dataType).alias("_left"), "_right")
+    day, found = [F.floor(F.col("_at") / DAY)], {"_found": F.when(F.col("_side") == 0, F.struct("_at", "_right"))}
+    both = scan(rows.unionByName(seen), keys, ["_at", "_side"], day, lasts=found).withColumnRenamed("_found_before", "_last")
+    both = scan(both, keys, ["_at", "_side"], day, lasts=found, reverse=True).filter("_side = 1")
+    gap = lambda c: F.abs(F.col(f"{c}._at") - F.col("_at")) / 1e6
+    candidate = lambda c: F.when(gap(c) <= seconds, F.struct(gap(c).alias("gap"), F.col(f"{c}._right").alias("id")))
+    one = F.array_min(F.array_compact(F.array(candidate("_last"), candidate("_found_before"))))
+    matched = both.select(F.col("_left").alias(left_id), one["id"].alias(right_id), one["gap"].alias("gap"))
+    return left.join(matched, left_id, "left")
 
 
 def pair_up(events: DataFrame, keys: list[str], order: list[str], entry: Column, exit_: Column, id_col: str) -> DataFrame:
@@ -48,8 +59,65 @@ def insert_missing(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFr
 
 
 def first_within(left: DataFrame, right: DataFrame, keys: list[str], seconds: float, left_id: str, right_id: str, ts: str = "ts") -> DataFrame:
-    """The first right row, by id, less than ``seconds`` from each left row."""
-    return best(within(left, right, keys, seconds, ts).filter(F.col("gap") < seconds), [left_id], [right_id])
+    """left_id, right_id: the first right row, by id, less than ``seconds`` from each left row that has one.
+
+    Time is cut into blocks as long as the whole reach of a left row, which so spans the end of one block and the beginning of
+    the next. It asks for the least id from its earliest time on in the one and up to its latest time in the other:
+    two questions a row however dense the right rows are, answered by running minima.
+    """
+    reach = max(1, round(seconds * 1e6))
+    at = F.unix_micros(F.col(ts))
+    block = F.floor(F.col("_at") / (2 * reach)).alias("_block")
+    nothing = F.lit(None).cast(left.schema[left_id].dataType)
+    asked = F.explode(F.array(F.struct((at - reach).alias("_at"), F.lit(1).alias("_side")), F.struct((at + reach).alias("_at"), F.lit(-1).alias("_side")))).alias("_q")
+    rows = left.select(*keys, F.col(left_id).alias("_left"), asked).select(*keys, "_left", F.lit(None).cast(right.schema[right_id].dataType).alias("_right"), "_q._at", "_q._side")
+    rows = rows.unionByName(right.select(*keys, nothing.alias("_left"), F.col(right_id).alias("_right"), at.alias("_at"), F.lit(0).alias("_side"))).select("*", block)
+    # right rows at the very time asked for are too far: questions back come behind them, questions ahead before them
+    w = Window.partitionBy(*keys, "_block")
+    ahead = F.min("_right").over(w.orderBy(F.desc("_at"), F.desc("_side")).rowsBetween(Window.unboundedPreceding, -1))
+    back = F.min("_right").over(w.orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, -1))
+    answers = rows.withColumn("_first", F.when(F.col("_side") == 1, ahead).when(F.col("_side") == -1, back)).filter("_side <> 0 and _first is not null")
+    return answers.groupBy(F.col("_left").alias(left_id)).agg(F.min("_first").alias(right_id))
+
+
+def least_score(left: DataFrame, right: DataFrame, keys: list[str], seconds: float, weight: float, left_id: str, right_id: str, value: str = "price", ts: str = "ts") -> DataFrame:
+    """left_id, right_id, score: of the right rows at most ``seconds`` away, that of the least gap in seconds plus ``weight`` times the difference of values, ties to the lesser id.
+
+    A sweep in blocks of time, each with the right rows ``seconds`` around it: a left row looks at its neighbours in time,
+    outwards, and stops where the gap alone exceeds the best score so far. No pairs are listed.
+    """
+    reach = max(1, round(seconds * 1e6))
+    at = F.unix_micros(F.col(ts))
+    block = lambda c: F.floor(c / reach)
+    kinds = {c: left.schema[c].dataType for c in (left_id,)} | {c: right.schema[c].dataType for c in (right_id,)}
+    rows = left.select(*keys, at.alias("_at"), F.col(value).cast("double").alias("_value"), F.col(left_id).alias("_left"), F.lit(None).cast(kinds[right_id]).alias("_right"), block(at).alias("_block"))
+    near = right.select(*keys, at.alias("_at"), F.col(value).cast("double").alias("_value"), F.lit(None).cast(kinds[left_id]).alias("_left"), F.col(right_id).alias("_right"), F.explode(F.sequence(block(at) - 1, block(at) + 1)).alias("_block"))
+
+    def sweep(table: pa.Table) -> pa.Table:
+        own = table.filter(pc.is_valid(table.column("_left")))
+        others = table.filter(pc.is_valid(table.column("_right"))).sort_by([("_at", "ascending"), ("_right", "ascending")])
+        t, v = others.column("_at").to_numpy(), others.column("_value").to_numpy()
+        time, price = own.column("_at").to_numpy(), own.column("_value").to_numpy()
+        start = np.searchsorted(t, time)
+        score, chosen = np.full(len(time), np.inf), np.full(len(time), -1)
+        rank = np.argsort(np.argsort(others.column("_right").to_numpy(zero_copy_only=False), kind="stable"), kind="stable")
+        for step in (1, -1):
+            at, live = start + (0 if step == 1 else -1), np.arange(len(time))
+            while len(live):
+                at, live = (x[(at >= 0) & (at < len(t))] for x in (at, live))
+                gap = np.abs(t[at] - time[live]) / 1e6
+                on = gap <= np.minimum(seconds, score[live])
+                at, live, gap = at[on], live[on], gap[on]
+                s = gap + np.abs(price[live] - v[at]) * weight
+                old = chosen[live]
+                take = (s < score[live]) | ((s == score[live]) & ((old < 0) | (rank[at] < rank[old])))
+                score[live[take]], chosen[live[take]] = s[take], at[take]
+                at = at + step
+        kept = np.flatnonzero(chosen >= 0)
+        return pa.table([own.column("_left").take(pa.array(kept)), others.column("_right").take(pa.array(chosen[kept])), pa.array(score[kept])], names=[left_id, right_id, "score"])
+
+    schema = f"`{left_id}` {kinds[left_id].simpleString()}, `{right_id}` {kinds[right_id].simpleString()}, score double"
+    return rows.unionByName(near).groupBy(*keys, "_block").applyInArrow(sweep, schema)
 
 
 def nearest_bar(left: DataFrame, right: DataFrame, keys: list[str], bars: int) -> DataFrame:

@@ -35,9 +35,8 @@ def nearest(spark, d):
 @query("j06_scored_match", f"with {_ENDS}, m as (select a.event_id, b.event_id other, abs(epoch_us(b.ts) - epoch_us(a.ts)) / 1e6 + abs(a.price - b.price) * 100 score from a join b on a.user_id = b.user_id and abs(epoch_us(b.ts) - epoch_us(a.ts)) <= 86400000000), r as (select *, row_number() over (partition by event_id order by score, other) k from m) select event_id, other, round(score, 2) score from r where k = 1")
 def scored(spark, d):
     a, b = _ends(spark, d)
-    x = J.within(a.select("event_id", "user_id", "ts", "price"), b.select(F.col("event_id").alias("other"), "user_id", "ts", F.col("price").alias("other_price")), ["user_id"], 86400)
-    score = F.col("gap") + F.abs(F.col("price") - F.col("other_price")) * 100
-    return J.best(x.withColumn("score", score), ["event_id"], ["score", "other"]).select("event_id", "other", F.round("score", 2).alias("score"))
+    found = J.least_score(a, b.withColumnRenamed("event_id", "other"), ["user_id"], 86400, 100.0, "event_id", "other")
+    return found.select("event_id", "other", F.round("score", 2).alias("score"))
 
 
 @query("j10_last_before", "with y as (select event_id, event_type, last_value(case when event_type = 'click' then event_id end ignore nulls) over (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding) last_click from events) select event_id, last_click from y where event_type = 'purchase'")
