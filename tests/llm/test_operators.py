@@ -627,3 +627,17 @@ def test_repeated_rows_reach_verification_once(spark, monkeypatch):
     rows = near_dedup.near_duplicates(docs).collect()
     assert len(rows) == 5001 and {r.component_id for r in rows} == {1}
     assert written["texts"].count() == 2
+
+
+def test_secret_key_stands_in_no_plan(spark, tmp_path):
+    secret = "tR4x9qLmZ07yKeyOfNobody"
+    (tmp_path / "key.txt").write_text(secret + "\n")
+    docs = spark.createDataFrame([(1, "call +49 30 1234 5678, card 4111 1111 1111 1111"), (2, None), (3, "192.168.3.4 and a@b.org")], "doc_id long, text string")
+    hidden = pii.pseudonymize(docs.withColumn("__key", F.lit(7)), spark.read.text(str(tmp_path / "key.txt")), found_col="found")
+    assert hidden.columns == ["doc_id", "text", "__key", "found"]
+    assert sorted((r.doc_id, r.text) for r in hidden.collect()) == sorted((r.doc_id, r.text) for r in pii.pseudonymize(docs, secret).collect())
+    query = hidden._jdf.queryExecution()
+    assert secret not in query.toString() and secret not in query.optimizedPlan().toString() and secret not in query.executedPlan().toString()
+    for lines in ([], ["a", "b"]):
+        with pytest.raises(Exception, match="one row"):
+            pii.pseudonymize(docs, spark.createDataFrame([(x,) for x in lines], "value string")).collect()

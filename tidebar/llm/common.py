@@ -19,7 +19,7 @@ SLICE_BYTES = 600_000
 
 
 def workdir(spark: SparkSession) -> str:
-    """A fresh folder that driver and executors share.
+    """A fresh folder that driver and executors share, removed when the application ends.
 
     It lies under ``spark.checkpoint.dir``. Only where that is unset and Spark runs in one
     process, as in tests, a temporary folder is used and registered as the checkpoint folder; on
@@ -32,7 +32,12 @@ def workdir(spark: SparkSession) -> str:
         base = tempfile.mkdtemp(prefix="tidebar-")
         spark.sparkContext.setCheckpointDir(base)
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/tidebar-{uuid.uuid4().hex}"
+    folder = f"{base.rstrip('/')}/tidebar-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(at)
+    files.deleteOnExit(at)
+    return folder
 
 
 def materialize(df: DataFrame, path: str) -> DataFrame:

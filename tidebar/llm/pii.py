@@ -52,7 +52,9 @@ def _digits(m: str) -> str:
 
 
 def _digest(key: str, kind: str, *parts: str) -> str:
-    return f"sha2(concat_ws('|', '{key}', '{kind}', {', '.join(parts)}), 256)"
+    """SQL for a keyed digest; ``key`` is the key itself, or the name of a column, in backticks, that has it."""
+    held = key if key.startswith("`") else f"'{key}'"
+    return f"sha2(concat_ws('|', {held}, '{kind}', {', '.join(parts)}), 256)"
 
 
 def _feistel(key: str, kind: str, x: str, y: str, mx: str, my: str, done: str) -> str:
@@ -118,7 +120,7 @@ def kind_sql(m: str = "m") -> str:
 
 
 def pseudonym_sql(key: str, m: str = "m", kind: str = "kind") -> str:
-    """SQL for the pseudonym of a validated candidate of a kind."""
+    """SQL for the pseudonym of a validated candidate of a kind; ``key`` as in ``_digest``."""
     d = _digits(m)
     octet = lambda n: f"cast(split({m}, '[.]')[{n}] as bigint)"
     days = f"datediff({_iso_date(m)}, date'1900-01-01')"
@@ -151,21 +153,31 @@ def pseudonym_sql(key: str, m: str = "m", kind: str = "kind") -> str:
         f"when 'ssn' then {_feistel(key, 'ssn', ssn_x, f'cast(substr({m}, 8, 4) as int) - 1', str(898 * 99), '9999', ssn)} "
         f"when 'iban' then {spaced} "
         f"when 'card' then {_placed(m, card)} "
-        f"when 'phone' then {_placed(m, f'concat(left({d}, length({d}) - length({national})), {_permuted(key, chr(112) + chr(104) + chr(111) + chr(110) + chr(101), national)})')} "
+        f"when 'phone' then {_placed(m, f'concat(left({d}, length({d}) - length({national})), {_permuted(key, 'phone', national)})')} "
         f"else {m} end"
     )
 
 
-def pseudonymize(docs: DataFrame, key: str, text_col: str = "text", found_col: str | None = None) -> DataFrame:
+def pseudonymize(docs: DataFrame, key: DataFrame | str, text_col: str = "text", found_col: str | None = None) -> DataFrame:
     """``docs`` with personal data in ``text_col`` replaced by pseudonyms; all other columns and all rows are kept.
 
-    ``key`` (letters and digits) makes the permutations; whoever has it can undo those of numbers
-    and dates. With ``found_col``, a column of that name is added: array of (kind, value, pseudonym)
-    in the order of the text. Null texts stay null with null findings; empty texts stay empty.
+    ``key`` makes the permutations; whoever has it can undo those of numbers and dates. A secret key comes as a
+    table whose only column has it in its one row, such as a text file that only the job may read: then no plan, log or
+    user interface shows it. A key given as a string (letters and digits) stands in the plan and is for open data. With ``found_col``, a column of that name is added: array of (kind, value, pseudonym)
+    in the order of the text. Null texts stay null with null findings; empty texts stay empty;
+    rows that repeat change alike; an empty table gives no rows.
     Texts without digits and @ can hold nothing of the kind and skip the pattern.
     """
-    if not key.isalnum():
-        raise ValueError("the key must be letters and digits")
+    if isinstance(key, str):
+        if not key.isalnum():
+            raise ValueError("the key must be letters and digits")
+        columns, held = docs.columns, key
+    else:
+        columns, (name,) = docs.columns, key.columns
+        hidden = next(n for n in ("__key", *(f"__key{k}" for k in range(len(columns) + 1))) if n not in columns)
+        given = F.max(F.col(f"`{name}`").cast("string"))
+        one = key.agg(F.when((F.count("*") == 1) & given.isNotNull(), given).otherwise(F.raise_error(F.lit("the key must be one row"))).alias(hidden))
+        docs, held = docs.join(F.broadcast(one)), f"`{hidden}`"  # one row
     t = F.col(f"`{text_col}`")
     pattern = CANDIDATES.replace("'", "''")
     candidates = f"if(`{text_col}` rlike '[0-9@]', regexp_extract_all(`{text_col}`, r'{pattern}', 0), cast(array() as array<string>))"
@@ -173,11 +185,11 @@ def pseudonymize(docs: DataFrame, key: str, text_col: str = "text", found_col: s
     names = set(docs.columns)
     found = next(n for n in ("__found", *(f"__found{k}" for k in range(len(names) + 1))) if n not in names)
     out = docs.withColumn(found, F.expr(kinds))
-    out = out.withColumn(found, F.expr(f"transform({found}, c -> named_struct('kind', c.kind, 'value', c.m, 'pseudonym', {pseudonym_sql(key, 'c.m', 'c.kind')}))"))
+    out = out.withColumn(found, F.expr(f"transform({found}, c -> named_struct('kind', c.kind, 'value', c.m, 'pseudonym', {pseudonym_sql(held, 'c.m', 'c.kind')}))"))
     rest = f"split(`{text_col}`, r'{pattern}', -1)"
     # the text between candidates, and each candidate or its pseudonym
     woven = f"concat(array_join(zip_with(slice({rest}, 1, size({found})), {found}, (a, c) -> concat(a, c.pseudonym)), ''), element_at({rest}, -1))"
     out = out.withColumn(text_col, F.when(F.expr(f"exists({found}, c -> c.kind is not null)"), F.expr(woven)).otherwise(t))
     if found_col is None:
-        return out.select(*[f"`{c}`" for c in docs.columns])
-    return out.withColumn(found_col, F.expr(f"filter({found}, c -> c.kind is not null)")).select(*[f"`{c}`" for c in docs.columns], f"`{found_col}`")
+        return out.select(*[f"`{c}`" for c in columns])
+    return out.withColumn(found_col, F.expr(f"filter({found}, c -> c.kind is not null)")).select(*[f"`{c}`" for c in columns], f"`{found_col}`")

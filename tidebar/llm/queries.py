@@ -71,9 +71,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(fold("doc_id") == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def pii_key(spark: SparkSession) -> str:
-    """The secret of the pseudonyms, from the session; the open one in its place is for test data only."""
-    return spark.conf.get("spark.tidebar.pii.key", "forTestDataOnly")
+def pii_key(spark: SparkSession) -> DataFrame | str:
+    """The secret of the pseudonyms: the only line of the text file that the session names; the open one in its place is for test data only."""
+    path = spark.conf.get("spark.tidebar.pii.keyfile", None)
+    return spark.read.text(path) if path else "forTestDataOnly"
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -117,12 +117,15 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total / np.maximum(n, 1) + self.bias, -60, 60)))
 
 
-def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray, rounds: int = 70, rate: float = 0.2, decay: float = 1e-5, seed: int = 1) -> Model:
-    """Train embeddings and softmax on whole texts, weighted, by Adam over the full sample."""
+def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray, rounds: int = 70, rate: float = 0.2, decay: float = 1e-5, seed: int = 1, least_texts: int = 2) -> Model:
+    """Train embeddings and softmax on whole texts, weighted, by Adam over the full sample.
+
+    Words that stand in fewer than ``least_texts`` of the training texts count in the average of their text, but train no
+    vectors of their own; scores use the subwords of all words. With 1, every word trains.
+    """
     if not len(texts) or toxic.min() == toxic.max():
         share = float(np.average(toxic, weights=weight)) if len(texts) else 0.0
         return Model(np.zeros(BUCKETS, np.float32), float(np.log((share + 1e-3) / (1 - share + 1e-3))))
-    # a word of one text only tells that text apart; it counts in the average, and trains nothing
     slices = [range(i, min(i + 200, len(texts))) for i in range(0, len(texts), 200)]
     seen = []
     for part in slices:
@@ -131,7 +134,7 @@ def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray, rounds: int = 7
         h, t = words.hash[order], words.text[order]
         seen.append(h[np.append(True, (h[1:] != h[:-1]) | (t[1:] != t[:-1]))[: len(h)]])
     common, often = np.unique(np.concatenate(seen), return_counts=True)
-    common = common[often > 1]
+    common = common[often >= least_texts]
     del seen, often
     filled, size = np.zeros(len(common), bool), np.ones(len(texts))
     rows, columns, counts, buckets, owners = [], [], [], [], []
@@ -245,7 +248,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all columns, whose whole text scores below ``threshold``."""
+    """The rows of ``docs``, with all columns, whose whole text scores below ``threshold``.
+
+    Null and empty texts score by the softmax's bias alone, as text without words; rows that repeat stay or go together;
+    null ids and other columns play no part; an empty table gives no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((model.logit, model.bias))
     at = docs.columns.index(text_col)
 
