@@ -5,6 +5,7 @@ from hashlib import md5
 import numpy as np
 import pytest
 
+from tidebar.operators import validation as V
 from tidebar.plans import catalog
 from tidebar.sources import tables as S
 
@@ -29,3 +30,16 @@ def test_permutation_by_brute_force(spark, data):
 def test_distribution_of_every_instance(spark, data):
     want = {r.instance for r in S.ledger(spark, data).select("instance").distinct().collect()}
     assert {r.grp for r in catalog.QUERIES["v11_distribution"](spark, data).select("grp").collect()} == want
+
+
+@pytest.mark.parametrize("f", [lambda t: V.shuffled(t, 30, 50.0), lambda t: V.bootstrapped(t, 30), lambda t: V.permutation(t, 30)])
+def test_large_groups_make_a_row_a_draw(spark, monkeypatch, f):
+    """Groups above the bound get the same numbers by another way."""
+    rng = np.random.default_rng(1)
+    rows = [(g, n, float(x)) for g, size in ((1, 90), (2, 7), (3, 1), (4, 2)) for n, x in enumerate(rng.integers(-9, 10, size))]
+    trades = spark.createDataFrame(rows, "grp int, n long, pnl double")
+    plain = lambda df: sorted(tuple(None if x is None else round(x, 9) for x in r) for r in df.collect())
+    whole = plain(f(trades))
+    monkeypatch.setattr(V, "HELD", 6)
+    assert plain(f(trades)) == whole
+    assert f(trades.limit(0)).count() == 0

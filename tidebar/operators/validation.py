@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
+from hashlib import md5
 from operator import mul
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .scans import scan
+
 
 def grid(spark: SparkSession, space: dict[str, list]) -> DataFrame:
     """All combinations of a stated parameter space, numbered by trial.
@@ -114,6 +120,9 @@ def window_stats(results: DataFrame, keys: list[str]) -> DataFrame:
 
 # --- resampling by digests: the same numbers on every engine ---------------------------------
 
+#: Trades up to which a group's draws are made inside one call, on arrays of that length; larger groups make a row a draw.
+HELD = 20_000
+
 
 def _draw(kind: str, seed: int, *parts: str) -> Column:
     """A number from 0 to 2**32 - 1 from the md5 of seed and parts."""
@@ -124,35 +133,96 @@ def _iterations(trades: DataFrame, n: int, kind: str, seed: int) -> DataFrame:
     return trades.withColumn("iter", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("draw", _draw(kind, seed, "iter", "grp", "n"))
 
 
+def _resampled(trades: DataFrame, n: int, kind: str, seed: int, of_draws: Callable[[np.ndarray, np.ndarray], tuple], columns: list[str], by_rows: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """grp, iter and ``columns`` for each of ``n`` iterations over the trades (grp, n, pnl; n from 0) of each group.
+
+    The trades of a group of at most ``HELD`` come together once; ``of_draws`` gets them and the draws of one iteration,
+    both in order of n, and only what it sums up leaves the task. So a task holds ``HELD`` trades and draws, and no row is a
+    draw. Larger groups go through ``by_rows``, which shuffles a row a draw and holds none.
+    """
+    size = trades.groupBy("grp").agg(F.count("*").alias("_size"))
+    sized = trades.join(size, "grp")
+    kind_of = trades.schema["grp"].dataType.simpleString()
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("n")
+        pnl = table.column("pnl").to_numpy()
+        names = [str(k).encode() for k in table.column("n").to_pylist()]
+        group = table.column("name")[0].as_py()
+        out = []
+        for i in range(n):
+            front = f"{kind}{seed}-{i}-{group}-".encode()
+            draws = np.frombuffer(b"".join([md5(front + k).digest()[:4] for k in names]), ">u4").astype(np.int64)
+            out.append(of_draws(pnl, draws))
+        grp = table.column("grp").combine_chunks()[:1]
+        columns_out = [pa.array(c, pa.float64()) for c in zip(*out)]
+        return pa.table([grp.take(pa.array([0] * n)), pa.array(range(n), pa.int32()), *columns_out], names=["grp", "iter", *columns])
+
+    parts = int(trades.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a stated number isn't cut down for small tables: the draws are the work
+    held = sized.filter(F.col("_size") <= HELD).select("grp", F.col("grp").cast("string").alias("name"), "n", "pnl").repartition(parts, "grp")
+    held = held.groupBy("grp").applyInArrow(run, f"grp {kind_of}, iter int, {', '.join(f'{c} double' for c in columns)}")
+    return held.unionByName(by_rows(sized.filter(F.col("_size") > HELD).drop("_size")).select("grp", F.col("iter").cast("int").alias("iter"), *columns))
+
+
 def shuffled(trades: DataFrame, n: int, capital: float, seed: int = 42) -> DataFrame:
     """Return and greatest drawdown of the trades (grp, n, pnl) of a group in ``n`` orders."""
-    x = _iterations(trades, n, "s", seed)
-    w = Window.partitionBy("grp", "iter").orderBy("draw", "n").rowsBetween(Window.unboundedPreceding, 0)
-    x = x.withColumn("equity", capital + F.sum("pnl").over(w)).withColumn("peak", F.greatest(F.lit(capital), F.max("equity").over(w)))
-    return x.groupBy("grp", "iter").agg((F.sum("pnl") * 100 / capital).alias("ret"), F.max((F.col("peak") - F.col("equity")) * 100 / F.col("peak")).alias("max_dd"))
+
+    def one(pnl: np.ndarray, draws: np.ndarray) -> tuple:
+        equity = capital + np.cumsum(pnl[np.argsort(draws, kind="stable")])
+        peak = np.maximum(np.maximum.accumulate(equity), capital)
+        return pnl.sum() * 100 / capital, ((peak - equity) * 100 / peak).max()
+
+    def rows(t: DataFrame) -> DataFrame:
+        x = scan(_iterations(t, n, "s", seed), ["grp", "iter"], ["draw", "n"], [F.floor(F.col("draw") / 2**20)], sums={"gain": F.col("pnl")}, peaks={"top": ("gain", None)})
+        x = x.withColumn("equity", capital + F.col("gain_before") + F.col("pnl"))
+        x = x.withColumn("peak", F.greatest(F.lit(capital), capital + F.col("top_before"), "equity"))
+        return x.groupBy("grp", "iter").agg((F.sum("pnl") * 100 / capital).alias("ret"), F.max((F.col("peak") - F.col("equity")) * 100 / F.col("peak")).alias("max_dd"))
+
+    return _resampled(trades, n, "s", seed, one, ["ret", "max_dd"], rows)
 
 
 def bootstrapped(trades: DataFrame, n: int, seed: int = 12345) -> DataFrame:
     """Sharpe, win rate and profit factor of draws with replacement, as many as the group has trades; n counts from 0."""
-    size = trades.groupBy("grp").agg(F.count("*").alias("size"))
-    x = _iterations(trades.select("grp", "n"), n, "b", seed).join(size, "grp").withColumn("pick", F.col("draw") % F.col("size"))
-    y = x.join(trades.select("grp", F.col("n").alias("pick"), "pnl"), ["grp", "pick"])
-    win, loss = F.sum(F.when(F.col("pnl") > 0, F.col("pnl")).otherwise(0.0)), F.sum(F.when(F.col("pnl") <= 0, -F.col("pnl")).otherwise(0.0))
-    a = y.groupBy("grp", "iter").agg(F.avg("pnl").alias("m"), F.stddev_samp("pnl").alias("s"), F.count("*").alias("c"), (F.count_if(F.col("pnl") > 0) * 100 / F.count("*")).alias("win_rate"), win.alias("w"), loss.alias("l"))
-    return a.select("grp", "iter", F.when(F.col("s") > 0, F.try_divide(F.col("m"), F.col("s")) * F.sqrt("c")).otherwise(0.0).alias("sharpe"), "win_rate", F.when(F.col("l") > 0.01, F.try_divide("w", "l")).otherwise(100.0).alias("profit_factor"))
+
+    def one(pnl: np.ndarray, draws: np.ndarray) -> tuple:
+        x = pnl[draws % len(pnl)]
+        dev = x.std(ddof=1) if len(x) > 1 else 0.0
+        loss = -x[x <= 0].sum()
+        return x.mean() / dev * len(x) ** 0.5 if dev > 0 else 0.0, (x > 0).sum() * 100 / len(x), x[x > 0].sum() / loss if loss > 0.01 else 100.0
+
+    def rows(t: DataFrame) -> DataFrame:
+        size = t.groupBy("grp").agg(F.count("*").alias("size"))
+        x = _iterations(t.select("grp", "n"), n, "b", seed).join(size, "grp").withColumn("pick", F.col("draw") % F.col("size"))
+        y = x.join(t.select("grp", F.col("n").alias("pick"), "pnl"), ["grp", "pick"])
+        win, loss = F.sum(F.when(F.col("pnl") > 0, F.col("pnl")).otherwise(0.0)), F.sum(F.when(F.col("pnl") <= 0, -F.col("pnl")).otherwise(0.0))
+        a = y.groupBy("grp", "iter").agg(F.avg("pnl").alias("m"), F.stddev_samp("pnl").alias("s"), F.count("*").alias("c"), (F.count_if(F.col("pnl") > 0) * 100 / F.count("*")).alias("win_rate"), win.alias("w"), loss.alias("l"))
+        return a.select("grp", "iter", F.when(F.col("s") > 0, F.try_divide(F.col("m"), F.col("s")) * F.sqrt("c")).otherwise(0.0).alias("sharpe"), "win_rate", F.when(F.col("l") > 0.01, F.try_divide("w", "l")).otherwise(100.0).alias("profit_factor"))
+
+    return _resampled(trades, n, "b", seed, one, ["sharpe", "win_rate", "profit_factor"], rows)
 
 
 def permutation(trades: DataFrame, n: int, seed: int = 54321) -> DataFrame:
     """Share of ``n`` random sign flips whose t-like score is at least the group's own."""
-    x = _iterations(trades, n, "p", seed).withColumn("flipped", F.when(F.col("draw") % 2 == 0, F.col("pnl")).otherwise(-F.col("pnl")))
-    score = lambda c: F.when(F.stddev_samp(c) > 0, F.try_divide(F.avg(c), F.stddev_samp(c))).otherwise(0.0)
-    flips = x.groupBy("grp", "iter").agg(score("flipped").alias("score"))
-    own = trades.groupBy("grp").agg(score("pnl").alias("own"))
-    return flips.join(own, "grp").groupBy("grp").agg(F.avg((F.col("score") >= F.col("own")).cast("double")).alias("p_value"))
+
+    def score_of(x: np.ndarray) -> float:
+        dev = x.std(ddof=1) if len(x) > 1 else 0.0
+        return x.mean() / dev if dev > 0 else 0.0
+
+    def one(pnl: np.ndarray, draws: np.ndarray) -> tuple:
+        return (float(score_of(np.where(draws % 2 == 0, pnl, -pnl)) >= score_of(pnl)),)
+
+    def rows(t: DataFrame) -> DataFrame:
+        x = _iterations(t, n, "p", seed).withColumn("flipped", F.when(F.col("draw") % 2 == 0, F.col("pnl")).otherwise(-F.col("pnl")))
+        score = lambda c: F.when(F.stddev_samp(c) > 0, F.try_divide(F.avg(c), F.stddev_samp(c))).otherwise(0.0)
+        flips = x.groupBy("grp", "iter").agg(score("flipped").alias("score"))
+        own = t.groupBy("grp").agg(score("pnl").alias("own"))
+        return flips.join(own, "grp").select("grp", "iter", (F.col("score") >= F.col("own")).cast("double").alias("reached"))
+
+    return _resampled(trades, n, "p", seed, one, ["reached"], rows).groupBy("grp").agg(F.avg("reached").alias("p_value"))
 
 
 def distribution(values: DataFrame, column: str, keys: list[str]) -> DataFrame:
-    """Percentiles, value at risk, expected shortfall and chances of a column over iterations."""
+    """Percentiles, value at risk, expected shortfall and chances of a column over iterations, of which a key has a stated number."""
     p = values.groupBy(*keys).agg(*[F.expr(f"percentile({column}, {q / 100})").alias(f"p{q}") for q in (5, 25, 50, 75, 95)])
     tail = values.join(p.select(*keys, "p5"), keys).filter(F.col(column) <= F.col("p5")).groupBy(*keys).agg(F.avg(column).alias("shortfall"))
     chance = values.groupBy(*keys).agg(*[F.avg((F.col(column) > q).cast("double")).alias(f"above{q}") for q in (0, 5, 10)])

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from itertools import combinations
+
 from pyspark.sql import functions as F
 
 from ..operators import bars as B
@@ -12,6 +13,8 @@ from ..operators import metrics as M
 from ..operators import signals as G
 from ..operators import simulate as X
 from ..operators import validation as V
+from ..operators.importance import importance
+from ..operators.scans import place
 from ..sources import tables as S
 from .market import _donchian_sql
 from .registry import query
@@ -60,6 +63,24 @@ def combined(spark, d):
     return V.combined_rank(_results(spark, d), 2.0, 0.4).select("trial", F.round("ratio", 6).alias("ratio"), F.col("back_rank").cast("long").alias("back_rank"), F.col("forward_rank").cast("long").alias("forward_rank"), "combined_rank")
 
 
+#: Parameters of a line item's trade, as a search over them would have tried.
+_TRIED = {"status": "l_linestatus", "flag": "l_returnflag", "priority": "o_orderpriority", "line": "l_linenumber", "size": "floor(l_quantity / 10)::int"}
+_TRY = f"r as (select {', '.join(f'cast({c} as varchar) {p}' for p, c in _TRIED.items())}, l_extendedprice * (l_discount - l_tax) y from lineitem join orders on l_orderkey = o_orderkey), w as (select count(*) t, avg(y) m, var_pop(y) v from r)"
+_ONE = " union all ".join(f"select '{p}' p, {p} v, count(*) n, avg(y) y from r group by {p}" for p in _TRIED)
+_TWO = " union all ".join(f"select '{p}' p, '{q}' q, {p} v, {q} u, count(*) n, avg(y) y from r group by {p}, {q}" for p, q in combinations(_TRIED, 2))
+
+
+@query("x07_importance", f"""with {_TRY}, a as ({_ONE}), b as ({_TWO}),
+c as (select b.p, b.q, b.n, b.y - f.y - g.y + m e from b join a f on f.p = b.p and f.v = b.v join a g on g.p = b.q and g.v = b.u, w)
+select p as "first", null as "second", count(*) cells, round(sum(n * (y - m) ** 2) / any_value(t * w.v), 9) share from a, w group by p
+union all select p, q, count(*), round(sum(n * e * e) / any_value(t * w.v), 9) from c, w group by p, q""")
+def parameter_importance(spark, d):
+    line, order = S.read(spark, d, "lineitem"), S.read(spark, d, "orders")
+    x = line.join(order, F.col("l_orderkey") == F.col("o_orderkey")).withColumn("y", F.col("l_extendedprice") * (F.col("l_discount") - F.col("l_tax")))
+    tried = x.select("y", *[F.expr(c.replace("::int", "")).alias(p) for p, c in _TRIED.items()])
+    return importance(tried, list(_TRIED), "y").withColumn("share", F.round("share", 9))
+
+
 @query("p25_ratio_filter_empty", f"{_ranked(1000)} select count(*) n from rk")
 def ratio_empty(spark, d):
     return V.combined_rank(_results(spark, d), 2.0, 1000.0).agg(F.count("*").alias("n"))
@@ -131,8 +152,8 @@ ITERATIONS = 1000
 
 def _sample(spark, d):
     """The trades of every instance, numbered from 0."""
-    w = Window.partitionBy("instance").orderBy("exit_time", "trade_id", "leg")
-    return S.ledger(spark, d).withColumn("n", (F.row_number().over(w) - 1)).select(F.col("instance").alias("grp"), "n", "pnl")
+    x = place(S.ledger(spark, d), ["instance"], ["exit_time", "trade_id", "leg"], ["to_date(exit_time)"], "n")
+    return x.select(F.col("instance").alias("grp"), (F.col("n") - 1).alias("n"), "pnl")
 
 
 _SMP = f"{_L}, t as (select instance grp, row_number() over (partition by instance order by exit_time, trade_id, leg) - 1 n, pnl from ledger), it as (select range iter from range({ITERATIONS}))"
@@ -163,7 +184,7 @@ def permutation(spark, d):
 @query("v10_group_shuffle", f"{_L}, g as (select instance grp, trade_id, min(exit_time) et, sum(pnl) pnl from ledger group by 1, 2), t as (select grp, row_number() over (partition by grp order by et, trade_id) - 1 n, pnl from g), it as (select range iter from range({ITERATIONS})), x as (select grp, iter, n, pnl, {_hash('s42')} draw from t, it), e as (select *, 3000 + sum(pnl) over (partition by grp, iter order by draw, n rows unbounded preceding) eq from x), p as (select *, greatest(3000, max(eq) over (partition by grp, iter order by draw, n rows unbounded preceding)) pk from e) select grp, iter::int iter, round(max((pk - eq) * 100 / pk), 3) max_dd from p group by 1, 2")
 def group_shuffle(spark, d):
     g = S.ledger(spark, d).groupBy(F.col("instance").alias("grp"), "trade_id").agg(F.min("exit_time").alias("et"), F.sum("pnl").alias("pnl"))
-    t = g.withColumn("n", F.row_number().over(Window.partitionBy("grp").orderBy("et", "trade_id")) - 1).select("grp", "n", "pnl")
+    t = place(g, ["grp"], ["et", "trade_id"], ["to_date(et)"], "n").select("grp", (F.col("n") - 1).alias("n"), "pnl")
     return V.shuffled(t, ITERATIONS, 3000.0).select("grp", "iter", F.round("max_dd", 3).alias("max_dd"))
 
 

@@ -29,14 +29,19 @@ def session(name: str = "tidebar", **conf: str) -> SparkSession:
 
 
 def workdir(spark: SparkSession) -> str:
-    """A fresh folder that driver and executors share, under ``spark.checkpoint.dir``; in one process, a temporary one if that is unset."""
+    """A fresh folder that driver and executors share, removed when the application ends: under ``spark.checkpoint.dir``; in one process, a temporary one if that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="tidebar-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/tidebar-{uuid.uuid4().hex}"
+    folder = f"{base.rstrip('/')}/tidebar-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(at)
+    files.deleteOnExit(at)
+    return folder
 
 
 def ship(spark: SparkSession) -> None:
