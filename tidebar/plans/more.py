@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import bars as B
 from ..operators import exits as E
+from ..operators import expanding as W
 from ..operators import filters as P
 from ..operators import indicators as I
 from ..operators import matching as J
@@ -263,3 +264,47 @@ def conformance(spark, d):
 @query("q20_registry_filter", f"with {S.FLEET_SQL} select instance, nation from fleet where region in ('ASIA', 'EUROPE', 'REGION_1', 'REGION_2') and balance > 0")
 def registry(spark, d):
     return S.fleet(spark, d).filter(F.col("region").isin("ASIA", "EUROPE", "REGION_1", "REGION_2") & (F.col("balance") > 0)).select("instance", "nation")
+
+
+# --- models of each window from all rows before it ---
+
+#: Bars of a walk-forward window.
+WINDOW = 100
+
+
+@query("l12_window_filter", f"""{_TR}, g as (select tr.sym, tr.bar, direction, coalesce(r = 1, false) win, tr.bar // {WINDOW} w, ex // {WINDOW} + 1 ready, (direction + 1) // 2 side, hour(b.ts) // 4 "hour", isodow(b.ts) - 1 "day", least(9, floor(abs(price - sl) / 10)) risk
+  from (select tr.*, e.r from tr left join e on e.sym = tr.sym and e.bar = tr.bar) tr join bars b on b.sym = tr.sym and b.bar = tr.bar),
+k as (select distinct sym, w from g),
+p as (select k.sym, k.w, count(*) filter (win) yes, count(*) filter (not win) no from k join g on g.sym = k.sym and g.ready <= k.w group by 1, 2),
+f as (select sym, bar, direction, w, ready, win, unnest(['side', 'hour', 'day', 'risk']) f, unnest([side::int, "hour"::int, "day"::int, risk::int]) b, unnest([2, 6, 7, 10]) size from g),
+c as (select k.sym, k.w, f, b, count(*) filter (win) yes, count(*) filter (not win) no from k join f on f.sym = k.sym and f.ready <= k.w group by all),
+s as (select f.sym, f.bar, f.direction, any_value(p.yes + p.no) n, any_value(ln((p.yes + 1) / (p.no + 1)::double)) + sum(ln((coalesce(c.yes, 0) + 1) / (p.yes + f.size)::double) - ln((coalesce(c.no, 0) + 1) / (p.no + f.size)::double)) score
+  from f left join p on p.sym = f.sym and p.w = f.w left join c on c.sym = f.sym and c.w = f.w and c.f = f.f and c.b = f.b group by 1, 2, 3)
+select sym, bar, direction, coalesce(n, 0) trained, round(case when n >= 20 then score end, 6) score, coalesce(case when n >= 20 then score end, 0) >= 0 kept from s""")
+def window_filter(spark, d):
+    """Signals kept by what all signals closed before their window tell; all are kept while there are too few."""
+    bars, s = _orders(spark, d)
+    x = X.first_exits(s, bars).join(bars.select("sym", "bar", "ts"), ["sym", "bar"]).withColumn("win", F.col("reason") == 1)
+    bins = {
+        "side": (F.floor((F.col("direction") + 1) / 2), 2), "hour": (F.floor(F.hour("ts") / 4), 6), "day": (F.weekday("ts"), 7),
+        "risk": (F.least(F.lit(9), F.floor(F.abs(F.col("price") - F.col("sl")) / 10)), 10),
+    }
+    at = lambda c: F.floor(F.col(c) / WINDOW)
+    y = W.classified(x, ["sym"], at("bar"), at("exit_bar") + 1, bins, F.col("win"))
+    return y.select("sym", "bar", "direction", "trained", F.round("score", 6).alias("score"), (F.coalesce("score", F.lit(0.0)) >= 0).alias("kept"))
+
+
+@query("l15_window_exit_model", f"""{_HELD}, y as (select sym, bar, at_, coalesce(lead(r, 5) over w, last_value(r) over v) - r gain, at_ // {WINDOW} w, least(at_ + 5, ex) // {WINDOW} + 1 ready, least(5, (at_ - bar - 1) // 8) * 9 + greatest(0, least(8, floor(r * 2) + 4)) cell
+  from held window w as (partition by sym, bar order by at_), v as (partition by sym, bar order by at_ rows between current row and unbounded following)),
+k as (select distinct sym, w from y),
+p as (select k.sym, k.w, count(*) n, avg(gain) m from k join y on y.sym = k.sym and y.ready <= k.w group by 1, 2),
+c as (select k.sym, k.w, cell, count(*) n, sum(gain) s from k join y on y.sym = k.sym and y.ready <= k.w group by 1, 2, 3)
+select y.sym, y.bar, at_ as at, coalesce(p.n, 0) trained, round(case when p.n >= 200 then (coalesce(c.s, 0) + 20 * m) / (coalesce(c.n, 0) + 20) end, 5) value
+from y left join p on p.sym = y.sym and p.w = y.w left join c on c.sym = y.sym and c.w = y.w and c.cell = y.cell""")
+def window_exit_model(spark, d):
+    """What holding on for five bars was worth, by age and result so far, in all bars known before a bar's window."""
+    x = E.labels(_held(spark, d)[1])
+    cell = F.least(F.lit(5), F.floor((F.col("age") - 1) / 8)) * 9 + F.greatest(F.lit(0), F.least(F.lit(8), F.floor(F.col("r_now") * 2) + 4))
+    ready = F.floor(F.least(F.col("at") + 5, F.col("exit_bar")) / WINDOW) + 1
+    y = W.predicted(x, ["sym"], F.floor(F.col("at") / WINDOW), ready, (cell, 54), F.col("r_plus5") - F.col("r_now"))
+    return y.select("sym", "bar", "at", "trained", F.round("prediction", 5).alias("value"))
