@@ -32,12 +32,12 @@ def workdir(spark: SparkSession) -> str:
         base = tempfile.mkdtemp(prefix="tidebar-")
         spark.sparkContext.setCheckpointDir(base)
         spark.conf.set("spark.checkpoint.dir", base)
-    folder = f"{base.rstrip('/')}/tidebar-{uuid.uuid4().hex}"
+    folder = f"{base.rstrip("/")}/tidebar-{uuid.uuid4().hex}"
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     files.mkdirs(at)
     files.deleteOnExit(at)
-    return folder
+    return f"{folder}/work"
 
 
 def materialize(df: DataFrame, path: str) -> DataFrame:
