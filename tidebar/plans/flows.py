@@ -14,6 +14,7 @@ from ..operators import validation as V
 from ..operators.scans import place
 from ..session import workdir
 from ..sources import documents as D
+from ..sources import pages as G_
 from ..sources import tables as S
 from ..streaming import candles as C
 from .market import STAMP, _donchian_sql
@@ -43,13 +44,13 @@ def bars_sink(spark, d):
     return spark.read.parquet(folder).select("sym", "bar", "close")
 
 
-@query("s13_trade_lists", f"{_L} select trade_id, leg, pnl from ledger where instance % 3 > 0")
+@query("s13_trade_lists", f"{_L} select trade_id, leg, pnl from ledger")
 def trade_lists(spark, d):
-    """Documents of one instance each: a list, or an object with a list under one of two names."""
-    t = S.ledger(spark, d).select("instance", F.struct("trade_id", "leg", "pnl").alias("t"))
-    lists = t.groupBy("instance").agg(F.collect_list("t").alias("trades"))  # an instance's document, as the source has it
+    """Documents of one day of an instance each: a list, or an object with a list under one of two names."""
+    t = S.ledger(spark, d).select("instance", F.to_date("exit_time").alias("day"), F.struct("trade_id", "leg", "pnl").alias("t"))
+    lists = t.groupBy("instance", "day").agg(F.collect_list("t").alias("trades"))
     named = F.when(F.col("instance") % 3 == 1, F.to_json("trades")).when(F.col("instance") % 6 == 2, F.to_json(F.struct("trades"))).otherwise(F.to_json(F.struct(F.col("trades").alias("trade_history"))))
-    docs = lists.filter("instance % 3 > 0").select(named.alias("value"))
+    docs = lists.select(named.alias("value"))
     return D.trades_of(docs, "value", "trade_id: long, leg: int, pnl: double").select("trade_id", "leg", "pnl")
 
 
@@ -58,8 +59,8 @@ def json_lines(spark, d):
     folder = workdir(spark)
     e = S.read(spark, d, "events")
     line = F.when(F.col("event_id") % 10 == 3, "{broken").otherwise(F.to_json(F.struct("event_id", "value")))
-    e.select(line.alias("value")).write.text(folder)
-    D.append_lines(e.limit(0).select("event_id", "value"), folder)  # nothing more to add
+    e.filter("event_id % 10 < 5").select(line.alias("value")).write.text(folder)
+    D.append_lines(e.filter("event_id % 10 >= 5").select("event_id", "value"), folder)
     return D.read_lines(spark, folder, "event_id long, value double")
 
 
@@ -123,14 +124,72 @@ def health_files(spark, d):
     return D.read_runs(spark, folder, "status string").select(F.col("run").alias("instance"), F.coalesce("doc.status", F.lit("unreadable")).alias("status"))
 
 
+def _candle_pages(spark: SparkSession, d: str) -> str:
+    """Hourly candles as a service's pages of 200, each with the first candle of the next one and, at the very end, one that isn't complete."""
+    folder = f"{workdir(spark)}/pages"
+    bars = S.bars_h1(spark, d)
+    last = bars.groupBy("sym").agg(F.max("bar").alias("_last"))
+    number = lambda c: F.floor(c / 200)
+    x = bars.join(last, "sym").withColumn("complete", F.col("bar") < F.col("_last")).withColumn("page", F.explode(F.array_distinct(F.array(number(F.col("bar")), F.greatest(number(F.col("bar") - 1), F.lit(0))))))
+    G_.register(spark)
+    G_.write_pages(x.select("sym", "ts", "open", "high", "low", "close", "volume", "complete", "page"), "sym", "ts", "page", folder)
+    return folder
+
+
+_PAGED = f"{_B}, l as (select sym, max(bar) z from bars group by 1), p as (select bars.*, strftime(ts, '%Y-%m-%d %H:%M:%S') at_ from bars join l on l.sym = bars.sym and bar < z)"
+
+
+@query("s03_candle_pages", f"{_PAGED} select sym, at_ as ts, open, high, low, close, volume from p")
+def candle_pages(spark, d):
+    """Complete candles of all pages, each once."""
+    rows = spark.read.format("pages").schema(G_.CANDLE).load(_candle_pages(spark, d))
+    return G_.closed_once(rows, ["sym", "ts"], "volume").select("sym", F.date_format("ts", STAMP).alias("ts"), "open", "high", "low", "close", "volume")
+
+
+@query("s04_paged_range", f"{_PAGED} select sym, at_ as ts, close from p where sym in ('click', 'purchase') and ts >= (select median(ts) from events)")
+def paged_range(spark, d):
+    """A range of times of two instruments: other pages aren't opened."""
+    folder = _candle_pages(spark, d)
+    middle = S.read(spark, d, "events").agg(F.median(F.unix_micros(F.col("ts").cast("timestamp")))).first()[0]  # the bound a user would type
+    rows = spark.read.format("pages").schema(G_.CANDLE).load(folder).filter((F.col("ts") >= F.timestamp_micros(F.lit(int(middle)))) & F.col("sym").isin("click", "purchase"))
+    return G_.closed_once(rows, ["sym", "ts"], "volume").select("sym", F.date_format("ts", STAMP).alias("ts"), "close")
+
+
+@query("s05_transaction_pages", "select event_id id, event_type kind, user_id account, value amount from events")
+def transaction_pages(spark, d):
+    """Transactions by pages of ids, a folder for each thousand accounts; pages overlap by one id."""
+    folder = f"{workdir(spark)}/pages"
+    e = S.read(spark, d, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("kind"), F.col("user_id").alias("account"), F.col("value").alias("amount"), F.col("ts").cast("timestamp").alias("ts"))
+    number = lambda c: F.floor(c / 500)
+    e = e.withColumn("book", F.format_string("book%d", F.floor(F.col("account") / 1000))).withColumn("page", F.explode(F.array_distinct(F.array(number(F.col("id")), F.greatest(number(F.col("id") - 1), F.lit(0))))))
+    G_.register(spark)
+    G_.write_pages(e, "book", "ts", "page", folder)
+    rows = spark.read.format("pages").option("group", "book").schema("id long, kind string, account long, amount double, ts timestamp, book string").load(folder)
+    return rows.dropDuplicates(["id"]).select("id", "kind", "account", "amount")
+
+
+@query("s03_candle_stream", f"{_PAGED} select sym, at_ as ts, close from p")
+def candle_stream(spark, d):
+    """The same pages as a stream, page by page in the order they came."""
+    rows = spark.readStream.format("pages").schema(G_.CANDLE).load(_candle_pages(spark, d))
+    once = rows.filter("complete").withWatermark("ts", "10 days").dropDuplicates(["sym", "ts"])
+    return _ran(once, available=False).select("sym", F.date_format("ts", STAMP).alias("ts"), "close")
+
+
 # --- streams, run to their end --------------------------------------------------------------
 
 
-def _ran(stream: DataFrame) -> DataFrame:
-    """What a stream writes until it has read all there is now."""
+def _ran(stream: DataFrame, available: bool = True) -> DataFrame:
+    """What a stream writes until it has read all there is now; ``available``: whether its source knows that trigger."""
     folder = workdir(stream.sparkSession)
-    out = stream.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
-    out.awaitTermination()
+    out = stream.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
+    if available:
+        out = out.trigger(availableNow=True).start()
+        out.awaitTermination()
+    else:
+        out = out.start()
+        out.processAllAvailable()
+        out.stop()
     if out.exception():
         raise out.exception()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
