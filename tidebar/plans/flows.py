@@ -10,6 +10,7 @@ from ..operators import exits as E
 from ..operators import indicators as I
 from ..operators import metrics as M
 from ..operators import signals as G
+from ..operators import stages as T
 from ..operators import validation as V
 from ..operators.scans import place
 from ..session import workdir
@@ -17,6 +18,7 @@ from ..sources import documents as D
 from ..sources import pages as G_
 from ..sources import tables as S
 from ..streaming import candles as C
+from ..streaming import state as R
 from .market import STAMP, _donchian_sql
 from .more import _HELD, _held
 from .registry import query
@@ -372,3 +374,64 @@ def signal_model(spark, d):
     scored = E.trained(early, names, "won").transform(late)
     able = E.skill(scored, "rawPrediction", "won") >= 0.55
     return (scored.filter("prediction = 1") if able else scored).select("sym", "bar", "direction", F.lit(able).alias("filtered"))
+
+
+# --- state and stages that resume ---
+
+
+@query("t07_restored_state", "select event_type sym, count(*) n, round(sum(value), 4) total, max(value) top from events group by 1")
+def restored_state(spark, d):
+    """What a stream remembers that was stopped after two of twelve files and went on from its checkpoint."""
+    folder = workdir(spark)
+    # one file a batch, in time: rows are ranged, so no task writes them all
+    S.read(spark, d, "events").repartitionByRange(12, "ts", "event_id").write.parquet(f"{folder}/ticks")
+    made = lambda: R.totals(C.ticks(spark, f"{folder}/ticks", files_per_trigger=1)).writeStream.format("noop").outputMode("update").option("checkpointLocation", f"{folder}/checkpoint")
+    R.run_some(made(), 2)
+    R.run_rest(made())
+    x = R.state_table(spark, f"{folder}/checkpoint")
+    return x.select("key.sym", F.col("value.count").alias("n"), F.round("value.sum", 4).alias("total"), F.col("value.max").alias("top"))
+
+
+def _research_stages() -> list[T.Stage]:
+    def data(line, orders):
+        j = line.join(orders, line["l_orderkey"] == orders["o_orderkey"])
+        return j.select(F.col("l_suppkey").alias("instance"), F.col("o_orderdate").alias("day"), (F.col("l_extendedprice") * (F.col("l_discount") - F.col("l_tax"))).alias("pnl"))
+
+    def candidates(data):
+        return data.groupBy("instance").agg(F.count("*").alias("n"), F.sum("pnl").alias("profit")).filter("profit > 0")
+
+    def windows(data, candidates):
+        x = data.join(candidates.select("instance"), "instance", "left_semi")
+        return x.groupBy("instance", F.year("day").alias("year")).agg(F.sum("pnl").alias("pnl"))
+
+    def report(candidates, windows):
+        good = windows.groupBy("instance").agg(F.count_if(F.col("pnl") > 0).alias("good"), F.count("*").alias("n_years"))
+        return candidates.join(good, "instance")
+
+    some = lambda: F.count("*") > 0
+    return [T.Stage("data", ["lineitem", "orders"], data, some), T.Stage("candidates", ["data"], candidates, some), T.Stage("windows", ["data", "candidates"], windows), T.Stage("report", ["candidates", "windows"], report)]
+
+
+_STAGED = """d as (select l_suppkey instance, o_orderdate dt, l_extendedprice * (l_discount - l_tax) pnl from lineitem join orders on l_orderkey = o_orderkey),
+c as (select instance, count(*) n, sum(pnl) profit from d group by 1 having sum(pnl) > 0),
+w as (select instance, year(dt) y, sum(pnl) pnl from d where instance in (select instance from c) group by 1, 2)"""
+
+
+@query("v16_resumed_report", f"with {_STAGED}, g as (select instance, count(*) filter (pnl > 0) good, count(*) n_years from w group by 1) select c.instance, n, round(profit, 2) profit, good, n_years from c join g on g.instance = c.instance")
+def resumed_report(spark, d):
+    """The report of a second run, which finds all stages done by a first one that stopped after two."""
+    folder, tables, stages = workdir(spark), {t: f"{d}/{t}.parquet" for t in ("lineitem", "orders")}, _research_stages()
+    T.run(spark, folder, tables, stages[:2])
+    x = T.run(spark, folder, tables, stages)["report"]
+    return x.select("instance", "n", F.round("profit", 2).alias("profit"), "good", "n_years")
+
+
+@query("v15_v16_stage_manifest", f"""with {_STAGED}, s as (select 'data' stage, (select count(*) from d) rows union all select 'candidates', (select count(*) from c) union all select 'windows', (select count(*) from w) union all select 'report', (select count(*) from c)),
+r as (select stage, 1 run, 'ran' status, rows from s where stage in ('data', 'candidates') union all select stage, 2, case when stage in ('data', 'candidates') then 'skipped' else 'ran' end, rows from s)
+select stage, run::bigint run, status, rows from r""")
+def stage_manifest(spark, d):
+    """What two runs did: the second skips what the first had finished."""
+    folder, tables, stages = workdir(spark), {t: f"{d}/{t}.parquet" for t in ("lineitem", "orders")}, _research_stages()
+    T.run(spark, folder, tables, stages[:2])
+    T.run(spark, folder, tables, stages)
+    return T.manifest(spark, folder).select("stage", "run", "status", "rows")
