@@ -9,6 +9,8 @@ from ..operators import filters as P
 from ..operators import indicators as I
 from ..operators import signals as G
 from ..operators.selection import percentiles
+from ..session import workdir
+from ..sources import cache as K
 from ..sources import tables as S
 from .registry import query
 
@@ -68,12 +70,31 @@ def inventory(spark, d):
 
 @query("s07_incremental_refresh", f"{_B}, cut as (select max(ts) - interval 7 day c from bars), old as (select sym, ts, close, 1 load from bars, cut where ts < c + interval 1 day), new as (select sym, ts, close + 1 as close, 2 load from bars, cut where ts >= c), u as (select * from old union all select * from new) select sym, strftime(ts, '%Y-%m-%d %H:%M:%S') ts, round(close, 6) as close, load from (select *, row_number() over (partition by sym, ts order by load desc) k from u) where k = 1")
 def refresh(spark, d):
+    """A cache by instrument and week; the last days come again, a little changed, and only their weeks are written anew."""
     bars = S.bars_h1(spark, d)
     last = bars.agg((F.max("ts") - F.expr("interval 7 days")).alias("c"))
-    x = bars.join(F.broadcast(last))  # one row
-    old = x.filter(F.col("ts") < F.col("c") + F.expr("interval 1 day")).select("sym", "ts", "close", F.lit(1).alias("load"))
-    new = x.filter(F.col("ts") >= F.col("c")).select("sym", "ts", (F.col("close") + 1).alias("close"), F.lit(2).alias("load"))
-    return B.keep_last(old.unionByName(new), ["sym", "ts"], "load").select("sym", stamp(), r6("close", "close"), "load")
+    x = bars.join(F.broadcast(last)).withColumn("week", F.date_format(F.date_trunc("week", "ts"), "yyyy-MM-dd"))  # one row
+    columns = ["sym", "week", "ts", "close", "load"]
+    old = x.filter(F.col("ts") < F.col("c") + F.expr("interval 1 day")).withColumn("load", F.lit(1)).select(*columns)
+    new = x.filter(F.col("ts") >= F.col("c")).withColumn("load", F.lit(2)).withColumn("close", F.col("close") + 1).select(*columns)
+    folder = workdir(spark)
+    K.write(old, folder, ["sym", "week"])
+    K.refresh(spark, folder, new, ["sym", "ts"], "load", ["sym", "week"])
+    return spark.read.schema(new.schema).parquet(folder).select("sym", stamp(), r6("close", "close"), "load")
+
+
+@query("s08_source_choice", f"""{_B}, h as (select sym, cast(ts as date) dt from bars), z as (select min(dt) + ((max(dt) - min(dt)) // 2)::int mid from h),
+f as (select sym, max(dt) - min(dt) + 1 n from h, z where sym not in ('click', 'view') or dt >= mid group by 1), g as (select sym, max(dt) - min(dt) + 1 n from h group by 1)
+select g.sym, coalesce(f.n, 0)::int fine_days, g.n::int direct_days, case when f.n >= 0.8::double * greatest(f.n, g.n) then 'derived' else 'direct' end source from g left join f on f.sym = g.sym""")
+def source_choice(spark, d):
+    """A fine source that lacks the first half for some instruments, and a direct one; judged by footers."""
+    folder, bars = workdir(spark), S.bars_h1(spark, d).withColumn("day", F.to_date("ts")).select("sym", "day", "close")
+    ends = bars.agg(F.min("day").alias("a"), F.max("day").alias("b"))
+    late = bars.join(F.broadcast(ends)).filter(~F.col("sym").isin("click", "view") | (F.col("day") >= F.date_add("a", F.floor(F.datediff("b", "a") / 2).cast("int")))).select(*bars.columns)  # one row
+    K.write(late, f"{folder}/fine", ["sym"])
+    K.write(bars, f"{folder}/direct", ["sym"])
+    x = K.chosen(K.spans(spark, f"{folder}/fine", "sym", "day"), K.spans(spark, f"{folder}/direct", "sym", "day"), "sym")
+    return x.select("sym", "fine_days", "direct_days", "source")
 
 
 @query("p02_time_range", f"{_B} select sym, {_T}, close from bars where ts >= timestamp '2024-01-05' and ts < timestamp '2024-01-12'")
