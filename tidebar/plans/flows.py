@@ -18,6 +18,7 @@ from ..sources import documents as D
 from ..sources import pages as G_
 from ..sources import tables as S
 from ..streaming import candles as C
+from ..streaming import replays as A
 from ..streaming import state as R
 from .market import STAMP, _donchian_sql
 from .more import _HELD, _held
@@ -212,8 +213,15 @@ def tumbling(spark, d):
 
 @query("t04_replays", "select event_id seq, event_type sym, value price from events")
 def replays(spark, d):
-    twice = C.ticks(spark, f"{d}/events.parquet*").withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
-    return _ran(C.without_repeats(twice, ["seq"], late="3650 days")).select("seq", "sym", "price")
+    """All ticks come once, some twice in a batch, and all of them again when everything is long closed."""
+    folder = workdir(spark)
+    e = S.read(spark, d, "events")
+    e.unionAll(e.filter("event_id % 5 = 0")).repartitionByRange(3, "ts").write.parquet(f"{folder}/ticks")
+    writer = lambda: A.archive_once(C.ticks(spark, f"{folder}/ticks", files_per_trigger=2), ["seq"], "ts", folder)
+    R.run_rest(writer())
+    e.repartitionByRange(2, "ts").write.mode("append").parquet(f"{folder}/ticks")
+    R.run_rest(writer())
+    return spark.read.parquet(f"{folder}/rows").select("seq", "sym", "price")
 
 
 @query("t05_latest_bar", f"{_B}, {_SIG}, l as (select sym, max(bar) - 30 cut from bars group by 1) select s.sym, bar, direction from s join l on s.sym = l.sym where direction is not null and bar > cut")
