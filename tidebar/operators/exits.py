@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bars import BLOCK
+from . import indicators as I
+from .bars import BLOCK, by_bar, in_blocks
 from .scans import place
 
 
@@ -25,13 +26,18 @@ def held_bars(trades: DataFrame, bars: DataFrame, least: int = 3) -> DataFrame:
 
 
 def labels(held: DataFrame, ahead: tuple[int, ...] = (5, 10)) -> DataFrame:
-    """Adds what is still to come: the result after some bars (the last one's, if the trade ends before), bars left, and the best bar left."""
+    """Adds what is still to come: the result after some bars (the last one's, if the trade ends before), bars left, the best result left, whether
+    the stop comes before the target (``reason`` 0 at a later bar), and the first bar of the trade's best result, its entry if no result is above 0."""
     w = Window.partitionBy("sym", "bar", "direction").orderBy("at")
     rest = w.rowsBetween(0, Window.unboundedFollowing)
     x = held
     for k in ahead:
         x = x.withColumn(f"r_plus{k}", F.coalesce(F.lead("r_now", k).over(w), F.last("r_now").over(rest)))
     x = x.withColumn("bars_left", F.col("exit_bar") - F.col("at"))
+    trade = Window.partitionBy("sym", "bar", "direction")
+    best = F.max("r_now").over(trade)
+    x = x.withColumn("stop_first", ((F.col("reason") == 0) & (F.col("bars_left") > 0)).cast("int"))
+    x = x.withColumn("_best", best).withColumn("best_bar", F.when(F.col("_best") > 0, F.min(F.when(F.col("r_now") == F.col("_best"), F.col("at"))).over(trade)).otherwise(F.col("bar"))).drop("_best")
     return x.withColumn("best_left", F.max("r_now").over(rest)).withColumn("remaining_r", F.last("r_now").over(rest) - F.col("r_now"))
 
 
@@ -83,6 +89,23 @@ def urgency(features: list[Column], weights: list[float]) -> tuple[Column, Colum
     return F.greatest(F.lit(0.0), long), F.greatest(F.lit(0.0), short)
 
 
+def market_features(held: DataFrame, bars: DataFrame) -> DataFrame:
+    """Adds to held bars: distances to stop and target in units of the stop distance, the range against that at entry, slopes of 5 and 20 bars in ranges
+    (within 3), changes of the RSI over 3 and 10 bars (a twentieth, within 1), hour and weekday."""
+    past = lambda c, n: F.col(c) - F.lag(c, n).over(by_bar())
+    frame = in_blocks(I.rsi(I.atr(bars, 14, "_atr"), 14, "_rsi"), 20, lambda x: x.withColumns({"_s5": past("close", 5), "_s20": past("close", 20), "_m3": past("_rsi", 3), "_m10": past("_rsi", 10)}))
+    now = frame.select("sym", F.col("bar").alias("at"), F.col("close").alias("_close"), "_atr", "_s5", "_s20", "_m3", "_m10", F.hour("ts").alias("hour"), F.weekday("ts").alias("weekday"))
+    entry = frame.select("sym", "bar", F.col("_atr").alias("_entry"))
+    x = held.drop("hour", "weekday").join(now, ["sym", "at"]).join(entry, ["sym", "bar"])
+    r = F.abs(F.col("price") - F.col("sl"))
+    within = lambda c, most: F.greatest(F.lit(-most), F.least(F.lit(most), c))
+    x = x.withColumns({
+        "to_stop": F.abs(F.col("_close") - F.col("sl")) / r, "to_target": F.abs(F.col("tp") - F.col("_close")) / r, "range_ratio": F.try_divide("_atr", "_entry"),
+        "slope_short": within(F.try_divide("_s5", "_atr"), 3.0), "slope_long": within(F.try_divide("_s20", "_atr"), 3.0), "momentum_short": within(F.col("_m3") / 20, 1.0), "momentum_long": within(F.col("_m10") / 20, 1.0),
+    })
+    return x.drop("_close", "_atr", "_s5", "_s20", "_m3", "_m10", "_entry")
+
+
 def decision_features(held: DataFrame, longest: int) -> DataFrame:
     """Adds age, what was given back from the best and the share of the longest holding time to held bars."""
     age = F.col("at") - F.col("bar")

@@ -48,6 +48,14 @@ def summary(trades: DataFrame, keys: list[str], order: list[str], capital: float
     return a.select(*keys, "trades", "win_rate", "profit_factor", "sharpe", "sortino", "r_squared", "max_dd", "ulcer", "total_return", "ontester", "quality")
 
 
+def ulcer_by_day(trades: DataFrame, keys: list[str], order: list[str], ts: str, capital: float, block: list[Column | str] | None = None) -> DataFrame:
+    """Root of the mean square of the drawdown in percent at the close of every day from a key's first trade to its last; days without trades keep the last one."""
+    x = equity(trades, keys, order, capital, block).withColumn("_day", F.to_date(ts))
+    days = x.groupBy(*keys, "_day").agg(F.max_by("drawdown_pct", F.struct(*order)).alias("_dd"))
+    held = F.coalesce(F.datediff(F.lead("_day").over(in_order(keys, ["_day"])), "_day"), F.lit(1))  # a row a day: bounded by the calendar
+    return days.withColumn("_held", held).groupBy(*keys).agg(F.sqrt(F.sum(F.col("_dd") * F.col("_dd") * F.col("_held")) / F.sum("_held")).alias("ulcer"), F.sum("_held").alias("days"))
+
+
 def quality(sortino: Column, r2: Column, pf: Column, trades: Column, max_dd: Column, total_return: Column, ulcer: Column) -> Column:
     """Smooth, profitable and shallow equity in one number; 0 if any factor isn't above 0."""
     value = F.least(sortino, F.lit(20.0)) * r2 * F.least(pf, F.lit(5.0)) * F.sqrt(F.least(trades, F.lit(200))) * (1 + F.least(F.greatest(total_return, F.lit(0.0)), F.lit(200.0)) / 100) / (ulcer + max_dd / 2 + 5)

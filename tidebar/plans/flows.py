@@ -20,7 +20,7 @@ from ..sources import tables as S
 from ..streaming import candles as C
 from ..streaming import replays as A
 from ..streaming import state as R
-from .market import STAMP, _donchian_sql
+from .market import _ATR, _R, STAMP, _donchian_sql, _rsi_sql
 from .more import _HELD, _held
 from .registry import query
 from .research import _RES, _WIN, _results, _windows
@@ -339,10 +339,20 @@ def grid_neighbours(spark, d):
     return V.grid_neighbours(p, "v", values).select("p_partkey", "v", "step", "moved")
 
 
-@query("l02_decision_features", f"{_HELD} select sym, bar, at_ as at, direction, at_ - bar age, round(r, 4) r_now, round(mfe, 4) mfe, round(mae, 4) mae, round(greatest(0, mfe - r), 4) given_back, round(least(1, (at_ - bar) / 48.0::double), 4) age_share from held")
+@query("l02_decision_features", f"""{_HELD}, ra as ({_R}, {_ATR} select sym, bar, y atr from walk), rs as ({_rsi_sql('50', 9)}),
+k as (select b.sym, b.bar, b.ts, b.close, atr, b.close - lag(b.close, 5) over w s5, b.close - lag(b.close, 20) over w s20, rsi - lag(rsi, 3) over w m3, rsi - lag(rsi, 10) over w m10
+  from bars b left join ra on ra.sym = b.sym and ra.bar = b.bar left join rs on rs.sym = b.sym and rs.bar = b.bar window w as (partition by b.sym order by b.bar))
+select h.sym, h.bar, at_ as at, h.direction, at_ - h.bar age, round(r, 4) r_now, round(mfe, 4) mfe, round(mae, 4) mae, round(greatest(0, mfe - r), 4) given_back, round(least(1, (at_ - h.bar) / 48.0::double), 4) age_share,
+  round(abs(k.close - sl) / abs(price - sl), 4) to_stop, round(abs(tp - k.close) / abs(price - sl), 4) to_target, round(k.atr / n.atr, 4) range_ratio, round(greatest(-3, least(3, k.s5 / k.atr)), 4) slope_short, round(greatest(-3, least(3, k.s20 / k.atr)), 4) slope_long,
+  round(greatest(-1, least(1, k.m3 / 20)), 4) momentum_short, round(greatest(-1, least(1, k.m10 / 20)), 4) momentum_long, hour(k.ts)::int "hour", (isodow(k.ts) - 1)::int weekday
+from held h join o on o.sym = h.sym and o.bar = h.bar join k on k.sym = h.sym and k.bar = h.at_ join k n on n.sym = h.sym and n.bar = h.bar""")
 def decision_features(spark, d):
-    x = E.decision_features(_held(spark, d)[1], 48)
-    return x.select("sym", "bar", "at", "direction", "age", *[F.round(c, 4).alias(c) for c in ("r_now", "mfe", "mae", "given_back", "age_share")])
+    bars, held = _held(spark, d)
+    x = E.market_features(E.decision_features(held, 48), bars)
+    return x.select("sym", "bar", "at", "direction", "age", *[F.round(c, 4).alias(c) for c in (*_NUMBERS[1:], *_MARKET)], "hour", "weekday")
+
+
+_MARKET = ["to_stop", "to_target", "range_ratio", "slope_short", "slope_long", "momentum_short", "momentum_long"]
 
 
 @query("l07_confidence", "with t as (select o_orderkey, (o_orderkey % 97) / 97.0::double risk, (o_orderkey % 53) / 10.0::double hold from orders), n as (select min(hold) lo, max(hold) hi from t) select o_orderkey, round(0.5 * risk + 0.5 * (1 - (hold - lo) / (hi - lo)), 4) confidence from t, n")

@@ -274,10 +274,10 @@ def atr_simple(spark, d):
     return B.in_blocks(S.bars_h1(spark, d), 14, lambda x: x.withColumn("tr", I.true_range()).select("sym", "bar", mean))
 
 
-def _rsi_sql(flat: str) -> str:
+def _rsi_sql(flat: str, digits: int = 4) -> str:
     return f"""{_R}, mv as (select sym, bar, greatest(close - lag(close) over w, 0) g, greatest(lag(close) over w - close, 0) l from bars window w as (partition by sym order by bar)),
 x as (select *, bar = 14 seed, avg(g) {_rows(14)} mg, avg(l) {_rows(14)} ml from mv), walk as (select sym, bar, mg ag, ml al from x where seed union all select x.sym, x.bar, (w.ag * 13 + x.g) / 14, (w.al * 13 + x.l) / 14 from walk w join x on x.sym = w.sym and x.bar = w.bar + 1)
-select b.sym, b.bar, round(case when al is null then 50 when al = 0 then {flat} else 100 - 100 / (1 + ag / al) end, 4) rsi from bars b left join walk w on b.sym = w.sym and b.bar = w.bar"""
+select b.sym, b.bar, round(case when al is null then 50 when al = 0 then {flat} else 100 - 100 / (1 + ag / al) end, {digits}) rsi from bars b left join walk w on b.sym = w.sym and b.bar = w.bar"""
 
 
 for _flavour, _flat, _key in (("strategy", "50", "i08"), ("ml", "100", "i09"), ("features", "(case when ag > 0 then 100 else 50 end)", "i10")):

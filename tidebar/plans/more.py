@@ -207,10 +207,15 @@ def held(spark, d):
     return _held(spark, d)[1].select("sym", "bar", "at", F.round("r_now", 4).alias("r_now"), F.round("mfe", 4).alias("mfe"), F.round("mae", 4).alias("mae"))
 
 
-@query("l03_labels", f"{_HELD} select sym, bar, at_ as at, (ex - at_)::int bars_left, round(coalesce(lead(r, 5) over w, last_value(r) over v), 4) r_plus5, round(max(r) over v, 4) best_left, round(last_value(r) over v - r, 4) remaining_r from held window w as (partition by sym, bar order by at_), v as (partition by sym, bar order by at_ rows between current row and unbounded following)")
+@query("l03_labels", f"""{_HELD}, q as (select held.*, e.r reason, max(held.r) over (partition by held.sym, held.bar) top from held left join e on e.sym = held.sym and e.bar = held.bar),
+p as (select sym, bar, min(at_) best_bar from q where r = top and top > 0 group by 1, 2)
+select q.sym, q.bar, at_ as at, (ex - at_)::int bars_left, round(coalesce(lead(r, 5) over w, last_value(r) over v), 4) r_plus5, round(coalesce(lead(r, 10) over w, last_value(r) over v), 4) r_plus10,
+  round(max(r) over v, 4) best_left, round(last_value(r) over v - r, 4) remaining_r, (coalesce(reason = 0, false) and ex > at_)::int stop_first, coalesce(best_bar, q.bar)::int best_bar
+from q left join p on p.sym = q.sym and p.bar = q.bar window w as (partition by q.sym, q.bar order by at_), v as (partition by q.sym, q.bar order by at_ rows between current row and unbounded following)""")
 def look_ahead(spark, d):
     x = E.labels(_held(spark, d)[1])
-    return x.select("sym", "bar", "at", F.col("bars_left").cast("int").alias("bars_left"), *[F.round(c, 4).alias(c) for c in ("r_plus5", "best_left", "remaining_r")])
+    whole = [F.col(c).cast("int").alias(c) for c in ("bars_left", "stop_first", "best_bar")]
+    return x.select("sym", "bar", "at", *whole, *[F.round(c, 4).alias(c) for c in ("r_plus5", "r_plus10", "best_left", "remaining_r")])
 
 
 @query("l08_l09_exit_scores", f"{_HELD}, sc as (select sym, at_ bar, max(least(1, mae) * 0.5::double + (1 - least(1, mfe)) * 0.5::double) score from held group by 1, 2) select bars.sym, bars.bar, round(coalesce(score, 0), 4) score from bars left join sc on sc.sym = bars.sym and sc.bar = bars.bar")

@@ -54,6 +54,12 @@ def summary(spark, d):
     return s.select("instance", "trades", *[F.round(c, digits.get(c, 4)).alias(c) for c in s.columns if c not in ("instance", "trades")])
 
 
+@query("k04_ulcer_by_day", f"{_L}, {_EQ}, x as (select instance, cast(exit_time as date) dt, arg_max((peak - equity) * 100 / peak, n) dd from eq group by 1, 2), h as (select *, coalesce(lead(dt) over (partition by instance order by dt) - dt, 1) held from x) select instance, round(sqrt(sum(dd * dd * held) / sum(held)), 4) ulcer, sum(held)::bigint as days from h group by 1")
+def ulcer_by_day(spark, d):
+    x = M.ulcer_by_day(S.ledger(spark, d), ["instance"], ORDER, "exit_time", 3000.0, DAYS)
+    return x.select("instance", F.round("ulcer", 4).alias("ulcer"), F.col("days").cast("long").alias("days"))
+
+
 @query("k05_w09_equity", f"{_L}, {_EQ} select instance, n, round(equity, 2) equity, round(peak, 2) peak, round(peak - equity, 2) drawdown from eq")
 def equity(spark, d):
     return M.equity(S.ledger(spark, d), ["instance"], ORDER, 3000.0, DAYS).select("instance", "n", F.round("equity", 2).alias("equity"), F.round("peak", 2).alias("peak"), F.round("drawdown", 2).alias("drawdown"))
