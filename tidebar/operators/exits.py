@@ -79,6 +79,12 @@ def tightened_stop(mae: Column, n: Column, sl: Column, most: float = 0.45) -> Co
     return sl * (1 - F.when(mae < 0.5, F.least(F.lit(most), 1 - mae)).otherwise(0.0) * trust)
 
 
+def predicted_stop(mae: Column, n: Column, sl: Column, room: float = 1.5, least: float = 0.5) -> Column:
+    """A stop at ``room`` times the worst move predicted, in units of the stop, but at least ``least`` of it; less is changed while n, the trades seen, is from 100 to 300."""
+    trust = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (n - 100) / 200.0))
+    return sl * (1 - trust * (1 - F.greatest(F.lit(least), mae * room)))
+
+
 #: How each of the eight bar features speaks for leaving a long and a short trade. Fixed values.
 FLIPS = {"long": (-1, 1, 1, -1, 1, 1, -1, -1), "short": (1, 1, -1, 1, -1, 1, 1, -1)}
 

@@ -244,7 +244,7 @@ def signal_features(bars: DataFrame) -> DataFrame:
     """Adds what a signal at a bar is judged by: volatility, trends, momentum, the candle and the recent range, in average ranges."""
 
     def with_features(x: DataFrame) -> DataFrame:
-        x = atr(rsi(x, 14), 14)
+        x = ema(ema(atr(rsi(x, 14), 14), "close", 50, "_ema50", False), "close", 200, "_ema200", False)
         by_atr = lambda v: F.when(F.col("atr") > 0, F.try_divide(v, F.col("atr"))).otherwise(0.0)
         size = F.col("high") - F.col("low")
         return (
@@ -257,6 +257,12 @@ def signal_features(bars: DataFrame) -> DataFrame:
             .withColumn("body", F.when(size > 0, F.try_divide(F.abs(F.col("close") - F.col("open")), size)).otherwise(0.0))
             .withColumn("from_top", by_atr(F.col("close") - F.max("high").over(frame(20))))
             .withColumn("from_bottom", by_atr(F.col("close") - F.min("low").over(frame(20))))
+            .withColumn("atr_change", F.when(lagged("atr", 5) > 0, F.try_divide(F.col("atr") - lagged("atr", 5), lagged("atr", 5))).otherwise(0.0))
+            .withColumn("from_ema50", F.when(F.col("bar") >= 50, by_atr(F.col("close") - F.col("_ema50"))).otherwise(0.0))
+            .withColumn("from_ema200", F.when(F.col("bar") >= 200, by_atr(F.col("close") - F.col("_ema200"))).otherwise(0.0))
+            .withColumn("range_by_atr", by_atr(size))
+            .withColumn("upper_shadow", F.when(size > 0, F.try_divide(F.col("high") - F.greatest("open", "close"), size)).otherwise(0.0))
+            .drop("_ema50", "_ema200")
         )
 
-    return in_blocks(bars, wilder_reach(14) + 51, with_features)
+    return in_blocks(bars, max(wilder_reach(14), ema_reach(200)) + 51, with_features)

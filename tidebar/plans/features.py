@@ -11,6 +11,7 @@ from ..operators import exits as E
 from ..operators import filters as P
 from ..operators import indicators as I
 from ..operators import signals as G
+from ..operators.scans import scan
 from ..sources import tables as S
 from .market import _ATR, _R, _TR, _donchian_sql, _past, _recursive, _rows, _swing, r6
 from .more import _HELD, _held
@@ -277,13 +278,22 @@ def defaults(spark, d):
 # --- feature frames -------------------------------------------------------------------------
 
 
+def _ema_of(n: int) -> str:
+    return f"({_R}, x as (select sym, bar, close c, bar = 0 seed from bars), {_recursive('c', f'x.c * (2::double / {n + 1}) + w.y * (1 - 2::double / {n + 1})')} select sym, bar, y from walk)"
+
+
 @query("l04_signal_features", f"""{_R}, {_MOVES}, {_rsi(14)}, {_ATR}, {_SIG},
-t as (select b.*, r, y atr, avg(y) over w50 atr50, lag(close, 5) over w c5, lag(close, 20) over w c20, lag(r, 3) over w r3, lag(r, 10) over w r10, max(high) over w20 top, min(low) over w20 bottom from bars b join rsi14 q on q.sym = b.sym and q.bar = b.bar left join walk a on a.sym = b.sym and a.bar = b.bar
+t as (select b.*, r, y atr, avg(y) over w50 atr50, lag(close, 5) over w c5, lag(close, 20) over w c20, lag(r, 3) over w r3, lag(r, 10) over w r10, lag(y, 5) over w y5, max(high) over w20 top, min(low) over w20 bottom from bars b join rsi14 q on q.sym = b.sym and q.bar = b.bar left join walk a on a.sym = b.sym and a.bar = b.bar
  window w as (partition by b.sym order by b.bar), w50 as (partition by b.sym order by b.bar rows between 49 preceding and current row), w20 as (partition by b.sym order by b.bar rows between 19 preceding and current row))
 select t.sym, t.bar, s.direction, round(atr / close, 4) atr_norm, round(atr / atr50, 4) vol_regime, round((close - c5) / atr, 4) trend_short, round((close - c20) / atr, 4) trend_long, round(r, 4) rsi, round(r - r3, 4) rsi_3, round(r - r10, 4) rsi_10, hour(ts)::int "hour", (isodow(ts) - 1)::int weekday,
- round(case when high > low then abs(close - open) / (high - low) else 0 end, 4) body, round(s.direction * (close - c20) / atr, 4) aligned, round((close - top) / atr, 4) from_top, round((close - bottom) / atr, 4) from_bottom from t join s on s.sym = t.sym and s.bar = t.bar where s.direction is not null""")
+ round(case when high > low then abs(close - open) / (high - low) else 0 end, 4) body, round(s.direction * (close - c20) / atr, 4) aligned, round((close - top) / atr, 4) from_top, round((close - bottom) / atr, 4) from_bottom,
+ round(case when y5 > 0 then (atr - y5) / y5 else 0 end, 4) atr_change, round(case when t.bar >= 50 then (close - e50.y) / atr else 0 end, 4) from_ema50, round(case when t.bar >= 200 then (close - e200.y) / atr else 0 end, 4) from_ema200, round((high - low) / atr, 4) range_by_atr,
+ round(case when high > low then (high - greatest(open, close)) / (high - low) else 0 end, 4) upper_shadow, s.since from t join (select sym, bar, direction, least(500, coalesce(bar - lag(bar) over (partition by sym order by bar), 500))::int since from s where direction is not null) s on s.sym = t.sym and s.bar = t.bar
+ join {_ema_of(50)} e50 on e50.sym = t.sym and e50.bar = t.bar join {_ema_of(200)} e200 on e200.sym = t.sym and e200.bar = t.bar where s.direction is not null""")
 def signal_features(spark, d):
     bars = S.bars_h1(spark, d)
-    x = G.donchian(bars, 20).select("sym", "bar", "direction").join(I.signal_features(bars), ["sym", "bar"]).withColumn("aligned", F.col("direction") * F.col("trend_long"))
-    names = ("atr_norm", "vol_regime", "trend_short", "trend_long", "rsi", "rsi_3", "rsi_10", "body", "aligned", "from_top", "from_bottom")
-    return x.select("sym", "bar", "direction", F.hour("ts").alias("hour"), F.weekday("ts").alias("weekday"), *[r4(c, c) for c in names])
+    s = scan(G.donchian(bars, 20).select("sym", "bar", "direction"), ["sym"], ["bar"], [f"floor(bar / {B.BLOCK})"], lasts={"signal": F.col("bar")})
+    s = s.withColumn("since", F.least(F.lit(500), F.coalesce(F.col("bar") - F.col("signal_before"), F.lit(500))).cast("int"))
+    x = s.join(I.signal_features(bars), ["sym", "bar"]).withColumn("aligned", F.col("direction") * F.col("trend_long"))
+    names = ("atr_norm", "vol_regime", "trend_short", "trend_long", "rsi", "rsi_3", "rsi_10", "body", "aligned", "from_top", "from_bottom", "atr_change", "from_ema50", "from_ema200", "range_by_atr", "upper_shadow")
+    return x.select("sym", "bar", "direction", "since", F.hour("ts").alias("hour"), F.weekday("ts").alias("weekday"), *[r4(c, c) for c in names])

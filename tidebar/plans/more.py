@@ -313,3 +313,20 @@ def window_exit_model(spark, d):
     ready = F.floor(F.least(F.col("at") + 5, F.col("exit_bar")) / WINDOW) + 1
     y = W.predicted(x, ["sym"], F.floor(F.col("at") / WINDOW), ready, (cell, 54), F.col("r_plus5") - F.col("r_now"))
     return y.select("sym", "bar", "at", "trained", F.round("prediction", 5).alias("value"))
+
+
+@query("l13_predicted_stops", f"""{_HELD}, u as (select held.sym, held.bar, direction, max(mae) mae, any_value(ex) ex from held group by 1, 2, 3),
+y as (select u.sym, u.bar, u.mae, u.bar // {WINDOW} w, ex // {WINDOW} + 1 ready, abs(price - sl) risk, (u.direction + 1) // 2 * 6 + hour(b.ts) // 4 cell from u join o on o.sym = u.sym and o.bar = u.bar join bars b on b.sym = u.sym and b.bar = u.bar),
+k as (select distinct sym, w from y),
+p as (select k.sym, k.w, count(*) n, avg(mae) m from k join y on y.sym = k.sym and y.ready <= k.w group by 1, 2),
+c as (select k.sym, k.w, cell, count(*) n, sum(mae) s from k join y on y.sym = k.sym and y.ready <= k.w group by 1, 2, 3),
+q as (select y.sym, y.bar, risk, coalesce(p.n, 0) n, case when p.n >= 20 then (coalesce(c.s, 0) + 20 * m) / (coalesce(c.n, 0) + 20) end worst from y left join p on p.sym = y.sym and p.w = y.w left join c on c.sym = y.sym and c.w = y.w and c.cell = y.cell)
+select sym, bar, n trained, round(worst, 5) worst, round(risk * (1 - greatest(0, least(1, (n - 100) / 200.0::double)) * (1 - greatest(0.5::double, coalesce(worst, 1) * 1.5))), 5) stop from q""")
+def predicted_stops(spark, d):
+    """Stops from the worst moves that all trades closed before a signal's window had, by side and hours."""
+    bars, h = _held(spark, d)
+    u = h.groupBy("sym", "bar", "direction", "price", "sl", "exit_bar").agg(F.max("mae").alias("worst")).join(bars.select("sym", "bar", "ts"), ["sym", "bar"])
+    cell = F.floor((F.col("direction") + 1) / 2) * 6 + F.floor(F.hour("ts") / 4)
+    y = W.predicted(u, ["sym"], F.floor(F.col("bar") / WINDOW), F.floor(F.col("exit_bar") / WINDOW) + 1, (cell, 12), F.col("worst"), least=20)
+    stop = E.predicted_stop(F.coalesce("prediction", F.lit(1.0)), F.col("trained"), F.abs(F.col("price") - F.col("sl")))
+    return y.select("sym", "bar", "trained", F.round("prediction", 5).alias("worst"), F.round(stop, 5).alias("stop"))
