@@ -232,6 +232,23 @@ def test_decontamination_with_unnamed_items(spark, docs, texts):
     assert kept == {None, *range(len(texts))} - {4, 10}
 
 
+def test_long_items_are_cut_in_parts(spark, monkeypatch):
+    """Parts overlap so that every window lies in one and none is shorter than a window; answers are those of the whole item."""
+    words = [f"w{i * 7 % 61}" for i in range(300)]
+    for n in (1, 9, 10, 11, 40, 300):
+        text = " ".join(words[:n])
+        parts = [decontamination.words_of(p) for _, p, _ in decontamination._parts("i", text, 10, 60)]
+        windows = lambda w: {tuple(w[k : k + 10]) for k in range(max(1, len(w) - 9))}
+        assert set().union(*map(windows, parts)) == windows(decontamination.words_of(text))
+        assert all(len(p) >= min(n, 10) for p in parts) and (n < 40 or len(parts) > 1)
+    items = spark.createDataFrame([(1, " ".join(words)), (2, "alpha beta"), (3, None)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, " ".join(["x"] * i + words[i : i + 25] + ["y"])) for i in range(0, 270, 9)] + [(900, "say alpha beta now"), (901, None), (901, "say alpha beta now")] + [(902, "alpha beta")] * 600, "doc_id long, text string")
+    answer = lambda: sorted((r.doc_id, r.n_words, r.n, tuple(r["items"])) for r in decontamination.find_leaks(docs, items, 10).withColumn("n", decontamination.hit_words()).collect())
+    whole, kept = answer(), sorted(r.doc_id for r in decontamination.remove_leaks(docs, items, 10).collect())
+    monkeypatch.setattr(decontamination, "BLOCK_CHARS", 120)  # ten blocks and more: several passes
+    assert answer() == whole and sorted(r.doc_id for r in decontamination.remove_leaks(docs, items, 10).collect()) == kept == [901]
+
+
 def test_items_that_share_a_passage(spark):
     rng = random.Random(4)
     shared = words(rng, 30)

@@ -7,14 +7,17 @@ longest verbatim match and the locations of its window in the shard. A word that
 does not have ends every match, so suffixes whose run of benchmark words is shorter than the
 shortest window can't hold one and are left out of the array.
 
-The benchmark goes to the tasks in blocks of at most ``BLOCK_CHARS`` characters, ``PASSES`` of them
-in one stage; a larger one takes several stages, each written before the next. None needs a shuffle.
+The benchmark is cut into blocks of about ``BLOCK_CHARS`` characters, longer items into overlapping parts. Tasks sort the
+blocks and write them; the driver only hands on, block by block, what is broadcast, ``PASSES`` of them in one stage. A benchmark of more
+blocks takes several stages, each of which writes what it found, by digests of texts, and no text. None shuffles texts.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
 from collections.abc import Iterator
+from functools import reduce
 from itertools import chain, repeat
 
 import numpy as np
@@ -23,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import let_go, materialize, sliced, workdir
+from .common import join_hot, let_go, materialize, sliced, workdir
 
 #: Characters of benchmark text of a broadcast block, and blocks that are broadcast at a time.
 BLOCK_CHARS, PASSES = 8_000_000, 2
@@ -232,16 +235,48 @@ def _merged(doc: np.ndarray, start: np.ndarray, width: np.ndarray) -> list[tuple
     return list(zip(doc[first].tolist(), start[first].tolist(), reach[last].tolist()))
 
 
-def _blocks(bench: DataFrame, id_col: str, text_col: str, unnamed: bool) -> Iterator[list[tuple[int, str]]]:
-    block, held = [], 0
-    for row in bench.filter(bench[id_col].isNotNull() | F.lit(unnamed)).select(bench[id_col].cast("string"), bench[text_col]).toLocalIterator():
-        block.append((row[0], row[1]))
-        held += len(row[1] or "")
-        if held >= BLOCK_CHARS:
-            yield block
-            block, held = [], 0
-    if block:
-        yield block
+def _parts(item: str | None, text: str | None, window: int, limit: int) -> list[tuple[str | None, str, int]]:
+    """An item, or the parts of a long one, with the bytes of each: every window lies in one part, and no part is shorter than a window."""
+    if len(text or "") <= limit:
+        return [(item, text or "", len(text or ""))]
+    words = words_of(text)
+    if len(words) <= window:
+        return [(item, text, len(text))]
+    each = max(1, limit * len(words) // len(text))  # words of about a block
+    parts = (b" ".join(words[k : k + each + window - 1]).decode("utf-8", "surrogatepass") for k in range(0, len(words) - window + 1, each))
+    return [(item, p, len(p)) for p in parts]
+
+
+def _sorted_blocks(window: int, limit: int):
+    """Blocks of the items of a task, sorted and pickled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
+        block, held = [], 0
+
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([pickle.dumps(Benchmark(block, window), pickle.HIGHEST_PROTOCOL)], pa.large_binary()).cast(pa.binary())], names=["block"])
+
+        for batch in batches:
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for i, part, size in _parts(item, text, window, limit):
+                    if block and held + size > limit:
+                        yield made()
+                        block, held = [], 0
+                    block.append((i, part))
+                    held += size
+        if block:
+            yield made()
+
+    return run
+
+
+def _blocks(bench: DataFrame, id_col: str, text_col: str, unnamed: bool, window: int, folder: str) -> DataFrame:
+    """One row a block: number and pickled ``Benchmark``. Items are dealt evenly over as many tasks as there are blocks to make."""
+    named = bench.filter(bench[id_col].isNotNull() | F.lit(unnamed)).select(bench[id_col].cast("string").alias("id"), bench[text_col].alias("text"))
+    total = named.agg(F.sum(F.length("text"))).first()[0] or 0
+    made = named.repartition(-(-total // BLOCK_CHARS) or 1).mapInArrow(_sorted_blocks(window, BLOCK_CHARS), "block binary")
+    return materialize(made.withColumn("number", F.monotonically_increasing_id()), f"{folder}/blocks")
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", unnamed: bool = False) -> DataFrame:
@@ -250,33 +285,49 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col:
     A window is ``window`` words running of an item; an item of fewer words, but not none, is one
     window. Returns for each row of ``docs``: id, n_words, spans (word ranges inside occurrences
     of windows, end exclusive; the spans of several passes may overlap), items (ids of items found,
-    as text, sorted) and longest (words of the longest match that holds a window, else 0). Null texts have no words; items
+    as text, sorted) and longest (words of the longest match that holds a window, else 0; matches end where an item
+    of more than ``BLOCK_CHARS`` characters is cut). Null texts have no words; items
     without words are left out, and so are those without id, but for ``unnamed``: then their
     windows count in spans and longest, and only items can't list them; rows that repeat are each answered; other columns are not
     read; empty tables give no rows, or no spans.
     """
     spark = docs.sparkSession
-    kind = docs.schema[id_col].dataType
+    kind, folder = docs.schema[id_col].dataType, workdir(spark)
     schema = T.StructType.fromDDL("text string, n_words long, spans array<struct<start:long,end:long>>, items array<string>, longest long")
     schema = T.StructType([T.StructField("id", kind), *schema.fields])
-    found = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<start:long,end:long>>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"), F.lit(0).cast("long").alias("longest"))
-    folder, held = None, []
+    fresh = lambda id_, text: docs.select(id_.alias("id"), text.alias("text"), F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<start:long,end:long>>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"), F.lit(0).cast("long").alias("longest"))
+    text = docs[text_col]
+    digest = F.struct(F.xxhash64(text).alias("d"), F.xxhash64(text, F.lit(1)).alias("e"))
 
-    def passed(df: DataFrame) -> DataFrame:
+    def passed(df: DataFrame, held: list, schema: T.StructType) -> DataFrame:
         for block in held:
             df = df.mapInArrow(_search_pass(block), schema)
         return df
 
-    for k, block in enumerate(_blocks(benchmark, item_col, item_text_col, unnamed)):
-        if len(held) == PASSES:  # what these found is written before more blocks are broadcast
-            folder = folder or workdir(spark)
-            found = materialize(passed(found), f"{folder}/pass-{k}")
-            for old in held:
-                old.destroy()
-            held = []
-        held.append(spark.sparkContext.broadcast(Benchmark(block, window)))
-    held = held or [spark.sparkContext.broadcast(Benchmark([], window))]
-    return passed(found).select(F.col("id").alias(id_col), "n_words", "spans", "items", "longest")
+    blocks = _blocks(benchmark, item_col, item_text_col, unnamed, window, folder)
+    numbers = sorted(r.number for r in blocks.select("number").collect())  # a row a block
+    load = lambda n: spark.sparkContext.broadcast(pickle.loads(blocks.filter(F.col("number") == n).first().block))
+    by_text = T.StructType([T.StructField("id", T.StructType.fromDDL("d long, e long")), *schema.fields[1:]])
+    early = []
+    for k in range(0, len(numbers) - PASSES, PASSES):
+        held = [load(n) for n in numbers[k : k + PASSES]]
+        hits = passed(fresh(digest, text), held, by_text).filter(F.size("spans") > 0).dropDuplicates(["id"]).select("id.d", "id.e", "spans", "items", "longest")
+        early.append(materialize(hits, f"{folder}/pass-{k}"))
+        for old in held:
+            old.destroy()
+    held = [load(n) for n in numbers[len(early) * PASSES :]] or [spark.sparkContext.broadcast(Benchmark([], window))]
+    if not early:
+        return passed(fresh(docs[id_col], text), held, schema).select(F.col("id").alias(id_col), "n_words", "spans", "items", "longest")
+    both = T.StructType([T.StructField("id", T.StructType([T.StructField("id", kind), *T.StructType.fromDDL("d long, e long").fields])), *schema.fields[1:]])
+    last = passed(fresh(F.struct(docs[id_col].alias("id"), digest["d"].alias("d"), digest["e"].alias("e")), text), held, both)
+    last = materialize(last.select("id.id", "id.d", "id.e", "n_words", "spans", "items", "longest"), f"{folder}/last")
+    before = reduce(DataFrame.unionAll, early).groupBy("d", "e").agg(F.flatten(F.collect_list("spans")).alias("spans0"), F.flatten(F.collect_list("items")).alias("items0"), F.max("longest").alias("longest0"))
+    found = join_hot(last, materialize(before, f"{folder}/before"), ["d", "e"], "id", "left")  # copies of a text may be many
+    none = F.expr("cast(array() as array<struct<start:long,end:long>>)"), F.expr("cast(array() as array<string>)")
+    return found.select(
+        F.col("id").alias(id_col), "n_words", F.concat("spans", F.coalesce("spans0", none[0])).alias("spans"),
+        F.sort_array(F.array_distinct(F.concat("items", F.coalesce("items0", none[1])))).alias("items"), F.greatest("longest", F.coalesce("longest0", F.lit(0))).alias("longest"),
+    )
 
 
 def hit_words(spans: str = "spans"):
