@@ -120,8 +120,8 @@ def window_stats(results: DataFrame, keys: list[str]) -> DataFrame:
 
 # --- resampling by digests: the same numbers on every engine ---------------------------------
 
-#: Trades up to which a group's draws are made inside one call, on arrays of that length; larger groups make a row a draw.
-HELD = 20_000
+#: Trades up to which a group's draws are made inside a call, on arrays of that length, and the calls its iterations are dealt over; larger groups make a row a draw.
+HELD, PARTS = 20_000, 4
 
 
 def _draw(kind: str, seed: int, *parts: str) -> Column:
@@ -150,17 +150,20 @@ def _resampled(trades: DataFrame, n: int, kind: str, seed: int, of_draws: Callab
         names = [str(k).encode() for k in table.column("n").to_pylist()]
         group = table.column("name")[0].as_py()
         out = []
-        for i in range(n):
+        first = table.column("part")[0].as_py()
+        every = range(first, n, PARTS)
+        for i in every:
             front = f"{kind}{seed}-{i}-{group}-".encode()
             draws = np.frombuffer(b"".join([md5(front + k).digest()[:4] for k in names]), ">u4").astype(np.int64)
             out.append(of_draws(pnl, draws))
         grp = table.column("grp").combine_chunks()[:1]
         columns_out = [pa.array(c, pa.float64()) for c in zip(*out)]
-        return pa.table([grp.take(pa.array([0] * n)), pa.array(range(n), pa.int32()), *columns_out], names=["grp", "iter", *columns])
+        return pa.table([grp.take(pa.array([0] * len(out))), pa.array(every, pa.int32()), *columns_out], names=["grp", "iter", *columns])
 
     parts = int(trades.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a stated number isn't cut down for small tables: the draws are the work
-    held = sized.filter(F.col("_size") <= HELD).select("grp", F.col("grp").cast("string").alias("name"), "n", "pnl").repartition(parts, "grp")
-    held = held.groupBy("grp").applyInArrow(run, f"grp {kind_of}, iter int, {', '.join(f'{c} double' for c in columns)}")
+    part = F.explode(F.sequence(F.lit(0), F.lit(min(n, PARTS) - 1)))
+    held = sized.filter(F.col("_size") <= HELD).select("grp", F.col("grp").cast("string").alias("name"), "n", "pnl", part.alias("part")).repartition(parts, "grp", "part")
+    held = held.groupBy("grp", "part").applyInArrow(run, f"grp {kind_of}, iter int, {', '.join(f'{c} double' for c in columns)}")
     return held.unionByName(by_rows(sized.filter(F.col("_size") > HELD).drop("_size")).select("grp", F.col("iter").cast("int").alias("iter"), *columns))
 
 
