@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import tempfile
@@ -107,6 +108,8 @@ def join_hot(many: DataFrame, one: DataFrame, keys: list[str], by: str, how: str
 
 
 _resident: dict[tuple, object] = {}
+#: The C library keeps freed blocks of up to 32 MB for the process; where it has this call, it lets go of them.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def resident(*key: object, make: Callable[[], object]) -> object:
@@ -118,9 +121,11 @@ def resident(*key: object, make: Callable[[], object]) -> object:
 
 
 def let_go() -> None:
-    """Free what an operator before kept in this worker; tasks of operators with tables of their own begin with it."""
+    """Free what an operator before kept in this worker, and give it back to the system; tasks of operators with tables of their own begin with it."""
     _resident.clear()
     pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
 
 
 def quiet_tokenizers() -> None:

@@ -205,6 +205,8 @@ def _trained(counts: dict[int, int]):
         have = np.bincount(toxic.astype(int), minlength=2)
         weight = np.array([counts[int(t)] / have[int(t)] for t in toxic], np.float64)
         model = fit([r[2] for r in rows], toxic, weight)
+        del rows
+        let_go()
         yield pa.RecordBatch.from_arrays([pa.array([model.logit.astype("<f4").tobytes()], pa.binary()), pa.array([model.bias])], names=["logit", "bias"])
 
     return run
