@@ -156,6 +156,7 @@ def heartbeats(spark, d):
 
 @query("session_gaps", "with x as (select user_id, ts, case when epoch(ts) - epoch(lag(ts) over (partition by user_id order by ts)) <= 7200 then 0 else 1 end fresh from events), s as (select user_id, ts, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) k from x) select user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') start, count(*) n from s group by user_id, k")
 def session_gaps(spark, d):
+    """Runs of events at most 7200 s apart; Spark ends a session after its last gap, that very microsecond included."""
     e = S.read(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    x = e.groupBy("user_id", F.session_window("ts", "7201 seconds").alias("w")).agg(F.count("*").alias("n"), F.min("ts").alias("first"))
+    x = e.groupBy("user_id", F.session_window("ts", "7200 seconds").alias("w")).agg(F.count("*").alias("n"), F.min("ts").alias("first"))
     return x.select("user_id", F.date_format("first", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
