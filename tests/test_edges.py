@@ -1,5 +1,6 @@
 """Values at the edges of what the queries' SQL says, on small tables of their own."""
 
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -31,3 +32,27 @@ def test_sessions_end_after_two_hours_to_the_microsecond(spark, tables):
     df = catalog.QUERIES["session_gaps"](spark, d)
     assert df.count() == 10
     assert_same(df, catalog.ORACLES["session_gaps"], con)
+
+
+def _copies(days: int) -> dict:
+    """Three suppliers with the same 40 amounts in different orders, so their sums tie but for what adding doubles makes of them."""
+    rng, line, orders = random.Random(7), [], []
+    amounts = [(rng.randrange(10**4, 10**9) / 100, rng.randrange(11) / 100, rng.randrange(9) / 100) for _ in range(40)]
+    for supplier in (3, 1, 2):
+        for price, discount, tax in rng.sample(amounts, 40):
+            at = datetime(1997, 12, 1) + timedelta(days=days * (int(price) % 2))
+            orders.append((len(line), at, "2-HIGH"))
+            line.append((len(line), 1, supplier, "A", "O", at, price, discount, tax))
+    kinds = "l_orderkey long, l_linenumber int, l_suppkey long, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz, l_extendedprice double, l_discount double, l_tax double"
+    return {"lineitem": (line, kinds), "orders": (orders, "o_orderkey long, o_orderdate timestamp_ntz, o_orderpriority string")}
+
+
+def test_equal_sums_rank_by_instance(spark, tables):
+    d, _ = tables(**_copies(0))
+    assert [(r.instance, r["rank"]) for r in catalog.QUERIES["w01_rank_by_score"](spark, d).orderBy("rank").collect()] == [(1, 1), (2, 2), (3, 3)]
+
+
+def test_equal_means_rank_by_trial(spark, tables):
+    d, _ = tables(**_copies(60))
+    found = catalog.QUERIES["x06_combined_rank"](spark, d).orderBy("trial").collect()
+    assert [(r.trial, r.back_rank, r.forward_rank) for r in found] == [(1, 1, 1), (2, 2, 2), (3, 3, 3)]

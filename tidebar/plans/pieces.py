@@ -168,7 +168,7 @@ def span_score(spark, d):
 
 @query("w01_rank_by_score", f"{_L}, t as (select pair, instance, sum(pnl) q from ledger group by 1, 2) select pair, instance, row_number() over (partition by pair order by q desc, instance) as \"rank\" from t")
 def rank_by_score(spark, d):
-    t = S.ledger(spark, d).groupBy("pair", "instance").agg(F.sum("pnl").alias("q"))
+    t = S.ledger(spark, d).groupBy("pair", "instance").agg(S.total().alias("q"))
     return t.select("pair", "instance", F.row_number().over(Window.partitionBy("pair").orderBy(F.desc("q"), "instance")).cast("long").alias("rank"))
 
 

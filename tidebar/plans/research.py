@@ -47,7 +47,7 @@ def space_size(spark, d):
 def _results(spark, d):
     """A result for each instance: profit before 1998 as back quality, and after it as forward quality."""
     early = F.col("exit_time") < F.lit("1998-01-01").cast("timestamp")
-    return S.ledger(spark, d).groupBy(F.col("instance").alias("trial")).agg(F.avg(F.when(early, F.col("pnl"))).alias("back"), F.avg(F.when(~early, F.col("pnl"))).alias("forward")).filter("back is not null and forward is not null")
+    return S.ledger(spark, d).groupBy(F.col("instance").alias("trial")).agg(S.mean(F.when(early, F.col("pnl"))).alias("back"), S.mean(F.when(~early, F.col("pnl"))).alias("forward")).filter("back is not null and forward is not null")
 
 
 _RES = f"{_L}, res as (select * from (select instance trial, avg(case when exit_time < timestamp '1998-01-01' then pnl end) back, avg(case when exit_time >= timestamp '1998-01-01' then pnl end) forward from ledger group by 1) where back is not null and forward is not null)"

@@ -194,12 +194,12 @@ def expected_streak(spark, d):
 
 @query("o02_top_instances", f"{_L} select instance, round(sum(pnl), 2) pnl from ledger group by 1 order by sum(pnl) desc, instance limit 10")
 def top(spark, d):
-    return S.ledger(spark, d).groupBy("instance").agg(F.sum("pnl").alias("p")).orderBy(F.desc("p"), "instance").limit(10).select("instance", F.round("p", 2).alias("pnl"))
+    return S.ledger(spark, d).groupBy("instance").agg(S.total().alias("p")).orderBy(F.desc("p"), "instance").limit(10).select("instance", F.round("p", 2).alias("pnl"))
 
 
 @query("o05_best_worst", f"{_L}, x as (select instance, sum(pnl) p from ledger group by 1), r as (select *, row_number() over (order by p desc, instance) b, row_number() over (order by p, instance) w from x) select instance, round(p, 2) pnl, case when b <= 3 then 'best' else 'worst' end side from r where b <= 3 or w <= 3")
 def best_worst(spark, d):
-    x = S.ledger(spark, d).groupBy("instance").agg(F.sum("pnl").alias("p"))
+    x = S.ledger(spark, d).groupBy("instance").agg(S.total().alias("p"))
     best = x.orderBy(F.desc("p"), "instance").limit(3).withColumn("side", F.lit("best"))
     worst = x.orderBy("p", "instance").limit(3).withColumn("side", F.lit("worst"))
     return best.unionByName(worst).select("instance", F.round("p", 2).alias("pnl"), "side")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import bars as B
@@ -39,6 +39,16 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def total(pnl: str | Column = "pnl") -> Column:
+    """Sum of a ledger's amounts, which are whole cents, by adding cents: the same number however rows are split, so equal sums tie."""
+    return F.sum(F.rint((F.col(pnl) if isinstance(pnl, str) else pnl) * 100).cast("long")) / 100
+
+
+def mean(pnl: str | Column = "pnl") -> Column:
+    """Mean of such amounts; null without any."""
+    return F.try_divide(total(pnl), F.count(pnl))
+
+
 def fleet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The registry of instances: suppliers with nation and region; both dimensions have a fixed few rows."""
     supplier, nation, region = (read(spark, sf_dir, t) for t in ("supplier", "nation", "region"))
