@@ -56,3 +56,10 @@ def test_equal_means_rank_by_trial(spark, tables):
     d, _ = tables(**_copies(60))
     found = catalog.QUERIES["x06_combined_rank"](spark, d).orderBy("trial").collect()
     assert [(r.trial, r.back_rank, r.forward_rank) for r in found] == [(1, 1, 1), (2, 2, 2), (3, 3, 3)]
+
+
+def test_numbers_without_a_logarithm(spark, tables):
+    values = [0.0, 0.0, -1.0, 0.25, 250.0, float("nan"), float("inf"), None]
+    d, con = tables(events=(list(enumerate(values)), "event_id long, value double"))
+    assert [r.log for r in catalog.QUERIES["f13_numbers"](spark, d).orderBy("event_id").collect()][:2] == [float("-inf")] * 2
+    assert_same(catalog.QUERIES["f13_numbers"](spark, d), catalog.ORACLES["f13_numbers"], con)

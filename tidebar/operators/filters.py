@@ -88,6 +88,19 @@ def finite_or_zero(x: Column) -> Column:
     return F.when(F.isnan(x) | (F.abs(x) == float("inf")), 0.0).otherwise(x)
 
 
+def natural_log(x: Column) -> Column:
+    """Logarithm as floating-point arithmetic has it: of 0 minus infinity, below 0 NaN, null of null alone."""
+    return F.when(x > 0, F.ln(x)).when(x == 0, float("-inf")).when(x.isNotNull(), float("nan"))
+
+
+def floored(x: Column, digits: int) -> Column:
+    """``x`` cut down to a number of digits after the point, as text as C prints it: minus zero keeps its sign, null is null."""
+    t = x.cast("double") * 10**digits
+    whole = F.when((t == 0) | (F.abs(t) >= 2.0**52), t).otherwise(F.floor(t).cast("double")) / 10**digits
+    odd = F.when(F.isnan(x), "nan").when(x == float("inf"), "inf").when(x == float("-inf"), "-inf")
+    return F.when(x.isNotNull(), F.coalesce(odd, F.format_string(f"%.{digits}f", whole)))
+
+
 def guarded(a: Column, b: Column, otherwise: float) -> Column:
     return F.when(b != 0, F.try_divide(a, b)).otherwise(otherwise)
 

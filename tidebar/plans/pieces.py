@@ -279,7 +279,7 @@ def next_bar(spark, d):
 @query("f13_numbers", "select event_id, round(sqrt(value), 6) root, round(ln(value), 6) log, sign(value - 250)::int side, round(degrees(atan(value / 100)), 6) angle, least(400, greatest(100, value)) clipped from events")
 def numbers(spark, d):
     v = F.col("value")
-    return S.read(spark, d, "events").select("event_id", r6(F.sqrt(v), "root"), r6(F.log(v), "log"), F.signum(v - 250).cast("int").alias("side"), r6(F.degrees(F.atan(v / 100)), "angle"), F.least(F.lit(400.0), F.greatest(F.lit(100.0), v)).alias("clipped"))
+    return S.read(spark, d, "events").select("event_id", r6(F.sqrt(v), "root"), r6(P.natural_log(v), "log"), F.signum(F.nanvl(v - 250, F.lit(0.0))).cast("int").alias("side"), r6(F.degrees(F.atan(v / 100)), "angle"), F.least(F.lit(400.0), F.greatest(F.lit(100.0), v)).alias("clipped"))
 
 
 @query("f14_guarded_division", f"{_L}, x as (select instance, count(*) filter (pnl > 5000) w, count(*) filter (pnl < -5000) l from ledger group by 1) select instance, round(case when l > 0 then w / l else 999 end, 6) ratio, round(case when w + l > 0 then w * 100 / (w + l) else 50 end, 6) share from x")
