@@ -63,3 +63,17 @@ def test_numbers_without_a_logarithm(spark, tables):
     d, con = tables(events=(list(enumerate(values)), "event_id long, value double"))
     assert [r.log for r in catalog.QUERIES["f13_numbers"](spark, d).orderBy("event_id").collect()][:2] == [float("-inf")] * 2
     assert_same(catalog.QUERIES["f13_numbers"](spark, d), catalog.ORACLES["f13_numbers"], con)
+
+
+def test_formats_of_odd_balances(spark, tables):
+    balances = [-0.0, 0.0, -0.04, 0.96, 1e20, float("nan"), float("inf"), float("-inf"), None, 1234.56]
+    rows = [(n * 99_999 - 12, None if n == 3 else "A", x) for n, x in enumerate(balances)] + [(None, "B", 1.0)]
+    d, con = tables(customer=(rows, "c_custkey long, c_mktsegment string, c_acctbal double"))
+    assert_same(catalog.QUERIES["f04_formatting"](spark, d), catalog.ORACLES["f04_formatting"], con)
+
+
+def test_labels_of_odd_balances(spark, tables, data):
+    few = {t: ([tuple(r) for r in spark.read.parquet(f"{data}/{t}.parquet").collect()], spark.read.parquet(f"{data}/{t}.parquet").schema) for t in ("nation", "region")}
+    rows = [(n, "Supplier#1", n, x) for n, x in enumerate((-0.0, 0.0, -0.5, None, 7.9))]
+    d, con = tables(supplier=(rows, "s_suppkey long, s_name string, s_nationkey int, s_acctbal double"), **few)
+    assert_same(catalog.QUERIES["q09_instance_labels"](spark, d), catalog.ORACLES["q09_instance_labels"], con)

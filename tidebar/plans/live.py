@@ -107,7 +107,7 @@ def fleet_summary(spark, d):
 @query("q09_instance_labels", f"with {S.FLEET_SQL} select instance, concat_ws(' | ', name, nation, printf('%.0f', floor(balance))) as comment, regexp_replace(lower(name), '[^a-z0-9]+', '_', 'g') tag from fleet")
 def labels(spark, d):
     f = S.fleet(spark, d)
-    return f.select("instance", F.concat_ws(" | ", "name", "nation", F.format_string("%.0f", F.floor("balance").cast("double"))).alias("comment"), F.regexp_replace(F.lower("name"), "[^a-z0-9]+", "_").alias("tag"))
+    return f.select("instance", F.concat_ws(" | ", "name", "nation", P.floored(F.col("balance"), 0)).alias("comment"), F.regexp_replace(F.lower("name"), "[^a-z0-9]+", "_").alias("tag"))
 
 
 @query("s12_json_documents", "select event_id, try_cast(json_extract_string(props, '$.k') as bigint) k from events")

@@ -247,8 +247,8 @@ def trim_split(spark, d):
 
 @query("f04_formatting", "select c_custkey, concat_ws(' | ', c_mktsegment, printf('%.1f', floor(c_acctbal * 10) / 10), printf('%05d', c_custkey)) line from customer")
 def formatting(spark, d):
-    tenth = F.floor(F.col("c_acctbal") * 10).cast("double") / 10
-    return S.read(spark, d, "customer").select("c_custkey", F.concat_ws(" | ", "c_mktsegment", F.format_string("%.1f", tenth), F.format_string("%05d", "c_custkey")).alias("line"))
+    key = F.when(F.col("c_custkey").isNotNull(), F.format_string("%05d", "c_custkey"))
+    return S.read(spark, d, "customer").select("c_custkey", F.concat_ws(" | ", "c_mktsegment", P.floored(F.col("c_acctbal"), 1), key).alias("line"))
 
 
 @query("f05_ids", "select p_partkey, trim(regexp_replace(lower(p_brand || ' ' || p_type), '[^a-z0-9]+', '_', 'g'), '_') id, p_brand || ' (' || p_type || ', size ' || p_size || ')' description from part")
