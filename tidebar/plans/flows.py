@@ -107,7 +107,7 @@ _RUNS = "r as (select s_suppkey run, s_suppkey % 9 done, s_suppkey % 9 < 7 and s
 @query("s20_run_directories", f"with {_RUNS} select run, case when done >= 1 then 'completed' when failed then 'failed' else 'pending' end data from r")
 def run_directories(spark, d):
     folder = workdir(spark)
-    _states(spark, d).write.partitionBy("run").text(folder)  # a folder a run
+    D.write_runs(_states(spark, d), folder)  # a folder a run
     docs = D.read_runs(spark, folder, "stages struct<data: struct<status: string>>")
     return docs.select("run", F.col("doc.stages.data.status").alias("data"))
 
@@ -123,7 +123,7 @@ def health_files(spark, d):
     folder = workdir(spark)
     s = S.read(spark, d, "supplier")
     doc = F.when(F.col("s_suppkey") % 5 == 0, "{half").otherwise(F.to_json(F.struct(F.when(F.col("s_acctbal") < 0, "error").otherwise("running").alias("status"))))
-    s.select(F.col("s_suppkey").alias("run"), doc.alias("value")).write.partitionBy("run").text(folder)
+    D.write_runs(s.select(F.col("s_suppkey").alias("run"), doc.alias("value")), folder)
     return D.read_runs(spark, folder, "status string").select(F.col("run").alias("instance"), F.coalesce("doc.status", F.lit("unreadable")).alias("status"))
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +38,37 @@ def read_trades(spark: SparkSession, path: str, fields: str, last: int | None =
     return trades_of(spark.read.text(path, wholetext=True), "value", fields, last)
 
 
+def write_runs(docs: DataFrame, path: str) -> None:
+    """Leave the text ``value`` of each row in a file of its folder ``run=...``, as ``read_runs`` finds it.
+
+    In a mounted folder tasks write the files by themselves: Spark's writer there starts several processes a file to set its
+    permissions. Other stores get Spark's writer.
+    """
+    if re.match(r"[a-z0-9+.-]+:", path) and not path.startswith("file:"):
+        docs.select("run", "value").write.partitionBy("run").text(path)
+        return
+    at = re.sub(r"^file:/*", "/", path)
+
+    def write(batches):
+        from pyspark import TaskContext
+
+        task, k = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            for run, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                folder = os.path.join(at, f"run={'__HIVE_DEFAULT_PARTITION__' if run is None else run}")
+                os.makedirs(folder, exist_ok=True)
+                final = os.path.join(folder, f"part-{task}-{k}.txt")
+                part = os.path.join(folder, f".part-{task}-{k}.{os.getpid()}")
+                with open(part, "w", encoding="utf-8") as f:
+                    f.write(f"{'' if value is None else value}\n")
+                os.replace(part, final)  # a task that runs twice leaves one file
+                k += 1
+            yield batch.slice(0, 0)
+
+    os.makedirs(at, exist_ok=True)
+    docs.select(F.col("run").cast("long"), "value").mapInArrow(write, "run long, value string").write.format("noop").mode("overwrite").save()
+
+
 def read_runs(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """run, doc: the document of each folder ``run=...`` under a path; doc is null where it can't be read."""
     text = spark.read.text(path, wholetext=True)
