@@ -160,14 +160,16 @@ def paged_range(spark, d):
 
 @query("s05_transaction_pages", "select event_id id, event_type kind, user_id account, value amount from events")
 def transaction_pages(spark, d):
-    """Transactions by pages of ids, a folder for each thousand accounts; pages overlap by one id."""
+    """Transactions by pages of 500 by id, a folder for each thousand accounts; pages overlap by one. So their number grows with the rows alone."""
     folder = f"{workdir(spark)}/pages"
     e = S.read(spark, d, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("kind"), F.col("user_id").alias("account"), F.col("value").alias("amount"), F.col("ts").cast("timestamp").alias("ts"))
     number = lambda c: F.floor(c / 500)
-    e = e.withColumn("book", F.format_string("book%d", F.floor(F.col("account") / 1000))).withColumn("page", F.explode(F.array_distinct(F.array(number(F.col("id")), F.greatest(number(F.col("id") - 1), F.lit(0))))))
+    e = place(e.withColumn("book", F.format_string("book%d", F.floor(F.col("account") / 1000))), ["book"], ["id"], [F.floor(F.col("id") / 100_000)], "n")
+    first = F.col("n") - 1
+    e = e.withColumn("page", F.explode(F.array_distinct(F.array(number(first), F.greatest(number(first - 1), F.lit(0)))))).drop("n")
     G_.register(spark)
     G_.write_pages(e, "book", "ts", "page", folder)
-    rows = spark.read.format("pages").option("group", "book").schema("id long, kind string, account long, amount double, ts timestamp, book string").load(folder)
+    rows = spark.read.format("pages").option("group", "book").option("pages", "64").schema("id long, kind string, account long, amount double, ts timestamp, book string").load(folder)
     return rows.dropDuplicates(["id"]).select("id", "kind", "account", "amount")
 
 
