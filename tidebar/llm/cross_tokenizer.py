@@ -10,7 +10,8 @@
 3. A block of documents leaves the task as one row: the words of each document, the id pairs of
    each word, and how often the block holds each pair. Spark adds the partial counts of all blocks,
    finds the highest count of each B id, and sends the totals back to the blocks that hold the pair.
-   A block has about ``BLOCK_BYTES`` of text, or one longer text, however large the table.
+   A block has about ``BLOCK_BYTES`` of text, or one longer text, however large the table, and less where its words
+   bring those that the worker keeps above ``WORDS_KEPT``.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from .token_counts import BLANK
 from .tokens import _ALPHABET, WordEncoder, cut, hashed
 
 BLOCK_BYTES = 8_000_000
+#: Words that a worker keeps before it begins anew, and words that DuckDB aligns at a time.
+WORDS_KEPT, WORDS_LEARNT = 150_000, 10_000
 
 # Tables a and b: word, id, lo, hi. Words follow one another in bytes, so lo and hi alone order all tokens.
 _MEETS = "create or replace temp table meets as select b.hi from b asof join a on b.hi >= a.hi where b.hi = a.hi"
@@ -127,7 +130,10 @@ class Aligner:
         if len(self.known):
             new = self.known[np.minimum(at, len(self.known) - 1)] != distinct
         if new.any():
-            self._learn(distinct[new], [raw[i:j].decode() for i, j in zip(start[first[new]].tolist(), end[first[new]].tolist())])
+            unknown, place = distinct[new], first[new]
+            for k in range(0, len(unknown), WORDS_LEARNT):
+                few = place[k : k + WORDS_LEARNT]
+                self._learn(unknown[k : k + WORDS_LEARNT], [raw[i:j].decode() for i, j in zip(start[few].tolist(), end[few].tolist())])
         return self.slot[np.searchsorted(self.known, distinct)][back], n_words
 
 
@@ -181,7 +187,7 @@ class Block:
 _BLOCKS = "block long, ids array<{kind}>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, shas array<string>, n_words binary, words binary, n_pairs binary, pair_of binary, pairs array<struct<a: int, b: int, n: long>>"
 
 
-def _blocks(path_a: str, path_b: str, links: str, limit: int = 400_000):
+def _blocks(path_a: str, path_b: str, links: str, limit: int = WORDS_KEPT):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -191,7 +197,7 @@ def _blocks(path_a: str, path_b: str, links: str, limit: int = 400_000):
             kind = batch.column(0).type
             block = block or Block(task, k)
             block.add(aligner, batch.column(0), texts, sum(map(len, texts)))
-            if block.bytes >= BLOCK_BYTES:
+            if block.bytes >= BLOCK_BYTES or len(aligner.text) > limit:
                 yield block.row(aligner, kind)
                 block, k = None, k + 1
                 if len(aligner.text) > limit:
