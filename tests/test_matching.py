@@ -63,3 +63,24 @@ def test_two_candidates_a_row(spark):
     df = matching.nearest(asked, rows, ["k"], 60, "id", "other")
     assert {r.id: r.other for r in df.collect()} == {i: i * 100 for i in range(100)}
     assert "Generate" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_blocks_are_swept_together(spark):
+    """3,000 keys cost a few calls of Python, not one each; batches end within blocks and between them; null keys match nothing."""
+    rows = spark.range(30_000).select(
+        F.col("id").alias("other"), F.when(F.col("id") % 10 > 0, F.col("id") % 3000).alias("k"), F.timestamp_micros(F.col("id") * 1_000_003 % 777_000_000).alias("ts"), (F.col("id") % 7 / 4).alias("price")
+    )
+    asked = rows.filter("other % 4 = 1 or other % 50 = 0").withColumnRenamed("other", "id").withColumn("ts", F.col("ts") + F.expr("interval 1 second"))
+    df = matching.least_score(asked, rows, ["k"], 90, 3.0, "id", "other")
+    assert "FlatMapGroups" not in df._jdf.queryExecution().executedPlan().toString()
+    pairs = asked.join(rows.toDF("other", "k", "ts2", "price2"), "k").withColumn("gap", F.abs(F.unix_micros("ts") - F.unix_micros("ts2")) / 1e6).filter("gap <= 90")
+    pairs = pairs.select("id", F.struct(F.expr("gap + abs(price - price2) * 3.0D").alias("score"), "other").alias("m"))
+    want = {r.id: tuple(r.m) for r in pairs.groupBy("id").agg(F.min("m").alias("m")).collect()}
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in ("7", "1000"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            assert {r.id: (r.score, r.other) for r in df.select("*").collect()} == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert want

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -84,27 +86,35 @@ def least_score(left: DataFrame, right: DataFrame, keys: list[str], seconds: flo
     """left_id, right_id, score: of the right rows at most ``seconds`` away, that of the least gap in seconds plus ``weight`` times the difference of values, ties to the lesser id.
 
     A sweep in blocks of time, each with the right rows ``seconds`` around it: a left row looks at its neighbours in time,
-    outwards, and stops where the gap alone exceeds the best score so far. No pairs are listed.
+    outwards, and stops where the gap alone exceeds the best score so far. No pairs are listed. Many blocks are swept at once,
+    as their rows come sorted; a task holds the rows of a batch and of one block. Null keys and times match nothing.
     """
     reach = max(1, round(seconds * 1e6))
     at = F.unix_micros(F.col(ts))
     block = lambda c: F.floor(c / reach)
     kinds = {c: left.schema[c].dataType for c in (left_id,)} | {c: right.schema[c].dataType for c in (right_id,)}
+    left, right = (x.dropna(subset=[*keys, ts]) for x in (left, right))
     rows = left.select(*keys, at.alias("_at"), F.col(value).cast("double").alias("_value"), F.col(left_id).alias("_left"), F.lit(None).cast(kinds[right_id]).alias("_right"), block(at).alias("_block"))
     near = right.select(*keys, at.alias("_at"), F.col(value).cast("double").alias("_value"), F.lit(None).cast(kinds[left_id]).alias("_left"), F.col(right_id).alias("_right"), F.explode(F.sequence(block(at) - 1, block(at) + 1)).alias("_block"))
-
-    def sweep(table: pa.Table) -> pa.Table:
-        own = table.filter(pc.is_valid(table.column("_left")))
-        others = table.filter(pc.is_valid(table.column("_right"))).sort_by([("_at", "ascending"), ("_right", "ascending")])
+    by = [*keys, "_block"]
+
+    def sweep(pieces: list[pa.Table]) -> list[pa.RecordBatch]:
+        table = pa.concat_tables(pieces)
+        if not table.num_rows:
+            return []
+        group = np.append(0, np.cumsum(_changes(table, by)))
+        mine, theirs = (pc.is_valid(table.column(c)).to_numpy() for c in ("_left", "_right"))
+        own, others = table.filter(pa.array(mine)), table.filter(pa.array(theirs))
         t, v = others.column("_at").to_numpy(), others.column("_value").to_numpy()
         time, price = own.column("_at").to_numpy(), own.column("_value").to_numpy()
-        start = np.searchsorted(t, time)
+        start = np.cumsum(theirs)[mine]  # left rows come before right ones of their time
+        first, end = (np.searchsorted(group[theirs], group[mine], side) for side in ("left", "right"))
         score, chosen = np.full(len(time), np.inf), np.full(len(time), -1)
-        rank = np.argsort(np.argsort(others.column("_right").to_numpy(zero_copy_only=False), kind="stable"), kind="stable")
+        rank = np.argsort(np.argsort(others.column("_right").to_numpy(), kind="stable"), kind="stable")
         for step in (1, -1):
             at, live = start + (0 if step == 1 else -1), np.arange(len(time))
             while len(live):
-                at, live = (x[(at >= 0) & (at < len(t))] for x in (at, live))
+                at, live = (x[(at >= first[live]) & (at < end[live])] for x in (at, live))
                 gap = np.abs(t[at] - time[live]) / 1e6
                 on = gap <= np.minimum(seconds, score[live])
                 at, live, gap = at[on], live[on], gap[on]
@@ -114,10 +124,27 @@ def least_score(left: DataFrame, right: DataFrame, keys: list[str], seconds: flo
                 score[live[take]], chosen[live[take]] = s[take], at[take]
                 at = at + step
         kept = np.flatnonzero(chosen >= 0)
-        return pa.table([own.column("_left").take(pa.array(kept)), others.column("_right").take(pa.array(chosen[kept])), pa.array(score[kept])], names=[left_id, right_id, "score"])
+        return pa.table([own.column("_left").take(pa.array(kept)), others.column("_right").take(pa.array(chosen[kept])), pa.array(score[kept])], names=[left_id, right_id, "score"]).to_batches()
+
+    def sweeps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []  # rows of the block that may go on
+        for table in (pa.Table.from_batches([b]) for b in batches if b.num_rows):
+            ends = np.flatnonzero(_changes(pa.concat_tables([held[-1].slice(held[-1].num_rows - 1), table]), by)) if held else 1 + np.flatnonzero(_changes(table, by))
+            if len(ends):
+                yield from sweep([*held, table.slice(0, ends[-1])])
+                held = []
+            held.append(table.slice(ends[-1] if len(ends) else 0))
+        if held:
+            yield from sweep(held)
 
     schema = f"`{left_id}` {kinds[left_id].simpleString()}, `{right_id}` {kinds[right_id].simpleString()}, score double"
-    return rows.unionByName(near).groupBy(*keys, "_block").applyInArrow(sweep, schema)
+    return rows.unionByName(near).repartition(*by).sortWithinPartitions(*by, "_at", "_right").mapInArrow(sweeps, schema)
+
+
+def _changes(table: pa.Table, by: list[str]) -> np.ndarray:
+    """Whether each row but the first differs in ``by`` from the one before."""
+    codes = (table.column(c).combine_chunks().dictionary_encode().indices.to_numpy() for c in by)
+    return np.any([c[1:] != c[:-1] for c in codes], axis=0)
 
 
 def nearest_bar(left: DataFrame, right: DataFrame, keys: list[str], bars: int) -> DataFrame:
