@@ -33,3 +33,22 @@ def test_two_keys_and_empty(spark):
 def test_no_aggregate_holds_values(spark):
     plan = selection.percentiles(spark.range(10).withColumn("k", F.col("id") % 2), ["k"], "id", SHARES)._jdf.queryExecution().executedPlan().toString()
     assert "percentile" not in plan and "collect_list" not in plan
+
+
+@pytest.mark.parametrize("limit", [0, 1, 700, 10**6])
+def test_short_and_long_keys(spark, monkeypatch, limit):
+    """The same percentiles, whichever keys are sorted and whichever counted."""
+    monkeypatch.setattr(selection, "SORTED", limit / selection.RANGES)
+    rows = [(k, float(i * 7919 % 1009 - 500) if i % 9 else None) for k, n in (("a", 1), ("b", 2), ("c", 40), ("d", 800), ("e", 3000)) for i in range(n)] + [("zero", -0.0)]
+    df = spark.createDataFrame(rows, "key string, v double")
+    want = df.groupBy("key").agg(*[F.expr(f"percentile(v, {p})").alias(n) for n, p in SHARES.items()])
+    assert sorted(map(tuple, selection.percentiles(df, ["key"], "v", SHARES).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_short_keys_make_no_row_a_value(spark, monkeypatch):
+    """400 keys of 50 values: no counts of ranges, which would be nearly a row a value, are shuffled or sorted."""
+    df = spark.range(20_000).select((F.col("id") % 400).alias("k"), (F.col("id") * 7919 % 20_011).alias("v"))
+    got = selection.percentiles(df, ["k"], "v", {"q": 0.3})
+    got.collect()
+    plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert not [line for line in plan.splitlines() if "HashAggregate" in line and "range" in line]

@@ -1,4 +1,4 @@
-"""Exact percentiles of long keys by narrowing ranges of values and counting."""
+"""Exact percentiles: short keys are sorted, long ones narrowed to ranges of values and counted."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Ranges into which the values of a key, and then those of a range, are cut.
 RANGES = 1024
+#: Keys of up to so many values a range are sorted; counting would make nearly a row a value of them.
+SORTED = 16
 
 
 def _range_of(value: Column, low: Column, high: Column) -> Column:
@@ -25,20 +27,27 @@ def _located(wanted: DataFrame, ranges: DataFrame, by: list[str]) -> DataFrame:
 def percentiles(rows: DataFrame, keys: list[str], value: Column | str, shares: dict[str, float]) -> DataFrame:
     """A row for each key with the named percentiles, interpolated between the two values around their place; null without values.
 
-    The values of a key are counted in ranges between its least and greatest one, on the map side
-    first; the range that holds a place is cut in ranges again; only values of that range of a range are then
-    counted one by one. Keys must not be null; null values don't count. Equal values cost one row however many they are. No buffer
-    holds the values of a key: a task keeps at most ``RANGES`` counts of it. Where nearly all values lie in one of the million
-    ranges, that one is sorted by distinct value, which spills.
+    Keys of up to ``SORTED * RANGES`` values are sorted, many to a task. The values of a longer key are counted in ranges between its
+    least and greatest one, on the map side first; the range that holds a place is cut in ranges again; only values of that range of a range are then
+    counted one by one. Keys must not be null; null values don't count. Equal values of a long key cost one row however many they are. No buffer
+    holds the values of a long key: a task keeps at most ``RANGES`` counts of it. Where nearly all values lie in one of the million
+    ranges, that one is sorted by distinct value, which spills. The list of long keys, at most a row for as many values, is broadcast.
     """
-    x = rows.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], (F.expr(value) if isinstance(value, str) else value).cast("double").alias("v"))
+    x = rows.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], ((F.expr(value) if isinstance(value, str) else value).cast("double") + 0.0).alias("v"))
     by = [f"_k{i}" for i in range(len(keys))]
     span = x.groupBy(*by).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count("v").alias("total"))
-    first = x.join(span, by).filter("v is not null").withColumn("range", _range_of(F.col("v"), F.col("low"), F.col("high"))).select(*by, "v", "range")
+    long = span.filter(F.col("total") > SORTED * RANGES)
+    asked = F.array(*[F.struct(F.lit(name).alias("name"), (F.lit(p) * (F.col("total") - 1)).alias("place")) for name, p in shares.items()])
+    # short keys: the places among sorted values
+    w = Window.partitionBy(*by).orderBy("v")
+    short = x.join(F.broadcast(long.select(*by)), by, "left_anti").filter("v is not null")
+    short = short.select(*by, "v", (F.row_number().over(w) - 1).alias("rank"), F.count("v").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("total"))
+    short = short.select(*by, "v", "rank", F.explode(F.filter(asked, lambda q: F.col("rank").isin(F.floor(q["place"]), F.ceil(q["place"])))).alias("asked"))
+    short = short.select(*by, F.col("asked.name").alias("name"), F.col("asked.place").alias("place"), "v", "rank")
+    # long keys: ranges
+    first = x.join(F.broadcast(long), by).filter("v is not null").withColumn("range", _range_of(F.col("v"), F.col("low"), F.col("high"))).select(*by, "v", "range")
     counted = lambda df, by: df.groupBy(*by, "range").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
-    asked = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.lit(p).alias("share")) for name, p in shares.items()]))
-    place = F.col("asked.share") * (F.col("total") - 1)
-    wanted = span.filter("total > 0").select(*by, "total", asked.alias("asked")).select(*by, F.col("asked.name").alias("name"), place.alias("place"))
+    wanted = long.select(*by, F.explode(asked).alias("asked")).select(*by, "asked.name", "asked.place")
     wanted = wanted.withColumn("at", F.explode(F.array_distinct(F.array(F.floor("place"), F.ceil("place"))))).withColumn("rank", F.col("at"))
     one = _located(wanted, counted(first, by), by).withColumnRenamed("range", "range1")
     # the ranges that hold a place, once each, and the values in them
@@ -49,6 +58,7 @@ def percentiles(rows: DataFrame, keys: list[str], value: Column | str, shares: d
     kept = second.join(two.select(*cell).distinct(), cell).groupBy(*cell, "v").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy(*cell).orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     found = two.join(kept.withColumn("_start", before), cell).filter((F.col("at") >= F.col("_start")) & (F.col("at") < F.col("_start") + F.col("n")))
+    found = found.select(*short.columns).unionByName(short)
     low, high = F.min_by("v", "rank"), F.max_by("v", "rank")
     lower, upper = F.floor("place"), F.ceil("place")
     found = found.groupBy(*by, "name", "place").agg(low.alias("low"), high.alias("high"))
