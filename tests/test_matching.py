@@ -84,3 +84,17 @@ def test_blocks_are_swept_together(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert want
+
+
+def test_differences(spark):
+    """Counts of a full outer join, with repeated keys and nulls, without one."""
+    rng = random.Random(3)
+    some = lambda n: [(rng.choice([1, 2, 3, None]), rng.choice(["x", "y", "z", "only" + str(n), None])) for _ in range(n)]
+    a, e = (spark.createDataFrame(some(n), "k int, act string") for n in (30, 50))
+    got = matching.differences(a, e, ["k", "act"])
+    j = a.withColumn("a", F.lit(1)).join(e.withColumn("e", F.lit(1)), ["k", "act"], "full_outer")
+    want = j.groupBy("k", "act", F.expr("case when a is null then 'expected only' when e is null then 'actual only' else 'both' end").alias("side")).agg(F.count("*").alias("rows"))
+    plain = lambda df: sorted(map(str, df.collect()))
+    assert plain(got.select(*want.columns)) == plain(want) and len(plain(want)) > 12
+    plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "Join" not in plan and "Sort" not in plan

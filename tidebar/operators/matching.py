@@ -50,9 +50,15 @@ def pair_up(events: DataFrame, keys: list[str], order: list[str], entry: Column,
 
 
 def differences(actual: DataFrame, expected: DataFrame, keys: list[str]) -> DataFrame:
-    """Full outer comparison on all keys: 'both', 'actual only' or 'expected only'."""
-    j = actual.withColumn("_a", F.lit(1)).join(expected.withColumn("_e", F.lit(1)), keys, "full_outer")
-    return j.withColumn("side", F.when(F.col("_a").isNull(), "expected only").when(F.col("_e").isNull(), "actual only").otherwise("both")).drop("_a", "_e")
+    """Full outer comparison on all keys: a row for each key and side ('both', 'actual only' or 'expected only') with ``rows``, the rows of the join it stands for.
+
+    Both are counted by key, in one shuffle, not joined. Nulls equal nothing, so a key with a null never has both.
+    """
+    alone = F.greatest(*[F.col(k).isNull() for k in keys]) if len(keys) > 1 else F.col(keys[0]).isNull()
+    one = lambda x, side: x.select(*keys, F.when(alone, side == 1).alias("_alone"), F.lit(side).alias("_a"), F.lit(1 - side).alias("_e"))
+    n = one(actual, 1).unionByName(one(expected, 0)).groupBy(*keys, "_alone").agg(F.sum("_a").alias("_a"), F.sum("_e").alias("_e"))
+    side = F.when(F.col("_a") == 0, "expected only").when(F.col("_e") == 0, "actual only").otherwise("both")
+    return n.select(*keys, side.alias("side"), F.when((F.col("_a") > 0) & (F.col("_e") > 0), F.col("_a") * F.col("_e")).otherwise(F.col("_a") + F.col("_e")).alias("rows"))
 
 
 def insert_missing(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
