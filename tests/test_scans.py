@@ -85,3 +85,22 @@ def test_folds_are_ntiles(spark, n):
     sizes = [n // 5 + (k < n % 5) for k in range(5)]
     part = [k for k, s in enumerate(sizes) for _ in range(s)]
     assert got == sorted((f, 3 * i, "train" if p <= f else "test") for i, p in enumerate(part) for f in range(4) if p <= f + 1)
+
+
+@pytest.mark.parametrize("block", [[], ["day"], ["floor(day / 4)", "day"]])
+def test_streaks_by_blocks(spark, ledger, block):
+    """Runs over many blocks, blocks of one side only, keys with one trade and without a result; trades are sorted once and not joined."""
+    rows = ledger + [("won", i // 3, i, 1.0) for i in range(30)] + [("lost", i // 7, i, 0.0) for i in range(30)] + [("one", 3, 1, 2.0), ("none", 3, 1, None)] + [("cut", i // 3, i, None if i == 13 else 1.0) for i in range(30)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = metrics.streaks(df, ["key"], ORDER, block)
+    want = {}
+    for key, mine in per_key(rows).items():
+        best, now = [0, 0], [0, 0]
+        for *_, pnl in mine:
+            now = [0, 0] if pnl is None else [now[0] + 1, 0] if pnl > 0 else [0, now[1] + 1]
+            best = [max(b, n) for b, n in zip(best, now)]
+        want[key] = tuple(best)
+    assert {r.key: (r.win_streak, r.loss_streak) for r in got.collect()} == want
+    assert (want["won"], want["lost"], want["one"], want["none"], want["cut"]) == ((30, 0), (0, 30), (1, 0), (0, 0), (16, 0))
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert dict(got.dtypes) == {"key": "string", "win_streak": "bigint", "loss_streak": "bigint"}

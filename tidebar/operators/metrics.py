@@ -65,15 +65,28 @@ def quality(sortino: Column, r2: Column, pf: Column, trades: Column, max_dd: Col
 def streaks(trades: DataFrame, keys: list[str], order: list[str], block: list[Column | str] | None = None) -> DataFrame:
     """Longest runs of wins and of losses of each key.
 
-    The wins so far only grow, so their greatest number at any loss is that at the last loss; what has come since is the
-    run. All of it is carried from block to block.
+    Each block (see ``scans.scan``) is summed up in one row: for each side its number, those before the first and before the last other
+    trade, and its longest run. A trade without a result ends both runs. Rows of blocks are summed up the same way, so the trades are shuffled and sorted once
+    and nothing is joined back to them.
     """
+    blocks = [f"_block{i}" for i in range(len(block or []))]
     win = F.col("pnl") > 0
-    one = lambda c: c.cast("int")
-    x = scan(trades, keys, order, block or [], sums={"_wins": one(win), "_losses": one(~win)}, peaks={"_at_loss": ("_wins", ~win), "_at_win": ("_losses", win)})
-    run = lambda n, at: F.col(f"_{n}_before") + 1 - F.coalesce(f"_{at}_before", F.lit(0))
-    longest = lambda side, n, at: F.coalesce(F.max(F.when(side, run(n, at))), F.lit(0)).cast("long")
-    return x.groupBy(*keys).agg(longest(win, "wins", "at_loss").alias("win_streak"), longest(~win, "losses", "at_win").alias("loss_streak"))
+    x = trades.select(*keys, *order, *[(F.expr(c) if isinstance(c, str) else c).alias(b) for b, c in zip(blocks, block or [])], win.alias("_win"))
+    for side, mine in (("win", F.col("_win")), ("loss", ~F.col("_win"))):
+        n = F.coalesce(mine.cast("long"), F.lit(0))
+        x = x.withColumns({f"_{side}_n": n, f"_{side}_first": F.when(n == 0, n), f"_{side}_last": F.when(n == 0, n), f"_{side}_best": n})
+    for level in range(len(blocks), -1, -1):
+        by = [*keys, *blocks[:level]]
+        before = Window.partitionBy(*by).orderBy(*(order if level == len(blocks) else [blocks[level]])).rowsBetween(Window.unboundedPreceding, -1)
+        x = x.withColumns({f"_{s}_before": F.coalesce(F.sum(f"_{s}_n").over(before), F.lit(0)) for s in ("win", "loss")})
+        x = x.withColumns({f"_{s}_at": F.max(F.col(f"_{s}_before") + F.col(f"_{s}_last")).over(before) for s in ("win", "loss")})
+        totals = []
+        for s in ("win", "loss"):
+            had, run = F.col(f"_{s}_before"), F.col(f"_{s}_before") - F.coalesce(f"_{s}_at", F.lit(0))
+            totals += [F.sum(f"_{s}_n").alias(f"_{s}_n"), F.min(had + F.col(f"_{s}_first")).alias(f"_{s}_first"), F.max(had + F.col(f"_{s}_last")).alias(f"_{s}_last")]
+            totals.append(F.max(F.greatest(F.col(f"_{s}_best"), run + F.coalesce(f"_{s}_first", f"_{s}_n"))).alias(f"_{s}_best"))
+        x = x.groupBy(*by).agg(*totals)
+    return x.select(*keys, *[F.coalesce(f"_{s}_best", F.lit(0)).alias(f"{s}_streak") for s in ("win", "loss")])
 
 
 def closing_losses(trades: DataFrame, keys: list[str], order: list[str], last: int = 20) -> DataFrame:

@@ -15,6 +15,8 @@ _L = f"with {S.LEDGER_SQL}"
 ORDER = ["exit_time", "trade_id", "leg"]
 #: Running sums over the ledger are carried from day to day.
 DAYS = ["to_date(exit_time)"]
+#: What is only summed up, from month to month: a day of an instance has little more than a trade.
+MONTHS = ["trunc(exit_time, 'month')"]
 _O = "order by exit_time, trade_id, leg"
 
 
@@ -175,7 +177,7 @@ def auc(spark, d):
 
 @query("w12_streaks", f"{_L}, x as (select instance, pnl > 0 win, row_number() over (partition by instance {_O}) - row_number() over (partition by instance, pnl > 0 {_O}) run from ledger), r as (select instance, win, run, count(*) n from x group by all) select instance, coalesce(max(n) filter (win), 0) win_streak, coalesce(max(n) filter (not win), 0) loss_streak from r group by 1")
 def streaks(spark, d):
-    return M.streaks(S.ledger(spark, d), ["instance"], ORDER, DAYS)
+    return M.streaks(S.ledger(spark, d), ["instance"], ORDER, MONTHS)
 
 
 _DESC = "order by exit_time desc, trade_id desc, leg desc"
