@@ -65,6 +65,18 @@ def test_numbers_without_a_logarithm(spark, tables):
     assert_same(catalog.QUERIES["f13_numbers"](spark, d), catalog.ORACLES["f13_numbers"], con)
 
 
+def test_numbers_at_rounding_edges(spark, tables, data):
+    """Roots whose seventh digit is a half but for the last bit of the double, of either sign of that bit, and numbers too large to have digits."""
+    near = [(n + 0.5) * 1e-6 for n in range(3_000_000_000, 3_000_000_400)]
+    values = [x * x for x in near] + [1e31, 1e300, 1.7e308, 1e-300, 5e-7, 2.5e-13, 250.0000005]
+    d, con = tables(events=(list(enumerate(values)), "event_id long, value double"))
+    df, sql = catalog.QUERIES["f13_numbers"](spark, d), catalog.ORACLES["f13_numbers"]
+    con.execute(f"create temp table want as {sql}")
+    want = dict(con.execute("select event_id, root from want").fetchall())
+    assert {r.event_id: r.root for r in df.collect()} == want
+    assert_same(df, sql, con)
+
+
 def test_formats_of_odd_balances(spark, tables):
     balances = [-0.0, 0.0, -0.04, 0.96, 1e20, float("nan"), float("inf"), float("-inf"), None, 1234.56]
     rows = [(n * 99_999 - 12, None if n == 3 else "A", x) for n, x in enumerate(balances)] + [(None, "B", 1.0)]

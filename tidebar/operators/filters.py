@@ -93,6 +93,14 @@ def natural_log(x: Column) -> Column:
     return F.when(x > 0, F.ln(x)).when(x == 0, float("-inf")).when(x.isNotNull(), float("nan"))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """``x`` to a number of digits after the point, as C and SQL engines on it round: the product by the power of ten, not the written digits, decides; halves go away from zero."""
+    t = x.cast("double") * 10.0**digits
+    whole = F.floor(F.abs(t)).cast("double")
+    near = F.signum(t) * (whole + (F.abs(t) - whole >= 0.5).cast("int"))
+    return F.when(F.abs(t) == float("inf"), x).otherwise(F.when(F.abs(t) >= 2.0**52, t).otherwise(near) / 10.0**digits)
+
+
 def floored(x: Column, digits: int) -> Column:
     """``x`` cut down to a number of digits after the point, as text as C prints it: minus zero keeps its sign, null is null."""
     t = x.cast("double") * 10**digits

@@ -22,7 +22,7 @@ def stamp(column: str = "ts"):
 
 
 def r6(column, name: str):
-    return F.round(column, 6).alias(name)
+    return P.rounded(F.col(column) if isinstance(column, str) else column, 6).alias(name)
 
 
 _T = "strftime(ts, '%Y-%m-%d %H:%M:%S') ts"
