@@ -37,3 +37,18 @@ def test_words_kept_are_bounded(monkeypatch):
     assert _documents(parts) == _documents(whole)
     assert len(whole) == 1 and len(parts) > 3
     assert max(kept) <= 600 + 250  # the limit and a slice
+
+
+def test_files_hold_few_blocks(spark, monkeypatch):
+    """A task writes and reads its blocks, of megabytes each, a few at a time, however many it makes."""
+    texts = [f"some words of document {n}, and more of them" for n in range(60)]
+    monkeypatch.setattr(X, "BLOCK_BYTES", 100)  # less than a slice, which is three documents
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    folders, write = [], X.materialize
+    monkeypatch.setattr(X, "materialize", lambda df, path, *rows: (folders.append(path), write(df, path, *rows))[1])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    out, _ = X.align(docs, *PATHS)
+    per_file = [r["count"] for r in spark.read.parquet(folders[0]).groupBy("_metadata.file_path").count().collect()]
+    assert sum(per_file) == 20 and max(per_file) <= X.BLOCKS_A_FILE
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(r.doc_id for r in out.filter("n_links > 0").collect()) == list(range(60))

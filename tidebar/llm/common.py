@@ -41,9 +41,13 @@ def workdir(spark: SparkSession) -> str:
     return f"{folder}/work"
 
 
-def materialize(df: DataFrame, path: str) -> DataFrame:
-    """Write ``df`` to ``path`` and read it again: lineage ends there, and a lost executor costs no rework."""
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+def materialize(df: DataFrame, path: str, rows_a_file: int = 0) -> DataFrame:
+    """Write ``df`` to ``path`` and read it again: lineage ends there, and a lost executor costs no rework.
+
+    Rows of megabytes need ``rows_a_file``: a writer looks at its memory after 100 rows, and a reader holds up to 4,096 of a file at once.
+    """
+    out = df.write.mode("overwrite").option("compression", "zstd")
+    (out.option("maxRecordsPerFile", rows_a_file) if rows_a_file else out).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -28,7 +28,8 @@ from .common import join_hot, materialize, resident, sliced, workdir
 from .token_counts import BLANK
 from .tokens import _ALPHABET, WordEncoder, cut, hashed
 
-BLOCK_BYTES = 8_000_000
+#: Bytes of text of a block, and blocks of a file: what a task holds of blocks while it writes or reads them, however many it makes.
+BLOCK_BYTES, BLOCKS_A_FILE = 8_000_000, 4
 #: Words that a worker keeps before it begins anew, and words that DuckDB aligns at a time.
 WORDS_KEPT, WORDS_LEARNT = 150_000, 10_000
 
@@ -262,7 +263,7 @@ def align(docs: DataFrame, path_a: str, path_b: str, links: str = "end", id_col:
     spark, folder = docs.sparkSession, workdir(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    blocks = materialize(rows.mapInArrow(_blocks(path_a, path_b, links), _BLOCKS.format(kind=kind)), f"{folder}/blocks")
+    blocks = materialize(rows.mapInArrow(_blocks(path_a, path_b, links), _BLOCKS.format(kind=kind)), f"{folder}/blocks", BLOCKS_A_FILE)
     mapping = materialize(pair_counts(blocks), f"{folder}/mapping")
     held = blocks.select("block", F.posexplode("pairs").alias("pos", "pair")).select("block", "pos", "pair.a", "pair.b")
     totals = join_hot(held, mapping.select("a", "b", "count", "best"), ["a", "b"], "block", counts=mapping).select(F.col("block").alias("of"), "pos", "count", "best")
