@@ -60,3 +60,15 @@ def test_trades_meet_their_iterations_once(spark):
     held = plan[plan.index("FlatMapGroupsInArrow") : plan.index("LeftAnti, BuildRight")]
     assert "SortMergeJoin" not in held and "Generate" not in held
     assert df.groupBy("grp").count().filter("count != 1000").count() == 0
+
+
+def test_values_of_a_distribution_are_shuffled_once(spark):
+    """Each value goes to its key once, not once for each percentile."""
+    values = spark.createDataFrame([(k, float(v)) for k in range(2) for v in [5, -1, 3, 3, 8 + k, 20]] + [(2, 4.0), (3, None)], "k int, v double")
+    df = V.distribution(values, "v", ["k"])
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("collect_list") == 1 and "percentile(" not in df._jdf.queryExecution().optimizedPlan().toString()
+    found = {r.k: r for r in df.collect()}
+    for k, own in ((0, [5, -1, 3, 3, 8, 20]), (1, [5, -1, 3, 3, 9, 20]), (2, [4])):
+        assert [found[k][f"p{q}"] for q in (5, 25, 50, 75, 95)] == pytest.approx(list(np.percentile(own, [5, 25, 50, 75, 95])))
+        assert found[k].shortfall == min(own) and found[k].above5 == pytest.approx(np.mean(np.array(own) > 5))
+    assert set(found) == {0, 1, 2}

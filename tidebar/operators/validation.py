@@ -260,14 +260,18 @@ def permutation(trades: DataFrame, n: int, seed: int = 54321) -> DataFrame:
 def distribution(values: DataFrame, column: str, keys: list[str]) -> DataFrame:
     """Percentiles, value at risk, expected shortfall and chances of a column over iterations, of which a key has a stated number.
 
-    ``values`` is asked for once, as its draws are the work; so a key's values come together, as they do for percentiles.
+    ``values`` is asked for once, as its draws are the work; so a key's values come together, once, and are sorted.
     """
-    x = values.groupBy(*keys).agg(
-        *[F.expr(f"percentile({column}, {q / 100})").alias(f"p{q}") for q in (5, 25, 50, 75, 95)],
-        *[F.avg((F.col(column) > q).cast("double")).alias(f"above{q}") for q in (0, 5, 10)], F.collect_list(column).alias("_all"),
-    )
-    tail = F.filter("_all", lambda v: v <= F.col("p5"))
-    x = x.withColumn("_tail", tail).filter(F.size("_tail") > 0)
+    x = values.groupBy(*keys).agg(F.sort_array(F.collect_list(column)).alias("_all")).withColumn("_n", F.size("_all")).filter("_n > 0")
+
+    def percentile(q: int) -> Column:
+        at = (F.col("_n") - 1) * q / 100
+        low, high = F.element_at("_all", F.floor(at).cast("int") + 1), F.element_at("_all", F.ceil(at).cast("int") + 1)
+        return low + (high - low) * (at - F.floor(at))
+
+    share = lambda q: F.size(F.filter("_all", lambda v: v > q)) / F.col("_n")
+    x = x.select(*keys, "_all", *[percentile(q).alias(f"p{q}") for q in (5, 25, 50, 75, 95)], *[share(q).alias(f"above{q}") for q in (0, 5, 10)])
+    x = x.withColumn("_tail", F.filter("_all", lambda v: v <= F.col("p5")))
     return x.withColumn("shortfall", F.aggregate("_tail", F.lit(0.0), lambda a, v: a + v) / F.size("_tail")).drop("_all", "_tail")
 
 
